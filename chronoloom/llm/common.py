@@ -58,27 +58,40 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def running_totals(df: DataFrame, group: list[str], order: Column, ties: list[Column], value: Column, total: str, buckets: int) -> DataFrame:
-    """Adds ``total``: the sum of ``value`` over the rows before this one in its group.
-
-    A group may hold a large part of all rows, so no task sees a whole group. ``order`` is a hash
-    (any long); its rank of ``buckets`` equal ranges names a bucket. Sums per bucket are a small
-    table (groups x buckets at most) whose running sum gives each bucket its start; within a bucket
-    a window adds the rest. Both the window and the join need rows hashed by group and bucket, so
-    the rows move once. ``df`` is read twice: make it narrow, or write it first.
+#: Hash ranges into which a group is cut for running totals.
+BUCKETS = 1024
+
+
+def spread(key: Column) -> Column:
+    """A long, spread evenly over all longs, from the md5 of ``key``; DuckDB can compute it too."""
+    digits = F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 1, 15)
+    return (F.conv(digits, 16, 10).cast("long") - F.lit(1 << 59)) * F.lit(16)
+
+
+def bucket_of(order: Column, buckets: int = BUCKETS) -> Column:
+    """Which of ``buckets`` equal ranges of the longs ``order`` lies in; ascending with ``order``."""
+    return F.shiftright((F.shiftright(order, 32) + F.lit(1 << 31)) * F.lit(buckets), 32).cast("int")
+
+
+def bucket_sums(rows: DataFrame, value: Column) -> DataFrame:
+    """(_key, _bucket, _sum): ``value`` summed for each ``_key`` and bucket of ``_order``."""
+    return rows.groupBy("_key", bucket_of(F.col("_order")).alias("_bucket")).agg(F.sum(value).alias("_sum"))
+
+
+def bucket_starts(sums: DataFrame) -> DataFrame:
+    """``sums`` with ``_start``: the sum over the earlier buckets of the same key."""
+    before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+
+
+def running_totals(rows: DataFrame, starts: DataFrame, value: Column, ties: list[Column], total: str) -> DataFrame:
+    """``rows`` with ``total``: the sum of ``value`` over the earlier rows of the same ``_key``.
+
+    Rows are ordered by ``_order`` (see ``spread``) and ``ties``. A key may hold a third of all
+    rows, so no task sees a whole key: ``starts`` (see ``bucket_starts``; one row per key and bucket
+    at most) gives each bucket's start, and a window within the bucket adds the rest. Window and
+    join both want rows hashed by key and bucket, so rows move once. ``_key`` may not be null.
     """
-    # The upper 32 bits, made unsigned, keep the order of the signed hash.
-    ranked = df.withColumn("_order", order).withColumn(
-        "_bucket", F.shiftright(F.shiftright(F.col("_order"), 32).cast("long") * F.lit(buckets) + F.lit(buckets) * F.lit(1 << 31), 32).cast("int")
-    ).withColumn("_value", value)
-    keys = [F.col(g) for g in group]
-    sums = ranked.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*[k.alias(f"_g{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    match = F.col("_bucket") == F.col("_b")
-    for i, k in enumerate(keys):
-        match = match & k.eqNullSafe(F.col(f"_g{i}"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_order", *ties).rowsBetween(Window.unboundedPreceding, -1)
-    within = ranked.withColumn("_within", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    joined = within.join(starts, match, "inner")
-    return joined.withColumn(total, F.col("_start") + F.col("_within")).drop("_start", "_within", "_b", "_bucket", "_value", "_order", *[f"_g{i}" for i in range(len(keys))])
+    inside = Window.partitionBy("_key", "_bucket").orderBy("_order", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    within = rows.withColumn("_bucket", bucket_of(F.col("_order"))).withColumn("_within", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return within.join(starts, ["_key", "_bucket"]).withColumn(total, F.col("_start") + F.col("_within")).drop("_start", "_within", "_bucket", "_sum")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import quality_rules, simhash_bk
+from chronoloom.llm import curriculum, quality_rules, shard_tree, simhash_bk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
+def op6_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_tree.place_with_growth(_table(spark, sf_dir, "documents"))
+
+
+def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.mix_plan(_table(spark, sf_dir, "documents")).drop("position", "again")
+
+
 def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_bk.near_duplicate_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -25,9 +33,13 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op6_hash_tree_sharding": op6_hash_tree_sharding,
+    "op9_curriculum_mix": op9_curriculum_mix,
     "op10_simhash_bktree": op10_simhash_bktree,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.oracle(),
+    "op6_hash_tree_sharding": shard_tree.oracle(),
+    "op9_curriculum_mix": curriculum.oracle(),
 }

@@ -4,11 +4,8 @@ from pyspark.sql import functions as F
 
 from chronoloom.llm import quality_rules as qr
 
-PROSE = "The river of the town was calm and the boats in it moved with care while {} people on the bank were talking about {} for a long time. "
-
-
 def prose(n):
-    return "".join(PROSE.format(f"green{i}", f"topic{i} a{i} b{i}") for i in range(n))
+    return " ".join(f"The river{i} of town{i} was calm{i} and the boat{i} in it{i} moved{i} slowly{i}." for i in range(n))
 
 
 TEXTS = {

@@ -35,7 +35,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """(_key, source_size, target, ramp) from (_key, source_size), one row per source.
+    """(_key, _source_size, _target, _ramp) from (_key, source_size), one row per source.
 
     Water filling: by ascending 2 * size / weight, a source is full if the level reached by sharing
     what is left over the weights that are left is at or above its own ratio; the level of the
@@ -51,7 +51,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     left = F.sum("source_size").over(whole) * HALVES / F.lit(2.0) - F.coalesce(F.sum("cap").over(ahead), F.lit(0))
     level = named.withColumn("level", left / F.sum("w").over(rest)).withColumn("full", F.col("level") >= F.col("ratio"))
     final = F.min(F.when(~F.col("full"), F.struct("ratio", "_key", "level"))).over(whole)["level"]
-    return level.withColumn("final", final).select("_key", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("final") * F.col("w")).alias("target"), "ramp")
+    target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("final") * F.col("w"))
+    return level.withColumn("final", final).select("_key", F.col("source_size").alias("_source_size"), target.alias("_target"), F.col("ramp").alias("_ramp"))
 
 
 def due(share: Column, ramp: Column) -> Column:
@@ -61,18 +62,18 @@ def due(share: Column, ramp: Column) -> Column:
 
 
 def _assigned(rows: DataFrame) -> DataFrame:
-    """``rows`` with source_size, target, taken and _starts (the passes' positions, null where not taken)."""
+    """``rows`` with _source_size, _target, _taken and _starts (the passes' positions, null where not taken)."""
     sums = write_table(bucket_sums(rows, F.col("_size")), "source-sums")
     targets = source_targets(sums.groupBy("_key").agg(F.sum("_sum").alias("source_size")))
     starts = bucket_starts(sums).join(targets, "_key")
     ties = [F.col("doc_id"), F.col("_size"), F.hash(F.col("text")) if "text" in rows.columns else F.lit(0)]
     laid = running_totals(rows, starts, F.col("_size"), ties, "_before")
-    whole = F.floor("target").cast("long")
-    part = lambda p: F.greatest(F.least(whole - F.col("_before") - F.col("source_size") * p, F.col("_size")), F.lit(0).cast("long"))
-    start = lambda p: F.when(part(p) > 0, due((F.col("_before") + F.col("source_size") * p) / F.col("target"), F.col("ramp")))
+    whole = F.floor("_target").cast("long")
+    part = lambda p: F.greatest(F.least(whole - F.col("_before") - F.col("_source_size") * p, F.col("_size")), F.lit(0).cast("long"))
+    start = lambda p: F.when(part(p) > 0, due((F.col("_before") + F.col("_source_size") * p) / F.col("_target"), F.col("_ramp")))
     passes = range(MAX_PASSES)
     taken = sum((part(p) for p in passes), F.lit(0).cast("long"))
-    return laid.withColumn("taken", taken).withColumn("_starts", F.array(*[start(p) for p in passes]))
+    return laid.withColumn("_taken", taken).withColumn("_starts", F.array(*[start(p) for p in passes]))
 
 
 def mix_plan(docs: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def mix_plan(docs: DataFrame) -> DataFrame:
     not matter; an empty table gives an empty result.
     """
     rows = write_table(_rows(docs).select("doc_id", "_key", "_order", "_size"), "mix-sizes")
-    plan = _assigned(rows).select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken", F.get("_starts", F.lit(0)).alias("position"), F.get("_starts", F.lit(1)).alias("again"))
+    plan = _assigned(rows).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), F.get("_starts", F.lit(0)).alias("position"), F.get("_starts", F.lit(1)).alias("again"))
     return plan.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import curriculum, quality_rules, shard_tree, simhash_bk
+from chronoloom.llm import curriculum, decontam, quality_rules, shard_tree, simhash_bk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tree.place_with_growth(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_hash_tree_sharding": op6_hash_tree_sharding,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_simhash_bktree": op10_simhash_bktree,

@@ -59,9 +59,12 @@ class Words:
         known = self.known
         if len(known) > MEMORY:
             known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        try:
+            return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        except KeyError:
+            for w in set(words).difference(known):
+                known[w] = xxhash.xxh3_64_intdigest(w)
+            return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -90,6 +93,21 @@ def window_prints(shingles: np.ndarray, starts: np.ndarray, size: int) -> np.nda
     return np.packbits(sums[at + size] > sums[at], axis=1, bitorder="little").view("<u8").ravel()
 
 
+class ShingleSet:
+    """Which hashes are in a set: a bitmap of their low bits passes a few, a sorted array decides."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.sorted = np.unique(hashes)
+        self.mask = np.uint64((1 << max(16, min(26, int(len(self.sorted)).bit_length() + 5))) - 1)
+        self.low = np.zeros(int(self.mask) + 1, bool)
+        self.low[self.sorted & self.mask] = True
+
+    def positions(self, hashes: np.ndarray) -> np.ndarray:
+        maybe = np.flatnonzero(self.low[hashes & self.mask])
+        at = np.minimum(np.searchsorted(self.sorted, hashes[maybe]), len(self.sorted) - 1)
+        return maybe[self.sorted[at] == hashes[maybe]]
+
+
 class Items:
     """The benchmark items of one broadcast, by length, with their multi-index."""
 
@@ -109,39 +127,38 @@ class Items:
             self.bags.append(bag(tokens, 0, len(hashes), width))
             self.prints.append(window_prints(hashes, np.zeros(1, np.int64), len(hashes))[0])
             shingle_sets.setdefault(width, []).append(hashes)
-        self.shingles = {w: np.unique(np.concatenate(s)) for w, s in shingle_sets.items()}
+        self.shingles = {w: ShingleSet(np.concatenate(s)) for w, s in shingle_sets.items()}
         self.index = {key: self._tables(members) for key, members in self.classes.items()}
 
-    def _tables(self, members: list[int]) -> list[list[np.ndarray]]:
-        own = np.array([self.prints[m] for m in members], dtype="<u8").view(np.uint8).reshape(-1, BLOCKS)
-        tables = []
+    def _tables(self, members: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The members' fingerprints, and for each (block, value) the range of its list in one array."""
+        prints = np.array([self.prints[m] for m in members], dtype="<u8")
+        own = prints.view(np.uint8).reshape(-1, BLOCKS)
+        lists: list[list[int]] = [[] for _ in range(BLOCKS * 256)]
         for b in range(BLOCKS):
-            of: list[list[int]] = [[] for _ in range(256)]
             for i, value in enumerate(own[:, b]):
                 for near in _NEAR[value]:
-                    of[near].append(i)
-            tables.append([np.array(x, np.int64) for x in of])
-        return tables
+                    lists[b * 256 + near].append(i)
+        ends = np.cumsum([0, *map(len, lists)])
+        return prints, ends, np.array([i for x in lists for i in x], np.int64)
 
     def candidates(self, key: tuple[int, int], prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(item, windows): the windows whose fingerprints lie within the radius of the item's."""
-        members, tables = self.classes[key], self.index[key]
-        blocks = prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
-        pairs = []
-        for b in range(BLOCKS):
-            for value in np.unique(blocks[:, b]):
-                if len(found := tables[b][value]):
-                    at = np.flatnonzero(blocks[:, b] == value)
-                    pairs.append((np.repeat(found, len(at)) * len(prints) + np.tile(at, len(found))))
-        if not pairs:
+        own, ends, lists = self.index[key]
+        slot = (prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS) + np.arange(BLOCKS) * 256).ravel()
+        sizes = ends[slot + 1] - ends[slot]
+        window = np.repeat(np.arange(len(slot)) // BLOCKS, sizes)
+        if not len(window):
             return
-        pair = np.unique(np.concatenate(pairs))
-        item, window = pair // len(prints), pair % len(prints)
-        own = np.array([self.prints[m] for m in members], dtype=np.uint64)
+        at = np.arange(len(window)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(ends[slot], sizes)
+        item = lists[at]
         near = np.bitwise_count(own[item] ^ prints[window]) <= RADIUS
-        item, window = item[near], window[near]
+        if not near.any():
+            return
+        pair = np.unique(item[near] * len(prints) + window[near])
+        item, window = pair // len(prints), pair % len(prints)
         for i in np.unique(item):
-            yield members[i], window[item == i]
+            yield self.classes[key][i], window[item == i]
 
 
 def bag(words: list[bytes], start: int, size: int, width: int) -> Counter:
@@ -168,17 +185,18 @@ def matches(items: Items, words: list[bytes], known: Words) -> Iterator[tuple[in
     """(item_id, similarity, start, length) of each item's best window in a text; positions count words."""
     hashes = known.hashes(words)
     shingles = {w: shingle_hashes(hashes, w) for w in items.shingles}
-    marked = {w: np.flatnonzero(np.isin(s, items.shingles[w])) for w, s in shingles.items()}
-    for (width, size), _ in items.classes.items():
+    marked = {w: items.shingles[w].positions(s) for w, s in shingles.items()}
+    marks = {w: np.zeros(len(s) + 1, np.int64) for w, s in shingles.items()}
+    for w, sums in marks.items():
+        sums[marked[w] + 1] = 1
+        np.cumsum(sums, out=sums)
+    for width, size in items.classes:
         at, n = marked[width], len(shingles[width])
         if not len(at) or n == 0:
             continue
         window = min(size, n)  # a text shorter than the item is one window
-        # Starts whose window holds a marked shingle: runs of up to `window` starts before each mark.
-        gain = np.zeros(n + 1, np.int64)
-        np.add.at(gain, np.maximum(at - window + 1, 0), 1)
-        np.add.at(gain, at + 1, -1)
-        starts = np.flatnonzero(np.cumsum(gain)[: n - window + 1] > 0)
+        sums = marks[width]
+        starts = np.flatnonzero(sums[window:] > sums[: n - window + 1])  # windows that hold a marked shingle
         best: dict[int, tuple[int, int, int]] = {}
         # Portions are cut at gaps too, so that the sums between far marks are not computed.
         cuts = np.flatnonzero(np.diff(starts) > 4 * window) + 1
@@ -186,7 +204,10 @@ def matches(items: Items, words: list[bytes], known: Words) -> Iterator[tuple[in
             for k in range(0, len(run), PORTION):
                 part = run[k : k + PORTION]
                 for item, found in items.candidates((width, size), window_prints(shingles[width], part, window)):
-                    got = _best(items, item, words, part[found], window, width)
+                    hopeful = part[found]
+                    # A window shares no more shingles than it has marked ones.
+                    hopeful = hopeful[(sums[hopeful + window] - sums[hopeful]) * SIMILARITY[1] >= size * SIMILARITY[0]]
+                    got = _best(items, item, words, hopeful, window, width)
                     if got and (item not in best or got[0] * best[item][1] > best[item][0] * got[1]):
                         best[item] = got
         for item, (both, either, start) in best.items():

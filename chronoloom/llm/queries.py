@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import curriculum, decontam, quality_rules, shard_tree, simhash_bk
+from chronoloom.llm import curriculum, decontam, quality_rules, shard_tree, simhash_bk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +42,7 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_warc_round_trip": op3_warc_round_trip,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_hash_tree_sharding": op6_hash_tree_sharding,
     "op9_curriculum_mix": op9_curriculum_mix,
@@ -45,6 +51,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.oracle(),
+    "op3_warc_round_trip": warc.oracle(),
     "op6_hash_tree_sharding": shard_tree.oracle(),
     "op9_curriculum_mix": curriculum.oracle(),
 }

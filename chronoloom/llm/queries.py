@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import curriculum, decontam, quality_rules, shard_tree, simhash_bk, site_template, warc
+from chronoloom.llm import curriculum, decontam, quality_rules, rule_ensemble, shard_tree, simhash_bk, site_template, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op6_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tree.place_with_growth(_table(spark, sf_dir, "documents"))
 
 
+def op7_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return rule_ensemble.score(docs, rule_ensemble.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_site_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_template.main_text(_table(spark, sf_dir, "pages"))
 
@@ -49,6 +54,7 @@ QUERIES = {
     "op3_warc_round_trip": op3_warc_round_trip,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_hash_tree_sharding": op6_hash_tree_sharding,
+    "op7_rule_ensemble_quality": op7_rule_ensemble_quality,
     "op8_site_template_text": op8_site_template_text,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_simhash_bktree": op10_simhash_bktree,

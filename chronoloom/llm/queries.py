@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import curriculum, decontam, quality_rules, rule_ensemble, shard_tree, simhash_bk, site_template, warc
+from chronoloom.llm import curriculum, decontam, pii_crf, quality_rules, rule_ensemble, shard_tree, simhash_bk, site_template, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.digest(pii_crf.find_personal_data(_table(spark, sf_dir, "documents")))
+
+
 def op6_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tree.place_with_growth(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_warc_round_trip": op3_warc_round_trip,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_pii_skip_chain": op5_pii_skip_chain,
     "op6_hash_tree_sharding": op6_hash_tree_sharding,
     "op7_rule_ensemble_quality": op7_rule_ensemble_quality,
     "op8_site_template_text": op8_site_template_text,

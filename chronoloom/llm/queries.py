@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import curriculum, decontam, pii_crf, quality_rules, rule_ensemble, shard_tree, simhash_bk, site_template, warc
+from chronoloom.llm import curriculum, decontam, line_dedup, pii_crf, quality_rules, rule_ensemble, shard_tree, simhash_bk, site_template, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_table(spark, sf_dir, "documents"))
     counts = [F.col(f"_counts.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -54,6 +58,7 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_edit_join": op1_line_edit_join,
     "op2_quality_rules": op2_quality_rules,
     "op3_warc_round_trip": op3_warc_round_trip,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,

@@ -83,8 +83,12 @@ def _repeat_words(words: Column, width: int = 3) -> Column:
     return F.when(F.size(words) <= width, F.lit(0)).otherwise(let(hashes, of_hashes))
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
-    """Adds the column ``_counts``, a struct of every count that the rules name."""
+def counts_of() -> Column:
+    """A struct of every count that the rules name, as one expression.
+
+    One expression, because a filter on it is pushed below the projections, and what it names more
+    than once would then be computed more than once.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     stop = [form for word in dict.fromkeys(STOP_WORDS) for form in (word, word.capitalize())]
     of_words = lambda w: F.struct(F.size(w).alias("n"), F.size(F.filter(w, lambda x: x.isin(*stop))).alias("stop"), _repeat_words(w).alias("repeat"))
@@ -95,28 +99,36 @@ def with_counts(docs: DataFrame) -> DataFrame:
         F.size(F.filter(lines, lambda x: x.endswith("...") | x.endswith("…"))).alias("ellipsis"),
         F.size(F.filter(lines, lambda x: x.rlike("^[ \t]*[-*•]"))).alias("bullet"),
     )
-    counted = docs.withColumn("_w", let(words_of(F.col("text")), of_words)).withColumn("_l", let(worded, of_lines))
-    counts = {
-        "n_words": F.col("_w.n"),
-        "word_chars": F.char_length(text) - _count(text, r"[\x20\x09-\x0D]"),
-        "n_symbols": _count(text, _SYMBOLS),
-        "n_marks": _count(text, "[!?]"),
-        "n_upper": _count(text, r"\p{Lu}"),
-        "n_stop_words": F.col("_w.stop"),
-        "n_repeat_words": F.col("_w.repeat"),
-        "n_lines": F.col("_l.n"),
-        "n_dup_lines": F.col("_l.dup"),
-        "n_ellipsis_lines": F.col("_l.ellipsis"),
-        "n_bullet_lines": F.col("_l.bullet"),
-    }
-    return counted.withColumn("_counts", F.struct(*[c.cast("long").alias(n) for n, c in counts.items()])).drop("_w", "_l")
-
-
-def compile_rules(rules: tuple[Rule, ...] = RULES, counts: str = "_counts") -> Column:
-    """The names of the rules that a row breaks, as an array."""
+
+    def counts(w: Column, lines: Column) -> Column:
+        named = {
+            "n_words": w["n"],
+            "word_chars": F.char_length(text) - _count(text, r"[\x20\x09-\x0D]"),
+            "n_symbols": _count(text, _SYMBOLS),
+            "n_marks": _count(text, "[!?]"),
+            "n_upper": _count(text, r"\p{Lu}"),
+            "n_stop_words": w["stop"],
+            "n_repeat_words": w["repeat"],
+            "n_lines": lines["n"],
+            "n_dup_lines": lines["dup"],
+            "n_ellipsis_lines": lines["ellipsis"],
+            "n_bullet_lines": lines["bullet"],
+        }
+        return F.struct(*[c.cast("long").alias(n) for n, c in named.items()])
+
+    return let(let(words_of(F.col("text")), of_words), lambda w: let(let(worded, of_lines), lambda lines: counts(w, lines)))
+
+
+def with_counts(docs: DataFrame) -> DataFrame:
+    """Adds the column ``_counts``, a struct of every count that the rules name."""
+    return docs.withColumn("_counts", counts_of())
+
+
+def compile_rules(counts: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The names of the rules that a row with these counts breaks, as an array."""
     broken = []
     for rule in rules:
-        scaled, base = F.col(f"{counts}.{rule.numerator}") * 100, F.col(f"{counts}.{rule.denominator}")
+        scaled, base = counts[rule.numerator] * 100, counts[rule.denominator]
         tests = [scaled < base * rule.low] if rule.low is not None else []
         tests += [scaled > base * rule.high] if rule.high is not None else []
         test = tests[0] if len(tests) == 1 else tests[0] | tests[1]
@@ -124,21 +136,25 @@ def compile_rules(rules: tuple[Rule, ...] = RULES, counts: str = "_counts") -> C
     return F.array_compact(F.array(*broken))
 
 
+def verdict_of(counts: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A struct of the counts, the broken rules, base_failed and kept."""
+    failed = (counts["n_words"] < MIN_WORDS) | (counts["n_repeat_words"] * 100 > counts["n_words"] * MAX_REPEAT_PERCENT)
+    broken = compile_rules(counts, rules)
+    return F.struct(counts.alias("counts"), broken.alias("broken"), failed.alias("base_failed"), (~failed & (F.size(broken) == 0)).alias("kept"))
+
+
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Every row and column of ``docs`` plus ``_counts``, ``_broken`` (rule names), ``_base_failed`` and ``_kept``.
+    """Every row and column of ``docs`` plus ``_verdict``: counts, broken (rule names), base_failed and kept.
 
     A null or wordless text has counts of zero, fails the base and breaks no ratio rule. Rows are
     judged one by one, so ties, repeated rows and null ids change nothing; an empty table stays so.
     """
-    judged = with_counts(docs).withColumn("_broken", compile_rules(rules))
-    n = F.col("_counts.n_words")
-    failed = (n < MIN_WORDS) | (F.col("_counts.n_repeat_words") * 100 > n * MAX_REPEAT_PERCENT)
-    return judged.withColumn("_base_failed", failed).withColumn("_kept", ~F.col("_base_failed") & (F.size("_broken") == 0))
+    return docs.withColumn("_verdict", let(counts_of(), lambda c: verdict_of(c, rules)))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass the base and every rule, with the columns of ``docs``."""
-    return judge(docs).where("_kept").select(*docs.columns)
+    return judge(docs).where("_verdict.kept").select(*docs.columns)
 
 
 def oracle(table: str = "documents") -> str:

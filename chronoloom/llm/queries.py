@@ -18,8 +18,8 @@ def op1_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_table(spark, sf_dir, "documents"))
-    counts = [F.col(f"_counts.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return judged.select("doc_id", *counts, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+    counts = [F.col(f"_verdict.counts.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged.select("doc_id", *counts, F.col("_verdict.base_failed").alias("base_failed"), F.col("_verdict.kept").alias("kept"))
 
 
 def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

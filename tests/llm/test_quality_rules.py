@@ -42,14 +42,14 @@ def test_counts_and_verdicts(docs):
     assert set(got) == set(TEXTS)
     for k, text in TEXTS.items():
         words = (text or "").split()
-        assert got[k]._counts.n_words == len(words)
-        assert got[k]._counts.word_chars == sum(map(len, words))
+        assert got[k]._verdict.counts.n_words == len(words)
+        assert got[k]._verdict.counts.word_chars == sum(map(len, words))
         if len(words) < 1000:
-            assert got[k]._counts.n_repeat_words == plain_repeat(words), k
-    assert {k for k in got if got[k]._kept} == {5, 11}
-    assert got[7]._broken == ["symbols_per_word", "stop_word_share"]
-    assert got[9]._broken == ["upper_share"] or "upper_share" in got[9]._broken
-    assert all(got[k]._base_failed for k in (1, 2, 3, 4, 6, 12, 13))
+            assert got[k]._verdict.counts.n_repeat_words == plain_repeat(words), k
+    assert {k for k in got if got[k]._verdict.kept} == {5, 11}
+    assert got[7]._verdict.broken == ["symbols_per_word", "stop_word_share"]
+    assert got[9]._verdict.broken == ["upper_share"] or "upper_share" in got[9]._verdict.broken
+    assert all(got[k]._verdict.base_failed for k in (1, 2, 3, 4, 6, 12, 13))
 
 
 def test_rows_and_columns_stay(docs):
@@ -70,5 +70,5 @@ def test_oracle_agrees(docs):
     documents = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text").toPandas()  # noqa: F841
     want = {r[0]: r[1:] for r in con.sql(qr.oracle("documents")).fetchall()}
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = qr.judge(docs.where("doc_id is not null")).select("doc_id", *[F.col(f"_counts.{n}") for n in names], "_base_failed", "_kept").collect()
+    rows = qr.judge(docs.where("doc_id is not null")).select("doc_id", *[F.col(f"_verdict.counts.{n}") for n in names], "_verdict.base_failed", "_verdict.kept").collect()
     assert {r[0]: tuple(r[1:]) for r in rows} == want

@@ -194,6 +194,8 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
     per_print = prints.join(named, F.col("fp") == F.col("linked_fp"), "left").select(
         F.col("fp").alias("print"), F.when(F.col("linked_fp").isNull(), F.col("first_doc")).otherwise(F.col("least_doc")).alias("component_id")
     )
+    # A table of its own makes both sides of the join plain exchanges, so many copies of one text can be split.
+    per_print = write_table(per_print, "print-components")
     return own.join(per_print, F.col("fp") == F.col("print")).select("doc_id", "fp", "component_id")
 
 

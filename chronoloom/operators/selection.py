@@ -22,14 +22,14 @@ def relative_position(evidence: Column, start: Column, end: Column) -> Column:
     return F.when(span != 0, F.greatest(F.least(F.datediff(evidence, start) / span, F.lit(1.0)), F.lit(0.0)))
 
 
-def positioned(pairs: DataFrame) -> DataFrame:
+def positioned(pairs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Pairs whose evidence lies within their window, with relative_position.
 
-    Rows with an error, an unparseable or missing evidence date, or a window without duration go.
+    ``keep`` names further columns to keep. Rows with an error, an unparseable or missing evidence date, or a window without duration go.
     """
     known = pairs.where("error IS NULL AND evidence IS NOT NULL AND datediff(end_date, start_date) <> 0")
     inside = known.where(F.col("evidence").between(F.col("start_date"), F.col("end_date")))
-    return inside.withColumn("relative_position", relative_position(F.col("evidence"), F.col("start_date"), F.col("end_date"))).select(*PAIR)
+    return inside.withColumn("relative_position", relative_position(F.col("evidence"), F.col("start_date"), F.col("end_date"))).select(*(keep or []), *PAIR)
 
 
 def _same_row(names: list[str]) -> Column:

@@ -33,6 +33,8 @@ from chronoloom.llm.common import scratch_path, write_table
 MIN_REVISIT = 1000
 #: Bytes of a range that one reading task owns.
 SPLIT_BYTES = 8 << 20
+#: Reading tasks at most; beyond that a task takes several ranges.
+MAX_TASKS = 50_000
 #: Bytes read at a time past a range, and to look at a candidate's header.
 CHUNK = 1 << 16
 #: A header longer than this is none.
@@ -236,7 +238,9 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) ->
     split = F.lit(split_bytes).cast("long")
     count = F.greatest(F.ceil(F.col("length") / split), F.lit(1)).cast("int")
     ranges = files.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0), count - 1)).alias("i")).select("path", (F.col("i") * split).alias("start"), F.least((F.col("i") + 1) * split, F.col("length")).alias("stop"))
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(_read_batches, "page_id long, url string, record_type string, refers_to long, payload_bytes long, digest string, payload binary")
+    # A number that adaptive execution leaves alone: rows this small would all be put in one task.
+    tasks = max(1, min(ranges.count(), MAX_TASKS))
+    return ranges.repartition(tasks).mapInArrow(_read_batches, "page_id long, url string, record_type string, refers_to long, payload_bytes long, digest string, payload binary")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

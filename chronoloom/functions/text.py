@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The patterns under which generated text states pairs of instruction and response.
+#: The patterns under which generated text states pairs, and the groups of instruction and response.
 PAIR_PATTERNS = (
-    r"\*{0,2}Instruction:?\*{0,2}:?\s*(.*?)\s*\*{0,2}Response:?\*{0,2}:?\s*(.*?)(?=\n\s*\*{0,2}Instruction|\z)",
-    r"\*{0,2}Question:?\*{0,2}:?\s*(.*?)\s*\*{0,2}Answer:?\*{0,2}:?\s*(.*?)(?=\n\s*\*{0,2}Question|\z)",
-    r"<instruction>(.*?)</instruction>\s*<response>(.*?)</response>",
-    r"(?m:^)\s*\d+[.)]\s*Q:\s*(.*?)\n\s*A:\s*(.*?)(?=\n\s*\d+[.)]\s*Q:|\z)",
-)
+    (r"(?:^|\n)(?:[Pp]air \d+[:.]?\s*)?(?:\d+\.?\s*)?[Ii]nstruction:?\s*(.*?)\n+\s*[Rr]esponse:?\s*(.*?)(?=\n(?:[Pp]air \d+[:.]?\s*)?(?:\d+\.?\s*)?[Ii]nstruction|$)", 1, 2),
+    (r"(?:^|\n)(?:[Pp]air \d+[:.]?\s*)?(?:\*\*)?[Ii]nstruction ?\d*:?(?:\*\*)?\s*(.*?)\n+\s*(?:\*\*)?[Rr]esponse(?: \d*)?:?(?:\*\*)?\s*(.*?)(?=\n(?:[Pp]air \d+[:.]?\s*)?(?:\*\*)?[Ii]nstruction|$)", 1, 2),
+    (r"(?:^|\n)(?:[Pp]air \d+[:.]?\s*)?(?:\d+\.?\s*)?[Qq]uestion:?\s*(.*?)\n+\s*[Aa]nswer:?\s*(.*?)(?=\n(?:[Pp]air \d+[:.]?\s*)?(?:\d+\.?\s*)?[Qq]uestion|$)", 1, 2),
+    (r"(?:^|\n)(?:\*\*)?(\d+)\.?\s*[Ii]nstruction:?(?:\*\*)?\s*(.*?)\n+\s*(?:\*\*)?[Rr]esponse(?: \1)?:?(?:\*\*)?\s*(.*?)(?=\n(?:\*\*)?(?:\d+)\.?\s*[Ii]nstruction|$)", 2, 3),
+)
 
 
 def tokens(text: Column) -> Column:
@@ -42,17 +42,17 @@ def plain(text: Column) -> Column:
     return strip(F.replace(text, F.lit("*"), F.lit("")))
 
 
-def parse_pairs(text: Column, patterns: tuple[str, ...] = PAIR_PATTERNS) -> Column:
+def parse_pairs(text: Column, patterns: tuple = PAIR_PATTERNS) -> Column:
     """Distinct (instruction, response) structs of every pattern in turn, in order of appearance.
 
     Pairs with an empty side are dropped; a null or unmatched text gives an empty array.
     """
     cleaned = unix_newlines(without_safety_block(F.coalesce(text, F.lit(""))))
     found = []
-    for pattern in patterns:
-        flagged = F.lit("(?sid)" + pattern)
-        sides = F.arrays_zip(F.regexp_extract_all(cleaned, flagged, F.lit(1)).alias("q"), F.regexp_extract_all(cleaned, flagged, F.lit(2)).alias("a"))
-        found.append(F.transform(sides, lambda p: F.struct(plain(p["0"]).alias("instruction"), plain(p["1"]).alias("response"))))
+    for pattern, instruction, response in patterns:
+        flagged = F.lit("(?sid)" + pattern)  # d: $ and . know no line end but \n
+        sides = F.arrays_zip(F.regexp_extract_all(cleaned, flagged, F.lit(instruction)).alias("q"), F.regexp_extract_all(cleaned, flagged, F.lit(response)).alias("a"))
+        found.append(F.transform(sides, lambda p: F.struct(plain(p["q"]).alias("instruction"), plain(p["a"]).alias("response"))))
     return F.array_distinct(F.filter(F.concat(*found), lambda p: (F.length(p["instruction"]) > 0) & (F.length(p["response"]) > 0)))
 
 

@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from chronoloom.functions.text import dynamic_compare
 
@@ -126,7 +127,7 @@ def _without(source: str | None, tag: re.Pattern, promote: bool) -> str | None:
 def remove_nodes(text: Column, tag_pattern: str, promote_children: bool = False) -> Column:
     """XML without the nodes whose tag begins with the pattern; their children may move to the end of the parent. Null if malformed."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def removed(texts: pd.Series) -> pd.Series:
         pattern = re.compile(tag_pattern, re.I)
         return texts.map(lambda t: _without(t, pattern, promote_children))
@@ -134,7 +135,7 @@ def remove_nodes(text: Column, tag_pattern: str, promote_children: bool = False)
     return removed(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def pretty_xml(texts: pd.Series) -> pd.Series:
     """Indented XML without a declaration; null if malformed."""
 

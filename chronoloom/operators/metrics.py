@@ -3,34 +3,34 @@
 from __future__ import annotations
 
 from collections import Counter
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from chronoloom.functions.text import tokens
 
 
-def _grams(words: Column, n: int) -> Column:
-    last = F.size(words) - n
-    return F.when(last < 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, n), " ")))
-
-
 def _common(a: Column, b: Column) -> Column:
     """Elements that two arrays share, each as often as in the one that has it less often."""
     times = lambda x, g: F.size(F.filter(x, lambda y: y == g))
     return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, g: acc + F.least(times(a, g), times(b, g)))
 
 
-def google_bleu(reference: Column, candidate: Column, most: int = 4) -> Column:
+def bleu_score(reference: list[str], candidate: list[str], most: int = 4) -> float:
     """The lesser of precision and recall over the 1- to 4-grams; 0 if either text has no word."""
-    r, c = tokens(reference), tokens(candidate)
-    grams = [(_grams(r, n), _grams(c, n)) for n in range(1, most + 1)]
-    plus = lambda parts: reduce(lambda a, b: a + b, parts)
-    matched = plus([_common(a, b) for a, b in grams])
-    total = F.greatest(plus([F.size(a) for a, _ in grams]), plus([F.size(b) for _, b in grams]))
-    return F.when((F.size(r) == 0) | (F.size(c) == 0), F.lit(0.0)).otherwise(matched / total)
+    if not reference or not candidate:
+        return 0.0
+    grams = lambda w: Counter(tuple(w[i : i + n]) for n in range(1, most + 1) for i in range(len(w) - n + 1))
+    r, c = grams(reference), grams(candidate)
+    return sum((r & c).values()) / max(r.total(), c.total())
+
+
+@F.pandas_udf(DoubleType())
+def google_bleu(reference: pd.Series, candidate: pd.Series) -> pd.Series:
+    """``bleu_score`` of whitespace tokens. Counting n-grams in arrays of columns would be quadratic."""
+    return pd.Series([bleu_score((r or "").split(), (c or "").split()) for r, c in zip(reference, candidate)])
 
 
 def longest_common(a: Column, b: Column) -> Column:
@@ -70,7 +70,7 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rouge_l_long(reference: pd.Series, candidate: pd.Series) -> pd.Series:
     """``rouge_l`` for long texts: bit-parallel instead of a quadratic array fold."""
     out = []
@@ -115,7 +115,7 @@ def chrf_score(reference: str, candidate: str) -> float:
     return 100.0 * total / orders if orders else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chrf(reference: pd.Series, candidate: pd.Series) -> pd.Series:
     return pd.Series([chrf_score(r or "", c or "") for r, c in zip(reference, candidate)])
 

@@ -276,10 +276,16 @@ def fit(texts: list[str], rounds: int = 2000, penalty: float = 1e-4) -> Weights
 
 
 def sample_texts(docs: DataFrame) -> list[str]:
-    """At most SAMPLE_ROWS texts with a likely address or number, the first by a hash of the text."""
+    """The texts of at most SAMPLE_ROWS distinct hashes, the least ones, that hold a likely address or number.
+
+    The hashes are chosen first, so that no task gathers texts of the whole corpus.
+    """
     likely = F.col("text").rlike(r"@[A-Za-z0-9-]+\.|\+[0-9]|[0-9]\.[0-9]+\.[0-9]|[0-9]{12}")
-    chosen = docs.where((F.length("text") <= SAMPLE_CHARS) & likely).select("text").orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS)
-    return sorted({r.text for r in chosen.toLocalIterator()})
+    able = docs.where((F.length("text") <= SAMPLE_CHARS) & likely).select("text", F.xxhash64("text").alias("h"))
+    # At most SAMPLE_ROWS longs.
+    least = able.select("h").distinct().orderBy("h").limit(SAMPLE_ROWS)
+    chosen = able.join(F.broadcast(least), "h", "left_semi").select("text").distinct()
+    return sorted(r.text for r in chosen.toLocalIterator())
 
 
 def find_personal_data(docs: DataFrame, weights: Weights | None = None, fitted: bool = True) -> DataFrame:

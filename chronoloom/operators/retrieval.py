@@ -22,12 +22,15 @@ def bm25(corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str
     """
     sized = corpus.select(group, doc, tokens(F.col("text")).alias("_t")).withColumn("n_tokens", F.size("_t").cast("long"))
     sizes = sized.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.avg("n_tokens").alias("_mean"))
-    tf = sized.select(group, doc, "n_tokens", F.explode("_t").alias("term")).groupBy(group, doc, "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy(group, "term").agg(F.count(F.lit(1)).alias("_df")).join(sizes.select(group, "_n"), group)
+    asked = queries.select(query, group, F.explode(tokens(F.col("text"))).alias("term"))
+    # Term frequencies are needed for the queries' terms only, document frequencies for all.
+    used = sized.select(group, doc, "n_tokens", F.explode("_t").alias("term")).join(asked.select(group, "term").distinct(), [group, "term"], "left_semi")
+    tf = used.groupBy(group, doc, "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
+    once = sized.select(group, F.explode(F.array_distinct("_t")).alias("term"))
+    df = once.groupBy(group, "term").agg(F.count(F.lit(1)).alias("_df")).join(sizes.select(group, "_n"), group)
     raw = df.withColumn("_idf", F.log(F.col("_n") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5))
     floor = raw.groupBy(group).agg((F.avg("_idf") * EPSILON).alias("_floor"))
     idf = raw.join(floor, group).select(group, "term", F.when(F.col("_idf") < 0, F.col("_floor")).otherwise(F.col("_idf")).alias("idf"))
-    asked = queries.select(query, group, F.explode(tokens(F.col("text"))).alias("term"))
     weighed = asked.join(idf, [group, "term"])
     norm = F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("_mean"))
     hits = weighed.join(tf, [group, "term"]).join(sizes, group).groupBy(query, group, doc).agg(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score"))

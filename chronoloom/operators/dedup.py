@@ -49,13 +49,13 @@ def rejects(rows: DataFrame, reference: DataFrame, key: str) -> DataFrame:
 
 def instruction_ids(responses: DataFrame, person: str = "person_id", items: str = "response_data") -> DataFrame:
     """(person, position, instruction_id, item): an id for each item from a base per person and its place."""
-    base = F.pmod(F.xxhash64(F.col(person).cast("string")), F.lit(8_000_000)) + 1_000_000
+    base = F.conv(F.substring(F.md5(F.col(person).cast("string")), 1, 8), 16, 10).cast("long") % 8_000_000 + 1_000_000
     return responses.select(person, base.alias("_base"), F.posexplode(items).alias("position", "item")).select(person, "position", (F.col("_base") + F.col("position")).alias("instruction_id"), "item")
 
 
 def valid_pairs(items: Column) -> Column:
     """The items that have both an instruction and a response; none from a null array."""
-    return F.coalesce(F.filter(items, lambda x: x["instruction"].isNotNull() & x["response"].isNotNull()), F.slice(items, 1, 0))
+    return F.coalesce(F.filter(items, lambda x: x["instruction"].isNotNull() & x["response"].isNotNull()), F.array())
 
 
 def reference_rows(responses: DataFrame) -> DataFrame:

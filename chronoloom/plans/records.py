@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from chronoloom.functions import text as tx
 from chronoloom.functions.binning import half_open_bin
 from chronoloom.functions.order import shuffle_sql
-from chronoloom.operators import calls, judge, markup, retrieval, training
-from chronoloom.plans.tables import QA_SQL, qa_pairs, table
+from chronoloom.operators import calls, compose, dedup, judge, markup, retrieval, selection, training
+from chronoloom.plans.tables import FACTS_SQL, QA_SQL, qa_pairs, table
+from chronoloom.plans.temporal import _facts
 
 TEMPLATE = "Context: {context} Question: {question} (100% of it)"
 
@@ -158,6 +159,37 @@ def held_out_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.dataset_part(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "validation")
 
 
+def instruction_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = selection.nested_by_window(_facts(spark, sf_dir))
+    return dedup.instruction_ids(nested).select("person_id", "instruction_id", F.col("position").cast("long").alias("position"), "item.instruction", "item.evidence")
+
+
+def reference_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = "transform(response_data, p -> named_struct('instruction', p.instruction, 'response', p.response, 'evidence', p.evidence, 'error', CAST(NULL AS STRING)))"
+    nested = selection.nested_by_window(_facts(spark, sf_dir)).withColumn("response_data", F.expr(data))
+    return dedup.reference_rows(nested).select("instruction_id", "filename", "question", "clinician_response", "evidence", "annotator_num")
+
+
+def _instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _timelines(spark, sf_dir).select("person_id")
+    return asked.select(F.col("person_id").alias("instruction_id"), "person_id", F.concat(F.lit("type=\"purchase\">seen &amp; person "), F.col("person_id").cast("string")).alias("instruction"))
+
+
+def rag_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = compose.pack_prompts(_instructions(spark, sf_dir), _timelines(spark, sf_dir), "{ehr} {question}", 400, retrieve=True)
+    return made.select("instruction_id", F.md5("prompt").alias("prompt"))
+
+
+def packed_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = compose.pack_prompts(_instructions(spark, sf_dir), _timelines(spark, sf_dir), "{ehr} {question}", 400)
+    return made.select("instruction_id", tx.token_count(F.col("prompt")).cast("long").alias("tokens"), F.element_at(tx.tokens(F.col("prompt")), -1).alias("last"))
+
+
+def evaluation_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = compose.evaluation_windows(_timelines(spark, sf_dir), 120, "{ehr}")
+    return made.select("person_id", "visits", "tokens", F.col("start_date").cast("string").alias("start_date"), F.col("end_date").cast("string").alias("end_date"), F.regexp_count("prompt", F.lit("<visit")).cast("long").alias("in_prompt"))
+
+
 def value_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = F.col("l_discount") * 10
     return table(spark, sf_dir, "lineitem").groupBy(half_open_bin(share).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -166,6 +198,7 @@ def value_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     parse_pairs, sanitized_text, prompt_fill, guarded_prompts, visit_dates, evidence_dates, nested_scores, visits_from_markup, notes_only, codes_only, attribute_filter, first_two_visits,
     removed_nodes, promoted_children, stub_generation, masked_labels, training_examples, learning_rates, epoch_figures, call_throughput, held_out_part, value_bins,
+    instruction_ids, reference_answers, rag_prompts, packed_prompts, evaluation_windows,
 )}
 
 _CLEAN = "trim(regexp_replace(coalesce({}, ''), '[^A-Za-z0-9 ]+', ' ', 'g'))"
@@ -174,6 +207,10 @@ _FILLED = "'Context: ' || coalesce(response, '') || ' Question: ' || coalesce(in
 _VISITS = """WITH e AS (SELECT event_id, user_id AS person_id, CAST(ts AS DATE) AS day, event_type, CAST(floor(coalesce(value, 0)) AS BIGINT) AS v, event_id % 3 = 0 AS note FROM events)"""
 _IDS = r"[CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 32000 for t in regexp_extract_all(coalesce({}, ''), '[^ \t\n\x0B\f\r]+')]"
 
+_IDS_SQL = f"""WITH {FACTS_SQL}, d AS (SELECT person_id, instruction, response, strftime(evidence, '%m/%d/%Y') AS evidence FROM facts),
+n AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY instruction, response, evidence) - 1 AS position FROM d),
+i AS (SELECT *, CAST('0x' || substr(md5(CAST(person_id AS VARCHAR)), 1, 8) AS BIGINT) % 8000000 + 1000000 + position AS instruction_id FROM n)"""
+
 ORACLES = {
     "parse_pairs": f"{_SAID} SELECT pair_id, q AS instruction, a AS response FROM s",
     "sanitized_text": rf"""WITH {QA_SQL}, h AS (SELECT pair_id, ' *SAFETY_HAZARD ' || coalesce(instruction, '') || chr(10) || chr(10) || '**' || coalesce(response, '') || '**' || chr(13) || chr(10) || 'end ' || chr(10) AS x FROM qa),
@@ -204,5 +241,10 @@ SELECT id, CAST(2 + 2 + least(n, 64 - 4 - 2 - 2) + 2 AS BIGINT) AS length, CAST(
     "call_throughput": "SELECT count(*) AS samples, round(sum(l_quantity), 6) AS total_seconds, round(avg(l_quantity), 9) AS seconds_per_sample FROM lineitem",
     "held_out_part": f"""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY {shuffle_sql('o_orderkey', seed=42)}, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
 SELECT o_orderkey FROM o WHERE i >= floor(n * 0.8::DOUBLE) AND i < floor(n * 0.8::DOUBLE) + floor(n * 0.2::DOUBLE)""",
+    "instruction_ids": f"""{_IDS_SQL} SELECT person_id, instruction_id, position, instruction, evidence FROM i""",
+    "reference_answers": f"""{_IDS_SQL} SELECT instruction_id, 'EHR_' || person_id || '.xml' AS filename, instruction AS question, response AS clinician_response, evidence, 'Annotator_1' AS annotator_num FROM i WHERE instruction <> '' AND response <> ''""",
+    # A timeline's tokens are its blanks plus one; 400 less 256 for the answer, 2 for the template and 4 for the instruction are left.
+    "packed_prompts": f"""{_VISITS}, d AS (SELECT person_id, 1 + count(DISTINCT day) * 2 + count(*) FILTER (NOT note) * 3 + count(*) FILTER (note) * 4 AS n FROM e GROUP BY person_id)
+SELECT person_id AS instruction_id, CAST(least(n, 138) + 4 AS BIGINT) AS tokens, CAST(person_id AS VARCHAR) AS last FROM d""",
     "value_bins": "SELECT " + " + ".join(f"CAST(l_discount * 10 >= {i * 0.1!r}::DOUBLE AS INTEGER)" for i in range(1, 10)) + " AS bin, count(*) AS n FROM lineitem GROUP BY bin",
 }

@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.llm.common import write_table
+
 #: Words in a shingle, and the least similarity, as a fraction.
 SHINGLE_WORDS, SIMILARITY = 5, (4, 5)
 #: Bits in which an item's and a window's fingerprint may differ, blocks, and bits a block may differ in.
@@ -253,4 +255,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item. Rows with a null id are judged by their text too."""
     keyed = docs.withColumn("_print", F.xxhash64(F.col("doc_id"), F.col("text")))
     hits = find_contamination(keyed.select(F.col("_print").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_hit")).distinct()
+    # As a table its size is known when the join is planned: if it is small, the documents do not move.
+    hits = write_table(hits, "contaminated")
     return keyed.join(hits, F.col("_print") == F.col("_hit"), "left_anti").select(*docs.columns)

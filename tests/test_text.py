@@ -1,5 +1,3 @@
-import datetime
-import itertools
 import random
 
 import pytest

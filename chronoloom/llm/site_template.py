@@ -1,14 +1,17 @@
 """Main text of HTML pages by removal of site templates.
 
 A page is parsed into elements. The hash of an element's subtree covers its tag, its class, id and
-role, its text and its children. Spark counts on how many pages of a host each hash occurs; subtrees
-that recur across many pages of that host are template and are deleted. Markup also says what is
+role, its text and its children. Spark counts on how many different pages of a host each hash occurs;
+subtrees that recur across many pages of that host are template and are deleted. Pages whose own
+text is the same are copies of one page, and count once. Markup also says what is
 not main text: navigation, headers, footers, asides, forms, scripts, and containers classed as
 adverts, notices, comments and the like are left out even where each page's differs.
 
 What an author wrote may recur too (a shared passage, a copied page). So inside <article> or <main>
-only containers are deleted as template, never paragraphs, headings or list items, and the article
-itself never is.
+only wrappers without words of their own are deleted as template, and only if they are on half of
+the host's pages with an article and hold no more than half of its text; never paragraphs, headings,
+lists, tables, figures or spans, and the article itself never is. Nowhere is an inline element
+deleted out of a sentence.
 
 The recurring hashes are a small table. Up to ``BROADCAST_ROWS`` of them are broadcast and pages
 never move; beyond that they are joined to the pages that hold them.
@@ -29,6 +32,8 @@ from chronoloom.llm.common import write_table
 
 #: A subtree is template if it is on this many pages of its host at least, and on this share of them.
 MIN_PAGES, MIN_SHARE = 10, 0.005
+#: Inside an article, on this share of the host's pages with an article.
+INSIDE_SHARE = 0.5
 #: Recurring hashes that are broadcast at most; eight bytes each.
 BROADCAST_ROWS = 2_000_000
 
@@ -38,6 +43,8 @@ SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search al
 #: Words of a container's class or id that mark it as something else than main text.
 MARKS = frozenset("ad ads adv advert adverts advertisement adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup sidebar comment comments respond disqus share sharing social breadcrumb breadcrumbs menu nav navbar navigation pagination pager related recommended widget masthead footer".split())
 CONTAINERS = frozenset("div section aside ul ol dl table figure form fieldset details center header footer nav menu span".split())
+#: Containers that may be template inside an article; in the others stands what an author wrote.
+WRAPPERS = CONTAINERS - frozenset("ul ol dl table figure span".split())
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol option p pre section summary table caption tbody thead tfoot tr td th title ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,6 +59,9 @@ _TAG = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s/"'])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _MARK = re.compile(r"[a-z]+")
+_WORD = re.compile(r"\w")
+#: Tells subtrees inside an article from equal ones outside, as they are counted apart.
+_INSIDE = 0x9E3779B97F4A7C15
 
 
 class Page:
@@ -195,17 +205,50 @@ class Page:
             return True
         return tag in CONTAINERS and bool(own) and not MARKS.isdisjoint(_MARK.findall(f"{own.get('class', '')} {own.get('id', '')}"))
 
-    def deletable(self, i: int, inside: bool) -> bool:
-        """Whether element i may be deleted as template."""
-        return self.tags[i] not in KEPT and self.tags[i] not in VOID and (not inside or self.tags[i] in CONTAINERS)
+    def deletable(self, inside: list[bool]) -> list[bool]:
+        """Whether each element may be deleted as template."""
+        n = len(self.tags)
+        worded, sizes = [False] * n, [0] * n
+        for i in range(n - 1, -1, -1):  # children come after their parent
+            for part in self.parts[i]:
+                if isinstance(part, int):
+                    sizes[i] += sizes[part]
+                else:
+                    sizes[i] += len(part)
+                    worded[i] = worded[i] or _WORD.search(part) is not None
+        found: list[bool] = []
+        in_sentence, article = [False] * n, [-1] * n  # article: the outermost <article> or <main> around it
+        for i, tag in enumerate(self.tags):
+            up = self.parents[i]
+            if up >= 0:
+                in_sentence[i] = tag not in BLOCKS and (worded[up] or in_sentence[up])
+                article[i] = article[up]
+            if article[i] < 0 and inside[i]:
+                article[i] = i
+            if inside[i]:
+                found.append(tag in WRAPPERS and not worded[i] and 2 * sizes[i] <= sizes[article[i]])
+            else:
+                found.append(tag not in KEPT and tag not in VOID and not in_sentence[i])
+        return found
+
+    def _counted(self, inside: list[bool]) -> list[int]:
+        """The hashes that recurrence is told by."""
+        return [h ^ _INSIDE if within else h for h, within in zip(self.hashes(), inside)]
+
+    def template_hashes(self) -> dict[int, bool]:
+        """The hash of each subtree that may be template, and whether it is inside an article."""
+        inside = self.inside_main()
+        hashes, deletable = self._counted(inside), self.deletable(inside)
+        return {hashes[i]: inside[i] for i in range(len(self.tags)) if self.tags[i] not in RAW and self.parts[i] and deletable[i]}
 
-    def template_hashes(self) -> set[int]:
-        inside, hashes = self.inside_main(), self.hashes()
-        return {hashes[i] for i in range(len(self.tags)) if self.tags[i] not in RAW and self.parts[i] and self.deletable(i, inside[i])}
+    def copy_of(self) -> int:
+        """A hash of the text before any template is deleted: copies of a page share it, whatever markup is around."""
+        return xxhash.xxh3_64_intdigest(self.main_text(frozenset()).encode("utf-8", "surrogatepass"))
 
     def main_text(self, recurring) -> str:
         """The text of the blocks that are left without elements whose hash is in ``recurring``."""
-        inside, hashes = self.inside_main(), self.hashes()
+        inside = self.inside_main()
+        hashes, deletable = (self._counted(inside), self.deletable(inside)) if recurring else ([], [])
         scoped = any(tag in ("article", "main") for tag in self.tags)
         blocks, current, skipping = [], [], 0
 
@@ -223,7 +266,7 @@ class Page:
             i = event if event >= 0 else ~event
             depth_inside = inside[i] if event >= 0 else (self.parents[i] >= 0 and inside[self.parents[i]])
             if event >= 0:
-                if skipping or self.marked(i, inside[i]) or (hashes[i] in recurring and self.deletable(i, inside[i])):
+                if skipping or self.marked(i, inside[i]) or (recurring and deletable[i] and hashes[i] in recurring):
                     skipping += 1
             if self.tags[i] in BLOCKS:
                 flush()
@@ -245,14 +288,17 @@ def _signed(h: int) -> int:
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"host": pa.int64(), "page": pa.int64(), "copy": pa.int64(), "subtree": pa.int64(), "inside": pa.bool_()}
     for batch in batches:
-        hosts, pages, found = [], [], []
-        for host, page, source in zip(*[batch.column(i) for i in range(3)]):
-            own = Page(source.as_py() or "").template_hashes()
-            hosts += [host.as_py()] * len(own)
-            pages += [page.as_py()] * len(own)
-            found += map(_signed, own)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(pages, pa.int64()), pa.array(found, pa.int64())], names=["host", "page", "subtree"])
+        rows: list[tuple] = []
+        for host, page, source in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            parsed = Page(source or "")
+            copy = _signed(parsed.copy_of())
+            # Without a subtree: the page itself, for the numbers of the host's pages and of those with an article.
+            rows += [(host, page, copy, None, within) for within in {False, any(parsed.inside_main())}]
+            rows += [(host, page, copy, _signed(h), within) for h, within in parsed.template_hashes().items()]
+        columns = zip(*rows) if rows else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds.values())], names=list(kinds))
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
@@ -262,11 +308,14 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 
 def recurring_subtrees(keyed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> tuple[DataFrame, DataFrame]:
-    """(recurring, occurrences): (host, subtree) on many pages of a host; and (host, page, subtree) of all."""
-    occurrences = keyed.select("host", "page", "html").mapInArrow(_subtrees, "host long, page long, subtree long")
-    counted = occurrences.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    sizes = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return counted.join(sizes, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "subtree"), occurrences
+    """(recurring, occurrences): (host, subtree) on many different pages of a host; and (host, page, subtree) of all."""
+    occurrences = keyed.select("host", "page", "html").mapInArrow(_subtrees, "host long, page long, copy long, subtree long, inside boolean")
+    different = occurrences.select("host", "subtree", "inside", "copy").distinct().groupBy("host", "subtree", "inside").agg(F.count(F.lit(1)).alias("n"))
+    counted = write_table(different.where((F.col("n") >= min_pages) | F.col("subtree").isNull()), "counted-subtrees")
+    sizes = counted.where("subtree IS NULL").select("host", "inside", F.col("n").alias("pages"))
+    share = F.when(F.col("inside"), F.lit(max(min_share, INSIDE_SHARE))).otherwise(F.lit(min_share))
+    recurring = counted.where("subtree IS NOT NULL").join(sizes, ["host", "inside"]).where(F.col("n") >= F.col("pages") * share)
+    return recurring.select("host", "subtree"), occurrences.where("subtree IS NOT NULL").select("host", "page", "subtree")
 
 
 def _texts(recurring_of):
@@ -307,8 +356,8 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
     Blocks are joined by newlines, white space inside a block is one space, character references
     are decoded. A null or empty html gives an empty text. Pages without a host in their URL (null
-    included) share one. Repeated rows count as pages of their own and are all returned; null ids
-    are kept. Other columns are not looked at; an empty table gives an empty result. Work is linear
+    included) share one. Repeated rows and copies of a page count once and are all returned; null
+    ids are kept. Other columns are not looked at; an empty table gives an empty result. Work is linear
     in a page's length, and depth is not limited (nothing recurses).
     """
     keyed = _keyed(pages)

@@ -81,3 +81,26 @@ def test_repeats_nulls_and_empty(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert sorted((str(r.page_id), r.text) for r in stp.main_text(pages).collect()) == [("1", "same")] * 3 + [("None", "y")]
     assert stp.main_text(pages.limit(0)).count() == 0
+
+
+def texts_of(spark, rows):
+    pages = spark.createDataFrame([(i, f"https://x.example/{i}", h) for i, h in enumerate(rows)], "page_id long, url string, html string")
+    return [r.text for r in stp.main_text(pages).orderBy("page_id").collect()]
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    bare = "<body><h1>Title</h1><div><p>one</p><p>two</p></div></body>"
+    copied = "<article><h1>T</h1><div><p>body</p></div><ul><li>a</li></ul><table><tr><td>cell</td></tr></table></article>"
+    own = [f"<body><div><p>own text {i}</p></div></body>" for i in range(5)]
+    found = texts_of(spark, [bare] * 12 + own + [f"<nav>at {i}</nav><div class='c{i}'>{copied}</div>" for i in range(12)])
+    assert found[:17] == ["Title\none\ntwo"] * 12 + [f"own text {i}" for i in range(5)]
+    assert found[17:] == ["T\nbody\na\ncell"] * 12
+
+
+def test_what_recurs_inside_sentences_and_articles_stays(spark):
+    rows = [f"<article><p>Page {i} names <span>Acme</span> here</p><div><p>{'shared words ' * 4}</p></div><ul><li>same</li></ul><div>said {'alike'}</div></article>" for i in range(12)]
+    rows += [f"<p>Bare {i} has <b>bold</b> words</p>" for i in range(12)]
+    rows += [f"<article><p>{'another text ' * 9} {i}</p></article>" for i in range(20)]
+    found = texts_of(spark, rows)
+    assert found[:12] == [f"Page {i} names Acme here\n{('shared words ' * 4).strip()}\nsame\nsaid alike" for i in range(12)]
+    assert found[12:24] == [f"Bare {i} has bold words" for i in range(12)]

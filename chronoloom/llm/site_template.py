@@ -13,6 +13,9 @@ the host's pages with an article and hold no more than half of its text; never p
 lists, tables, figures or spans, and the article itself never is. Nowhere is an inline element
 deleted out of a sentence.
 
+A page with exactly one outermost <article> or <main> says where its text is: what stands outside
+goes. On pages with none or several (teasers, comments), the rules above decide everywhere.
+
 The recurring hashes are a small table. Up to ``BROADCAST_ROWS`` of them are broadcast and pages
 never move; beyond that they are joined to the pages that hold them.
 """
@@ -198,6 +201,15 @@ class Page:
             inside.append(tag in ("article", "main") or (self.parents[i] >= 0 and inside[self.parents[i]]))
         return inside
 
+    def scoped(self, inside: list[bool]) -> bool:
+        """Whether there is exactly one outermost <article> or <main>, those in marked elements aside."""
+        skipped: list[bool] = []
+        count = 0
+        for i, up in enumerate(self.parents):
+            skipped.append((up >= 0 and skipped[up]) or self.marked(i, inside[i]))
+            count += inside[i] and not (up >= 0 and inside[up]) and not skipped[i]
+        return count == 1
+
     def marked(self, i: int, inside: bool) -> bool:
         """Whether markup alone says that element i is not main text."""
         tag, own = self.tags[i], self.attributes[i]
@@ -249,7 +261,7 @@ class Page:
         """The text of the blocks that are left without elements whose hash is in ``recurring``."""
         inside = self.inside_main()
         hashes, deletable = (self._counted(inside), self.deletable(inside)) if recurring else ([], [])
-        scoped = any(tag in ("article", "main") for tag in self.tags)
+        scoped, depth_inside = self.scoped(inside), False
         blocks, current, skipping = [], [], 0
 
         def flush():

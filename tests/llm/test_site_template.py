@@ -104,3 +104,20 @@ def test_what_recurs_inside_sentences_and_articles_stays(spark):
     found = texts_of(spark, rows)
     assert found[:12] == [f"Page {i} names Acme here\n{('shared words ' * 4).strip()}\nsame\nsaid alike" for i in range(12)]
     assert found[12:24] == [f"Bare {i} has bold words" for i in range(12)]
+
+
+@pytest.mark.parametrize("html,want", [
+    ("<!DOCTYPE html>\n<html><body><article><p>a</p></article></body></html>", "a"),
+    ("\n\n<main><p>m</p></main>", "m"),
+    ("stray<article><p>a</p></article>", "a"),
+    ("<div><p>the body</p></div><article><p>card 1</p></article><article><p>card 2</p></article>", "the body\ncard 1\ncard 2"),
+    ("<div><p>the body</p></div><aside><article><p>card</p></article></aside>", "the body"),
+    ("<main><article><p>a</p></article><article><p>b</p></article></main><p>outside</p>", "a\nb"),
+])
+def test_only_a_single_article_is_the_scope(html, want):
+    assert text(html) == want
+
+
+def test_template_removal_decides_outside_of_several_articles(spark):
+    rows = [f"<div><p>Follow us all</p></div><div><p>body {i}</p></div><article><p>card {i}</p></article><article><p>card {i + 1}</p></article>" for i in range(12)]
+    assert texts_of(spark, rows) == [f"body {i}\ncard {i}\ncard {i + 1}" for i in range(12)]

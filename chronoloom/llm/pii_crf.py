@@ -4,8 +4,10 @@ Patterns find e-mail addresses, IP addresses, card and phone numbers. Their span
 reported. A conditional random field then labels the other tokens that hold a digit or an @ (tokens
 without either are never personal data of these kinds). Neighbouring tokens are joined in a chain;
 tokens anywhere in the document that repeat or resemble each other (the same digits, the same last
-seven digits, the same address) are joined by skip edges, each to the latest before it. Tokens
-inside a pattern's span are observed, the rest are hidden; loopy belief propagation passes messages
+seven digits, the same address) are joined by skip edges, each to the latest before it. Numbers may
+be written in groups: the digits of neighbouring tokens are read as one, and where seven or more end
+alike, the tokens that hold them are joined, however either is spaced; hidden groups of such a number
+are labelled as one token. Tokens inside a pattern's span are observed, the rest are hidden; loopy belief propagation passes messages
 until they settle. So a number that was given once in full is found again where it is shortened.
 
 The weights are fitted here, by pseudo-likelihood, on a bounded sample of documents in which the
@@ -31,6 +33,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
 ROUNDS, DAMPING, SETTLED = 30, 0.3, 1e-4
 #: A hidden token is reported if the probability of a kind is this high.
 CERTAIN = 0.8
+#: Digits in which numbers of several groups must end alike, and those that are compared at most.
+GROUPED, LONGEST = 7, 19
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -129,11 +133,85 @@ def sites_of(text: str, spans: list[tuple[str, int, int]]) -> list[Site]:
     return found
 
 
-def graph(sites: list[Site]) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (i, j), i < j, and their kind: 0 for chain, 1 for skip."""
+def _next(site: Site) -> int:
+    """The index of the token after it."""
+    return site.index + 1 + site.token.count(" ")
+
+
+def _group(token: str) -> str:
+    """The digits of a token that may be one group of a spaced number; else ''."""
+    if "." in token.strip(".,;:") or any(c.isalpha() or c == "@" for c in token):
+        return ""
+    return "".join(c for c in token if c.isdigit() and c.isascii())
+
+
+def _grouped(sites: list[Site]) -> dict[int, list[int]]:
+    """Of a token j the tokens i < j that hold the same digits of a number that ends alike in GROUPED digits or more.
+
+    A run is a number in neighbouring groups, with what may follow it. Each number is followed back
+    from the latest one before, in an earlier run if possible. Where both runs go on after the same
+    digits, they either agree further or are different numbers.
+    """
+    runs: list[list[int]] = []
+    for j, site in enumerate(sites):
+        if not _group(site.token):
+            continue
+        before = sites[j - 1] if j else None
+        if runs and runs[-1][-1] == j - 1 and _next(before) == site.index and before.label == site.label and before.token[-1] not in ".,;:":
+            runs[-1].append(j)
+        else:
+            runs.append([j])
+    found: dict[int, list[int]] = {}
+    latest: dict[str, tuple[str, list[int], int]] = {}
+    for run in runs:
+        groups = [_group(sites[j].token) for j in run]
+        digits = "".join(groups)
+        owners = [j for j, own in zip(run, groups) for _ in own]
+        here: dict[str, tuple[str, list[int], int]] = {}
+        end = 0
+        for own in groups:
+            end += len(own)
+            if end < GROUPED:
+                continue
+            key = digits[end - GROUPED : end]
+            other = latest.get(key)
+            if other and (other[2] == len(other[0]) or end == len(digits)):
+                there, whose, last = other
+            else:
+                there, whose, last = here.get(key, ("", [], 0))
+                if last > end - GROUPED:
+                    continue  # it overlaps itself
+            same: dict[int, list[int]] = {}
+            for k in range(1, min(last, end, LONGEST) + 1):
+                i, j = whose[last - k], owners[end - k]
+                if there[last - k] != digits[end - k] or i >= j:
+                    break
+                if i not in same.setdefault(j, []):
+                    same[j].append(i)
+            found |= same
+            here[key] = digits, owners, end
+        latest.update(here)
+    return found
+
+
+def with_groups_joined(sites: list[Site]) -> list[Site]:
+    """The sites, neighbouring hidden groups that hold digits of one earlier number made one site."""
+    grouped, found, last = _grouped(sites), [], None
+    for j, site in enumerate(sites):
+        if site.label is None and j in grouped and last == j - 1 and sites[last].index == site.index - 1 and sites[last].token[-1] not in ".,;:":
+            found[-1] = found[-1]._replace(end=site.end, token=f"{found[-1].token} {site.token}")
+        else:
+            found.append(site)
+        last = j if site.label is None and j in grouped else None
+    return found
+
+
+def graph(sites: list[Site], groups: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (i, j), i < j, and their kind: 0 for chain, 1 for skip (without ``groups`` between equal tokens only)."""
     edges, kinds, latest = [], [], {}
+    grouped = _grouped(sites) if groups else {}
     for j, site in enumerate(sites):
-        if j and sites[j - 1].index == site.index - 1:
+        if j and _next(sites[j - 1]) == site.index:
             edges.append((j - 1, j))
             kinds.append(0)
         linked = set()
@@ -144,6 +222,10 @@ def graph(sites: list[Site]) -> tuple[np.ndarray, np.ndarray]:
                 edges.append((i, j))
                 kinds.append(1)
             latest[key] = j
+        for i in grouped.get(j, ()):
+            if i not in linked:
+                edges.append((i, j))
+                kinds.append(1)
     return np.array(edges, np.int64).reshape(-1, 2), np.array(kinds, np.int64)
 
 
@@ -208,6 +290,7 @@ def all_spans(text: str, weights: Weights | None, base: list[tuple[str, int, int
     sites = sites_of(text, base)
     if all(s.label is not None for s in sites):
         return base
+    sites = with_groups_joined(sites)
     beliefs, added, last = propagate(weights, sites), [], None
     for site, belief in zip(sites, beliefs):
         label = int(belief.argmax())
@@ -215,11 +298,11 @@ def all_spans(text: str, weights: Weights | None, base: list[tuple[str, int, int
             last = None
             continue
         start, end = _trimmed(text, site.start, site.end)
-        if last and last[0] == label and last[1] == site.index - 1:
+        if last and last[0] == label and last[1] == site.index:
             added[-1] = (added[-1][0], added[-1][1], end)
         elif start < end:
             added.append((KINDS[label - 1], start, end))
-        last = (label, site.index)
+        last = (label, _next(site))
     return sorted({*base, *added}, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -252,7 +335,7 @@ def fit(texts: list[str], rounds: int = 2000, penalty: float = 1e-4) -> Weights
         if not spans:
             continue
         sites, labels = _example(text, spans, rng)
-        edges, kinds = graph(sites)
+        edges, kinds = graph(sites, False)  # of single tokens
         around = np.zeros((len(sites), 3, _LABELS))  # labels to the left, to the right, over skip edges
         for (i, j), kind in zip(edges, kinds):
             around[j, 2 if kind else 0, labels[i]] += 1

@@ -95,3 +95,27 @@ def test_query_columns(spark):
         assert [got[d][f"n_{k}"] for k in crf.KINDS] == [sum(s[0] == k for s in want) for k in crf.KINDS]
         assert set(crf.joined(want).split(",")) <= set(got[d].spans.split(","))
     assert crf.find_personal_data(docs.limit(0)).count() == 0
+
+
+SPACED = [("+33 6 12 34 56 78", "6 12 34 56 78"), ("+33 6 12 34 56 78", "06 12 34 56 78"), ("+33 6 12 34 56 78", "612345678"), ("+33 612345678", "6 12 34 56 78"), ("4111 1111 1111 1111", "1111 1111 1111"), ("5500 0055 5555 5559", "0055 5555 5559.")]
+
+
+@pytest.fixture(scope="module")
+def spaced_weights():
+    cards = [n for n in map(str, range(4041894974608796, 4041894974620000, 7)) if plain_luhn(n)]
+    return crf.fit([f"Call +1 ({300 + i}) 555-{2000 + 37 * i} now, card {cards[i]} or u{i}@h{i}.example.org, {i} of 17, from 10.0.{i}.7 in 1999." for i in range(60)])
+
+
+@pytest.mark.parametrize("full,repeat", SPACED)
+def test_spaced_numbers_are_found_again(spaced_weights, full, repeat):
+    text = f"Ring {full} today. Later {repeat} once more; page 12 of 34, year 1999 and 7 18 29 30 41 52."
+    (_, s, e), *more = crf.all_spans(text, spaced_weights)
+    assert text[s:e] == full and [text[s:e] for _, s, e in more] == [repeat.rstrip(".")]
+
+
+def test_groups_of_digits_link_however_they_are_spaced():
+    sites = crf.sites_of("12 34 56 78 then 1234 5678 then 9234 5678, 12 34 then 12 34 56 79", [])
+    edges, kinds = crf.graph(sites)
+    skips = {tuple(e) for e, k in zip(edges.tolist(), kinds) if k}
+    assert skips == {(0, 4), (1, 4), (2, 5), (3, 5), (4, 6), (5, 7)}
+    assert crf.graph(crf.sites_of("1 " * 1000, []))[1].sum() <= 1000

@@ -1,7 +1,9 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-Two different lines link if at most ``THRESHOLD`` edits of one character turn one into the other and
-both have ``MIN_CHARS`` characters; shorter lines are alike only if they are equal.
+Two different lines link if at most so many edits of one character turn one into the other as the
+rule ``edits`` allows for the shorter one's length, ``THRESHOLD`` at most. ``long_lines`` allows none
+below ``MIN_CHARS`` characters; ``all_lines`` allows shorter lines one for each ``CHARS_AN_EDIT``
+characters, so that no two words of a few letters are alike.
 
 Every line is cut into threshold + 1 segments. Of two lines within the threshold, one segment at
 least of the shorter occurs unchanged in the longer, not far from its place. So each line files its
@@ -20,7 +22,7 @@ segments once per task, and what joins it to its copies is a join that can be sp
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 from chronoloom.llm.common import WORD_PATTERN, write_table
 from chronoloom.llm.components import connected_components
 
-#: Edits that two linked lines may be apart, and the characters that both need for it.
+#: Edits that two linked lines may be apart, and the characters that both need for it by ``long_lines``.
 THRESHOLD, MIN_CHARS = 2, 20
+#: By ``all_lines``, a line may have one edit for so many characters.
+CHARS_AN_EDIT = 8
 #: Lines that a task remembers to have filed; forgetting one only files it again.
 MEMORY = 1 << 18
 #: Pairs compared together.
@@ -41,6 +45,14 @@ PORTION = 1 << 20
 FILTER_WORDS = 1 << 20
 
 
+def long_lines(length: int) -> int:
+    return THRESHOLD if length >= MIN_CHARS else 0
+
+
+def all_lines(length: int) -> int:
+    return min(THRESHOLD, length // CHARS_AN_EDIT)
+
+
 def segments(length: int, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
     """(start, length) of the threshold + 1 even segments of a line."""
     parts = threshold + 1
@@ -137,11 +149,19 @@ def edit_distance_within(a: str, b: str, limit: int) -> int:
     return min(distance, limit + 1)
 
 
-def _lines(text: str | None) -> Iterator[str]:
-    return (line for line in (text or "").split("\n") if len(line) >= MIN_CHARS)
+def _lines(text: str | None, edits: Callable[[int], int]) -> Iterator[str]:
+    return (line for line in (text or "").split("\n") if edits(len(line)))
+
+
+def _asked(length: int, edits: Callable[[int], int]) -> list[tuple[int, int, int, int]]:
+    """``probes`` where lines of different lengths are cut for different numbers of edits."""
+    found: list[tuple[int, int, int, int]] = []
+    for threshold in {edits(n) for n in range(length - edits(length), length + 1)} - {0}:
+        found += [p for p in probes(length, threshold) if edits(p[0]) == threshold]
+    return found
 
 
-def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _filed(batches: Iterator[pa.RecordBatch], edits: Callable[[int], int] = long_lines) -> Iterator[pa.RecordBatch]:
     digest, known, asked = xxhash.xxh3_64_intdigest, set(), {}
     for batch in batches:
         keys, ids = [], []
@@ -153,7 +173,7 @@ def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return out
 
         for text in batch.column(0):
-            for line in _lines(text.as_py()):
+            for line in _lines(text.as_py(), edits):
                 own = line_id(line)
                 if own in known:
                     continue
@@ -164,7 +184,7 @@ def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if n not in asked:
                     if len(asked) > 4096:
                         asked.clear()
-                    asked[n] = [(at, at + size, (n << 8 | i) << 1) for i, (at, size) in enumerate(segments(n))], [(at, at + size, (length << 8 | i) << 1) for length, i, at, size in probes(n)]
+                    asked[n] = [(at, at + size, (n << 8 | i) << 1) for i, (at, size) in enumerate(segments(n, edits(n)))], [(at, at + size, (length << 8 | i) << 1) for length, i, at, size in _asked(n, edits)]
                 index, probe = asked[n]
                 # The key's lowest bit tells who files (0) from who asks (1).
                 keys += [digest(line[s:e].encode("utf-8", "surrogatepass"), seed=k) & ~1 for s, e, k in index]
@@ -226,7 +246,7 @@ def _wanted_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array((np.uint64(1) << bit).view(np.int64))], names=["word", "bits"])
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _texts_of(docs: DataFrame, ids: DataFrame, edits: Callable[[int], int]) -> DataFrame:
     """(id, line): the distinct lines whose id is in ``ids``.
 
     A filter of at most FILTER_WORDS words (8 MB, whatever the corpus) keeps most other lines from
@@ -245,7 +265,7 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             lines, own = [], []
             for text in batch.column(0):
-                found = list(_lines(text.as_py()))
+                found = list(_lines(text.as_py(), edits))
                 lines += found
                 own += map(line_id, found)
             if not own:
@@ -258,26 +278,27 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(wanted, "id long, line string").join(ids, "id", "left_semi").distinct()
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch], edits: Callable[[int], int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = [], []
         for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if x != y and edit_distance_within(x, y, THRESHOLD) <= THRESHOLD:
+            limit = edits(min(len(x), len(y)))
+            if x != y and edit_distance_within(x, y, limit) <= limit:
                 a.append(hashlib.md5(x.encode("utf-8", "surrogatepass")).digest())
                 b.append(hashlib.md5(y.encode("utf-8", "surrogatepass")).digest())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def line_links(docs: DataFrame) -> DataFrame:
+def line_links(docs: DataFrame, edits: Callable[[int], int] = long_lines) -> DataFrame:
     """(a, b): the md5 of every two different lines within the threshold, each pair once."""
-    filed = docs.select("text").mapInArrow(_filed, "key long, id long")
+    filed = docs.select("text").mapInArrow(lambda batches: _filed(batches, edits), "key long, id long")
     met = filed.repartition(F.shiftright("key", 1)).mapInArrow(_met, "a long, b long").distinct()
     pairs = write_table(met, "line-pairs")
     ids = write_table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
-    texts = write_table(_texts_of(docs, ids), "line-texts")
+    texts = write_table(_texts_of(docs, ids, edits), "line-texts")
     left, right = (texts.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b").select("line_a", "line_b")
-    checked = both.mapInArrow(_verified, "a binary, b binary")
+    checked = both.mapInArrow(lambda batches: _verified(batches, edits), "a binary, b binary")
     return write_table(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-links")
 
 
@@ -287,7 +308,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(WORD_PATTERN)).select("doc_id", "line_no", F.unhex(F.md5("line")).alias("print"))
 
 
-def line_classes(docs: DataFrame) -> DataFrame:
+def line_classes(docs: DataFrame, edits: Callable[[int], int] = long_lines) -> DataFrame:
     """(doc_id, line_no, class_doc_id, class_line_no, n_links, kept) of every line with a word.
 
     A line's class is all that links reach from its text; it is named by its first line (by doc_id,
@@ -296,7 +317,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     with equal ids are told apart by nothing, so all their equal lines share the name (and are kept
     or not together); other columns are not looked at; an empty table gives an empty result.
     """
-    links = line_links(docs)
+    links = line_links(docs, edits)
     ends = links.select(F.explode(F.array("a", "b")).alias("print")).groupBy("print").agg(F.count(F.lit(1)).alias("n_links"))
     members = connected_components(links, "a", "b")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")

@@ -97,3 +97,18 @@ def test_texts_without_repeated_lines(spark, rows):
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ld.line_classes(empty).count() == 0 and ld.drop_repeated_lines(empty).count() == 0
+
+
+def test_short_lines_of_the_query(spark, tmp_path):
+    from chronoloom.llm import queries
+
+    rng = random.Random(9)
+    near = [mutate(rng, "".join(rng.choice("abc") for _ in range(rng.randrange(5, 24))), rng.choice([0, 1])) for _ in range(150)]
+    near += [mutate(rng, x, k) for x in near for k in (1, 2)]
+    texts = ["Der eingeä erer.", "Der, eingeä erer.", "Ly reonhe onble.", "Ly. Reonhe onble.", "cat", "cut", *near]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_links for r in queries.op1_line_edit_join(spark, str(tmp_path)).collect()}
+    apart = lambda a, b: plain_distance(a, b) <= min(2, min(len(a), len(b)) // 8)
+    different = sorted(set(texts))
+    assert got == {i: sum(x != y and abs(len(x) - len(y)) <= 2 and apart(x, y) for y in different) for i, x in enumerate(texts) if x.strip()}
+    assert got[0] == got[1] == got[2] == got[3] == 1 and got[4] == got[5] == 0

@@ -7,12 +7,17 @@ tokens anywhere in the document that repeat or resemble each other (the same dig
 seven digits, the same address) are joined by skip edges, each to the latest before it. Numbers may
 be written in groups: the digits of neighbouring tokens are read as one, and where seven or more end
 alike, the tokens that hold them are joined, however either is spaced; hidden groups of such a number
-are labelled as one token. Tokens inside a pattern's span are observed, the rest are hidden; loopy belief propagation passes messages
-until they settle. So a number that was given once in full is found again where it is shortened.
-
-The weights are fitted here, by pseudo-likelihood, on a bounded sample of documents in which the
-patterns found something (``SAMPLE_ROWS``), to each of which shortened repeats (with the label) and
-look-alikes that repeat nothing (without) are added.
+are labelled as one token. Tokens inside a pattern's span are observed, the rest are hidden; loopy
+belief propagation passes messages until they settle. So a number that was given once in full is found
+again where it is shortened, and one that a pattern misses because another number stands beside it (a
+greedy match of both fails its check, and is not tried again) is found by its tokens' own marks and
+by its repeats. Every text with a candidate token is searched, whether a pattern found something or not.
+
+The weights are fitted here, by pseudo-likelihood, on a bounded sample of documents that hold a
+likely address or number (``SAMPLE_ROWS`` documents of at most ``SAMPLE_CHARS`` characters; longer
+ones are left out of the fit, not of the search). The patterns' spans are their labels. To each
+document are added shortened repeats of its spans and repeats beside other numbers (with the label),
+and look-alikes that repeat nothing (without).
 """
 
 from __future__ import annotations
@@ -29,10 +34,14 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the weights are fitted on at most, and the longest of them in characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
+#: Examples made of each document.
+VARIANTS = 3
 #: Rounds of message passing at most, the part of a message that is kept, the change that ends it.
 ROUNDS, DAMPING, SETTLED = 30, 0.3, 1e-4
 #: A hidden token is reported if the probability of a kind is this high.
 CERTAIN = 0.8
+#: Messages that are worked out together.
+PORTION = 1 << 14
 #: Digits in which numbers of several groups must end alike, and those that are compared at most.
 GROUPED, LONGEST = 7, 19
 
@@ -82,6 +91,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def _unsure(text: str) -> list[tuple[int, int]]:
+    """Where a card or phone pattern matched several tokens and its check failed: there may be numbers in it or not."""
+    tried = [m.span() for pattern in (_CARD, _PHONE) for m in pattern.finditer(text) if " " in m[0]]
+    sure = {(s, e) for k, s, e in base_spans(text)}
+    return sorted(set(tried) - sure)
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
@@ -96,7 +112,18 @@ class Site(NamedTuple):
     label: int | None
 
 
-FEATURES = 15
+FEATURES = 18
+
+
+def _whole_card(token: str) -> bool:
+    """Whether the digits of a token alone are those of a card."""
+    digits = "".join(_DIGIT.findall(token))
+    return 12 <= len(digits) <= 19 and not any(c.isalpha() or c == "." for c in token.strip(".,;:")) and luhn(digits)
+
+
+def _whole_ip(token: str) -> bool:
+    found = _IP.fullmatch(token.strip(".,;:()"))
+    return found is not None and all(len(p) <= 3 and int(p) <= 255 for p in found[0].split("."))
 
 
 def features(token: str) -> list[float]:
@@ -105,7 +132,7 @@ def features(token: str) -> list[float]:
     return [
         1.0, float("@" in token), float(token[:1] == "+"), float("(" in token or ")" in token), float("-" in token), float(dots == 3), float(dots > 0),
         float(digits == 0), float(1 <= digits <= 2), float(3 <= digits <= 4), float(5 <= digits <= 8), float(9 <= digits <= 11), float(12 <= digits <= 19), float(digits > 19),
-        float(any(c.isalpha() for c in token)),
+        float(any(c.isalpha() for c in token)), float(_whole_card(token)), float(_whole_ip(token)), float(digits > 0 and token[:1] == "+" and digits <= 3),
     ]
 
 
@@ -251,21 +278,31 @@ def propagate(weights: Weights, sites: list[Site]) -> np.ndarray:
     if not len(edges):
         beliefs = np.exp(own)
         return beliefs / beliefs.sum(axis=1, keepdims=True)
+    # Neighbours that also resemble each other share one edge with both potentials, not a loop of two.
+    ends, which = np.unique(edges[:, 0] * len(sites) + edges[:, 1], return_inverse=True)
+    held = np.zeros(len(ends), np.int64)
+    np.bitwise_or.at(held, which, kinds + 1)
+    edges, kinds = np.column_stack(np.divmod(ends, len(sites))), held - 1
+    pair = np.concatenate([weights.pair, weights.pair.sum(axis=0, keepdims=True)])
     # Each edge carries a message both ways; message e runs source[e] -> target[e].
     source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-    pair = np.concatenate([weights.pair[kinds], weights.pair[kinds].transpose(0, 2, 1)])
+    kinds = np.concatenate([kinds, kinds + len(pair)])
+    pair = np.concatenate([pair, pair.transpose(0, 2, 1)])  # along the edges, and against them
     messages = np.zeros((len(source), _LABELS))
     for _ in range(ROUNDS):
         gathered = own.copy()
         np.add.at(gathered, target, messages)
-        cavity = gathered[source] - messages[back]
-        raw = cavity[:, :, None] + pair
-        top = raw.max(axis=1, keepdims=True)
-        new = (top + np.log(np.exp(raw - top).sum(axis=1, keepdims=True)))[:, 0, :]
-        new -= new.max(axis=1, keepdims=True)
-        change = np.abs(new - messages).max()
-        messages = DAMPING * messages + (1 - DAMPING) * new
+        change, new = 0.0, np.empty_like(messages)
+        for at in range(0, len(source), PORTION):  # bounded memory for texts of very many numbers
+            part = slice(at, at + PORTION)
+            raw = (gathered[source[part]] - messages[back[part]])[:, :, None] + pair[kinds[part]]
+            top = raw.max(axis=1, keepdims=True)
+            sent = (top + np.log(np.exp(raw - top).sum(axis=1, keepdims=True)))[:, 0, :]
+            sent -= sent.max(axis=1, keepdims=True)
+            change = max(change, float(np.abs(sent - messages[part]).max()))
+            new[part] = DAMPING * messages[part] + (1 - DAMPING) * sent
+        messages = new
         if change < SETTLED:
             break
     beliefs = own.copy()
@@ -283,10 +320,10 @@ def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 def all_spans(text: str, weights: Weights | None, base: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int]]:
-    """The patterns' spans and those that the field adds; runs of tokens of one kind are one span."""
+    """The patterns' spans and those that the field adds; runs of tokens of one kind are one span, whole cards each one."""
     base = base_spans(text) if base is None else base
-    if weights is None or not base:
-        return base  # with nothing observed there is no label to carry on
+    if weights is None:
+        return base
     sites = sites_of(text, base)
     if all(s.label is not None for s in sites):
         return base
@@ -298,69 +335,139 @@ def all_spans(text: str, weights: Weights | None, base: list[tuple[str, int, int
             last = None
             continue
         start, end = _trimmed(text, site.start, site.end)
-        if last and last[0] == label and last[1] == site.index:
+        if last and last[:2] == (label, site.index) and not _whole_card(site.token) and not _whole_card(last[2]):
             added[-1] = (added[-1][0], added[-1][1], end)
         elif start < end:
             added.append((KINDS[label - 1], start, end))
-        last = (label, _next(site))
+        last = (label, _next(site), site.token)
     return sorted({*base, *added}, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def _look_alike(token: str, rng: np.random.Generator) -> str:
+    """A token of the same shape with other digits, and nothing that the patterns would call a card or an address."""
+    token = "".join(str(rng.integers(10)) if c.isdigit() else c for c in token.strip(".,;:+()"))
+    if _whole_card(token):
+        at = max(i for i, c in enumerate(token) if c in "0123456789")
+        token = token[:at] + str((int(token[at]) + 1) % 10) + token[at + 1 :]
+    return f"{token}.{rng.integers(256, 1000)}" if _whole_ip(token) else token
+
+
 def _example(text: str, spans: list[tuple[str, int, int]], rng: np.random.Generator) -> tuple[list[Site], list[int]]:
-    """Sites and labels of a text to which shortened repeats and look-alikes are added at its end."""
+    """Sites and labels of a text to which repeats and look-alikes are added at its end; label -1 if not known."""
     sites = sites_of(text, spans)
-    labels = [s.label or 0 for s in sites]
+    unsure = _unsure(text)
+    labels = [s.label or (-1 if any(a < s.end and s.start < b for a, b in unsure) else 0) for s in sites]
     index = (sites[-1].index if sites else 0) + 10
-    for s in [s for s in sites if s.label]:
-        digits = [c for c in s.token if c.isdigit()]
-        for repeat in (True, False):
-            if repeat:
-                token = s.token.strip(".,;:+()")
-            elif "@" in s.token:
-                continue
-            else:
-                token = "".join(str(rng.integers(10)) if c.isdigit() else c for c in s.token.strip(".,;:+()"))
-            if not repeat or likeness(token):
-                sites.append(Site(index, 0, 0, token, None))
-                labels.append(s.label if repeat and len(digits) != 1 else 0)
-                index += 10
+
+    def add(token: str, label: int, beside: bool = False) -> None:
+        nonlocal index
+        index += 1 if beside else 10
+        sites.append(Site(index, 0, 0, token, None))
+        labels.append(label)
+
+    found, joining = [s for s in sites if s.label], bool(rng.integers(2))
+    for s in found:
+        token = s.token.strip(".,;:+()")
+        digits = "".join(_DIGIT.findall(token))
+        if len(digits) > GROUPED and not any(c.isalpha() or c in ".@" for c in token):
+            end, size = digits[-int(rng.integers(GROUPED, len(digits))) :], int(rng.integers(2, 5))
+            # Whole, shortened, or in groups as one site: one repeat each time, as more would bear each other out.
+            add([token, end, " ".join(digits[i : i + size] for i in range(0, len(digits), size))][rng.integers(3)], s.label)
+            add(_look_alike(end, rng), 0)
+        elif likeness(token) and ("@" in token or not joining):
+            bare = not any(c in "@." or c.isalpha() for c in token) and rng.integers(2)
+            add(digits if bare else token, s.label)
+            if bare:
+                add(_look_alike(digits, rng), 0)
+        if "@" not in s.token:
+            other = _look_alike(s.token, rng)
+            for _ in range(int(rng.integers(1, 4))):  # what is no personal data is repeated too
+                add(other, 0)
+    # Whole spans once more, each beside a number that is none: to its left and to its right in turn.
+    k = 0
+    while k < len(found):
+        run = [found[k]]
+        while k + len(run) < len(found) and found[k + len(run)].index == run[-1].index + 1 and found[k + len(run)].label == run[0].label:
+            run.append(found[k + len(run)])
+        k += len(run)
+        if len(run) > 1 and joining:  # its digits as one token, and as many others
+            digits = "".join("".join(_DIGIT.findall(s.token)) for s in run)
+            whole = digits[int(rng.integers(2)) :]
+            add(whole, run[0].label if likeness(whole) else 0)
+            add(_look_alike(whole, rng), 0)
+        if KINDS[run[0].label - 1] != "ip" and rng.integers(2):
+            other, kind = ".".join(str(rng.integers(256)) for _ in range(4)), KINDS.index("ip") + 1
+        else:
+            other, kind = _look_alike("".join(str(rng.integers(10)) for _ in range(rng.choice([2, 8, 16]))), rng), 0
+        left = bool(rng.integers(2))
+        if left:
+            add(other, kind)
+        for n, s in enumerate(run):
+            token = s.token if rng.integers(2) else _fresh(s.token, s.label, rng)
+            add(token, s.label, beside=left or n > 0)
+        if not left:
+            add(other, kind, beside=True)
     return sites, labels
 
 
-def fit(texts: list[str], rounds: int = 2000, penalty: float = 1e-4) -> Weights | None:
+def _fresh(token: str, label: int, rng: np.random.Generator) -> str:
+    """A token of the same kind that repeats nothing."""
+    if KINDS[label - 1] != "card" or not _whole_card(token):
+        return "".join(str(rng.integers(1, 3)) if c.isdigit() and KINDS[label - 1] == "ip" else str(rng.integers(10)) if c.isdigit() else c for c in token)
+    at = [i for i, c in enumerate(token) if c in "0123456789"]
+    made = list(token)
+    for i in at:
+        made[i] = str(rng.integers(10))
+    for last in "0123456789":
+        made[at[-1]] = last
+        if _whole_card("".join(made)):
+            break
+    return "".join(made)
+
+
+def fit(texts: list[str], rounds: int = 2000, penalty: float = 1e-5) -> Weights | None:
     """Weights by pseudo-likelihood: each label given its neighbours' is a multinomial logistic model."""
     rng, rows, answers = np.random.default_rng(3), [], []
-    for text in texts:
-        spans = base_spans(text)
-        if not spans:
+    for text in texts * VARIANTS:
+        sites, labels = _example(text, base_spans(text), rng)
+        if not sites:
             continue
-        sites, labels = _example(text, spans, rng)
         edges, kinds = graph(sites, False)  # of single tokens
         around = np.zeros((len(sites), 3, _LABELS))  # labels to the left, to the right, over skip edges
         for (i, j), kind in zip(edges, kinds):
-            around[j, 2 if kind else 0, labels[i]] += 1
-            around[i, 2 if kind else 1, labels[j]] += 1
-        rows += [np.concatenate([features(s.token), a.ravel()]) for s, a in zip(sites, around)]
-        answers += labels
-    if not rows:
-        return None
-    x, y = np.array(rows), np.eye(_LABELS)[answers]
-    w, velocity = np.zeros((_LABELS, x.shape[1])), 0.0
-    lipschitz = np.linalg.norm(x, 2) ** 2 / len(x) / 2 + penalty
-    for _ in range(rounds):
-        z = x @ w.T
+            if labels[i] >= 0:
+                around[j, 2 if kind else 0, labels[i]] += 1
+            if labels[j] >= 0:
+                around[i, 2 if kind else 1, labels[j]] += 1
+        rows += [np.concatenate([features(s.token), a.ravel()]) for s, a, label in zip(sites, around, labels) if label >= 0]
+        answers += [label for label in labels if label >= 0]
+    if not any(answers):
+        return None  # without a single span there is nothing to learn from
+    # Features are few small numbers, so most rows are equal: each different one once, with its share.
+    different, counts = np.unique(np.column_stack([np.array(rows), answers]), axis=0, return_counts=True)
+    x, y, share = different[:, :-1], np.eye(_LABELS)[different[:, -1].astype(int)], (counts / counts.sum())[:, None]
+    w = ahead = np.zeros((_LABELS, x.shape[1]))
+    left, right, skip = (slice(FEATURES + k * _LABELS, FEATURES + (k + 1) * _LABELS) for k in range(3))
+    lipschitz = np.linalg.norm(x * np.sqrt(share), 2) ** 2 + penalty  # twice the bound of a plain logistic model, as slopes add up
+    for n in range(rounds):  # Nesterov's accelerated descent
+        z = x @ ahead.T
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        velocity = 0.9 * velocity - ((p - y).T @ x / len(x) + penalty * w) / lipschitz
-        w = w + velocity
-    left, right, skip = (w[:, FEATURES + k * _LABELS : FEATURES + (k + 1) * _LABELS] for k in range(3))
-    chain = (left.T + right) / 2  # [left label, right label]
-    return Weights(w[:, :FEATURES], np.stack([chain, (skip + skip.T) / 2]))
+        slope = ((p - y) * share).T @ x
+        # An edge has one potential, whichever end is asked: the two sides' slopes add up.
+        slope[:, right] = slope[:, right] + slope[:, left].T
+        slope[:, left] = slope[:, right].T
+        slope[:, skip] = slope[:, skip] + slope[:, skip].T
+        before, w = w, ahead - (slope + penalty * ahead) / lipschitz
+        ahead = w + n / (n + 3) * (w - before)
+    return Weights(w[:, :FEATURES], np.stack([w[:, right], w[:, skip]]))  # pair[0] is [left label, right label]
 
 
 def sample_texts(docs: DataFrame) -> list[str]:
     """The texts of at most SAMPLE_ROWS distinct hashes, the least ones, that hold a likely address or number.
 
+    Texts above SAMPLE_CHARS characters are not among them: they bound what the driver gathers.
+
     The hashes are chosen first, so that no task gathers texts of the whole corpus.
     """
     likely = F.col("text").rlike(r"@[A-Za-z0-9-]+\.|\+[0-9]|[0-9]\.[0-9]+\.[0-9]|[0-9]{12}")
@@ -395,6 +502,7 @@ def find_personal_data(docs: DataFrame, weights: Weights | None = None, fitted:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The registered columns: counts per kind and the hash of the patterns' spans, and all spans."""
+    """The registered columns: counts per kind and the hash of the patterns' spans, all spans, and how many they are."""
     count = lambda kind: F.size(F.filter("base", lambda s: s.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), "spans")
+    every = F.when(F.col("spans") == "", F.lit(0)).otherwise(F.size(F.split("spans", ","))).cast("long").alias("n_spans")
+    return found.select("doc_id", *map(count, KINDS), F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), "spans", every)

@@ -119,3 +119,88 @@ def test_groups_of_digits_link_however_they_are_spaced():
     skips = {tuple(e) for e, k in zip(edges.tolist(), kinds) if k}
     assert skips == {(0, 4), (1, 4), (2, 5), (3, 5), (4, 6), (5, 7)}
     assert crf.graph(crf.sites_of("1 " * 1000, []))[1].sum() <= 1000
+
+
+def exact_marginals(weights, sites):
+    import itertools
+
+    import numpy as np
+
+    edges, kinds = crf.graph(sites)
+    total = np.zeros((len(sites), 5))
+    for labels in itertools.product(*[range(5) if s.label is None else [s.label] for s in sites]):
+        score = sum(weights.unary[lab] @ crf.features(s.token) for s, lab in zip(sites, labels))
+        score += sum(weights.pair[k][labels[i], labels[j]] for (i, j), k in zip(edges, kinds))
+        for i, lab in enumerate(labels):
+            total[i, lab] += np.exp(score)
+    return total / total.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("text", [
+    "+1 (736) 555-2678 or 555-2678 12 555-2678 so 555-2678",
+    "736-2678 555-2678 736-2678 555-2678 +1 (736) 555-2678",
+    "u8@mail.example.org u8@mail.example.org 77 u8@mail.example.org 77 4041894974608796 4041894974608796",
+])
+def test_message_passing_on_graphs_with_loops(weights, text):
+    import numpy as np
+
+    sites = crf.sites_of(text, crf.base_spans(text)[:1])
+    assert len(crf.graph(sites)[0]) >= len(sites)  # not a tree
+    exact, found = exact_marginals(weights, sites), crf.propagate(weights, sites)
+    assert (exact.argmax(axis=1) == found.argmax(axis=1)).all() and np.abs(exact - found).max() < 0.1
+
+
+def test_messages_in_portions_are_the_same(weights, monkeypatch):
+    import numpy as np
+
+    sites = crf.sites_of("+1 (736) 555-2678 " + "555-2678 or 12 34 " * 30, [("phone", 0, 17)])
+    whole = crf.propagate(weights, sites)
+    monkeypatch.setattr(crf, "PORTION", 7)
+    assert np.abs(whole - crf.propagate(weights, sites)).max() < 1e-9
+
+
+@pytest.fixture(scope="module")
+def trained():
+    cards = [n for n in map(str, range(4041894974608796, 4041894974620000, 7)) if plain_luhn(n)]
+    texts = [f"Call +1 ({300 + i}) 555-{2000 + 37 * i} now, card {cards[i]} or u{i}@h{i}.example.org, {i} of 17, from 10.{i}.0.{7 + i} in 1999, no {9041894974608796 + 10 * i}." for i in range(80)]
+    return crf.fit(texts + [f"Order {4041894974608790 + 13 * i} of {1990 + i % 30}, twice {4041894974608790 + 13 * i}, v{i}.2.1" for i in range(80) if not plain_luhn(str(4041894974608790 + 13 * i))])
+
+
+def test_numbers_that_the_patterns_miss_beside_others(trained):
+    cards = [n for n in map(str, range(5041894974608796, 5041894974612000, 7)) if plain_luhn(n)]
+    text = f"Ring +1 (826) 555-4081 190.137.223.204 or pay {cards[3]} {cards[9]} soon."
+    assert [k for k, *_ in crf.base_spans(text)] == ["ip"]
+    assert [(k, text[s:e]) for k, s, e in crf.all_spans(text, trained)] == [("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204"), ("card", cards[3]), ("card", cards[9])]
+    other = f"Number 9041894974608791 {cards[5]} alone."
+    assert crf.base_spans(other) == [] and [other[s:e] for _, s, e in crf.all_spans(other, trained)] == [cards[5]]
+
+
+def test_precision_and_recall_of_added_spans(trained):
+    import random
+
+    rng = random.Random(8)
+    digits = lambda n: "".join(str(rng.randrange(10)) for _ in range(n))
+
+    def card(valid):
+        while True:
+            found = "4" + digits(15)
+            if plain_luhn(found) == valid:
+                return found
+
+    hit = added = planted = 0
+    for _ in range(300):
+        phone, pan, ip, decoy = f"+1 ({rng.randrange(200, 999)}) 555-{digits(4)}", card(True), ".".join(str(rng.randrange(256)) for _ in range(4)), card(False)
+        kind = rng.randrange(5)
+        told, wanted = [
+            (f"Call {phone} now", [phone[9:]]),  # a shortened repeat
+            (f"Card {pan} now", [pan[-8:]]),
+            (f"At {phone} {ip} now", [phone]),  # a number beside another
+            (f"At {decoy} {pan} now", [pan]),
+            (f"At {decoy} and {decoy[:12]} now, in {ip}", []),
+        ][kind]
+        more = "" if kind > 1 else f" and later {wanted[0]} again"
+        text = f"Page {rng.randrange(90)} of {rng.randrange(90)}: {told}{more}; room 555-{digits(4)}, no {card(False)}, v{digits(1)}.{digits(1)} in {rng.randrange(1900, 2030)}."
+        base = set(crf.base_spans(text))
+        found = [text[s:e] for k, s, e in crf.all_spans(text, trained) if (k, s, e) not in base]
+        planted, added, hit = planted + len(wanted), added + len(found), hit + len(set(found) & set(wanted))
+    assert planted > 200 and hit / added >= 0.95 and hit / planted >= 0.9, (hit, added, planted)

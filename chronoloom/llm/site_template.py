@@ -5,7 +5,9 @@ role, its text and its children. Spark counts on how many different pages of a h
 subtrees that recur across many pages of that host are template and are deleted. Pages whose own
 text is the same are copies of one page, and count once. Markup also says what is
 not main text: navigation, headers, footers, asides, forms, scripts, and containers classed as
-adverts, notices, comments and the like are left out even where each page's differs.
+adverts, notices, comments and the like are left out even where each page's differs. A class tells by
+whole names ("reader-comments", "ad-box"), not by parts that name a state ("has-sidebar",
+"comments-open"), and it never removes what holds all of a page's articles and half of its text.
 
 What an author wrote may recur too (a shared passage, a copied page). So inside <article> or <main>
 only wrappers without words of their own are deleted as template, and only if they are on half of
@@ -16,16 +18,18 @@ deleted out of a sentence.
 A page with exactly one outermost <article> or <main> says where its text is: what stands outside
 goes. On pages with none or several (teasers, comments), the rules above decide everywhere.
 
-The recurring hashes are a small table. Up to ``BROADCAST_ROWS`` of them are broadcast and pages
-never move; beyond that they are joined to the pages that hold them.
+The recurring hashes are a small table. Up to ``BROADCAST_ROWS`` of them are broadcast as two sorted
+arrays (16 bytes a row) and pages never move; beyond that they are joined to the pages that hold them.
 """
 
 from __future__ import annotations
 
 import html as html_module
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -37,7 +41,7 @@ from chronoloom.llm.common import write_table
 MIN_PAGES, MIN_SHARE = 10, 0.005
 #: Inside an article, on this share of the host's pages with an article.
 INSIDE_SHARE = 0.5
-#: Recurring hashes that are broadcast at most; eight bytes each.
+#: Recurring hashes that are broadcast at most; with their hosts 16 bytes each, 32 MB in all.
 BROADCAST_ROWS = 2_000_000
 
 #: Elements whose content is never main text.
@@ -45,6 +49,9 @@ SKIPPED = frozenset("head script style noscript template nav footer aside form b
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 #: Words of a container's class or id that mark it as something else than main text.
 MARKS = frozenset("ad ads adv advert adverts advertisement adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup sidebar comment comments respond disqus share sharing social breadcrumb breadcrumbs menu nav navbar navigation pagination pager related recommended widget masthead footer".split())
+#: What may follow such a word in a name, and what turns a name into that of a state.
+STRUCTURE = frozenset("area bar block body bottom box button buttons card cell column container content form group head header icons inner item items left link links list outer panel post posts right row section slot text title top unit wrap wrapper zone".split())
+STATES = frozenset("has is no not with without show hide enable disable".split())
 CONTAINERS = frozenset("div section aside ul ol dl table figure form fieldset details center header footer nav menu span".split())
 #: Containers that may be template inside an article; in the others stands what an author wrote.
 WRAPPERS = CONTAINERS - frozenset("ul ol dl table figure span".split())
@@ -58,15 +65,28 @@ KEPT = frozenset("html body main article".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 _SCOPE = frozenset("html body article main section div ul ol dl table td th nav aside footer header form blockquote".split())
 
+_BARRIERS = ("article", "main", "body", "html", "td", "th")
+#: Elements whose end tag reaches out of these.
+_REACHING = KEPT | SKIPPED | {"table", "tr", "tbody", "div", "section"}
+
+_QUOTE_OR_END = re.compile(r"""["'>]""")
 _TAG = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s/"'])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_MARK = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w")
 #: Tells subtrees inside an article from equal ones outside, as they are counted apart.
 _INSIDE = 0x9E3779B97F4A7C15
 
 
+def _names_other(name: str) -> bool:
+    """Whether a class or id names something else than main text."""
+    parts = _PARTS.findall(name)
+    if not parts:
+        return False
+    return (parts[-1] in MARKS and parts[0] not in STATES) or (parts[0] in MARKS and all(p in STRUCTURE for p in parts[1:]))
+
+
 class Page:
     """The elements of a page in document order, and the events (open, text, close) between them."""
 
@@ -78,12 +98,27 @@ class Page:
         #: Opening of element i: i; its closing: ~i; text: the string.
         self.events: list[int | str] = []
         self._open: list[int] = []
+        #: By tag, the depths at which it is open.
+        self._depths: dict[str, list[int]] = {}
+        self._inside: list[bool] | None = None
+        self._holders: list[bool] | None = None
         self._parse(source)
         while self._open:
             self._close()
 
     def _close(self) -> None:
-        self.events.append(~self._open.pop())
+        i = self._open.pop()
+        self._depths[self.tags[i]].pop()
+        self.events.append(~i)
+
+    def _deepest(self, tags) -> int:
+        """The depth of the innermost open element of these tags; -1 if none is open."""
+        found = -1
+        for tag in tags:
+            at = self._depths.get(tag)
+            if at and at[-1] > found:
+                found = at[-1]
+        return found
 
     def _text(self, text: str) -> None:
         if text:
@@ -105,54 +140,47 @@ class Page:
         if self._open:
             self.parts[self._open[-1]].append(i)
         self.events.append(i)
+        self._depths.setdefault(tag, []).append(len(self._open))
         self._open.append(i)
         if tag in VOID:
             self._close()
 
     def _close_open(self, tags: tuple[str, ...], scope: frozenset) -> None:
-        for depth in range(len(self._open) - 1, -1, -1):
-            tag = self.tags[self._open[depth]]
-            if tag in tags:
-                while len(self._open) > depth:
-                    self._close()
-                return
-            if tag in scope:
-                return
+        depth = self._deepest(tags)
+        if depth >= 0 and depth > self._deepest(scope):
+            while len(self._open) > depth:
+                self._close()
 
     def _end(self, tag: str) -> None:
-        for depth in range(len(self._open) - 1, -1, -1):
-            own = self.tags[self._open[depth]]
-            if own == tag:
-                while len(self._open) > depth:
-                    self._close()
-                return
-            if own in ("article", "main", "body", "html", "td", "th") and tag not in KEPT and tag not in SKIPPED and tag not in ("table", "tr", "tbody", "div", "section"):
-                return  # a stray end tag doesn't reach out of these
-
-    @staticmethod
-    def _tag_end(source: str, at: int) -> int:
-        """Where the tag at ``at`` ends; a > inside quotes doesn't end it."""
-        stop = source.find(">", at)
-        while stop >= 0:
-            seen = source[at:stop]
-            if '"' not in seen and "'" not in seen:
-                return stop
-            quote = ""
-            for c in re.findall(r"""["']""", seen):
-                quote = c if not quote else "" if c == quote else quote
-            if not quote:
-                return stop
-            closing = source.find(quote, stop)
-            if closing < 0:
-                return stop
-            at_next = source.find(">", closing)
-            if at_next < 0:
-                return stop
-            stop = at_next
-        return -1
+        depth = self._deepest((tag,))
+        # A stray end tag doesn't reach out of an article, a cell and the like.
+        if depth >= 0 and (tag in _REACHING or depth >= self._deepest(_BARRIERS)):
+            while len(self._open) > depth:
+                self._close()
+
+    def _tag_end(self, source: str, at: int) -> int:
+        """Where the tag at ``at`` ends; a > inside quotes doesn't end it, unless the quotes or the tag never end."""
+        while True:
+            found = _QUOTE_OR_END.search(source, at)
+            if not found:
+                return -1
+            if found[0] == ">":
+                return found.start()
+            closing = self._next(source, found[0], found.end())
+            if closing < 0 or closing > self._last_end:
+                return source.find(">", found.end())
+            at = closing + 1
+
+    def _next(self, source: str, quote: str, at: int) -> int:
+        """The next such quote; looked for once, however many tags ask for it."""
+        known = self._quotes[quote]
+        if 0 <= known < at:
+            known = self._quotes[quote] = source.find(quote, at)
+        return known
 
     def _parse(self, source: str) -> None:
         at, n = 0, len(source)
+        self._quotes, self._last_end = {q: source.find(q) for q in "\"'"}, source.rfind(">")
         while at < n:
             found = _TAG.search(source, at)
             if not found:
@@ -196,10 +224,13 @@ class Page:
         return found
 
     def inside_main(self) -> list[bool]:
-        inside: list[bool] = []
-        for i, tag in enumerate(self.tags):
-            inside.append(tag in ("article", "main") or (self.parents[i] >= 0 and inside[self.parents[i]]))
-        return inside
+        """Whether each element is an <article> or <main> or inside one."""
+        if self._inside is None:
+            inside: list[bool] = []
+            for i, tag in enumerate(self.tags):
+                inside.append(tag in ("article", "main") or (self.parents[i] >= 0 and inside[self.parents[i]]))
+            self._inside = inside
+        return self._inside
 
     def scoped(self, inside: list[bool]) -> bool:
         """Whether there is exactly one outermost <article> or <main>, those in marked elements aside."""
@@ -210,12 +241,33 @@ class Page:
             count += inside[i] and not (up >= 0 and inside[up]) and not skipped[i]
         return count == 1
 
+    def holders(self) -> list[bool]:
+        """Whether each element holds every <article> and <main> of the page, and half of its text, those in skipped tags aside."""
+        if self._holders is None:
+            n = len(self.tags)
+            skipped, held, sizes, count, total = [False] * n, [0] * n, [0] * n, 0, 0
+            for i, (tag, up) in enumerate(zip(self.tags, self.parents)):
+                skipped[i] = (up >= 0 and skipped[up]) or tag in SKIPPED
+                if not skipped[i]:
+                    held[i] = int(tag in ("article", "main"))
+                    sizes[i] = sum(len(p) for p in self.parts[i] if isinstance(p, str))
+                    count, total = count + held[i], total + sizes[i]
+            for i in range(n - 1, 0, -1):  # children come after their parent
+                if (up := self.parents[i]) >= 0:
+                    held[up] += held[i]
+                    sizes[up] += sizes[i]
+            self._holders = [0 < count == h and 2 * size >= total for h, size in zip(held, sizes)]
+        return self._holders
+
     def marked(self, i: int, inside: bool) -> bool:
         """Whether markup alone says that element i is not main text."""
         tag, own = self.tags[i], self.attributes[i]
         if tag in SKIPPED or own.get("role") in SKIPPED_ROLES or (tag == "header" and not inside):
             return True
-        return tag in CONTAINERS and bool(own) and not MARKS.isdisjoint(_MARK.findall(f"{own.get('class', '')} {own.get('id', '')}"))
+        up = self.parents[i]
+        if not own or not (tag in CONTAINERS or (tag in ("article", "li") and up >= 0 and self.inside_main()[up])):
+            return False
+        return any(map(_names_other, f"{own.get('class', '')} {own.get('id', '')}".split())) and not self.holders()[i]
 
     def deletable(self, inside: list[bool]) -> list[bool]:
         """Whether each element may be deleted as template."""
@@ -343,22 +395,43 @@ def _texts(recurring_of):
 
 
 class _Broadcast:
-    """Looks a page's host up among the broadcast (host, subtree) pairs."""
+    """Looks a page's subtrees up among the broadcast (host, subtree) pairs: two arrays, sorted by both."""
 
     def __init__(self, shared):
-        self.shared, self.by_host = shared, None
+        self.shared = shared
 
     def __call__(self, columns, k):
-        if self.by_host is None:
-            self.by_host = {}
-            for host, subtree in self.shared.value:
-                self.by_host.setdefault(host, set()).add(subtree % (1 << 64))
-        return self.by_host.get(columns["host"][k].as_py(), frozenset())
+        hosts, subtrees = self.shared.value
+        host = columns["host"][k].as_py()
+        low, high = np.searchsorted(hosts, host), np.searchsorted(hosts, host, side="right")
+        return _Among(subtrees[low:high]) if high > low else frozenset()
 
     def __reduce__(self):
         return _Broadcast, (self.shared,)
 
 
+class _Among:
+    """Membership in a sorted array of signed hashes."""
+
+    def __init__(self, held: np.ndarray):
+        self.held = held
+
+    def __contains__(self, h: int) -> bool:
+        h = _signed(h)
+        at = int(np.searchsorted(self.held, h))
+        return at < len(self.held) and int(self.held[at]) == h
+
+
+def _sorted_pairs(recurring: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    hosts, subtrees = array("q"), array("q")
+    for row in recurring.toLocalIterator():
+        hosts.append(row.host)
+        subtrees.append(row.subtree)
+    hosts, subtrees = np.array(hosts, np.int64), np.array(subtrees, np.int64)
+    order = np.lexsort((subtrees, hosts))
+    return hosts[order], subtrees[order]
+
+
 def _joined(columns, k):
     return frozenset(x % (1 << 64) for x in columns["recurring"][k].as_py() or ())
 
@@ -378,7 +451,7 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     kind = "page_id long, url string, text string, n_chars long"
     ready = keyed.withColumn("page_id", F.col("page_id").cast("long"))
     if recurring.count() <= broadcast_rows:
-        shared = pages.sparkSession.sparkContext.broadcast([(r.host, r.subtree) for r in recurring.toLocalIterator()])
+        shared = pages.sparkSession.sparkContext.broadcast(_sorted_pairs(recurring))
         return ready.select("page_id", "url", "html", "host").mapInArrow(_texts(_Broadcast(shared)), kind)
     of_page = occurrences.join(recurring, ["host", "subtree"], "left_semi").groupBy(F.col("page").alias("p")).agg(F.collect_set("subtree").alias("recurring"))
     return ready.join(of_page, F.col("page") == F.col("p"), "left").select("page_id", "url", "html", "recurring").mapInArrow(_texts(_joined), kind)

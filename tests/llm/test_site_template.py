@@ -1,4 +1,5 @@
 import random
+from html import parser as html_parser
 
 import pytest
 
@@ -121,3 +122,156 @@ def test_only_a_single_article_is_the_scope(html, want):
 def test_template_removal_decides_outside_of_several_articles(spark):
     rows = [f"<div><p>Follow us all</p></div><div><p>body {i}</p></div><article><p>card {i}</p></article><article><p>card {i + 1}</p></article>" for i in range(12)]
     assert texts_of(spark, rows) == [f"body {i}\ncard {i}\ncard {i + 1}" for i in range(12)]
+
+
+@pytest.mark.parametrize("html,want", [
+    ('<!doctype html>\n<html><body><article><p>x</p></article></body></html>', "x"),
+    ('hello <article><p>x</p></article>', "x"),
+    ('<div class="layout has-sidebar"><article><p>x y</p></article></div>', "x y"),
+    ('<div class="sidebar"><article><p>all the text there is</p></article></div><p>q</p>', "all the text there is"),
+    ('<main><div class="post comments-open"><p>x</p></div></main>', "x"),
+    ('<main><div class="post no-comments"><p>x</p></div><div class="ad-box-2">buy</div><div id="comment-list">c</div></main>', "x"),
+    ('<div><p>a long body of text</p></div><div class="comments"><article>c 1</article><article>c 2</article></div>', "a long body of text"),
+    ('<article><p>x</p><article class="comment"><p>c</p></article><ul><li class="comment">d</li><li>e</li></ul></article>', "x\ne"),
+    ('<article class="ad"><p>a lone article is never an advert</p></article>', "a lone article is never an advert"),
+    ('<p>a<b class="ad">b</b></p>', "ab"),
+])
+def test_marks_are_whole_names_and_spare_the_article(html, want):
+    assert text(html) == want
+
+
+def seconds(html):
+    import time
+
+    began = time.perf_counter()
+    text(html)
+    return time.perf_counter() - began
+
+
+@pytest.mark.parametrize("page", [
+    lambda n: "<b>" * n + "</i>" * n,
+    lambda n: "<b>" * n + "<hr>" * n,
+    lambda n: "<p><section>" + "<b>" * n + "<hr>" * n,
+    lambda n: "<article>" + "<b>" * n + "</p>" * n,
+    lambda n: "<a x='>" * n + ">",
+    lambda n: '<a x="y>' * n,
+    lambda n: "<a x='\"'>" * n + '"',
+    lambda n: "<a '>" + '<a ">' * n + "'",
+    lambda n: "<article class='comment'>" * n,
+    lambda n: "<div class='sidebar'>" * n + "<article>x",
+])
+def test_time_is_linear_in_a_page(page):
+    seconds(page(2000))
+    assert seconds(page(40_000)) < 40 * max(seconds(page(4_000)), 0.01)
+
+
+class Outline(html_parser.HTMLParser):
+    """An independent parser of well-formed pages: a tree of (tag, class, children), texts as strings."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.root = ("", "", [])
+        self.stack = [self.root]
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = (tag, dict(attrs).get("class") or "", [])
+        self.stack[-1][2].append(node)
+        if tag != "br":
+            self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.stack[-1][2].append(data)
+
+
+def plain_lines(node, gone, inside, lines):
+    """Text blocks of a tree without what ``gone(node, inside)`` says."""
+    tag, _, children = node
+    for child in children:
+        if isinstance(child, str):
+            lines[-1] += child
+            continue
+        if gone(child, inside):
+            if child[0] != "span":
+                lines.append("")
+            continue
+        if child[0] == "br":
+            lines[-1] += " "
+        elif child[0] in ("span", "b"):
+            plain_lines(child, gone, inside or child[0] == "article", lines)
+        else:
+            lines.append("")
+            plain_lines(child, gone, inside or child[0] == "article", lines)
+            lines.append("")
+    return lines
+
+
+def plain_text(node, gone):
+    return "\n".join(filter(None, (" ".join(x.split()) for x in plain_lines(node, gone, False, [""]))))
+
+
+def plain_pages(rows, min_pages, min_share):
+    """Recurring subtrees outside articles, counted per host over pages of different text, and the texts without them."""
+    marked = lambda node, inside: node[0] in ("nav", "footer", "script") or node[1] == "ad"
+    trees = [Outline(h).root for _, h in rows]
+    copies = [plain_text(t, marked) for t in trees]
+    hosts = [u.split("/")[2] for u, _ in rows]
+
+    def walk(node, inside, in_sentence):
+        for child in node[2]:
+            if isinstance(child, str):
+                continue
+            own_inside = inside or child[0] == "article"
+            worded = any(isinstance(c, str) and c.strip() for c in node[2])
+            sentence = child[0] in ("span", "b", "br") and (worded or in_sentence)
+            if not own_inside and child[0] not in ("html", "body", "br") and not sentence and any(not isinstance(c, str) or c.strip() for c in child[2]):
+                yield repr(child)
+            yield from walk(child, own_inside, sentence)
+
+    seen, pages = {}, {}
+    for host, copy, tree in zip(hosts, copies, trees):
+        pages.setdefault(host, set()).add(copy)
+        for key in walk(tree, False, False):
+            seen.setdefault((host, key), set()).add(copy)
+    out = []
+    for host, tree in zip(hosts, trees):
+        many = lambda node: len(seen.get((host, repr(node)), ())) >= max(min_pages, min_share * len(pages[host]))  # noqa: B023, E731
+        out.append(plain_text(tree, lambda node, inside: marked(node, inside) or (not inside and node[0] not in ("html", "body", "br") and many(node))))
+    return out
+
+
+@pytest.fixture(scope="module")
+def generated():
+    rng = random.Random(12)
+    words = lambda k: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(2, 7))) for _ in range(k))
+    rows = []
+    for host in ("one.example", "two.example", "small.example"):
+        top, side, rare, foot = words(3), [words(2) for _ in range(4)], words(4), words(5)
+        for n in range({"one.example": 60, "two.example": 25, "small.example": 6}[host]):
+            menu = "".join(f"<li>{x}</li>" for x in rng.sample(side, 3))
+            parts = [f"<div><p>{top}</p></div>", f"<ul>{menu}</ul>", f"<div class='ad'>{words(3)}</div>", f"<div class='body'><h2>{words(2)}</h2>" + "".join(f"<p>{words(8)} <b>{rng.choice(side)}</b> {words(3)}</p>" for _ in range(3)) + "</div>"]
+            if rng.random() < 0.15:
+                parts.append(f"<section><p>{rare}</p></section>")
+            parts.append(f"<section><span>{foot}</span></section><footer>{words(3)}</footer>")
+            rows.append((f"https://{host}/{n}", f"<html><body>{''.join(parts)}</body></html>"))
+            if rng.random() < 0.1:
+                rows += [(f"https://{host}/{n}/copy{k}", rows[-1][1]) for k in range(12)]
+    return rows
+
+
+def test_equals_brute_force_on_generated_sites(spark, generated):
+    got = main_texts(spark, generated)
+    assert got == plain_pages(generated, stp.MIN_PAGES, stp.MIN_SHARE)
+    # Without template removal most pages have another text: the counts decide.
+    off = main_texts(spark, generated, min_pages=10**9)
+    assert off == plain_pages(generated, 10**9, stp.MIN_SHARE)
+    assert sum(a != b for a, b in zip(got, off)) > 0.8 * len(generated)
+
+
+def main_texts(spark, rows, **options):
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    return [r.text for r in stp.main_text(pages, **options).orderBy("page_id").collect()]

@@ -10,11 +10,16 @@ least of the shorter occurs unchanged in the longer, not far from its place. So
 segments under (its length, the segment's number, the segment's text), and asks for the substrings
 of its own that could be such a segment of a line of its length or up to threshold shorter; the
 multi-match-aware selection of Li, Deng and Feng ("PASS-JOIN", 2011) keeps those few. Only hashes of
-these keys move. Each row also carries a sketch (how often characters of 16 classes occur, modulo
+these keys move. Each row also carries the line's id (64 bits of hash) and a sketch (how often characters of 16 classes occur, modulo
 4); an edit changes two classes by one at most, so pairs whose sketches are too far apart are passed
 over where they meet, and a group of lines that share a segment sends on only the pairs that may
 link. Candidates' texts are then fetched and verified by a banded bit-parallel edit distance.
 
+Two different lines may have one id. Such ids are found by counting (every line's id is a column
+expression too) and the lines that share one are verified against each other like any other pair.
+
+Lines without a word are no lines here: they are neither filed nor linked.
+
 Equal lines count as one text throughout, so a line that a third of the documents hold files its
 segments once per task, and what joins it to its copies is a join that can be split.
 """
@@ -27,7 +32,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import WORD_PATTERN, write_table
@@ -41,6 +46,10 @@ CHARS_AN_EDIT = 8
 MEMORY = 1 << 18
 #: Pairs compared together.
 PORTION = 1 << 20
+#: Bits of a line's id, and the seed of its hash (that of Spark's xxhash64).
+ID_BITS, ID_SEED = 64, 42
+#: What a line consists of that has no word.
+BLANKS = " \t\n\x0b\x0c\r"
 #: Words of 64 bits in the filter of candidate ids; bounds what the driver gathers and sends.
 FILTER_WORDS = 1 << 20
 
@@ -89,9 +98,14 @@ def sketch_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(low).astype(np.int64) + 2 * np.bitwise_count(high & ~low).astype(np.int64)
 
 
-def line_id(line: str) -> int:
-    """32 bits of hash and the sketch. Texts are compared in the end, so equal ids do no harm."""
-    return (xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) & 0xFFFFFFFF) << 32 | sketch(line)
+def line_id(line: str, bits: int = ID_BITS) -> int:
+    """A line's id: the low bits of XXH64 (seed 42), which ``line_id_column`` computes in Spark."""
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), ID_SEED) & ((1 << bits) - 1)
+
+
+def line_id_column(line: Column, bits: int = ID_BITS) -> Column:
+    """``line_id`` as a signed long."""
+    return F.xxhash64(line) if bits == 64 else F.xxhash64(line).bitwiseAND((1 << bits) - 1)
 
 
 def edit_distance_within(a: str, b: str, limit: int) -> int:
@@ -150,7 +164,8 @@ def edit_distance_within(a: str, b: str, limit: int) -> int:
 
 
 def _lines(text: str | None, edits: Callable[[int], int]) -> Iterator[str]:
-    return (line for line in (text or "").split("\n") if edits(len(line)))
+    """The lines with a word that may have an edit at all."""
+    return (line for line in (text or "").split("\n") if edits(len(line)) and line.strip(BLANKS))
 
 
 def _asked(length: int, edits: Callable[[int], int]) -> list[tuple[int, int, int, int]]:
@@ -161,20 +176,22 @@ def _asked(length: int, edits: Callable[[int], int]) -> list[tuple[int, int, int
     return found
 
 
-def _filed(batches: Iterator[pa.RecordBatch], edits: Callable[[int], int] = long_lines) -> Iterator[pa.RecordBatch]:
-    digest, known, asked = xxhash.xxh3_64_intdigest, set(), {}
-    for batch in batches:
-        keys, ids = [], []
+def _filed(batches: Iterator[pa.RecordBatch], edits: Callable[[int], int] = long_lines, bits: int = ID_BITS) -> Iterator[pa.RecordBatch]:
+    digest, strong = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
+    known, asked = set(), {}
+    keys, lines, rows = [], [], []
 
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(ids, np.uint64).view(np.int64))], names=["key", "id"])
-            keys.clear()
-            ids.clear()
-            return out
+    def flush():
+        ids, sketches = np.array([i for i, _ in lines], np.uint64).view(np.int64), np.array([s for _, s in lines], np.uint32).view(np.int32)
+        columns = [np.array(keys, np.uint64).view(np.int64), np.repeat(ids, rows), np.repeat(sketches, rows)]
+        for held in (keys, lines, rows):
+            held.clear()
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "id", "sketch"])
 
+    for batch in batches:
         for text in batch.column(0):
             for line in _lines(text.as_py(), edits):
-                own = line_id(line)
+                own = strong(line.encode("utf-8", "surrogatepass"))
                 if own in known:
                     continue
                 if len(known) >= MEMORY:
@@ -189,23 +206,24 @@ def _filed(batches: Iterator[pa.RecordBatch], edits: Callable[[int], int] = long
                 # The key's lowest bit tells who files (0) from who asks (1).
                 keys += [digest(line[s:e].encode("utf-8", "surrogatepass"), seed=k) & ~1 for s, e, k in index]
                 keys += [digest(line[s:e].encode("utf-8", "surrogatepass"), seed=k) | 1 for s, e, k in probe]
-                ids += [own] * (len(index) + len(probe))
+                lines.append((line_id(line, bits), sketch(line)))
+                rows.append(len(index) + len(probe))
             if len(keys) > 200_000:
                 yield flush()
-        if keys:
-            yield flush()
+    if keys:
+        yield flush()
 
 
-def candidate_pairs(keys: np.ndarray, ids: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+def candidate_pairs(keys: np.ndarray, ids: np.ndarray, sketches: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs (a < b) of ids of which one files a key that the other asks for, by sketch not too far apart."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
+    order = np.lexsort((sketches, ids, keys))
+    keys, ids, sketches = keys[order], ids[order], sketches[order]
     fresh = np.ones(len(keys), bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-    keys, ids = keys[fresh], ids[fresh]
+    fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]) | (sketches[1:] != sketches[:-1])
+    keys, ids, sketches = keys[fresh], ids[fresh], sketches[fresh]
     asks = (keys & np.uint64(1)).astype(bool)
-    filed_keys, filed_ids = keys[~asks], ids[~asks]
-    asked_keys, asked_ids = keys[asks] & ~np.uint64(1), ids[asks]
+    filed_keys, filed_ids, filed_sketches = keys[~asks], ids[~asks], sketches[~asks]
+    asked_keys, asked_ids, asked_sketches = keys[asks] & ~np.uint64(1), ids[asks], sketches[asks]
     low, high = np.searchsorted(filed_keys, asked_keys), np.searchsorted(filed_keys, asked_keys, side="right")
     found: list[np.ndarray] = []
     on = np.flatnonzero(high > low)
@@ -214,9 +232,10 @@ def candidate_pairs(keys: np.ndarray, ids: np.ndarray, threshold: int = THRESHOL
         stop = max(at + 1, int(np.searchsorted(total, total[at] + PORTION, side="right")) - 1)
         part = on[at:stop]
         sizes = high[part] - low[part]
-        a = np.repeat(asked_ids[part], sizes)
-        b = filed_ids[np.arange(len(a)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low[part], sizes)]
-        near = (a != b) & (sketch_distance(a & np.uint64(0xFFFFFFFF), b & np.uint64(0xFFFFFFFF)) <= 2 * threshold)
+        asking = np.repeat(part, sizes)
+        filing = np.arange(len(asking)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low[part], sizes)
+        a, b = asked_ids[asking], filed_ids[filing]
+        near = (a != b) & (sketch_distance(asked_sketches[asking], filed_sketches[filing]) <= 2 * threshold)
         if near.any():
             found.append(np.unique(np.column_stack([np.minimum(a, b)[near], np.maximum(a, b)[near]]), axis=0))
         at = stop
@@ -227,10 +246,11 @@ def candidate_pairs(keys: np.ndarray, ids: np.ndarray, threshold: int = THRESHOL
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+    parts = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(3)] for b in batches]
     if not parts:
         return
-    a, b = candidate_pairs(*[np.concatenate([p[k] for p in parts]).view(np.uint64) for k in (0, 1)])
+    keys, ids, sketches = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    a, b = candidate_pairs(keys.view(np.uint64), ids.view(np.uint64), sketches.view(np.uint32))
     for at in range(0, len(a), 65536):
         yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 65536].view(np.int64)) for x in (a, b)], names=["a", "b"])
 
@@ -246,7 +266,7 @@ def _wanted_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array((np.uint64(1) << bit).view(np.int64))], names=["word", "bits"])
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame, edits: Callable[[int], int]) -> DataFrame:
+def _texts_of(docs: DataFrame, ids: DataFrame, edits: Callable[[int], int], bits: int) -> DataFrame:
     """(id, line): the distinct lines whose id is in ``ids``.
 
     A filter of at most FILTER_WORDS words (8 MB, whatever the corpus) keeps most other lines from
@@ -267,7 +287,7 @@ def _texts_of(docs: DataFrame, ids: DataFrame, edits: Callable[[int], int]) -> D
             for text in batch.column(0):
                 found = list(_lines(text.as_py(), edits))
                 lines += found
-                own += map(line_id, found)
+                own += [line_id(line, bits) for line in found]
             if not own:
                 continue
             own = np.array(own, np.uint64)
@@ -289,39 +309,50 @@ def _verified(batches: Iterator[pa.RecordBatch], edits: Callable[[int], int]) ->
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def line_links(docs: DataFrame, edits: Callable[[int], int] = long_lines) -> DataFrame:
-    """(a, b): the md5 of every two different lines within the threshold, each pair once."""
-    filed = docs.select("text").mapInArrow(lambda batches: _filed(batches, edits), "key long, id long")
+def _first_places(docs: DataFrame, bits: int) -> DataFrame:
+    """(print, first, id) of every different line with a word: its md5, its first place, its id."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
+    return write_table(_numbered(docs, bits).groupBy("print").agg(F.min(place).alias("first"), F.first("id").alias("id")), "line-firsts")
+
+
+def line_links(docs: DataFrame, edits: Callable[[int], int] = long_lines, bits: int = ID_BITS, texts: DataFrame | None = None) -> DataFrame:
+    """(a, b): the md5 of every two different lines within the threshold, each pair once.
+
+    ``texts`` may give what ``_first_places`` found; ``bits`` are those of the ids (few bits make
+    many lines share one, which changes the work but not the links).
+    """
+    filed = docs.select("text").mapInArrow(lambda batches: _filed(batches, edits, bits), "key long, id long, sketch int")
     met = filed.repartition(F.shiftright("key", 1)).mapInArrow(_met, "a long, b long").distinct()
-    pairs = write_table(met, "line-pairs")
+    shared = (texts or _first_places(docs, bits)).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = write_table(met.unionByName(shared.select(F.col("id").alias("a"), F.col("id").alias("b"))), "line-pairs")
     ids = write_table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
-    texts = write_table(_texts_of(docs, ids, edits), "line-texts")
-    left, right = (texts.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in ("a", "b"))
+    lines = write_table(_texts_of(docs, ids, edits, bits), "line-texts")
+    left, right = (lines.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b").select("line_a", "line_b")
     checked = both.mapInArrow(lambda batches: _verified(batches, edits), "a binary, b binary")
     return write_table(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-links")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, print) of every line with a word; lines count from 0 in their text."""
+def _numbered(docs: DataFrame, bits: int = ID_BITS) -> DataFrame:
+    """(doc_id, line_no, print, id) of every line with a word; lines count from 0 in their text."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(WORD_PATTERN)).select("doc_id", "line_no", F.unhex(F.md5("line")).alias("print"))
+    return lines.where(F.col("line").rlike(WORD_PATTERN)).select("doc_id", "line_no", F.unhex(F.md5("line")).alias("print"), line_id_column(F.col("line"), bits).alias("id"))
 
 
-def line_classes(docs: DataFrame, edits: Callable[[int], int] = long_lines) -> DataFrame:
+def line_classes(docs: DataFrame, edits: Callable[[int], int] = long_lines, bits: int = ID_BITS) -> DataFrame:
     """(doc_id, line_no, class_doc_id, class_line_no, n_links, kept) of every line with a word.
 
     A line's class is all that links reach from its text; it is named by its first line (by doc_id,
     nulls last, then line number), which alone is kept. n_links counts the different texts that the
-    line's own text links to. Lines without a word are no lines here. A null text has none; rows
-    with equal ids are told apart by nothing, so all their equal lines share the name (and are kept
-    or not together); other columns are not looked at; an empty table gives an empty result.
+    line's own text links to. Lines without a word are no lines here: they have no row and no link.
+    A null text has none; rows with equal ids are told apart by nothing, so all their equal lines
+    share the name (and are kept or not together); other columns are not looked at; an empty table
+    gives an empty result.
     """
-    links = line_links(docs, edits)
+    texts = _first_places(docs, bits)
+    links = line_links(docs, edits, bits, texts)
     ends = links.select(F.explode(F.array("a", "b")).alias("print")).groupBy("print").agg(F.count(F.lit(1)).alias("n_links"))
     members = connected_components(links, "a", "b")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
-    texts = write_table(_numbered(docs).groupBy("print").agg(F.min(place).alias("first")), "line-firsts")
     near = texts.join(members, F.col("print") == F.col("node")).select("print", "label", "first")
     least = near.groupBy("label").agg(F.min("first").alias("class_first"))
     named = near.join(least, "label").join(ends, "print").select(F.col("print").alias("near_print"), "class_first", "n_links")

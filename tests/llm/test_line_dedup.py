@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from chronoloom.llm import line_dedup as ld
 
@@ -33,7 +34,7 @@ def test_every_pair_within_the_threshold_meets(line, edits):
     if other == line or len(other) < ld.MIN_CHARS:
         return
     rows = next(ld._filed(iter([ld.pa.RecordBatch.from_arrays([ld.pa.array([line + "\n" + other])], names=["text"])])))
-    a, b = ld.candidate_pairs(*[rows.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1)])
+    a, b = ld.candidate_pairs(*[rows.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1)], rows.column(2).to_numpy(zero_copy_only=False).view(np.uint32))
     assert sorted({*a.tolist(), *b.tolist()}) == sorted({ld.line_id(line), ld.line_id(other)}) and len(a) == 1
 
 
@@ -112,3 +113,21 @@ def test_short_lines_of_the_query(spark, tmp_path):
     different = sorted(set(texts))
     assert got == {i: sum(x != y and abs(len(x) - len(y)) <= 2 and apart(x, y) for y in different) for i, x in enumerate(texts) if x.strip()}
     assert got[0] == got[1] == got[2] == got[3] == 1 and got[4] == got[5] == 0
+
+
+@pytest.mark.parametrize("bits", [64, 6, 3])
+def test_wordless_lines_and_equal_ids(spark, bits):
+    """With few bits most lines share an id with others, and near ones with each other; links stay the same."""
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("abcdef") for _ in range(24)) for _ in range(20)]
+    texts = [" " * 24, "ab" + " " * 22, " " * 22 + "cd", "\t" * 24, " " * 23 + "\x0b", *lines, *(mutate(rng, x, k) for x in lines for k in (1, 2, 2))]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in ld.line_classes(docs, bits=bits).collect())
+    assert got == sorted(plain_classes(list(enumerate(texts)))) and [r[0] for r in got][:2] == [1, 2]
+    assert [r[4] for r in got][:2] == [0, 0]  # more than two edits apart; what both are near to is no line
+
+
+def test_ids_are_those_of_the_column(spark):
+    texts = ["a line", "é ü 漢", "x" * 5000, " z"]
+    rows = spark.createDataFrame([(x,) for x in texts], "line string").select("line", ld.line_id_column(F.col("line")).alias("whole"), ld.line_id_column(F.col("line"), 5).alias("few"))
+    assert all(r.whole % (1 << 64) == ld.line_id(r.line) and r.few == ld.line_id(r.line, 5) for r in rows.collect())

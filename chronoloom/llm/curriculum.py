@@ -103,21 +103,26 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def oracle(table: str = "documents") -> str:
-    """DuckDB SQL for the registered query."""
+    """DuckDB SQL for the registered query, positions rounded."""
+    # The share of its demand that a source's schedule has reached, turned into the time at which it does.
+    due = "CASE WHEN ramp = 0 THEN {0} ELSE ((ramp + 1) - sqrt(greatest((ramp + 1) * (ramp + 1) - ramp * {0} * 4, 0))) / (ramp * 2) END"
     return rf"""
 WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'v' || source END AS k,
                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
                   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h FROM {table}),
 s AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY k),
-n AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY starts_with(k, 'n'), k) - 1) % 3 + 1] AS w FROM s),
+o AS (SELECT *, (row_number() OVER (ORDER BY starts_with(k, 'n'), k) - 1) % 3 + 1 AS i FROM s),
+n AS (SELECT k, source_size, [5, 2, 1][i] AS w, CAST([0.5, 0.0, -0.5][i] AS DOUBLE) AS ramp FROM o),
 c AS (SELECT *, 2 * source_size AS cap, 2 * source_size / w AS ratio FROM n),
 l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 3 / 2 - CAST(coalesce(sum(cap) OVER (ORDER BY ratio, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
                 / CAST(sum(w) OVER (ORDER BY ratio, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM c),
-t AS (SELECT k, source_size, CASE WHEN level >= ratio THEN CAST(cap AS DOUBLE)
+t AS (SELECT k, source_size, ramp, CASE WHEN level >= ratio THEN CAST(cap AS DOUBLE)
              ELSE (SELECT arg_min(level, ratio) FROM (SELECT level, ratio, k FROM l WHERE level < ratio ORDER BY ratio, k LIMIT 1)) * w END AS target FROM l),
-r AS (SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS whole,
+r AS (SELECT doc_id, size, source_size, target, ramp, CAST(floor(target) AS BIGINT) AS whole,
              CAST(coalesce(sum(size) OVER (PARTITION BY d.k ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
-      FROM d JOIN t USING (k))
-SELECT doc_id, size, source_size, target,
-       greatest(least(whole - before, size), 0) + greatest(least(whole - before - source_size, size), 0) AS taken
-FROM r"""
+      FROM d JOIN t USING (k)),
+p AS (SELECT *, greatest(least(whole - before, size), 0) AS first, greatest(least(whole - before - source_size, size), 0) AS second,
+             CASE WHEN target > 0 THEN before / target END AS share, CASE WHEN target > 0 THEN (before + source_size) / target END AS share_again FROM r)
+SELECT doc_id, size, source_size, target, first + second AS taken,
+       CASE WHEN first > 0 THEN round({due.format("share")}, 9) + 0 END AS position, CASE WHEN second > 0 THEN round({due.format("share_again")}, 9) + 0 END AS again
+FROM p"""

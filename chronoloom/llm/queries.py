@@ -49,7 +49,8 @@ def op8_site_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum.mix_plan(_table(spark, sf_dir, "documents")).drop("position", "again")
+    plan = curriculum.mix_plan(_table(spark, sf_dir, "documents"))
+    return plan.withColumns({c: F.round(c, 9) for c in ("position", "again")})
 
 
 def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:

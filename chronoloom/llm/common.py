@@ -58,6 +58,12 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Deletes a table below the shared folder that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 #: Hash ranges into which a group is cut for running totals.
 BUCKETS = 1024
 

@@ -31,7 +31,8 @@ MAX_PASSES = 2
 def _rows(docs: DataFrame) -> DataFrame:
     size = F.size(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD_PATTERN), F.lit(0))).cast("long")
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col("source")))
-    return docs.withColumn("_key", key).withColumn("_order", spread(F.col("doc_id"))).withColumn("_size", size)
+    # The row itself is one column, so no name of its own can clash with those beside it.
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.hash(F.col("text")).alias("_text"), key.alias("_key"), spread(F.col("doc_id")).alias("_order"), size.alias("_size"))
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def _assigned(rows: DataFrame) -> DataFrame:
     sums = write_table(bucket_sums(rows, F.col("_size")), "source-sums")
     targets = source_targets(sums.groupBy("_key").agg(F.sum("_sum").alias("source_size")))
     starts = bucket_starts(sums).join(targets, "_key")
-    ties = [F.col("doc_id"), F.col("_size"), F.hash(F.col("text")) if "text" in rows.columns else F.lit(0)]
+    ties = [F.col("doc_id"), F.col("_size"), F.col("_text")]
     laid = running_totals(rows, starts, F.col("_size"), ties, "_before")
     whole = F.floor("_target").cast("long")
     part = lambda p: F.greatest(F.least(whole - F.col("_before") - F.col("_source_size") * p, F.col("_size")), F.lit(0).cast("long"))
@@ -87,7 +88,7 @@ def mix_plan(docs: DataFrame) -> DataFrame:
     Words are counted once: the narrow table is written before it is read again. Other columns do
     not matter; an empty table gives an empty result.
     """
-    rows = write_table(_rows(docs).select("doc_id", "_key", "_order", "_size"), "mix-sizes")
+    rows = write_table(_rows(docs).select("doc_id", "_text", "_key", "_order", "_size"), "mix-sizes")
     plan = _assigned(rows).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), F.get("_starts", F.lit(0)).alias("position"), F.get("_starts", F.lit(1)).alias("again"))
     return plan.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
@@ -98,8 +99,8 @@ def mix(docs: DataFrame) -> DataFrame:
     The document at the end of a source's target, of which the mix takes a part, is kept whole.
     Documents without words are in no mix. Columns are those of ``docs``.
     """
-    taken = _assigned(_rows(docs)).select(*docs.columns, F.explode(F.array_compact("_starts")).alias("_position"))
-    return taken.repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id").drop("_position")
+    taken = _assigned(_rows(docs)).select("row", "doc_id", F.explode(F.array_compact("_starts")).alias("_position"))
+    return taken.repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id").select("row.*")
 
 
 def oracle(table: str = "documents") -> str:

@@ -253,8 +253,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: i
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item. Rows with a null id are judged by their text too."""
-    keyed = docs.withColumn("_print", F.xxhash64(F.col("doc_id"), F.col("text")))
-    hits = find_contamination(keyed.select(F.col("_print").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_hit")).distinct()
+    row_print = F.xxhash64(F.col("doc_id"), F.col("text"))
+    keyed = docs.select(F.struct("*").alias("row"), row_print.alias("_print"))
+    hits = find_contamination(docs.select(row_print.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_hit")).distinct()
     # As a table its size is known when the join is planned: if it is small, the documents do not move.
     hits = write_table(hits, "contaminated")
-    return keyed.join(hits, F.col("_print") == F.col("_hit"), "left_anti").select(*docs.columns)
+    return keyed.join(hits, F.col("_print") == F.col("_hit"), "left_anti").select("row.*")

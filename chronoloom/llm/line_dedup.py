@@ -370,4 +370,5 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     lines = F.split(F.col("text"), "\n", -1)
     left = F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("_dropped"), s["i"]))["x"], "\n")
     text = F.when(F.col("_dropped").isNull() | F.col("text").isNull(), F.col("text")).otherwise(left)
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("text", text).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("text"))
+    return rows.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(F.col("row").withField("text", text).alias("row")).select("row.*")

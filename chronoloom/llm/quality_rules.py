@@ -154,7 +154,9 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass the base and every rule, with the columns of ``docs``."""
-    return judge(docs).where("_verdict.kept").select(*docs.columns)
+    # The row itself is one column, so a column of its own named _verdict is kept.
+    rows = docs.select(F.struct("*").alias("row"), F.col("text"))
+    return judge(rows).where("_verdict.kept").select("row.*")
 
 
 def oracle(table: str = "documents") -> str:

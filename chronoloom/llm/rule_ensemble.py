@@ -187,14 +187,14 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model:
     """Fits ``labels.quality`` on the texts of at most ``max_rows`` labelled rows that are not held out.
 
-    Rows are chosen by a hash of their id; an id with several labels takes the greatest; null ids
-    and labels are passed over.
+    Rows are chosen by a hash of their id; an id with several labels takes the greatest, one with
+    several texts the least; null ids and labels are passed over.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     sample = usable.groupBy("doc_id").agg(F.max("quality").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # At most max_rows rows of two numbers.
-    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = with_statistics(known).select("doc_id", "_label", *[F.col(f"_stats.{s}").alias(s) for s in STATISTICS]).orderBy("doc_id", *STATISTICS).limit(2 * max_rows).toPandas()
+    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
+    rows = with_statistics(known).select("doc_id", "_label", *[F.col(f"_stats.{s}").alias(s) for s in STATISTICS]).toPandas().sort_values("doc_id")
     return fit_rules(rows[list(STATISTICS)].to_numpy(float), rows["_label"].to_numpy(float))
 
 

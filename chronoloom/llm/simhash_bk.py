@@ -1,9 +1,10 @@
 """SimHash near-duplicates, found with BK-trees.
 
 Method. Every text gets a 64-bit fingerprint of its three-word shingles. Two different fingerprints
-link if at most ``RADIUS`` bits differ. Of the four 16-bit blocks of such a pair one at least is
-equal, so each distinct fingerprint is sent to the shard of each of its blocks; a shard holds one
-BK-tree per block value. In a BK-tree the children of a node are keyed by their integer Hamming
+link if at most ``RADIUS`` bits differ. Of the ``BLOCKS`` blocks of such a pair all but ``RADIUS`` at
+least are equal, so each distinct fingerprint is sent to the shard of each choice of so many of its
+blocks (20 choices of 3 of 6, each of 32 bits or so: unlike single blocks of 16 bits they stay rare
+in a corpus of billions); a shard holds one BK-tree per value of a choice. In a BK-tree the children of a node are keyed by their integer Hamming
 distance to it, so a search of radius r that stands at distance d from a node follows only edges
 d-r..d+r. Trees are built and searched level by level in numpy, many searches at once.
 
@@ -16,11 +17,12 @@ a large group of near copies yields as many links as it has fingerprints, not th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import write_table
@@ -28,6 +30,8 @@ from chronoloom.llm.components import connected_components
 
 #: Bits in which two linked fingerprints may differ.
 RADIUS = 3
+#: Blocks of a fingerprint, of which all but RADIUS must agree.
+BLOCKS = 6
 #: Words in a shingle.
 SHINGLE_WORDS = 3
 #: Seed of the shingle hash.
@@ -61,7 +65,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): one row per row of ``docs``; fp is the fingerprint as a signed long."""
-    return docs.select("doc_id", F.col("text").cast("binary").alias("body")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
 def _ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,10 +173,22 @@ def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 65536].view(np.int64)), pa.array(b[at : at + 65536].view(np.int64))], names=["a", "b"])
 
 
+def block_keys(fp: Column, blocks: int = BLOCKS, radius: int = RADIUS) -> list[Column]:
+    """A long for each choice of ``blocks - radius`` blocks; two prints within the radius share one at least."""
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    keys = []
+    for n, chosen in enumerate(combinations(range(blocks), blocks - radius)):
+        key = F.lit(n).cast("long")
+        for i in chosen:
+            size = cuts[i + 1] - cuts[i]
+            key = F.shiftleft(key, size).bitwiseOR(F.shiftrightunsigned(fp, cuts[i]).bitwiseAND((1 << size) - 1))
+        keys.append(key)
+    return keys
+
+
 def fingerprint_links(prints: DataFrame) -> DataFrame:
     """(a, b): links between the distinct ``fp`` of ``prints`` that join all within the radius."""
-    blocks = F.array(*[F.lit(i << 16) + F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF) for i in range(RADIUS + 1)])
-    shards = prints.select(F.explode(blocks).alias("block"), "fp").repartition("block")
+    shards = prints.select(F.explode(F.array(*block_keys(F.col("fp")))).alias("block"), "fp").repartition("block")
     return shards.mapInArrow(_shard_links, "a long, b long")
 
 
@@ -202,13 +218,15 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each component its least doc_id stays.
 
-    Of rows with that same doc_id one stays. Rows with a null doc_id stay, as no id names them.
+    Of rows with that same doc_id one stays, the least. Rows with a null doc_id stay, as no id names them.
     """
     from pyspark.sql.window import Window
 
+    # The row itself is one column, so no name of its own can clash with those beside it.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
     kept = near_duplicate_components(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    # Fixes which of several rows of one id stays: the least text, then the least of the rest.
-    rank = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    first = named.withColumn("_rank", F.row_number().over(rank)).where("_rank = 1").drop("_rank")
-    return first.unionByName(docs.where(F.col("doc_id").isNull()))
+    named = rows.where(F.col("id").isNotNull()).join(kept, F.col("id") == F.col("_kept"), "left_semi")
+    # Fixes which of several rows of one id stays: the least by its columns in order.
+    rank = Window.partitionBy("id").orderBy("row")
+    first = named.withColumn("rank", F.row_number().over(rank)).where("rank = 1")
+    return first.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from chronoloom.llm import simhash_bk as sb
 from chronoloom.llm.components import connected_components
 
@@ -96,3 +98,28 @@ def test_nulls_repeats_and_empty_table(spark):
     assert sorted(kept, key=str) == sorted([5, None, None, 9], key=str)
     assert sb.near_duplicate_components(docs.limit(0)).count() == 0
     assert sb.keep_one_per_component(docs.limit(0)).count() == 0
+
+
+def test_prints_within_the_radius_share_a_choice_of_blocks(spark):
+    rng = random.Random(1)
+    rows = []
+    for i in range(400):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), rng.randrange(1, 4)):
+            b ^= 1 << bit
+        rows.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
+    both = spark.createDataFrame(rows, "a long, b long")
+    met = both.select(F.size(F.array_intersect(F.array(*sb.block_keys(F.col("a"))), F.array(*sb.block_keys(F.col("b"))))).alias("n"))
+    assert met.where("n = 0").count() == 0
+    keys = both.limit(50).select(F.array(*sb.block_keys(F.col("a"))).alias("k")).collect()
+    assert all(len(set(r.k)) == 20 for r in keys)
+
+
+def test_other_types_and_clashing_names(spark):
+    rows = [(5, "a b c d", "x", 1), (5, "a b c d", "y", 2), (None, "a b c d", "z", 3), (9, "something else entirely", "w", 4)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _kept string, rank int")
+    assert sorted((r.doc_id, r.component_id) for r in sb.near_duplicate_components(docs).collect() if r.doc_id) == [(5, 5), (5, 5), (9, 9)]
+    kept = sb.keep_one_per_component(docs)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)

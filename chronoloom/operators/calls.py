@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import importlib.util
 import json
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -18,6 +19,35 @@ class Transient(Exception):
     """A failure that may pass: too many requests, or an error of the server."""
 
 
+class TimedOut(Exception):
+    """A call that took longer than it may."""
+
+
+def with_time_limit(model: Model, seconds: float) -> Model:
+    """``model``, given up with TimedOut after so many seconds, retries included; a call that hangs doesn't hold the task up."""
+
+    def call(prompt: str) -> str:
+        said: list = []
+
+        def run() -> None:
+            try:
+                said.append((model(prompt), None))
+            except Exception as failure:
+                said.append((None, failure))
+
+        thread = threading.Thread(target=run, daemon=True)
+        thread.start()
+        thread.join(seconds)
+        if not said:
+            raise TimedOut(f"no reply within {seconds} s")
+        reply, failure = said[0]
+        if failure is not None:
+            raise failure
+        return reply
+
+    return call
+
+
 def stub_model(prompt: str) -> str:
     """A model for tests: its reply depends on the prompt alone."""
     number = int(hashlib.md5(prompt.encode()).hexdigest()[:8], 16)

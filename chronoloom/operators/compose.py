@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import text as tx
 from chronoloom.operators import calls, dedup, judge, markup, retrieval, selection, training, windows
-from chronoloom.streaming.incremental import repeat_until_done
+from chronoloom.streaming.incremental import done_so_far, errors_path, repeat_until_done
 
 #: Tokens kept for an answer.
 GENERATION = 256
+#: Passes over what has failed, and the longest that one item may take.
+PASSES, ITEM_SECONDS = 30, 300.0
 
 
 def timeline_visits(timelines: DataFrame) -> DataFrame:
@@ -119,21 +121,35 @@ def pack_prompts(instructions: DataFrame, timelines: DataFrame, template: str, c
     return cut.select("instruction_id", tx.fill(template, ehr=F.col("kept"), question=F.col("instruction")).alias("prompt"))
 
 
-def judge_all(references: DataFrame, responses: DataFrame, template: str, make_model: Callable[[], calls.Model], path: str, passes: int = 30) -> DataFrame:
-    """Judges every reference that has a response, resuming what is below ``path``; (instruction_id, scores, error)."""
-    inputs = judge.judge_inputs(references.where("annotator_num = 'Annotator_1'"), responses, template).select("instruction_id", "prompt")
-    work = lambda rows: calls.generate(rows, "instruction_id", make_model)
-    repeat_until_done(inputs, "instruction_id", work, path, passes)
-    return references.sparkSession.read.parquet(path).withColumn("scores", judge.repaired_scores(F.col("response"))).select("instruction_id", "scores", "error")
+def judge_all(references: DataFrame, responses: DataFrame, template: str, make_model: Callable[[], calls.Model], path: str, passes: int = PASSES, records: DataFrame | None = None, context: int = 16_384, seconds: float = ITEM_SECONDS) -> DataFrame:
+    """Judges every reference that has a response, resuming what is below ``path``: (instruction_id, scores, error).
+
+    A call that fails or takes longer than ``seconds`` is tried again in the next pass; what still
+    fails after the last one comes back with its last error and null scores.
+    """
+    inputs = judge.judge_inputs(references.where("annotator_num = 'Annotator_1'"), responses, template, records=records, context=context).select("instruction_id", "prompt")
+    replies = _asked_until_done(inputs, "instruction_id", make_model, path, passes, seconds)
+    return replies.withColumn("scores", judge.repaired_scores(F.col("response"))).select("instruction_id", "scores", "error")
+
+
+def _asked_until_done(asked: DataFrame, key: str, make_model: Callable[[], calls.Model], path: str, passes: int, seconds: float) -> DataFrame:
+    """(key, response, error) of every prompt: its reply, or else its failure."""
+    work = lambda rows: calls.generate(rows, key, lambda: calls.with_time_limit(make_model(), seconds))
+    left = repeat_until_done(asked, key, work, path, passes)
+    spark, shape = asked.sparkSession, work(asked.limit(0))
+    done = done_so_far(spark, path, shape)
+    if not left:
+        return done
+    failed = dedup.unprocessed(done_so_far(spark, errors_path(path), shape), done, key)
+    return done.unionByName(failed.groupBy(key).agg(F.lit(None).cast("string").alias("response"), F.max("error").alias("error")))
 
 
-def compare_models(references: DataFrame, a: DataFrame, b: DataFrame, template: str, make_model: Callable[[], calls.Model], path: str, passes: int = 30) -> DataFrame:
-    """Win, loss and tie rates of model a against b over both orders, resuming what is below ``path``."""
+def compare_models(references: DataFrame, a: DataFrame, b: DataFrame, template: str, make_model: Callable[[], calls.Model], path: str, passes: int = PASSES, seconds: float = ITEM_SECONDS) -> DataFrame:
+    """Win, loss and tie rates of model a against b over both orders, resuming what is below ``path``; failures count for nothing."""
     samples = judge.head_to_head_samples(references, a, b)
     asked = samples.withColumn("prompt", tx.fill(template, ans1=F.col("ans1"), ans2=F.col("ans2")))
-    work = lambda rows: calls.generate(rows, "question_id", make_model)
-    repeat_until_done(asked.select("question_id", "prompt"), "question_id", work, path, passes)
-    said = samples.select("question_id", "order").join(references.sparkSession.read.parquet(path), "question_id")
+    replies = _asked_until_done(asked.select("question_id", "prompt"), "question_id", make_model, path, passes, seconds)
+    said = samples.select("question_id", "order").join(replies, "question_id")
     return judge.win_rates(said.select(F.col("response").alias("result"), "order"))
 
 

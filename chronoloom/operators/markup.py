@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from chronoloom.functions.text import dynamic_compare
+from chronoloom.functions.text import dynamic_compare, token_count
 
 #: A visit with its events, from markup that need not be well-formed as a whole.
 EVENT = "struct<tag: string, attributes: map<string,string>, text: string>"
@@ -22,6 +22,26 @@ def visit_strings(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?s)(<visit\b[^>]*?/>|<visit\b.*?</visit>)"), F.lit(1))
 
 
+def trailing_record(record: Column, budget: Column) -> Column:
+    """A record with the latest of its visits whose tokens together are within the budget, in their order.
+
+    Stops at the first that doesn't fit. A record without a root element gives its visits alone; null gives ''.
+    """
+    visits = visit_strings(record)
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+    def step(acc: Column, size: Column) -> Column:
+        fits = acc["open"] & (acc["sum"] + size <= budget)
+        return F.struct(F.when(fits, acc["sum"] + size).otherwise(acc["sum"]).alias("sum"), F.when(fits, acc["n"] + 1).otherwise(acc["n"]).alias("n"), fits.alias("open"))
+
+    n = F.aggregate(F.reverse(F.transform(visits, token_count)), start, step, lambda acc: acc["n"])
+    kept = F.array_join(F.slice(visits, F.size(visits) - n + 1, n), "")
+    name = F.regexp_extract(F.coalesce(record, F.lit("")), r"^\s*<([A-Za-z_][\w.:-]*)", 1)
+    head = F.regexp_extract(record, r"^\s*(<[A-Za-z_][^>]*?)\s*/?>", 1)
+    rooted = (name != "") & (F.lower(name) != "visit")
+    return F.when(rooted, F.concat(head, F.lit(">"), kept, F.lit("</"), name, F.lit(">"))).otherwise(F.coalesce(kept, F.lit("")))
+
+
 def start_attribute(visit: Column) -> Column:
     return F.nullif(F.regexp_extract(visit, r'^<visit\b[^>]*?\bstart="([^"]*)"', 1), F.lit(""))
 

@@ -94,18 +94,24 @@ def nested_samples(rows: DataFrame, sizes: list[int], key: str, seed: int = 0) -
     return numbered.withColumn("size", each).where(F.col("_position") < F.col("size")).drop("_order", "_position")
 
 
-def bootstrap(values: DataFrame, value: str, group: list[str], replicates: int = 10_000, seed: int = 0, low: float = 0.025, high: float = 0.975) -> DataFrame:
+def bootstrap(values: DataFrame, value: str, group: list[str], replicates: int = 10_000, seed: int = 0, low: float = 0.025, high: float = 0.975, block: int = 100) -> DataFrame:
     """(group, n, mean, lower, upper, half_width): bootstrap interval of the mean.
 
     A replicate draws n values with replacement; draw i of replicate b takes the value whose number
-    is a hash of (seed, b, i) modulo n. The values of a group are numbered and gathered once; each
-    replicate is a sum over that array, so replicates x n rows never exist at the same time.
+    is the i % 4th part of a hash of (seed, b, i // 4), modulo n. The values of a group are gathered once and sent to one task
+    for every ``block`` replicates, each a sum over the array, so replicates x n rows never exist.
     """
-    held = values.where(F.col(value).isNotNull()).groupBy(*group).agg(F.sort_array(F.collect_list(value)).alias("_v")).withColumn("n", F.size("_v").cast("long"))
-    index = lambda b, i: (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), b.cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n")).cast("int")
-    each = held.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    mean = F.aggregate(F.sequence(F.lit(0), F.size("_v") - 1), F.lit(0.0), lambda acc, i: acc + F.get(F.col("_v"), index(F.col("b"), i)).cast("double")) / F.col("n")
-    means = each.withColumn("_m", mean)
-    ci = means.groupBy(*group).agg(F.min("n").alias("n"), F.percentile("_m", F.array(F.lit(low), F.lit(high))).alias("_p"), F.first(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x.cast("double")) / F.col("n")).alias("mean"))
+    held = values.where(F.col(value).isNotNull()).groupBy(*group).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_v")).withColumn("n", F.size("_v").cast("long"))
+    mean_of = lambda own: F.aggregate(own, F.lit(0.0), lambda acc, x: acc + x) / F.col("n")
+    blocks = -(-replicates // block)
+    each = held.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(*group, "_block")
+    hashes = lambda b: F.transform(F.sequence(F.lit(0), F.floor((F.size("_v") - 1) / 4).cast("int")), lambda i: F.md5(F.concat(b, i.cast("string"))))
+    numbers = lambda b: F.slice(F.flatten(F.transform(hashes(b), lambda h: F.array(*[F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("long") for k in range(4)]))), 1, F.size("_v"))
+    drawn = lambda b: F.aggregate(numbers(b), F.lit(0.0), lambda acc, x: acc + F.get(F.col("_v"), (x % F.col("n")).cast("int"))) / F.col("n")
+    first = F.col("_block") * block
+    own = F.sequence(first, F.least(first + block, F.lit(replicates)) - 1)
+    means = F.transform(F.transform(own, lambda b: F.concat(F.lit(f"{seed}|"), b.cast("string"), F.lit("|"))), drawn)
+    ci = each.select(*group, "n", F.when(F.col("_block") == 0, mean_of(F.col("_v"))).alias("mean"), F.explode(means).alias("_m"))
+    ci = ci.groupBy(*group).agg(F.min("n").alias("n"), F.percentile("_m", F.array(F.lit(low), F.lit(high))).alias("_p"), F.max("mean").alias("mean"))
     lower, upper = F.get("_p", F.lit(0)), F.get("_p", F.lit(1))
     return ci.select(*group, "n", "mean", lower.alias("lower"), upper.alias("upper"), ((upper - lower) / 2).alias("half_width"))

@@ -78,7 +78,7 @@ def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema(shape).option("pathGlobFilter", "*.parquet").parquet(_as_folder(spark, sf_dir))
     work = lambda rows: rows.select("event_id", F.to_date("ts").cast("string").alias("day"))
     incremental.stream_results(source, "event_id", work, path, _folder(spark, "offsets")).awaitTermination()
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).select("event_id", "day")
 
 
 def _as_folder(spark: SparkSession, sf_dir: str) -> str:

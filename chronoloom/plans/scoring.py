@@ -80,7 +80,7 @@ def judge_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judge_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = judge.criterion_scores(_judged(spark, sf_dir), "correctness").withColumn("criterion", F.lit("correctness"))
-    found = sampling.bootstrap(values, "value", ["criterion"], 200)
+    found = sampling.bootstrap(values, "value", ["criterion"])
     return found.select("criterion", "n", *_r("mean", "lower", "upper", "half_width"))
 
 
@@ -185,7 +185,7 @@ SELECT text_id, round(precision, 6) AS precision, round(recall, 6) AS recall, ro
     "judge_average": f"{_JUDGED} SELECT model_name, round(coalesce(avg(correctness), 0), 6) AS correctness, round(coalesce(avg(completeness), 0), 6) AS completeness FROM j GROUP BY model_name",
     "judge_bootstrap": f"""{_JUDGED},
 v AS (SELECT correctness AS x, row_number() OVER (ORDER BY correctness) - 1 AS i, count(*) OVER () AS n FROM j WHERE correctness IS NOT NULL),
-d AS (SELECT b.range AS b, CAST('0x' || substr(md5('0|' || b.range || '|' || v.i), 1, 8) AS BIGINT) % n AS i FROM v, range(200) b),
+d AS (SELECT b.range AS b, CAST('0x' || substr(md5('0|' || b.range || '|' || v.i // 4), CAST(1 + 8 * (v.i % 4) AS INTEGER), 8) AS BIGINT) % n AS i FROM v, range(10000) b),
 m AS (SELECT b, avg(x) AS m FROM d JOIN v USING (i) GROUP BY b),
 q AS (SELECT quantile_cont(m, 0.025) AS lower, quantile_cont(m, 0.975) AS upper FROM m)
 SELECT 'correctness' AS criterion, (SELECT count(*) FROM v) AS n, round((SELECT avg(x) FROM v), 6) AS mean, round(lower, 6) AS lower, round(upper, 6) AS upper, round((upper - lower) / 2, 6) AS half_width FROM q""",

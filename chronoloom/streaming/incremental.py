@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,24 +11,51 @@ from pyspark.sql.streaming import StreamingQuery
 from chronoloom.operators.dedup import unprocessed
 
 
+def _filesystem(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def errors_path(path: str) -> str:
+    """Where the failures of work with results below ``path`` are kept."""
+    return path.rstrip("/") + ".errors"
+
+
 def done_so_far(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """Results written before, or an empty table of the same columns."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    target, files = _filesystem(spark, path)
+    if files.exists(target):
         return spark.read.schema(like.schema).parquet(path)
     return spark.createDataFrame([], like.schema)
 
 
 def resume(rows: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], path: str) -> int:
-    """Works on the rows whose key has no result below ``path`` and appends theirs; returns how many were left."""
+    """Works on the rows whose key has no result below ``path`` and appends theirs; returns how many were left.
+
+    Where results have an ``error``, rows with one are no results: they are kept below
+    ``errors_path`` and tried again the next time. The work is done once, written, and then parted.
+    """
     shape = work(rows.limit(0))
     left = unprocessed(rows, done_so_far(rows.sparkSession, path, shape), key)
     n = left.count()
     if n:
-        work(left).write.mode("append").parquet(path)
+        _append(work(left), path)
     return n
 
 
+def _append(found: DataFrame, path: str, mode: str = "append", below: str = "") -> None:
+    if "error" not in found.columns:
+        found.write.mode(mode).parquet(path + below)
+        return
+    spark, attempt = found.sparkSession, f"{path.rstrip('/')}.attempt-{uuid.uuid4().hex}"
+    found.write.parquet(attempt)
+    tried = spark.read.schema(found.schema).parquet(attempt)
+    tried.where("error IS NULL").write.mode(mode).parquet(path + below)
+    tried.where("error IS NOT NULL").write.mode(mode).parquet(errors_path(path) + below)
+    target, files = _filesystem(spark, attempt)
+    files.delete(target, True)
+
+
 def repeat_until_done(rows: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], path: str, passes: int = 30) -> int:
     """Passes of ``resume`` until nothing is left; returns how many rows still are after the last pass."""
     for _ in range(passes):
@@ -37,12 +65,14 @@ def repeat_until_done(rows: DataFrame, key: str, work: Callable[[DataFrame], Dat
 
 
 def stream_results(source: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """A stream whose micro-batches append results for keys that have none yet.
+    """A stream that appends one result for each key it meets.
 
-    A batch that is repeated after a failure meets its own results and adds nothing twice.
+    Keys met before are known from the stream's own state (a row per key, sharded by key), so no
+    batch reads earlier results. A batch has a folder of its own and replaces it if it is repeated
+    after a failure. Rows with an ``error`` go below ``errors_path``.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        resume(batch.dropDuplicates([key]), key, work, path)
+    def write(batch: DataFrame, number: int) -> None:
+        _append(work(batch), path, "overwrite", f"/batch={number}")
 
-    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return source.dropDuplicates([key]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

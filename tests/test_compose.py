@@ -1,4 +1,7 @@
+import glob
+import hashlib
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +82,59 @@ def test_tuning_examples(spark):
     pairs = spark.range(10).select(F.col("id").alias("k"), F.lit("i").alias("instruction"), F.lit("a b c").alias("input"), F.lit("o").alias("output"))
     assert compose.tuning_examples(pairs, "{instruction} {input}", 100, "train", "k").count() == 8
     assert compose.tuning_examples(pairs, "{instruction} {input}", 100, "val", "k").count() == 2
+
+
+def failing_twice(folder):
+    """A model that fails the first two times it is asked something; what was asked is counted in files, as workers share nothing else."""
+
+    def make():
+        def model(prompt):
+            name = f"{folder}/{hashlib.md5(prompt.encode()).hexdigest()}"
+            tried = len(glob.glob(f"{name}-*"))
+            open(f"{name}-{tried}", "w").close()
+            if "never" in prompt:
+                raise ValueError("refused")
+            if tried < 2:
+                raise calls.Transient("busy")
+            return calls.stub_model(prompt)
+
+        return model
+
+    return make
+
+
+def test_failures_are_tried_again(spark, tmp_path):
+    references = spark.createDataFrame([(i, f"q{i}" if i else "never", f"r{i}", "Annotator_1") for i in range(4)], "instruction_id int, instruction string, reference_answer string, annotator_num string")
+    answers = spark.createDataFrame([(i, None if i == 2 else f"a{i}", 0) for i in range(4)], "instruction_id int, model_response string, position int")
+    (tmp_path / "asked").mkdir()
+    path = "file://" + str(tmp_path / "j")
+    ask = lambda passes: {r.instruction_id: r for r in compose.judge_all(references, answers, "{instruction} {response}", failing_twice(str(tmp_path / "asked")), path, passes).collect()}
+    assert all(r.error and r.scores.correctness is None for r in ask(2).values())
+    third = ask(1)
+    assert [third[i].error for i in range(4)] == ["refused", None, None, None] and third[1].scores.correctness is not None
+    assert len(list((tmp_path / "asked").iterdir())) == 4 * 3
+    ask(2)
+    assert len(list((tmp_path / "asked").iterdir())) == 4 * 3 + 2  # only what failed is asked again
+
+
+def test_calls_have_a_time_limit():
+    slow = calls.with_time_limit(lambda p: time.sleep(5) or p, 0.05)
+    began = time.monotonic()
+    with pytest.raises(calls.TimedOut):
+        slow("x")
+    assert time.monotonic() - began < 2
+    assert calls.with_time_limit(lambda p: p + "!", 5)("x") == "x!"
+    with pytest.raises(ValueError):
+        calls.with_time_limit(lambda p: int(p), 5)("x")
+
+
+def test_the_judge_sees_the_latest_visits_that_fit(spark, timelines):
+    records = timelines.select(F.concat(F.col("person_id"), F.lit(".xml")).alias("filename"), "text")
+    references = spark.createDataFrame([(1, "what now", "an answer", "p1.xml"), (2, "what now", "an answer", "gone.xml")], "instruction_id int, instruction string, reference_answer string, filename string")
+    answers = spark.createDataFrame([(1, None, 0), (2, "a b", 0)], "instruction_id int, model_response string, position int")
+    prompts = {r.instruction_id: r.prompt for r in judge.judge_inputs(references, answers, "Record {ehr} asked {instruction} said {response} right {reference}", records=records, context=125).collect()}
+    assert prompts[2] == "Record  asked what now said a b right an answer"
+    assert "said [No response provided] right" in prompts[1] and prompts[1].count("<visit") == 6
+    long = spark.createDataFrame([("p1.xml", "<ehr id='7'>" + "".join(f'<visit start="{i}">' + "w " * 30 + "</visit>" for i in range(6)) + "</ehr>")], "filename string, text string")
+    short = judge.judge_inputs(references.where("instruction_id = 1"), answers, "{ehr} {instruction}", records=long, context=10).first().prompt
+    assert short.startswith("<ehr id='7'><visit start=\"3\">") and short.endswith("</visit></ehr> what now")  # three of 32 tokens are within 100

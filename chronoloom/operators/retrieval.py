@@ -12,15 +12,19 @@ from chronoloom.functions.text import fill, tokens, visit_time
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str) -> DataFrame:
-    """(group, query, doc, score, n_tokens) of every document of a query's group, best first not guaranteed.
+def _sized(corpus: DataFrame, group: str, doc: str) -> DataFrame:
+    return corpus.select(group, doc, tokens(F.col("text")).alias("_t")).withColumn("n_tokens", F.size("_t").cast("long"))
+
+
+def bm25_hits(corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str) -> DataFrame:
+    """(group, query, doc, n_tokens, score) of the documents of a query's group that hold one of its terms.
 
     ``corpus``: group, doc, text; ``queries``: query, group, text. Each group is a corpus of its
-    own. Documents without a query term score 0. Terms are whitespace tokens, and case counts. A
-    term in more than half of the documents would weigh below zero; it weighs EPSILON times the
-    mean weight of its group's terms instead. Only terms that queries use meet the query table.
+    own. Terms are whitespace tokens, and case counts. A term in more than half of the documents
+    would weigh below zero; it weighs EPSILON times the mean weight of its group's terms instead.
+    Only terms that queries use meet the query table.
     """
-    sized = corpus.select(group, doc, tokens(F.col("text")).alias("_t")).withColumn("n_tokens", F.size("_t").cast("long"))
+    sized = _sized(corpus, group, doc)
     sizes = sized.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.avg("n_tokens").alias("_mean"))
     asked = queries.select(query, group, F.explode(tokens(F.col("text"))).alias("term"))
     # Term frequencies are needed for the queries' terms only, document frequencies for all.
@@ -31,11 +35,47 @@ def bm25(corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str
     raw = df.withColumn("_idf", F.log(F.col("_n") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5))
     floor = raw.groupBy(group).agg((F.avg("_idf") * EPSILON).alias("_floor"))
     idf = raw.join(floor, group).select(group, "term", F.when(F.col("_idf") < 0, F.col("_floor")).otherwise(F.col("_idf")).alias("idf"))
-    weighed = asked.join(idf, [group, "term"])
+    weighed = asked.groupBy(query, group, "term").agg(F.count(F.lit(1)).alias("_times")).join(idf, [group, "term"])
     norm = F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("_mean"))
-    hits = weighed.join(tf, [group, "term"]).join(sizes, group).groupBy(query, group, doc).agg(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score"))
-    every = queries.select(query, group).join(sized.select(group, doc, "n_tokens"), group)
-    return every.join(hits, [query, group, doc], "left").select(query, group, doc, "n_tokens", F.coalesce("score", F.lit(0.0)).alias("score"))
+    found = weighed.join(tf, [group, "term"]).join(sizes, group)
+    return found.groupBy(group, query, doc, "n_tokens").agg(F.sum(F.col("_times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score"))
+
+
+def bm25(corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str) -> DataFrame:
+    """(group, query, doc, n_tokens, score) of every document of a query's group; those without a query term score 0.
+
+    For groups of a bounded size, such as a person's visits; see ``best`` and ``fitting`` for others.
+    """
+    return _every(bm25_hits(corpus, queries, group, doc, query), corpus, queries, group, doc, query)
+
+
+def _every(hits: DataFrame, corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str) -> DataFrame:
+    every = queries.select(query, group).join(_sized(corpus, group, doc).drop("_t"), group)
+    return every.join(hits.drop("n_tokens"), [group, query, doc], "left").select(group, query, doc, "n_tokens", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def _ranked(hits: DataFrame, corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str, enough) -> DataFrame:
+    """The hits that score above 0 where they are ``enough`` (an aggregate) for a query, else all documents of its group.
+
+    So a query is joined with documents that it doesn't hit only if its hits don't fill its result.
+    """
+    positive = hits.where(F.round("score", 9) > 0)
+    served = positive.groupBy(query).agg(enough.alias("_enough")).where("_enough").select(query)
+    lacking = queries.join(served, query, "left_anti")
+    rest = _every(hits.join(lacking.select(query), query, "left_semi"), corpus, lacking, group, doc, query)
+    return positive.join(served, query, "left_semi").select(*rest.columns).unionByName(rest)
+
+
+def best(corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str, k: int) -> DataFrame:
+    """Each query's k best documents of its group with their rank, ties by document."""
+    hits = bm25_hits(corpus, queries, group, doc, query)
+    return top_k(_ranked(hits, corpus, queries, group, doc, query, F.count(F.lit(1)) >= k), query, doc, k)
+
+
+def fitting(corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str, target: int) -> DataFrame:
+    """Each query's best documents of its group up to ``target`` tokens, the one that crosses it included."""
+    hits = bm25_hits(corpus, queries, group, doc, query)
+    return fit_by_rank(_ranked(hits, corpus, queries, group, doc, query, F.sum("n_tokens") > target), query, doc, target)
 
 
 def top_k(ranked: DataFrame, query: str, doc: str, k: int) -> DataFrame:
@@ -47,16 +87,24 @@ def top_k(ranked: DataFrame, query: str, doc: str, k: int) -> DataFrame:
 def fit_by_rank(ranked: DataFrame, query: str, doc: str, target: int) -> DataFrame:
     """Each query's best documents up to ``target`` tokens; the one that crosses it is the last kept.
 
-    A document is kept if those before it do not exceed the target yet.
+    A document is kept if those before it do not exceed the target yet. Of documents with tokens the
+    first ``target`` + 1 by rank are enough, so each task passes on no more than these.
     """
     order = Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), doc)
+    sized, empty = ranked.where("n_tokens > 0"), ranked.where("n_tokens <= 0")
+    near = sized.withColumn("_near", F.row_number().over(order)).where(F.col("_near") <= target + 1).drop("_near")
+    both = near.unionByName(empty)
     before = F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranked.withColumn("rank", F.row_number().over(order)).withColumn("before", before).where(F.col("before") <= target).drop("before")
+    return both.withColumn("rank", F.row_number().over(order)).withColumn("before", before).where(F.col("before") <= target).drop("before")
+
+
+#: Fixed value: the pattern of a visit's start attribute.
+START = r'start="([\d/]+ [\d:]+ ?[APM]{0,2})"'
 
 
 def start_time(visit: Column) -> Column:
     """The time in a visit's start attribute; the least timestamp if it has none; null if it can't be read."""
-    found = F.regexp_extract(visit, r'start="([\d/]+ [\d:]+ ?[APM]{0,2})"', 1)
+    found = F.regexp_extract(visit, START, 1)
     return F.when(found == "", F.lit("0001-01-01").cast("timestamp")).otherwise(visit_time(F.trim(found)))
 
 

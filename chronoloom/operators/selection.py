@@ -136,7 +136,8 @@ def balanced_with_coverage(rows: DataFrame, n: int, key: str, seed: int = 0, bin
     binned = rows.withColumn("bin", half_open_bin(F.col("relative_position"), bins)).withColumn("_order", _order(key, seed))
     firsts = binned.groupBy("source_file", "bin").agg(F.min(F.struct("_order", F.col(key))).alias("at"))
     held = firsts.groupBy("source_file").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "bin"))), lambda x: x["bin"]).alias("held"))
-    turns = held.orderBy(shuffle_key("source_file", seed=seed), "source_file").coalesce(1).mapInPandas(_least_filled(bins, quota), "source_file string, bin int")
+    ordered = held.repartition(1).sortWithinPartitions(shuffle_key("source_file", seed=seed), "source_file")
+    turns = ordered.mapInPandas(_least_filled(bins, quota), "source_file string, bin int")
     rank = Window.partitionBy("source_file", "bin").orderBy("_order", key)
     cover = binned.join(turns, ["source_file", "bin"]).withColumn("_rank", F.row_number().over(rank)).where("_rank = 1").select(*binned.columns)
     values = [c for c in rows.columns if c != key]

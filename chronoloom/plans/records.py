@@ -205,6 +205,13 @@ _CLEAN = "trim(regexp_replace(coalesce({}, ''), '[^A-Za-z0-9 ]+', ' ', 'g'))"
 _SAID = f"WITH {QA_SQL}, s AS (SELECT pair_id, trim('say ' || {_CLEAN.format('instruction')}) AS q, trim('well ' || {_CLEAN.format('response')}) AS a, 'say ' || {_CLEAN.format('instruction')} AS q0, 'well ' || {_CLEAN.format('response')} AS a0 FROM qa)"
 _FILLED = "'Context: ' || coalesce(response, '') || ' Question: ' || coalesce(instruction, '') || ' (100% of it)'"
 _VISITS = """WITH e AS (SELECT event_id, user_id AS person_id, CAST(ts AS DATE) AS day, event_type, CAST(floor(coalesce(value, 0)) AS BIGINT) AS v, event_id % 3 = 0 AS note FROM events)"""
+#: The timelines' visits as XML, with their tokens.
+_XML = rf"""{_VISITS},
+x AS (SELECT person_id, day, event_id, CASE WHEN note THEN '<note id="' || event_id || '" type="' || event_type || '">seen &amp; noted</note>'
+                                            ELSE '<code id="' || event_id || '" value="' || v || '" type="' || event_type || '"/>' END AS x FROM e),
+d AS (SELECT person_id, day, '<visit start="' || strftime(day, '%m/%d/%Y') || ' 10:00">' || string_agg(x, '' ORDER BY event_id) || '</visit>' AS text FROM x GROUP BY person_id, day),
+t AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY day) - 1 AS visit, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS n FROM d)"""
+_ASKED = "q AS (SELECT DISTINCT person_id, 'type=\"purchase\">seen &amp; person ' || person_id AS instruction FROM t)"
 _IDS = r"[CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 32000 for t in regexp_extract_all(coalesce({}, ''), '[^ \t\n\x0B\f\r]+')]"
 
 _IDS_SQL = f"""WITH {FACTS_SQL}, d AS (SELECT person_id, instruction, response, strftime(evidence, '%m/%d/%Y') AS evidence FROM facts),
@@ -246,5 +253,23 @@ SELECT o_orderkey FROM o WHERE i >= floor(n * 0.8::DOUBLE) AND i < floor(n * 0.8
     # A timeline's tokens are its blanks plus one; 400 less 256 for the answer, 2 for the template and 4 for the instruction are left.
     "packed_prompts": f"""{_VISITS}, d AS (SELECT person_id, 1 + count(DISTINCT day) * 2 + count(*) FILTER (NOT note) * 3 + count(*) FILTER (note) * 4 AS n FROM e GROUP BY person_id)
 SELECT person_id AS instruction_id, CAST(least(n, 138) + 4 AS BIGINT) AS tokens, CAST(person_id AS VARCHAR) AS last FROM d""",
+    "evaluation_windows": f"""{_XML}, s AS (SELECT *, sum(n) OVER (PARTITION BY person_id ORDER BY day DESC ROWS UNBOUNDED PRECEDING) AS total FROM t)
+SELECT person_id, count(*) AS visits, CAST(sum(n) AS BIGINT) AS tokens, CAST(min(day) AS VARCHAR) AS start_date, CAST(max(day) AS VARCHAR) AS end_date, count(*) AS in_prompt
+FROM s WHERE total <= 120 GROUP BY person_id HAVING count(*) >= 3""",
+    # 400 less 256 for the answer, 2 for the template and 4 for the instruction are left for the visits.
+    "rag_prompts": rf"""{_XML}, {_ASKED},
+w AS (SELECT person_id, visit, day, text, n, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w FROM t),
+sz AS (SELECT person_id, count(*) AS docs, avg(n) AS mean FROM w GROUP BY person_id),
+tf AS (SELECT person_id, visit, term, count(*) AS tf FROM (SELECT person_id, visit, unnest(w) AS term FROM w) GROUP BY ALL),
+df AS (SELECT person_id, term, count(*) AS df FROM tf GROUP BY ALL),
+ri AS (SELECT person_id, term, ln(docs - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS idf FROM df JOIN sz USING (person_id)),
+fl AS (SELECT person_id, avg(idf) * 0.25 AS floor FROM ri GROUP BY person_id),
+i AS (SELECT person_id, term, CASE WHEN idf < 0 THEN floor ELSE idf END AS idf FROM ri JOIN fl USING (person_id)),
+a AS (SELECT person_id, unnest(regexp_extract_all(instruction, '[^ \t\n\x0B\f\r]+')) AS term FROM q),
+h AS (SELECT person_id, visit, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))) AS score FROM a JOIN i USING (person_id, term) JOIN tf USING (person_id, term) JOIN w USING (person_id, visit) JOIN sz USING (person_id) GROUP BY ALL),
+s AS (SELECT w.*, coalesce(score, 0.0) AS score FROM w LEFT JOIN h USING (person_id, visit)),
+b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY person_id ORDER BY round(score, 9) DESC, visit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
+k AS (SELECT person_id, regexp_extract_all(string_agg(text, chr(10) ORDER BY day, visit), '[^ \t\n\x0B\f\r]+') AS kept FROM b WHERE before <= 400 GROUP BY person_id)
+SELECT person_id AS instruction_id, md5(array_to_string(kept[greatest(len(kept) - 138, 0) + 1:], ' ') || ' ' || instruction) AS prompt FROM k JOIN q USING (person_id)""",
     "value_bins": "SELECT " + " + ".join(f"CAST(l_discount * 10 >= {i * 0.1!r}::DOUBLE AS INTEGER)" for i in range(1, 10)) + " AS bin, count(*) AS n FROM lineitem GROUP BY bin",
 }

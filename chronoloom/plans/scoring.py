@@ -13,19 +13,19 @@ def _r(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items against the documents of one source each: a corpus per source."""
-    docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", "text")
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 10).cast("string")).alias("source"), "text")
-    return retrieval.bm25(docs, asked, "source", "doc_id", "item_id")
+def _corpus(spark: SparkSession, sf_dir: str) -> dict:
+    """Benchmark items, each against all documents."""
+    docs = table(spark, sf_dir, "documents").select(F.lit("all").alias("corpus"), "doc_id", "text")
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.lit("all").alias("corpus"), "text")
+    return {"corpus": docs, "queries": asked, "group": "corpus", "doc": "doc_id", "query": "item_id"}
 
 
 def bm25_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top_k(_ranked(spark, sf_dir), "item_id", "doc_id", 5).select("item_id", "doc_id", "n_tokens", F.round("score", 6).alias("score"), "rank")
+    return retrieval.best(**_corpus(spark, sf_dir), k=5).select("item_id", "doc_id", "n_tokens", F.round("score", 6).alias("score"), "rank")
 
 
 def rag_overshoot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.fit_by_rank(_ranked(spark, sf_dir), "item_id", "doc_id", 2000).select("item_id", "doc_id", "n_tokens", "rank")
+    return retrieval.fitting(**_corpus(spark, sf_dir), target=2000).select("item_id", "doc_id", "n_tokens", "rank")
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,14 +136,14 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _WORDS = r"regexp_extract_all({}, '[^ \t\n\x0B\f\r]+')"
-_BM25 = rf"""WITH d AS (SELECT coalesce(source, '') AS source, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+_BM25 = rf"""WITH d AS (SELECT 'all' AS source, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 sz AS (SELECT source, count(*) AS n, avg(len(w)) AS mean FROM d GROUP BY source),
 tf AS (SELECT source, doc_id, term, count(*) AS tf FROM (SELECT source, doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
 df AS (SELECT source, term, count(*) AS df FROM tf GROUP BY ALL),
 ri AS (SELECT source, term, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS idf FROM df JOIN sz USING (source)),
 fl AS (SELECT source, avg(idf) * 0.25 AS floor FROM ri GROUP BY source),
 i AS (SELECT source, term, CASE WHEN idf < 0 THEN floor ELSE idf END AS idf FROM ri JOIN fl USING (source)),
-q AS (SELECT item_id, 'src' || (item_id % 10) AS source, {_WORDS.format("text")} AS w FROM benchmark),
+q AS (SELECT item_id, 'all' AS source, {_WORDS.format("text")} AS w FROM benchmark),
 a AS (SELECT item_id, source, unnest(w) AS term FROM q),
 h AS (SELECT item_id, source, d.doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(d.w) / mean))) AS score
       FROM a JOIN i USING (source, term) JOIN tf USING (source, term) JOIN d USING (source, doc_id) JOIN sz USING (source) GROUP BY ALL),
@@ -159,11 +159,34 @@ m AS (SELECT pair_id, sum(least(cr.n, cc.n)) AS m FROM cr JOIN cc USING (pair_id
 x AS (SELECT pair_id, person_id, coalesce(m, 0) / nullif(len(c), 0)::DOUBLE AS p, coalesce(m, 0) / nullif(len(r), 0)::DOUBLE AS rc FROM w LEFT JOIN m USING (pair_id)),
 e AS (SELECT pair_id, person_id, coalesce(p * rc * 10.0 / nullif(rc + p * 9.0, 0), 0.0)::DOUBLE AS s FROM x)"""
 
+#: A row of lengths for each word of the reference, from the row before: each is the greatest so far of what a match or none would give.
+_ROUGE = rf"""WITH RECURSIVE {QA_SQL},
+w AS (SELECT pair_id, {_WORDS.format("coalesce(instruction, '')")} AS r, {_WORDS.format("coalesce(response, '')")} AS c FROM qa),
+d AS (SELECT pair_id, r, c, CAST(0 AS BIGINT) AS i, [0 FOR y IN c] AS row FROM w
+      UNION ALL
+      SELECT pair_id, r, c, i + 1, [list_max(best[:j]) FOR j IN range(1, len(c) + 1)]
+      FROM (SELECT *, [CASE WHEN c[j] = r[i + 1] THEN coalesce(row[j - 1], 0) + 1 ELSE row[j] END FOR j IN range(1, len(c) + 1)] AS best FROM d WHERE i < len(r)))
+SELECT pair_id, round(coalesce(2.0::DOUBLE * coalesce(row[-1], 0) / nullif(len(r) + len(c), 0), 0.0), 6)::DOUBLE AS rouge_l_long FROM d WHERE i = len(r)"""
+
+_SPLIT = r"flatten([CASE WHEN length(x) > 1 AND NOT regexp_matches(right(x, 1), '[\p{L}\p{N}]') THEN [left(x, -1), right(x, 1)] WHEN length(x) > 1 AND NOT regexp_matches(left(x, 1), '[\p{L}\p{N}]') THEN [left(x, 1), substr(x, 2)] ELSE [x] END FOR x IN w])"
+_CHRF = rf"""WITH {QA_SQL},
+t AS (SELECT pair_id, 'r' AS side, {_WORDS.format("coalesce(instruction, '')")} AS w FROM qa UNION ALL SELECT pair_id, 'c', {_WORDS.format("coalesce(response, '')")} FROM qa),
+u AS (SELECT pair_id, side, 6 AS most, [x FOR x IN string_split(array_to_string(w, ''), '') IF x <> ''] AS u FROM t UNION ALL SELECT pair_id, side, 2, {_SPLIT} FROM t),
+k AS (SELECT *, unnest(range(1, most + 1)) AS k FROM u),
+g AS (SELECT pair_id, side, most, k, array_to_string(u[i:i + k - 1], chr(31)) AS g, count(*) AS n FROM (SELECT *, unnest(range(1, len(u) - k + 2)) AS i FROM k) GROUP BY ALL),
+m AS (SELECT pair_id, most, k, sum(least(a.n, b.n)) AS m FROM g a JOIN g b USING (pair_id, most, k, g) WHERE a.side = 'r' AND b.side = 'c' GROUP BY ALL),
+o AS (SELECT pair_id, most, k, max(CASE WHEN side = 'r' THEN greatest(len(u) - k + 1, 0) END) AS tr, max(CASE WHEN side = 'c' THEN greatest(len(u) - k + 1, 0) END) AS tc FROM k GROUP BY ALL),
+p AS (SELECT pair_id, coalesce(m / nullif(tc, 0)::DOUBLE, 0) AS p, coalesce(m / nullif(tr, 0)::DOUBLE, 0) AS r FROM o LEFT JOIN m USING (pair_id, most, k) WHERE tr > 0 OR tc > 0),
+s AS (SELECT pair_id, avg(CASE WHEN p + r > 0 THEN 5.0::DOUBLE * p * r / (4.0::DOUBLE * p + r) ELSE 0 END) * 100 AS s FROM p GROUP BY pair_id)
+SELECT pair_id, round(coalesce(s, 0.0), 6)::DOUBLE AS chrf FROM qa LEFT JOIN s USING (pair_id)"""
+
 _JUDGED = """WITH j AS (SELECT doc_id, coalesce(source, 'none') AS model_name,
       CASE WHEN doc_id % 7 = 0 OR doc_id % 11 <> 0 THEN CAST(quality AS DOUBLE) END AS correctness, CASE WHEN doc_id % 7 = 0 OR doc_id % 11 <> 0 THEN CAST(toxic AS DOUBLE) END AS completeness
       FROM labels JOIN documents USING (doc_id))"""
 
 ORACLES = {
+    "rouge_l": _ROUGE,
+    "chrf": _CHRF,
     "bm25_top5": f"{_BM25} SELECT item_id, doc_id, n_tokens, round(score, 6) AS score, rank FROM r WHERE rank <= 5",
     "rag_overshoot": f"{_BM25}, f AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY item_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r) SELECT item_id, doc_id, n_tokens, rank FROM f WHERE before <= 2000",
     "google_bleu": rf"""WITH {QA_SQL},

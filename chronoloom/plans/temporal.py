@@ -147,7 +147,26 @@ _HISTOGRAM = f"""WITH {FACTS_SQL},
 c AS (SELECT {_RIGHT} AS bin, count(*) AS n FROM facts GROUP BY 1),
 h AS (SELECT CAST(r.range AS INTEGER) AS bin, coalesce(n, 0) AS n FROM range(10) r LEFT JOIN c ON c.bin = r.range)"""
 
+_SAME = " AND ".join(f"f.{c} IS NOT DISTINCT FROM c.{c}" for c in selection.PAIR)
+#: Sources take their turns one after the other; ``fill`` counts the rows of each bin so far.
+_BALANCED = f"""WITH RECURSIVE {FACTS_SQL},
+f AS (SELECT *, {_HALF} AS bin, {shuffle_sql('event_id')} AS o FROM facts),
+firsts AS (SELECT source_file, bin, min((o, event_id)) AS place FROM f GROUP BY ALL),
+held AS (SELECT source_file, list(bin ORDER BY place) AS held FROM firsts GROUP BY source_file),
+turn AS (SELECT *, row_number() OVER (ORDER BY {shuffle_sql('source_file')}, source_file) AS i FROM held),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS source_file, CAST(NULL AS INTEGER) AS bin, [0 FOR x IN range(10)] AS fill
+         UNION ALL
+         SELECT i, source_file, bin, [CASE WHEN j - 1 = bin THEN fill[j] + 1 ELSE fill[j] END FOR j IN range(1, 11)]
+         FROM (SELECT turn.i, turn.source_file, fill, [b FOR b IN turn.held IF fill[b + 1] < {N // 10}] AS open,
+                      open[list_position([fill[b + 1] FOR b IN open], list_min([fill[b + 1] FOR b IN open]))] AS bin
+               FROM walk JOIN turn ON turn.i = walk.i + 1 WHERE list_min(fill) < {N // 10})),
+c AS (SELECT f.* FROM f JOIN walk USING (source_file, bin) QUALIFY row_number() OVER (PARTITION BY source_file, bin ORDER BY o, event_id) = 1),
+r AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM c WHERE {_SAME})),
+b AS (SELECT *, 0 AS late FROM c UNION ALL SELECT *, 1 AS late FROM r)
+SELECT {_COLS}, bin FROM b QUALIFY row_number() OVER (PARTITION BY bin ORDER BY late, o, event_id) <= {N // 10}"""
+
 ORACLES = {
+    "balanced_with_coverage": _BALANCED,
     "position_facts": f"WITH {FACTS_SQL} SELECT {_TEXT} FROM facts",
     "temporal_balanced": f"WITH {FACTS_SQL}, b AS (SELECT *, {_HALF} AS bin FROM facts) SELECT {_COLS}, bin FROM b QUALIFY row_number() OVER (PARTITION BY bin ORDER BY {shuffle_sql('event_id')}, event_id) <= 50",
     "recency_last25": _cover("relative_position >= 0.75", N),

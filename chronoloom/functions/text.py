@@ -19,8 +19,28 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda t: t != "")
 
 
-def token_count(text: Column) -> Column:
-    return F.size(tokens(text))
+def token_count(text: Column, tokenizer: str = "whitespace") -> Column:
+    return F.size(tokenizer_named(tokenizer)(text))
+
+
+def word_tokens(text: Column) -> Column:
+    """Runs of letters and digits, and every other character but white space alone."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}\s])"), F.lit(1))
+
+
+def quarter_tokens(text: Column) -> Column:
+    """Pieces of at most four characters of each whitespace token: a cheap upper estimate of subwords."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([^ \t\n\x0B\f\r]{1,4})"), F.lit(1))
+
+
+#: Tokenizers by name: from a text to the array of its tokens.
+TOKENIZERS = {"whitespace": tokens, "words": word_tokens, "quarters": quarter_tokens}
+
+
+def tokenizer_named(name: str):
+    if name not in TOKENIZERS:
+        raise ValueError(f"no tokenizer named {name!r}; known are {', '.join(TOKENIZERS)}")
+    return TOKENIZERS[name]
 
 
 def strip(text: Column) -> Column:
@@ -121,8 +141,8 @@ def available_tokens(context: Column, *used: Column, least: int = 100) -> Column
     return F.greatest(left, F.lit(least))
 
 
-def last_tokens(text: Column, n: Column) -> Column:
+def last_tokens(text: Column, n: Column, tokenizer: str = "whitespace") -> Column:
     """The last n tokens of a text joined by blanks; '' if n is not positive."""
-    own = tokens(text)
+    own = tokenizer_named(tokenizer)(text)
     kept = F.slice(own, -F.least(n, F.size(own)), F.least(n, F.size(own)))
     return F.when((n <= 0) | (F.size(own) == 0), F.lit("")).otherwise(F.array_join(kept, " "))

@@ -50,6 +50,13 @@ def evaluation_windows(timelines: DataFrame, budget: int, template: str) -> Data
     return fit.join(texts, "person_id").withColumn("prompt", tx.fill(template, ehr=F.col("_text"))).drop("_text")
 
 
+def evaluation_generation(timelines: DataFrame, budget: int, template: str, make_model: Callable[[], calls.Model]) -> DataFrame:
+    """(person_id, tokens, start_date, end_date, response) of each evaluation window that a model answers; failures are left out."""
+    asked = evaluation_windows(timelines, budget, template)
+    replies = calls.generate(asked, "person_id", make_model).where("response IS NOT NULL").select("person_id", "response")
+    return asked.select("person_id", "tokens", "start_date", "end_date").join(replies, "person_id")
+
+
 def positioned_from_responses(responses: DataFrame) -> DataFrame:
     """Positioned pairs from response files: (person_id, window_index, start_date, end_date, response_data, file)."""
     each = responses.select("person_id", "window_index", F.to_date("start_date").alias("start_date"), F.to_date("end_date").alias("end_date"), F.col("file").alias("source_file"), F.explode("response_data").alias("p"))
@@ -67,11 +74,12 @@ def select_all(facts: DataFrame, n: int, key: str, bins: int = 10, cohort: DataF
     }
 
 
-def training_rows_from_files(texts: DataFrame, responses: DataFrame, timelines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def training_rows_from_files(texts: DataFrame, responses: DataFrame, timelines: DataFrame, owner: str = "person_id") -> tuple[DataFrame, DataFrame]:
     """Training rows of generated text files (file, content) and response files, and the files without any pair.
 
     Both give (instruction, input, output, patient_id); the input is the windowed timeline with the
     file's person and window (the first, if several), and patient_id is known for response files.
+    ``owner`` names the timelines' column that file names begin with: person_id, or uid.
     """
     from chronoloom.sources.readers import person_of, window_of
 
@@ -80,7 +88,7 @@ def training_rows_from_files(texts: DataFrame, responses: DataFrame, timelines:
     listed = responses.withColumn("pairs", dedup.valid_pairs(F.col("response_data")))
     other = listed.select("file", F.explode("pairs").alias("p"), F.col("file").alias("patient_id"))
     both = own.select("file", "p.instruction", F.col("p.response").alias("output"), "patient_id").unionByName(other.select("file", "p.instruction", F.col("p.response").alias("output"), "patient_id"))
-    inputs = timelines.groupBy("person_id", "window_index").agg(F.min_by("text", "position").alias("input"))
+    inputs = timelines.groupBy(F.col(owner).alias("person_id"), "window_index").agg(F.min_by("text", "position").alias("input"))
     placed = both.withColumn("person_id", person_of(F.col("file"))).withColumn("window_index", window_of(F.col("file")))
     rows = placed.join(inputs, ["person_id", "window_index"], "left").select("instruction", "input", "output", "patient_id")
     empty = parsed.where(F.size("pairs") == 0).select("file", "content").unionByName(listed.where(F.size("pairs") == 0).select("file", F.to_json("response_data").alias("content")))

@@ -58,6 +58,19 @@ def valid_pairs(items: Column) -> Column:
     return F.coalesce(F.filter(items, lambda x: x["instruction"].isNotNull() & x["response"].isNotNull()), F.array())
 
 
+def answer_of(item: Column, *names: str) -> Column:
+    """The first of the named fields that an item has a value for: ``output``, else ``response``."""
+    return F.coalesce(*[item[n] for n in names or ("output", "response")])
+
+
+def persons_over(*tables: DataFrame, key: str = "person_id") -> DataFrame:
+    """The different keys of several tables; null is none."""
+    found = tables[0].select(key)
+    for t in tables[1:]:
+        found = found.unionByName(t.select(key))
+    return found.where(F.col(key).isNotNull()).distinct()
+
+
 def reference_rows(responses: DataFrame) -> DataFrame:
     """Sampled pairs as reference answers: (instruction_id, filename, question, clinician_response, evidence, flags)."""
     each = instruction_ids(responses.withColumn("response_data", valid_pairs(F.col("response_data"))))

@@ -34,7 +34,7 @@ def trailing_record(record: Column, budget: Column) -> Column:
         fits = acc["open"] & (acc["sum"] + size <= budget)
         return F.struct(F.when(fits, acc["sum"] + size).otherwise(acc["sum"]).alias("sum"), F.when(fits, acc["n"] + 1).otherwise(acc["n"]).alias("n"), fits.alias("open"))
 
-    n = F.aggregate(F.reverse(F.transform(visits, token_count)), start, step, lambda acc: acc["n"])
+    n = F.aggregate(F.reverse(F.transform(visits, lambda v: token_count(v))), start, step, lambda acc: acc["n"])
     kept = F.array_join(F.slice(visits, F.size(visits) - n + 1, n), "")
     name = F.regexp_extract(F.coalesce(record, F.lit("")), r"^\s*<([A-Za-z_][\w.:-]*)", 1)
     head = F.regexp_extract(record, r"^\s*(<[A-Za-z_][^>]*?)\s*/?>", 1)

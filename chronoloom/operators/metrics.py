@@ -147,6 +147,34 @@ def group_means(scores: DataFrame, group: list[str], names: list[str]) -> DataFr
     return scores.groupBy(*group).agg(*[x for n in names for x in (F.avg(clean(n)).alias(f"{n}_mean"), F.percentile(clean(n), 0.5).alias(f"{n}_median"))])
 
 
+def null_counts(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(name, present, missing) of the named columns."""
+    counts = rows.agg(*[F.struct(F.lit(n).alias("name"), F.count(n).alias("present"), F.count_if(F.col(n).isNull()).alias("missing")).alias(f"c{i}") for i, n in enumerate(names)])
+    return counts.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(names))])))
+
+
+def with_interval_row(means: DataFrame, intervals: DataFrame, label: str, title: str = "interval") -> DataFrame:
+    """A table of means with one row more, ``title``, that holds the intervals as 'lower - upper'.
+
+    ``means``: label and a column per metric; ``intervals``: metric, lower, upper.
+    """
+    names = [c for c in means.columns if c != label]
+    told = F.format_string("%.4f - %.4f", "lower", "upper")
+    row = intervals.agg(*[F.max(F.when(F.col("metric") == n, told)).alias(n) for n in names]).select(F.lit(title).alias(label), *names)
+    return means.select(F.col(label).cast("string").alias(label), *[F.format_string("%.4f", F.col(n).cast("double")).alias(n) for n in names]).unionByName(row)
+
+
+#: The key under which each metric's library reports its result.
+RESULT_KEYS = {"bertscore": "f1", "rouge": "rougeL", "bleu": "bleu", "google_bleu": "google_bleu", "meteor": "meteor", "chrf": "score", "comet": "mean_score", "bleurt": "scores"}
+
+
+def result_value(results: Column, metric: str) -> Column:
+    """A metric's value from the map of what its library reported; an unknown metric is an error."""
+    if metric not in RESULT_KEYS:
+        raise ValueError(f"no result key is known for {metric!r}")
+    return F.try_element_at(results, F.lit(RESULT_KEYS[metric]))
+
+
 def rank_stats(ranks: DataFrame, model: str = "model_name", rank: str = "model_rank") -> DataFrame:
     """(model, mean, median, std, count) of ranks, numeric or not, best mean first; non-numeric ones count as missing."""
     r = F.col(rank).try_cast("double")

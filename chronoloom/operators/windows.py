@@ -9,36 +9,45 @@ from pyspark.sql.window import Window
 from chronoloom.functions.text import last_tokens, token_count
 
 
-def pack(sizes: Column, budget: Column | int) -> Column:
-    """The window number of each size in order: a new window starts when the next one doesn't fit.
+def pack_starts(sizes: Column, budget: Column | int) -> Column:
+    """The places (from 0) at which windows begin: a new one starts when the next size doesn't fit.
 
-    A size above the budget has a window of its own. One pass over the array; the numbers follow
-    from the places where windows begin.
+    A size above the budget has a window of its own. One pass; only the beginnings are gathered.
     """
     budget = F.lit(budget) if isinstance(budget, int) else budget
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("w"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("i"), F.lit(0).alias("from"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, n: Column) -> Column:
         n = n.cast("long")
-        opens = (acc["w"] < 0) | (acc["sum"] + n > budget)
-        w = F.when(opens, acc["w"] + 1).otherwise(acc["w"])
-        return F.struct(F.when(opens, n).otherwise(acc["sum"] + n).alias("sum"), w.alias("w"), F.array_append(acc["out"], w).alias("out"))
+        opens = (acc["i"] == 0) | (acc["sum"] + n > budget)
+        begun = F.when(opens, F.array_append(acc["out"], acc["i"])).otherwise(acc["out"])
+        return F.struct(F.when(opens, n).otherwise(acc["sum"] + n).alias("sum"), (acc["i"] + 1).alias("i"), F.when(opens, acc["i"]).otherwise(acc["from"]).alias("from"), begun.alias("out"))
 
     return F.aggregate(sizes, start, step, lambda acc: acc["out"])
 
 
-def pack_windows(events: DataFrame, budget: int, min_ratio: float = 0.5) -> DataFrame:
+def pack(sizes: Column, budget: Column | int) -> Column:
+    """The window number of each size in order (see ``pack_starts``)."""
+    starts = pack_starts(sizes, budget)
+    ends = F.transform(starts, lambda s, k: F.struct(s.alias("s"), k.alias("k")))
+    return F.flatten(F.transform(ends, lambda e: F.array_repeat(e["k"], F.coalesce(F.get(starts, e["k"] + 1), F.size(sizes)) - e["s"])))
+
+
+def pack_windows(events: DataFrame, budget: int, min_ratio: float = 0.5, tokenizer: str = "whitespace") -> DataFrame:
     """(person_id, window_index, visits, tokens, start_date, end_date, percent_full, text) from the newest visit back.
 
     ``events``: person_id, visit (its place in time), visit_date, text. The last window is dropped
     if it holds less than ``min_ratio`` of the budget, unless it is the person's only one. Within a
     window visits stand in their order in time.
     """
-    sized = events.withColumn("n", token_count(F.col("text")).cast("long"))
-    line = F.struct(F.col("visit"), F.col("n"), F.col("visit_date"), F.col("text"))
-    lines = sized.groupBy("person_id").agg(F.reverse(F.array_sort(F.collect_list(line))).alias("v"))
-    numbered = lines.withColumn("w", pack(F.transform("v", lambda x: x["n"]), budget))
-    each = numbered.select("person_id", F.explode(F.arrays_zip("v", "w")).alias("z")).select("person_id", F.col("z.w").alias("window_index"), "z.v.*")
+    sized = events.withColumn("n", token_count(F.col("text"), tokenizer).cast("long"))
+    newest = Window.partitionBy("person_id").orderBy(F.desc("visit"), F.desc("n"), F.desc("visit_date"), F.desc("text"))
+    sized = sized.withColumn("_place", F.row_number().over(newest))
+    # Only sizes are gathered per person; the texts join the windows that their visits lie in.
+    sizes = F.array_sort(F.collect_list(F.struct("_place", "n")))
+    folded = sized.groupBy("person_id").agg(F.transform(sizes, lambda x: x["n"]).alias("v"))
+    placed = folded.select("person_id", F.posexplode(pack(F.col("v"), budget)).alias("_at", "window_index")).withColumn("_place", F.col("_at") + 1)
+    each = sized.join(placed.drop("_at"), ["person_id", "_place"])
     joined = F.transform(F.array_sort(F.collect_list(F.struct("visit", "text"))), lambda x: x["text"])
     windows = each.groupBy("person_id", "window_index").agg(
         F.count(F.lit(1)).alias("visits"), F.sum("n").alias("tokens"), F.min("visit_date").alias("start_date"), F.max("visit_date").alias("end_date"), F.array_join(joined, "\n").alias("text")
@@ -48,6 +57,16 @@ def pack_windows(events: DataFrame, budget: int, min_ratio: float = 0.5) -> Data
     return kept.withColumn("percent_full", F.col("tokens") * 100.0 / budget).drop("_last")
 
 
+def wrapped_measures(windows: DataFrame, budget: int, element: str = "ehr", tokenizer: str = "whitespace") -> DataFrame:
+    """Adds ``wrapped``, the window's text in an element of its own, with its tokens and what they are of the budget in percent.
+
+    The wrapper counts too, so a full window may be above 100.
+    """
+    wrapped = F.concat(F.lit(f"<{element}>\n"), F.col("text"), F.lit(f"\n</{element}>"))
+    measured = windows.withColumn("wrapped", wrapped).withColumn("wrapped_tokens", token_count(F.col("wrapped"), tokenizer).cast("long"))
+    return measured.withColumn("wrapped_percent", F.col("wrapped_tokens") * 100.0 / budget)
+
+
 def whole_timeline(events: DataFrame) -> DataFrame:
     """Each person's visits as one window, 100 percent full by definition."""
     return last_visits(events, None).withColumn("percent_full", F.lit(100.0))
@@ -75,28 +94,32 @@ def context_windows(events: DataFrame, mode: str | int) -> DataFrame:
     return pack_windows(events, int(mode))
 
 
-def newest_that_fit(events: DataFrame, budget: int, least: int = 3) -> DataFrame:
+def newest_that_fit(events: DataFrame, budget: int, least: int = 3, tokenizer: str = "whitespace") -> DataFrame:
     """Each person's newest visits while their running sum is within the budget: (person_id, visits, tokens, start_date, end_date, percent_full).
 
     Stops at the first overflow; persons with fewer than ``least`` visits, or of whom fewer fit,
     give no row. Sizes are not negative, so the prefix is a filter on the running sum.
     """
     newest = Window.partitionBy("person_id").orderBy(F.desc("visit"))
-    sized = events.withColumn("n", token_count(F.col("text")).cast("long"))
+    sized = events.withColumn("n", token_count(F.col("text"), tokenizer).cast("long"))
     summed = sized.withColumn("_sum", F.sum("n").over(newest.rowsBetween(Window.unboundedPreceding, 0)))
     fit = summed.where(F.col("_sum") <= budget).groupBy("person_id").agg(F.count(F.lit(1)).alias("visits"), F.max("_sum").alias("tokens"), F.min("visit_date").alias("start_date"), F.max("visit_date").alias("end_date"))
     return fit.where(F.col("visits") >= least).withColumn("percent_full", F.col("tokens") * 100.0 / budget)
 
 
-def trailing_children(events: DataFrame, budget: int) -> DataFrame:
+def trailing_children(events: DataFrame, budget: int, tokenizer: str = "whitespace") -> DataFrame:
     """The visits of the longest suffix of each person's timeline within the budget, oldest first: (person_id, visit, n, kept_tokens)."""
     newest = Window.partitionBy("person_id").orderBy(F.desc("visit")).rowsBetween(Window.unboundedPreceding, 0)
-    summed = events.withColumn("n", token_count(F.col("text")).cast("long")).withColumn("kept_tokens", F.sum("n").over(newest))
+    summed = events.withColumn("n", token_count(F.col("text"), tokenizer).cast("long")).withColumn("kept_tokens", F.sum("n").over(newest))
     return summed.where(F.col("kept_tokens") <= budget).select("person_id", "visit", "n", "kept_tokens")
 
 
-def tail_truncate(texts: DataFrame, context: int, generation: int, template: str, text: str = "text", instruction: str = "instruction") -> DataFrame:
-    """Adds ``budget`` and ``kept``: the last tokens of a text that fit beside template, instruction and answer; '' if none do."""
-    fixed = token_count(F.lit(template))
-    budget = F.lit(context) - F.lit(generation) - fixed - token_count(F.col(instruction))
-    return texts.withColumn("budget", budget).withColumn("kept", last_tokens(F.col(text), F.col("budget")))
+def tail_truncate(texts: DataFrame, context: int, generation: int, template: str, text: str = "text", instruction: str = "instruction", tokenizer: str = "whitespace", first: str | None = None) -> DataFrame:
+    """Adds ``budget`` and ``kept``: the last tokens of a text that fit beside template, instruction and answer; '' if none do.
+
+    With ``first``, a cheaper tokenizer cuts to twice the budget before the exact one counts.
+    """
+    fixed = token_count(F.lit(template), tokenizer)
+    budget = F.lit(context) - F.lit(generation) - fixed - token_count(F.col(instruction), tokenizer)
+    near = last_tokens(F.col(text), F.col("budget") * 2, first) if first else F.col(text)
+    return texts.withColumn("budget", budget).withColumn("kept", last_tokens(near, F.col("budget"), tokenizer))

@@ -20,7 +20,9 @@ def file_name() -> Column:
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = TIMELINES, limit: int | None = None, key: str = "person_id") -> DataFrame:
     """One JSON object per line, with ``file`` and ``position``; lines that are no JSON go. A limit takes the least keys."""
-    raw = spark.read.text(path).select(F.col("value"), file_name().alias("file"), F.monotonically_increasing_id().alias("position"))
+    # Splits of a file may be dealt to tasks in any order: a line's place is its split's start, then its number there.
+    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    raw = spark.read.text(path).select(F.col("value"), file_name().alias("file"), place.alias("position"))
     parsed = raw.withColumn("r", F.from_json("value", schema)).where("r IS NOT NULL AND try_parse_json(value) IS NOT NULL")
     rows = parsed.select("r.*", "file", "position")
     return rows if limit is None else rows.orderBy(key, "file", "position").limit(limit)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,21 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_json_arrays(rows: DataFrame, path: str) -> None:
+    """Files that each hold one JSON array of records, one file a partition."""
+    names = rows.columns
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = False
+        for batch in batches:
+            told = [("," if opened or k else "[") + x for k, x in enumerate(batch.column(0).to_pylist())]
+            opened = opened or bool(told)
+            yield pa.RecordBatch.from_arrays([pa.array(told, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if opened else "[]"])], names=["value"])
+
+    rows.select(F.to_json(F.struct(*names)).alias("value")).mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
 def write_once(rows: DataFrame, path: str) -> None:
     """Writes JSON unless the target exists already; then nothing is computed."""
     rows.write.mode("ignore").json(path)

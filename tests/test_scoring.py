@@ -173,3 +173,33 @@ def test_masks_and_batches(spark):
 def test_schedule(spark):
     rates = [r.rate for r in training.cosine_schedule(spark, 100, 10, 1.0, 0.1).orderBy("step").collect()]
     assert rates[0] == 0 and rates[10] == 1.0 and rates[100] == pytest.approx(0.1) and all(a >= b for a, b in itertools.pairwise(rates[10:]))
+
+
+def test_best_and_fitting_equal_ranking_every_document(spark):
+    """Hits alone serve most queries; those whose hits are too few take documents that score 0 too."""
+    import random
+
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(g, d, "" if d % 9 == 0 else " ".join(rng.choice(words) for _ in range(rng.randrange(1, 12)))) for g in ("a", "b") for d in range(30)], "grp string, doc int, text string").cache()
+    asked = spark.createDataFrame([(q, "ab"[q % 2], " ".join(rng.choice([*words, "none", "w1 w1"]) for _ in range(rng.randrange(0, 4)))) for q in range(30)] + [(99, "a", None), (98, "c", "w1")], "query int, grp string, text string").cache()
+    every = retrieval.bm25(docs, asked, "grp", "doc", "query").cache()
+    shown = lambda rows: sorted((r.query, r["rank"], r.doc, round(r.score, 9)) for r in rows.collect())
+    for k in (1, 5, 40):
+        assert shown(retrieval.best(docs, asked, "grp", "doc", "query", k)) == shown(retrieval.top_k(every, "query", "doc", k))
+    for target in (0, 7, 60, 10_000):
+        got = retrieval.fitting(docs, asked, "grp", "doc", "query", target).select("query", "rank", "doc", "score")
+        order = {}
+        for q, _, d, s in sorted(shown(retrieval.top_k(every, "query", "doc", 1000))):
+            order.setdefault(q, []).append((d, s))
+        tokens = {(r.grp, r.doc): len((r.text or "").split()) for r in docs.collect()}
+        group = {r.query: r.grp for r in asked.collect()}
+        want = []
+        for q, ranked in order.items():
+            before = 0
+            for rank, (d, s) in enumerate(ranked, 1):
+                if before > target:
+                    break
+                want.append((q, rank, d, s))
+                before += tokens[group[q], d]
+        assert shown(got) == sorted(want), target

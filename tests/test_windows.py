@@ -71,3 +71,14 @@ def test_tail_truncation(spark):
     rows = spark.createDataFrame([("a b c d e", "i j"), ("a", "i"), ("", "i"), (None, "i")], "text string, instruction string")
     assert [r.kept for r in windows.tail_truncate(rows, 10, 3, "t t").collect()] == ["c d e", "a", "", ""]
     assert [r.kept for r in windows.tail_truncate(rows, 5, 3, "t t").collect()] == [""] * 4
+
+
+def test_windows_of_repeated_visits_and_of_other_tokenizers(spark):
+    rows = [("p", 1, "a b c"), ("p", 1, "a b c"), ("p", 2, "d-e f"), ("q", 0, "abcdefgh i")]
+    events = spark.createDataFrame(rows, "person_id string, visit int, text string").withColumn("visit_date", F.lit("2020-01-01").cast("date"))
+    got = sorted((r.person_id, r.window_index, r.visits, r.tokens) for r in windows.pack_windows(events, 5, 0.0).collect())
+    assert got == [("p", 0, 2, 5), ("p", 1, 1, 3), ("q", 0, 1, 2)]
+    assert [r.tokens for r in windows.pack_windows(events.where("person_id = 'q'"), 5, tokenizer="quarters").collect()] == [3]
+    assert [r.tokens for r in windows.pack_windows(events.where("visit = 2"), 5, tokenizer="words").collect()] == [4]
+    with pytest.raises(ValueError, match="whitespace"):
+        windows.pack_windows(events, 5, tokenizer="gpt").collect()

@@ -83,10 +83,12 @@ def probes(length: int, threshold: int = THRESHOLD) -> list[tuple[int, int, int,
     return asked
 
 
-def sketch(line: str) -> int:
-    """Counts of the characters of 16 classes modulo 4, two bits each."""
-    counts = np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) & 15, minlength=16) & 3
-    return int((counts.astype(np.uint64) << (np.arange(16, dtype=np.uint64) * np.uint64(2))).sum())
+def sketches(lines: list[str]) -> np.ndarray:
+    """Of each line, counts of the characters of 16 classes modulo 4, two bits each."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32) & 15
+    counts = np.bincount(np.repeat(np.arange(len(lines)) << 4, sizes) + points, minlength=len(lines) << 4).reshape(-1, 16) & 3
+    return (counts << np.arange(0, 32, 2)).sum(axis=1).astype(np.uint32)
 
 
 def sketch_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -177,21 +179,26 @@ def _asked(length: int, edits: Callable[[int], int]) -> list[tuple[int, int, int
 
 
 def _filed(batches: Iterator[pa.RecordBatch], edits: Callable[[int], int] = long_lines, bits: int = ID_BITS) -> Iterator[pa.RecordBatch]:
-    digest, strong = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
+    digest, strong, weak = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest, xxhash.xxh64_intdigest
     known, asked = set(), {}
-    keys, lines, rows = [], [], []
+    keys, ids, lines, sides = [], [], [], []
 
     def flush():
-        ids, sketches = np.array([i for i, _ in lines], np.uint64).view(np.int64), np.array([s for _, s in lines], np.uint32).view(np.int32)
-        columns = [np.array(keys, np.uint64).view(np.int64), np.repeat(ids, rows), np.repeat(sketches, rows)]
-        for held in (keys, lines, rows):
+        # The key's lowest bit tells who files (0) from who asks (1).
+        counts = np.array(sides, np.int64).reshape(-1, 2)
+        asks = np.repeat(np.tile(np.array([0, 1], np.uint64), len(counts)), counts.ravel())
+        rows = counts.sum(axis=1)
+        own = np.array(ids, np.uint64) & np.uint64((1 << bits) - 1)
+        columns = [((np.array(keys, np.uint64) & ~np.uint64(1)) | asks).view(np.int64), np.repeat(own.view(np.int64), rows), np.repeat(sketches(lines).view(np.int32), rows)]
+        for held in (keys, ids, lines, sides):
             held.clear()
         return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "id", "sketch"])
 
     for batch in batches:
         for text in batch.column(0):
             for line in _lines(text.as_py(), edits):
-                own = strong(line.encode("utf-8", "surrogatepass"))
+                body = line.encode("utf-8", "surrogatepass")
+                own = strong(body)
                 if own in known:
                     continue
                 if len(known) >= MEMORY:
@@ -201,13 +208,17 @@ def _filed(batches: Iterator[pa.RecordBatch], edits: Callable[[int], int] = long
                 if n not in asked:
                     if len(asked) > 4096:
                         asked.clear()
-                    asked[n] = [(at, at + size, (n << 8 | i) << 1) for i, (at, size) in enumerate(segments(n, edits(n)))], [(at, at + size, (length << 8 | i) << 1) for length, i, at, size in _asked(n, edits)]
-                index, probe = asked[n]
-                # The key's lowest bit tells who files (0) from who asks (1).
-                keys += [digest(line[s:e].encode("utf-8", "surrogatepass"), seed=k) & ~1 for s, e, k in index]
-                keys += [digest(line[s:e].encode("utf-8", "surrogatepass"), seed=k) | 1 for s, e, k in probe]
-                lines.append((line_id(line, bits), sketch(line)))
-                rows.append(len(index) + len(probe))
+                    index = [(at, at + size, (n << 8 | i) << 1) for i, (at, size) in enumerate(segments(n, edits(n)))]
+                    probe = [(at, at + size, (length << 8 | i) << 1) for length, i, at, size in _asked(n, edits)]
+                    asked[n] = index + probe, (len(index), len(probe))
+                places, side = asked[n]
+                if len(body) == n:  # one byte a character
+                    keys += [digest(body[s:e], k) for s, e, k in places]
+                else:
+                    keys += [digest(line[s:e].encode("utf-8", "surrogatepass"), k) for s, e, k in places]
+                ids.append(weak(body, ID_SEED))
+                lines.append(line)
+                sides.append(side)
             if len(keys) > 200_000:
                 yield flush()
     if keys:

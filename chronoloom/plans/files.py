@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.operators import calls, dedup, selection
+from chronoloom.functions.text import verdict
+from chronoloom.operators import calls, dedup, judge, selection
 from chronoloom.plans.tables import QA_SQL, qa_pairs, table
 from chronoloom.plans.temporal import ORACLES as TEMPORAL
 from chronoloom.plans.temporal import _facts
@@ -40,7 +41,7 @@ def merged_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One timeline per person from JSON lines that repeat persons: the first by file and position."""
     turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("uid"), (F.col("conv_id") % 40).cast("string").alias("person_id"), F.lit("x").alias("text"))
     path = _folder(spark, "timelines")
-    turns.coalesce(1).sortWithinPartitions("uid").write.json(path)
+    turns.repartition(8, "person_id").sortWithinPartitions("uid").write.json(path)  # a person's lines are in one file
     return dedup.keep_first(readers.read_jsonl(spark, path), "person_id", ["file", "position"]).select("uid", "person_id")
 
 
@@ -68,7 +69,8 @@ def resumed_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = lambda rows: calls.generate(rows, "pair_id", calls.Registry().get("stub")).select("pair_id", "response")
     incremental.resume(prompts.where("length(prompt) % 2 = 0"), "pair_id", work, path)
     incremental.repeat_until_done(prompts, "pair_id", work, path)
-    return spark.read.parquet(path).select("pair_id", F.length("response").cast("long").alias("length"))
+    scored = spark.read.parquet(path).withColumn("s", judge.repaired_scores(F.col("response")))
+    return scored.select("pair_id", "s.correctness", "s.completeness", verdict(F.col("response")).alias("verdict"))
 
 
 def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +97,7 @@ ORACLES = {
     "merged_timelines": "SELECT min(conv_id || '-' || turn) AS uid, CAST(conv_id % 40 AS VARCHAR) AS person_id FROM conversations GROUP BY conv_id % 40",
     "responses_by_person": TEMPORAL["position_facts"].rpartition("SELECT")[0] + "SELECT person_id, window_index, count(*) AS pairs FROM facts GROUP BY ALL",
     "csv_round_trip": f"""WITH {QA_SQL} SELECT pair_id, md5('a "q", ' || instruction || chr(10) || 'end') AS question FROM qa""",
-    # The stub's reply has one length, whatever its scores.
-    "resumed_generation": f"""WITH {QA_SQL} SELECT pair_id, length('{calls.stub_model("")}') AS length FROM qa""",
+    "resumed_generation": f"""WITH {QA_SQL}, n AS (SELECT pair_id, CAST('0x' || substr(md5(coalesce(instruction, '')), 1, 8) AS BIGINT) AS n FROM qa)
+SELECT pair_id, CAST(n % 2 AS DOUBLE) AS correctness, CAST(n // 2 % 2 AS DOUBLE) AS completeness, ['win', 'loss', 'tie'][n % 3 + 1] AS verdict FROM n""",
     "streamed_events": "SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events",
 }

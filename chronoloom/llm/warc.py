@@ -35,8 +35,8 @@ MIN_REVISIT = 1000
 SPLIT_BYTES = 8 << 20
 #: Reading tasks at most; beyond that a task takes several ranges.
 MAX_TASKS = 50_000
-#: Bytes read at a time past a range, and to look at a candidate's header.
-CHUNK = 1 << 16
+#: Bytes of a range that are held at a time, those read at a time past them, and those inflated at a time.
+WINDOW, CHUNK, PIECE = 1 << 20, 1 << 16, 1 << 14
 #: A header longer than this is none.
 MAX_HEADER = 1 << 16
 
@@ -131,13 +131,21 @@ def _parse(head: bytes) -> dict[str, str] | None:
     return fields if all(x in fields for x in _REQUIRED) and fields["content-length"].isdigit() else None
 
 
-def _inflate(source, at: int) -> tuple[dict[str, str], bytes, int] | None:
-    """(fields, block, end) of the member at byte ``at``, or None if no record's header decodes there."""
+def _pieces(source, window: bytes, base: int, at: int) -> Iterator[bytes]:
+    """The bytes of ``source`` from ``at`` on: first those that ``window`` holds, which begins at byte ``base``."""
+    for here in range(at - base, len(window), PIECE):
+        yield window[here : here + PIECE]
+    source.seek(base + len(window))
+    while chunk := source.read(CHUNK):
+        yield chunk
+
+
+def _inflate(pieces: Iterator[bytes], at: int) -> tuple[dict[str, str], bytes, int] | None:
+    """(fields, block, end) of the member at byte ``at``, where ``pieces`` begin, or None if no record's header decodes there."""
     unpack, out, fields, start = zlib.decompressobj(31), bytearray(), None, 0
-    source.seek(at)
     used = 0
     while not unpack.eof:
-        chunk = source.read(CHUNK)
+        chunk = next(pieces, b"")
         if not chunk:
             if fields is None:
                 return None
@@ -166,21 +174,25 @@ def _inflate(source, at: int) -> tuple[dict[str, str], bytes, int] | None:
 
 
 def scan_range(source, start: int, stop: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, fields, block) of the records that start in bytes [start, stop) of a seekable file."""
-    at = start
+    """(offset, fields, block) of the records that start in bytes [start, stop) of a seekable file.
+
+    The range is read once, a window at a time, however many records it holds.
+    """
+    at, base, window = start, start, b""
     while at < stop:
-        source.seek(at)
-        window = source.read(min(SPLIT_BYTES, stop - at) + len(_MAGIC) - 1)
-        found = window.find(_MAGIC)
-        if found < 0:
-            at += max(1, len(window) - len(_MAGIC) + 1)
+        if at - base + len(_MAGIC) > len(window):
+            source.seek(at)
+            base, window = at, source.read(min(WINDOW, stop - at) + len(_MAGIC) - 1)
             if len(window) < len(_MAGIC):
                 return
+        found = window.find(_MAGIC, at - base)
+        if found < 0:
+            at = base + len(window) - len(_MAGIC) + 1
             continue
-        at += found
+        at = base + found
         if at >= stop:
             return
-        record = _inflate(source, at)
+        record = _inflate(_pieces(source, window, base, at), at)
         if record is None:
             at += 1
             continue

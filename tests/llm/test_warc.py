@@ -48,3 +48,18 @@ def test_magic_inside_payload_and_large_records():
 
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_a_range_is_read_once():
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            found = super().read(n)
+            Counted.taken += len(found)
+            return found
+
+    rng = random.Random(2)
+    data = b"".join(warc.page_record(i, None, rng.randbytes(700), None) for i in range(3000))
+    assert len(list(warc.scan_range(Counted(data), 0, len(data)))) == 3000
+    assert Counted.taken < 1.5 * len(data)

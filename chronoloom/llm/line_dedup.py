@@ -44,6 +44,8 @@ THRESHOLD, MIN_CHARS = 2, 20
 CHARS_AN_EDIT = 8
 #: Lines that a task remembers to have filed; forgetting one only files it again.
 MEMORY = 1 << 18
+#: Lines that file one key from which they are told apart by blocks of their sketches too.
+HOT = 512
 #: Pairs compared together.
 PORTION = 1 << 20
 #: Bits of a line's id, and the seed of its hash (that of Spark's xxhash64).
@@ -233,9 +235,36 @@ def candidate_pairs(keys: np.ndarray, ids: np.ndarray, sketches: np.ndarray, thr
     fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]) | (sketches[1:] != sketches[:-1])
     keys, ids, sketches = keys[fresh], ids[fresh], sketches[fresh]
     asks = (keys & np.uint64(1)).astype(bool)
-    filed_keys, filed_ids, filed_sketches = keys[~asks], ids[~asks], sketches[~asks]
-    asked_keys, asked_ids, asked_sketches = keys[asks] & ~np.uint64(1), ids[asks], sketches[asks]
-    low, high = np.searchsorted(filed_keys, asked_keys), np.searchsorted(filed_keys, asked_keys, side="right")
+    filed, asked = (keys[~asks], ids[~asks], sketches[~asks]), (keys[asks] & ~np.uint64(1), ids[asks], sketches[asks])
+    low, high = np.searchsorted(filed[0], asked[0]), np.searchsorted(filed[0], asked[0], side="right")
+    hot = high - low > HOT
+    found = _near_pairs([x[~hot] for x in asked], filed, threshold)
+    if hot.any():
+        shared = np.isin(filed[0], np.unique(asked[0][hot]))
+        found += _near_pairs(_by_block([x[hot] for x in asked], threshold), _by_block([x[shared] for x in filed], threshold), threshold)
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _by_block(rows: list[np.ndarray], threshold: int) -> list[np.ndarray]:
+    """(key, id, sketch) rows once for each of 2 * threshold + 1 blocks of the sketch, the block mixed into the key; by key.
+
+    Sketches at most 2 * threshold apart differ in no more classes, so one block at least is equal.
+    """
+    keys, ids, held = rows
+    blocks = 2 * threshold + 1
+    cuts = [2 * (16 * i // blocks) for i in range(blocks + 1)]
+    parts = [(held >> np.uint32(a)).astype(np.uint64) & np.uint64((1 << (b - a)) - 1) | np.uint64(i << 32) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
+    mixed = np.concatenate([(keys ^ (part + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F) for part in parts])
+    order = np.argsort(mixed, kind="stable")
+    return [mixed[order], np.tile(ids, blocks)[order], np.tile(held, blocks)[order]]
+
+
+def _near_pairs(asked, filed, threshold: int) -> list[np.ndarray]:
+    """Pairs of different ids that ask for and file one key, by sketch not too far apart; ``filed`` is in order of its keys."""
+    low, high = np.searchsorted(filed[0], asked[0]), np.searchsorted(filed[0], asked[0], side="right")
     found: list[np.ndarray] = []
     on = np.flatnonzero(high > low)
     total, at = np.concatenate([[0], np.cumsum(high[on] - low[on])]), 0
@@ -245,15 +274,12 @@ def candidate_pairs(keys: np.ndarray, ids: np.ndarray, sketches: np.ndarray, thr
         sizes = high[part] - low[part]
         asking = np.repeat(part, sizes)
         filing = np.arange(len(asking)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low[part], sizes)
-        a, b = asked_ids[asking], filed_ids[filing]
-        near = (a != b) & (sketch_distance(asked_sketches[asking], filed_sketches[filing]) <= 2 * threshold)
+        a, b = asked[1][asking], filed[1][filing]
+        near = (a != b) & (sketch_distance(asked[2][asking], filed[2][filing]) <= 2 * threshold)
         if near.any():
             found.append(np.unique(np.column_stack([np.minimum(a, b)[near], np.maximum(a, b)[near]]), axis=0))
         at = stop
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    return found
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

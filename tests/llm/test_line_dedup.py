@@ -131,3 +131,20 @@ def test_ids_are_those_of_the_column(spark):
     texts = ["a line", "é ü 漢", "x" * 5000, " z"]
     rows = spark.createDataFrame([(x,) for x in texts], "line string").select("line", ld.line_id_column(F.col("line")).alias("whole"), ld.line_id_column(F.col("line"), 5).alias("few"))
     assert all(r.whole % (1 << 64) == ld.line_id(r.line) and r.few == ld.line_id(r.line, 5) for r in rows.collect())
+
+
+def test_hot_keys_lose_no_pair(monkeypatch):
+    """Keys that many lines file are compared by blocks of the sketch: fewer comparisons, the same pairs."""
+    rng = np.random.default_rng(4)
+    n = 3000
+    sketches = rng.integers(0, 1 << 32, n, dtype=np.uint64)
+    for i in range(1, n, 3):  # near ones: one or two classes changed by one
+        sketches[i] = sketches[i - 1] ^ np.uint64(1 << int(2 * rng.integers(16))) ^ np.uint64(1 << int(2 * rng.integers(16)))
+    sketches = sketches.astype(np.uint32)
+    keys = np.concatenate([np.full(n, 8, np.uint64), np.full(n, 9, np.uint64), rng.integers(0, 1 << 20, n).astype(np.uint64)])
+    ids = np.concatenate([np.arange(n), np.arange(n), np.arange(n)]).astype(np.uint64)
+    rows = keys, ids, np.concatenate([sketches] * 3)
+    found = ld.candidate_pairs(*rows)
+    monkeypatch.setattr(ld, "HOT", n)
+    every = ld.candidate_pairs(*rows)
+    assert len(every[0]) > 900 and all((a == b).all() for a, b in zip(found, every))

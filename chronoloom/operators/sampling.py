@@ -104,7 +104,8 @@ def bootstrap(values: DataFrame, value: str, group: list[str], replicates: int =
     held = values.where(F.col(value).isNotNull()).groupBy(*group).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_v")).withColumn("n", F.size("_v").cast("long"))
     mean_of = lambda own: F.aggregate(own, F.lit(0.0), lambda acc, x: acc + x) / F.col("n")
     blocks = -(-replicates // block)
-    each = held.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(*group, "_block")
+    each = held.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    each = each.repartition(blocks, *group, "_block")  # a stated number: adaptive execution would put such small rows in one task
     hashes = lambda b: F.transform(F.sequence(F.lit(0), F.floor((F.size("_v") - 1) / 4).cast("int")), lambda i: F.md5(F.concat(b, i.cast("string"))))
     numbers = lambda b: F.slice(F.flatten(F.transform(hashes(b), lambda h: F.array(*[F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("long") for k in range(4)]))), 1, F.size("_v"))
     drawn = lambda b: F.aggregate(numbers(b), F.lit(0.0), lambda acc, x: acc + F.get(F.col("_v"), (x % F.col("n")).cast("int"))) / F.col("n")

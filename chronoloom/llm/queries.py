@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import curriculum, decontam, filter_audit, line_dedup, pii_crf, quality_rules, rule_ensemble, shard_tree, simhash_bk, site_template, token_alignment, warc
+from chronoloom.llm import curriculum, decontam, filter_audit, line_dedup, phrase_dedup, pii_crf, quality_rules, rule_ensemble, shard_tree, simhash_bk, site_template, token_alignment, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(_table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op8_site_template_text": op8_site_template_text,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_simhash_bktree": op10_simhash_bktree,
+    "op11_phrase_automata": op11_phrase_automata,
     "op12_token_alignment": op12_token_alignment,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -86,5 +91,6 @@ ORACLES: dict[str, str] = {
     "op3_warc_round_trip": warc.oracle(),
     "op6_hash_tree_sharding": shard_tree.oracle(),
     "op9_curriculum_mix": curriculum.oracle(),
+    "op11_phrase_automata": phrase_dedup.oracle(),
     "op13_filter_audit": filter_audit.oracle(),
 }

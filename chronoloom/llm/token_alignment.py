@@ -29,6 +29,8 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +44,16 @@ from chronoloom.llm.common import write_table
 TOKENIZER_DIR, A_FILE, B_FILE = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of chunks that a task remembers, each chunk counted with CHUNK_COST more.
 MEMORY_CHARS, CHUNK_COST = 1 << 27, 300
+#: Characters of texts that are encoded together.
+PORTION_CHARS = 1 << 20
 #: A pair of ids as one number: the A id above B_BITS bits of the B id.
 B_BITS = 20
 
-_CUT = re.compile(r"(?<=\S)(?= )")
+_CUT, _BLANK_SPACE = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
+#: Fixed value: the pattern that cuts texts before A's merges. It is that of A's file.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters of whose classes no library has doubts.
+_PLAIN = re.compile("[\t\n\r -~¡-ɏ–—‘-„…€]*")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -60,6 +68,7 @@ class Vocabularies:
 
     def __init__(self, a_json: bytes, b_model: bytes):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_str(a_json.decode())
@@ -84,43 +93,77 @@ class Vocabularies:
         single = {self.b_bytes[i]: i for i in range(len(self.b_bytes)) if self.b.is_byte(i)}
         same = {**single, **normal}  # a character with a piece of its own is never written by its byte
         self.same = np.array([same.get(x, -1) if x else -1 for x in self.a_bytes], np.int64)
-
-    def tokens(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
-        """A and B ids of each text, which begins with a space; None if the bytes do not come back."""
-        of_a = self.a.encode_batch(texts, add_special_tokens=False)
-        of_b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        for text, a, b in zip(texts, of_a, of_b):
-            raw, ids = text.encode(), a.ids
-            back = b"".join([self.a_bytes[i] for i in ids]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw
-            yield (ids, b) if back else None
-
-    def align(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]]:
-        """The groups, written as ``a1,a2|b1``, and the links as pair numbers."""
-        same = self.same
-        if len(a) == len(b) and all(same[x] == y for x, y in zip(a, b)):  # the fast path
-            return [f"{x}|{y}" for x, y in zip(a, b)], [x << B_BITS | y for x, y in zip(a, b)]
-        groups, links, i, j, i0, j0, end_a, end_b = [], [], 0, 0, 0, 0, 0, 0
-        end_a, end_b = len(self.a_bytes[a[0]]), len(self.b_bytes[b[0]])
-        while True:
-            links.append(a[i] << B_BITS | b[j])
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[i0 : i + 1]))}|{','.join(map(str, b[j0 : j + 1]))}")
-                i0 = i = i + 1
-                j0 = j = j + 1
-                if i == len(a):
-                    return groups, links
-                end_a += len(self.a_bytes[a[i]])
-                end_b += len(self.b_bytes[b[j]])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(self.a_bytes[a[i]])
-            else:
-                j += 1
-                end_b += len(self.b_bytes[b[j]])
+        self.sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes)]
+        # A's merges in order of its ids are ranks, by which a leaner library gives the same ids.
+        model = json.loads(a_json)["model"]
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        ordered = [known[m] for m in merged] == list(range(256, 256 + len(merged)))
+        ranks = {x: i for i, x in enumerate(self.a_bytes) if x}
+        self.lean = tiktoken.Encoding("a", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}) if ordered else None
+
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        """A ids; texts of common characters by ranks, others by the library of A's file."""
+        if self.lean is None:
+            return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+        lean, plain = self.lean.encode_ordinary, _PLAIN.fullmatch
+        found = [lean(t) if plain(t) else None for t in texts]
+        other = [k for k, ids in enumerate(found) if ids is None]
+        for k, e in zip(other, self.a.encode_batch([texts[k] for k in other], add_special_tokens=False)):
+            found[k] = e.ids
+        return found
+
+    def tokens(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """A and B ids of each text, which begins with a space, and whether both give its bytes back."""
+        of_a, of_b = self.encode_a(texts), self.b.encode([t[1:] for t in texts], num_threads=1)
+        raw = "".join(texts).encode()
+        ends = np.cumsum([len(t.encode()) for t in texts])
+        back = []
+        for ids, table, sizes in zip((of_a, of_b), (self.a_bytes, self.b_bytes), self.sizes):
+            flat = np.fromiter(chain.from_iterable(ids), np.int64)
+            own = np.concatenate([[0], np.cumsum(sizes[flat])])[np.cumsum([len(x) for x in ids])]
+            back.append(np.array_equal(own, ends) and b"".join(map(table.__getitem__, flat.tolist())) == raw)
+        if all(back):
+            return of_a, of_b, [True] * len(texts)
+        alike = lambda ids, table, text: b"".join([table[i] for i in ids]) == text.encode()
+        return of_a, of_b, [alike(a, self.a_bytes, t) and alike(b, self.b_bytes, t) for a, b, t in zip(of_a, of_b, texts)]
+
+
+class Alignment(NamedTuple):
+    """What several texts give: their groups as text, and their links (pair numbers), one text after the other; counts has a row a text."""
+
+    groups: list[str]
+    links: np.ndarray
+    counts: np.ndarray  # A tokens, B tokens, groups, links
+
+
+def aligned(vocabularies: Vocabularies, of_a: list[list[int]], of_b: list[list[int]]) -> Alignment:
+    """Groups and links of texts whose bytes both tokenizers give back, none of them empty.
+
+    Ends of A tokens and of B tokens are merged: between two neighbours of all ends lies exactly one
+    overlap of an A and a B token, a link; ends that both have cut the groups.
+    """
+    ids = [np.fromiter(chain.from_iterable(x), np.int64) for x in (of_a, of_b)]
+    lengths = [np.fromiter(map(len, x), np.int64, len(x)) for x in (of_a, of_b)]
+    ends = [np.cumsum(sizes[i]) for sizes, i in zip(vocabularies.sizes, ids)]
+    text_ends = ends[0][np.cumsum(lengths[0]) - 1]
+    every = np.union1d(*ends)
+    at = [np.searchsorted(e, every) for e in ends]
+    links = ids[0][at[0]] << B_BITS | ids[1][at[1]]
+    cuts = np.intersect1d(*ends, assume_unique=True)
+    last = [np.searchsorted(e, cuts) + 1 for e in ends]
+    first = [np.concatenate([[0], x[:-1]]) for x in last]
+    plain = (last[0] - first[0] == 1) & (last[1] - first[1] == 1)
+    a, b = (x.tolist() for x in ids)
+    written = [f"{a[i]}|{b[k]}" if one else f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}" for one, i, j, k, m in zip(plain.tolist(), *(x.tolist() for x in (first[0], last[0], first[1], last[1])))]
+    group_ends = np.searchsorted(cuts, text_ends, side="right")
+    link_ends = np.searchsorted(every, text_ends, side="right")
+    groups = [";".join(written[i:j]) for i, j in zip([0, *group_ends[:-1].tolist()], group_ends.tolist())]
+    counts = np.column_stack([*lengths, np.diff(group_ends, prepend=0), np.diff(link_ends, prepend=0)])
+    return Alignment(groups, links, counts)
 
 
 class Chunks:
-    """Chunks that were aligned before: their counts, groups and links by number."""
+    """Chunks that were aligned before: their counts, groups and links by number. Chunks are known without the space before them."""
 
     def __init__(self, vocabularies: Vocabularies):
         self.vocabularies = vocabularies
@@ -130,43 +173,53 @@ class Chunks:
         self.known: dict[str, int] = {}
         self.groups: list[str] = []
         self.counts = array("q")  # A tokens, B tokens, groups, links
-        self.good = array("b")
-        self.links, self.starts, self.cost = array("q"), array("q"), 0
-
-    def _add(self, ids: tuple[list[int], list[int]] | None) -> int:
-        groups, links = self.vocabularies.align(*ids) if ids else ([], [])
-        self.groups.append(";".join(groups))
-        self.counts.extend((len(ids[0]), len(ids[1]), len(groups), len(links)) if ids else (0, 0, 0, 0))
-        self.good.append(ids is not None)
-        self.starts.append(len(self.links))
-        self.links.extend(links)
-        return len(self.groups) - 1
-
-    def numbers(self, text: str) -> list[int] | None:
-        """The chunks of a text that begins with a space; None if it has no tokens."""
-        if self.cost > MEMORY_CHARS:
-            raise MemoryError("clear before a text, not within")
-        chunks = _CUT.split(text) if self.vocabularies.cut else [text]
-        known = self.known
-        try:
-            found = list(map(known.__getitem__, chunks))
-        except KeyError:
-            new = [c for c in dict.fromkeys(chunks) if c not in known]
-            for c, ids in zip(new, self.vocabularies.tokens(new)):
-                known[c] = self._add(ids)
-                self.cost += len(c) + CHUNK_COST
-            found = list(map(known.__getitem__, chunks))
-        good = self.good
-        if all(map(good.__getitem__, found)):
-            return found
-        whole = next(self.vocabularies.tokens([text]))
-        self.cost += 8 * len(text)
-        return None if whole is None else [self._add(whole)]
+        self.links, self.starts = array("q"), array("q")
+        self.bad: set[int] = set()
+        self.cost = 0
 
     @property
     def full(self) -> bool:
         return self.cost > MEMORY_CHARS
 
+    def _add(self, texts: list[str]) -> list[int]:
+        """Numbers of new chunks, which begin with a space."""
+        of_a, of_b, good = self.vocabularies.tokens(texts)
+        if not all(good):
+            of_a, of_b = ([x for x, fine in zip(of, good) if fine] for of in (of_a, of_b))
+        start = len(self.groups)
+        found = aligned(self.vocabularies, of_a, of_b) if of_a else Alignment([], np.zeros(0, np.int64), np.zeros((0, 4), np.int64))
+        numbers = np.cumsum(good) - 1 + start
+        self.starts.frombytes((len(self.links) + np.cumsum(found.counts[:, 3]) - found.counts[:, 3]).tobytes())
+        self.counts.frombytes(found.counts.astype(np.int64).tobytes())
+        self.links.frombytes(found.links.tobytes())
+        self.groups += found.groups
+        self.cost += sum(map(len, texts)) + len(texts) * CHUNK_COST
+        return [n if fine else -1 for n, fine in zip(numbers.tolist(), good)]
+
+    def cut(self, text: str) -> list[str]:
+        """The chunks of a space and ``text``, each without the space that it begins with."""
+        if not self.vocabularies.cut:
+            return [text]
+        if text[:1] != " " and not _BLANK_SPACE.search(text):
+            return text.split(" ")
+        return [c[1:] for c in _CUT.split(" " + text)]
+
+    def numbers(self, texts: list[str | None]) -> list[list[int] | None]:
+        """The chunks of each text; None for one without tokens."""
+        cut = [self.cut(t) if t else None for t in texts]
+        known, found = self.known, []
+        new = {c for chunks in cut if chunks for c in chunks if c not in known}
+        if new:
+            new = list(new)
+            known.update(zip(new, self._add([" " + c for c in new])))
+        for text, chunks in zip(texts, cut):
+            numbers = list(map(known.__getitem__, chunks)) if chunks else None
+            if numbers and -1 in numbers:
+                numbers = self._add([" " + text])
+                numbers = None if numbers == [-1] else numbers
+            found.append(numbers)
+        return found
+
 
 class _Block:
     """Documents of one block, and how often each holds each pair."""
@@ -241,6 +294,20 @@ def read_files(directory: str = TOKENIZER_DIR, a_file: str = A_FILE, b_file: str
     return tuple(open(f"{directory}/{name}", "rb").read() for name in (a_file, b_file))
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, str | None]]]:
+    """Rows whose texts are encoded together."""
+    rows, size = [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows.append((doc_id, text.as_py()))
+            size += len(rows[-1][1] or "")
+            if size > PORTION_CHARS:
+                yield rows
+                rows, size = [], 0
+    if rows:
+        yield rows
+
+
 def encode_blocks(docs: DataFrame, files: tuple[bytes, bytes], block_items: int = BLOCK_ITEMS) -> DataFrame:
     """Blocks of encoded documents: per document counts and digest, per block its distinct pairs and which document holds which how often."""
     shared = docs.sparkSession.sparkContext.broadcast(files)
@@ -248,12 +315,11 @@ def encode_blocks(docs: DataFrame, files: tuple[bytes, bytes], block_items: int
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks, numbers, block = _chunks(shared.value), BlockNumbers(), _Block()
         same = chunks.vocabularies.same
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                if chunks.full:
-                    chunks.clear()
-                block.add(doc_id, chunks, chunks.numbers(" " + text) if text else None)
+        for rows in _portions(batches):
+            if chunks.full:
+                chunks.clear()
+            for (doc_id, _), found in zip(rows, chunks.numbers([text for _, text in rows])):
+                block.add(doc_id, chunks, found)
                 if block.items >= block_items or len(block.rows) >= BLOCK_ROWS:
                     yield block.batch(numbers.take(), same)
                     block = _Block()

@@ -101,3 +101,26 @@ def running_totals(rows: DataFrame, starts: DataFrame, value: Column, ties: list
     inside = Window.partitionBy("_key", "_bucket").orderBy("_order", *ties).rowsBetween(Window.unboundedPreceding, -1)
     within = rows.withColumn("_bucket", bucket_of(F.col("_order"))).withColumn("_within", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return within.join(starts, ["_key", "_bucket"]).withColumn(total, F.col("_start") + F.col("_within")).drop("_start", "_within", "_bucket", "_sum")
+
+
+#: Words of 64 bits in the filter of ``thinned``; bounds what is broadcast.
+FILTER_WORDS = 1 << 18
+
+
+def maybe_among(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, name: str = "_maybe") -> DataFrame:
+    """``rows`` with the boolean ``name``: true for every row whose ``key`` is among ``wanted``, and for some others.
+
+    The filter has FILTER_WORDS words at most, whatever the tables, and is broadcast. The more keys
+    are wanted, the more others pass. Keys are compared by hash.
+    """
+    word = lambda k: F.pmod(F.shiftrightunsigned(F.xxhash64(k), 6), F.lit(FILTER_WORDS))
+    bit = lambda k: F.xxhash64(k).bitwiseAND(63).cast("int")
+    bits = wanted.groupBy(word(wanted_key).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(wanted_key))).alias("_bits"))
+    found = rows.join(F.broadcast(bits), word(key) == F.col("_word"), "left")
+    held = F.call_function("shiftrightunsigned", F.col("_bits"), bit(key)).bitwiseAND(1) == 1
+    return found.withColumn(name, F.coalesce(held, F.lit(False))).drop("_word", "_bits")
+
+
+def thinned(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not among ``wanted`` (see ``maybe_among``): it spares a join that decides the moving of rows which can't match."""
+    return maybe_among(rows, key, wanted, wanted_key).where("_maybe").drop("_maybe")

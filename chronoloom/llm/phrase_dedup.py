@@ -10,17 +10,18 @@ Method.
    window can recur only if its anchor's hash does. Neighbouring windows share anchors: about one
    anchor in twelve words is counted. Equal texts are one text with a multiplicity.
 2. Passages. A span is a text's run of windows with one anchor, together at most 58 words. The spans
-   of recurring anchors are cut out, equal ones once with the number of times they occur, and their
-   windows are counted by a 128-bit digest of the words. Two or more occurrences confirm a window;
-   neighbouring confirmed windows of its first span are a passage.
-3. Automata. The phrase of a passage is what all its windows share. Phrases and confirmed windows are
-   sharded by anchor; a task compiles a shard's phrases into an Aho-Corasick automaton and streams
-   the spans of all documents through it. Around each hit the windows that hold the phrase are looked
-   up among the confirmed ones, which gives the words to remove.
+   of recurring anchors are cut out, equal ones once with the number of times they occur. A span is a
+   confirmed passage if it occurs twice or more and no other span has its anchor. Where several do,
+   their windows are counted by a 128-bit digest of the words, and two or more occurrences confirm one.
+3. Automata. The phrase of a passage is its anchor's words, which all its windows share. Phrases and
+   confirmed windows are sharded by anchor; a task compiles a shard's phrases into an Aho-Corasick
+   automaton and streams the spans of all documents through it. Around each hit the windows that
+   hold the phrase are looked up among the confirmed ones, which gives the words to remove.
 
 A shard with many spans is salted: its phrases are compiled in several tasks. Anchors, spans and
 windows are counted with partial sums. What joins on them is a skewed join that adaptive execution
-splits. Texts move once, and those with a recurring anchor once more.
+splits, before which a filter of bounded size drops most of what can't match. Texts with a recurring
+anchor, and few others, move twice.
 
 A null text has no words. Texts of fewer than ``WINDOW`` words lose nothing. Rows with null, equal or
 repeated ids are documents of their own, so a repeated row repeats its passages. Copies lose all.
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import write_table
+from chronoloom.llm.common import maybe_among, thinned, write_table
 
 #: Words in a window, and in the run of words that stands for it.
 WINDOW, ANCHOR = 35, 12
@@ -46,8 +47,10 @@ WINDOW, ANCHOR = 35, 12
 PORTION_BYTES, PORTION_WINDOWS = 1 << 20, 1 << 22
 #: Bytes of distinct spans that a task holds before it hands them on.
 SPAN_BYTES = 1 << 25
-#: Passages in a shard.
-SHARD_PASSAGES = 1 << 15
+#: A span as one number: its first word above so many bits of its length, and these above so many bits of the place of its anchor.
+LENGTH_BITS, PLACE_BITS = 8, 8
+#: Anchors in a shard.
+SHARD_ANCHORS = 1 << 15
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A window is chosen by the upper bits of the hashes, and by the place where these are equal.
@@ -72,13 +75,14 @@ def word_hashes(line: bytes) -> np.ndarray:
     return _scramble(np.add.reduceat(values, starts))
 
 
-def spans_of(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, length, anchor) of the runs of windows with one anchor, from the hashed words of texts that end at ``ends``.
+def spans_of(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, length, anchor, place) of the runs of windows with one anchor, from the hashed words of texts that end at ``ends``.
 
-    ``first`` counts words from the first text on; ``length`` is a number of windows.
+    ``first`` counts words from the first text on; ``length`` is a number of windows; ``place`` is
+    that of the anchor's words after ``first``.
     """
     if len(words) < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     runs = np.zeros(len(words) - ANCHOR + 1, np.uint64)
     for k in range(ANCHOR):
         runs = runs * _MIX + words[k : k + len(runs)]
@@ -94,7 +98,7 @@ def spans_of(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     begins[1:] &= (at[1:] != at[:-1]) | ~inside[:-1] | (text[1 : len(at)] != text[: len(at) - 1])
     first = np.flatnonzero(begins)
     length = np.add.reduceat(inside.astype(np.int64), first) if len(first) else first
-    return first, length, runs[at[first]]
+    return first, length, runs[at[first]], at[first] - first
 
 
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -126,11 +130,11 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 piece = hashed[low : low + PORTION_WINDOWS + WINDOW - 1]
                 parts.append((low, spans_of(piece, np.clip(ends - low, 0, len(piece)))))
         first = np.concatenate([low + p[0] for low, p in parts])
-        length, anchor = (np.concatenate([p[k] for _, p in parts]) for k in (1, 2))
+        length, anchor, place = (np.concatenate([p[k] for _, p in parts]) for k in (1, 2, 3))
         text = np.searchsorted(ends, first, side="right")
         cuts = pa.array(np.searchsorted(text, np.arange(len(rows) + 1)).astype(np.int32))
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        lists = (anchor.view(np.int64), (first - starts[text]).astype(np.int32), length.astype(np.int32))
+        lists = (anchor.view(np.int64), ((first - starts[text]) << LENGTH_BITS | length) << PLACE_BITS | place)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([r[0][0] for r in rows], pa.int64()),
@@ -139,15 +143,19 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([hashlib.sha256(r[1]).hexdigest() for r in rows], pa.string()),
                 *[pa.ListArray.from_arrays(cuts, pa.array(x)) for x in lists],
             ],
-            names=["doc_id", "key", "n_words", "whole_sha256", "anchors", "firsts", "lengths"],
+            names=["doc_id", "key", "n_words", "whole_sha256", "anchors", "shapes"],
         )
 
 
 def _cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int, list[bytes], list[dict]]]:
-    """Key, number of copies, words and spans (first, length, anchor) of each text."""
+    """Key, number of copies, words and spans (first word, last word + 1, anchor, place of the anchor's words) of each text."""
     for batch in batches:
         for key, n, text, spans in zip(*batch.columns):
-            yield key.as_py(), n.as_py(), (text.as_py() or b"").split(), spans.as_py()
+            cut = []
+            for s in spans.as_py():
+                first, length = s["shape"] >> LENGTH_BITS + PLACE_BITS, s["shape"] >> PLACE_BITS & (1 << LENGTH_BITS) - 1
+                cut.append((first, first + length + WINDOW - 1, s["anchor"], s["shape"] & (1 << PLACE_BITS) - 1))
+            yield key.as_py(), n.as_py(), (text.as_py() or b"").split(), cut
 
 
 def _distinct_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,14 +164,15 @@ def _distinct_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     def handed_on() -> pa.RecordBatch:
         rows = [(k, *v) for k, v in held.items()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.int64()))], names=["span", "anchor", "words", "n"])
+        kinds = (pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["span", "anchor", "anchor_at", "words", "n"])
 
     for _, n, words, spans in _cut_spans(batches):
-        for s in spans:
-            line = b" ".join(words[s["first"] : s["first"] + s["length"] + WINDOW - 1])
-            found = held.setdefault(xxhash.xxh3_128_digest(line), [s["anchor"], line, 0])
-            found[2] += n
-            if found[2] == n:
+        for first, end, anchor, place in spans:
+            line = b" ".join(words[first:end])
+            found = held.setdefault(xxhash.xxh3_128_digest(line), [anchor, place, line, 0])
+            found[3] += n
+            if found[3] == n:
                 size += len(line) + 200
         if size > SPAN_BYTES:
             yield handed_on()
@@ -174,8 +183,8 @@ def _distinct_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _placed_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for key, _, words, spans in _cut_spans(batches):
-        digests = [xxhash.xxh3_128_digest(b" ".join(words[s["first"] : s["first"] + s["length"] + WINDOW - 1])) for s in spans]
-        yield pa.RecordBatch.from_arrays([pa.array([key] * len(spans), pa.binary()), pa.array([s["first"] for s in spans], pa.int32()), pa.array(digests, pa.binary())], names=["key", "first", "span"])
+        digests = [xxhash.xxh3_128_digest(b" ".join(words[s[0] : s[1]])) for s in spans]
+        yield pa.RecordBatch.from_arrays([pa.array([key] * len(spans), pa.binary()), pa.array([s[0] for s in spans], pa.int32()), pa.array(digests, pa.binary())], names=["key", "first", "span"])
 
 
 def _windows(words: list[bytes]) -> list[bytes]:
@@ -183,21 +192,25 @@ def _windows(words: list[bytes]) -> list[bytes]:
     return [xxhash.xxh3_128_digest(b" ".join(words[i : i + WINDOW])) for i in range(len(words) - WINDOW + 1)]
 
 
+def _halves(digests: list[bytes]) -> list[pa.Array]:
+    """Digests as two columns of longs, which are counted without sorting."""
+    both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    return [pa.array(both[:, k]) for k in (0, 1)]
+
+
+def _digest(high: int, low: int) -> bytes:
+    return high.to_bytes(8, "little", signed=True) + low.to_bytes(8, "little", signed=True)
+
+
 def _counted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        window, span, place, n = [], [], [], []
-        for digest, line, times in zip(*[c.to_pylist() for c in batch.columns]):
+        windows, anchors, n = [], [], []
+        for anchor, line, times in zip(*[c.to_pylist() for c in batch.columns]):
             found = _windows(line.split(b" "))
-            window += found
-            span += [digest] * len(found)
-            place += range(len(found))
+            windows += found
+            anchors += [anchor] * len(found)
             n += [times] * len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(window, pa.binary()), pa.array(span, pa.binary()), pa.array(place, pa.int32()), pa.array(n, pa.int64())], names=["window", "span", "place", "n"])
-
-
-def phrase_of(words: list[bytes], first: int, last: int) -> bytes:
-    """What the windows that start at ``first`` to ``last`` share."""
-    return b" ".join(words[last : first + WINDOW])
+        yield pa.RecordBatch.from_arrays([*_halves(windows), pa.array(anchors, pa.int64()), pa.array(n, pa.int64())], names=["high", "low", "anchor", "n"])
 
 
 class PhraseAutomaton:
@@ -208,21 +221,16 @@ class PhraseAutomaton:
 
         self.automaton, self.confirmed, self.ready = ahocorasick.Automaton(), set(), False
 
-    def add(self, line: bytes, places: list[int]) -> None:
-        """The windows at ``places`` (ascending) of a span; neighbours are a passage."""
-        words = line.split(b" ")
-        first = None
-        for k, p in enumerate(places):
-            self.confirmed.add(xxhash.xxh3_128_digest(b" ".join(words[p : p + WINDOW])))
-            first = p if first is None else first
-            if k + 1 == len(places) or places[k + 1] != p + 1:
-                phrase = f" {phrase_of(words, first, p).decode()} "
-                self.automaton.add_word(phrase, phrase.count(" ") - 1)
-                first = None
-
-    def covered(self, line: bytes) -> list[tuple[int, int]]:
-        """The word ranges (start, end) of a span that confirmed windows cover."""
-        if not self.confirmed:
+    def add(self, phrase: str | None, window: bytes | None) -> None:
+        """A phrase, or the digest of a confirmed window, which holds a phrase that is added too."""
+        if phrase is not None:
+            self.automaton.add_word(f" {phrase} ", phrase.count(" ") + 1)
+        if window is not None:
+            self.confirmed.add(window)
+
+    def covered(self, line: bytes, whole: bool) -> list[tuple[int, int]]:
+        """The word ranges (start, end) of a span that confirmed windows cover; all its windows are, if it is ``whole``ly confirmed."""
+        if not len(self.automaton):
             return []
         if not self.ready:
             self.automaton.make_automaton()
@@ -233,7 +241,7 @@ class PhraseAutomaton:
             counted, at = counted + text.count(" ", at, end), end  # spaces before the phrase's last one: the words up to its end
             for start in range(max(0, counted - WINDOW), min(counted - n, len(words) - WINDOW) + 1):
                 if start not in seen:
-                    seen[start] = xxhash.xxh3_128_digest(b" ".join(words[start : start + WINDOW])) in self.confirmed
+                    seen[start] = whole or xxhash.xxh3_128_digest(b" ".join(words[start : start + WINDOW])) in self.confirmed
         found: list[tuple[int, int]] = []
         for start in sorted(s for s, hit in seen.items() if hit):
             if found and start <= found[-1][1]:
@@ -244,17 +252,17 @@ class PhraseAutomaton:
 
 
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by shard and salt, a shard's passages (with places) before the spans that are streamed through its automaton."""
+    """Rows come by shard and salt, a shard's phrases and confirmed windows before the spans that are streamed through its automaton."""
     of, automaton = None, None
     for batch in batches:
         spans, starts, ends = [], [], []
-        for shard, salt, places, digest, line in zip(*[c.to_pylist() for c in batch.columns]):
+        for shard, salt, phrase, high, low, digest, line, whole in zip(*[c.to_pylist() for c in batch.columns]):
             if of != (shard, salt):
                 of, automaton = (shard, salt), PhraseAutomaton()
-            if places is not None:
-                automaton.add(line, places)
+            if digest is None:
+                automaton.add(phrase, None if high is None else _digest(high, low))
                 continue
-            found = automaton.covered(line)
+            found = automaton.covered(line, whole)
             if found:
                 spans.append(digest)
                 starts.append([f[0] for f in found])
@@ -278,40 +286,51 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["key", "n_removed", "kept"])
 
 
+#: What a shard's rows hold: a phrase, or the two halves of a confirmed window's digest, or a span.
+_STREAMED = {"phrase": "string", "high": "bigint", "low": "bigint", "span": "binary", "words": "binary", "whole": "boolean"}
+
+
 def _candidates(texts: DataFrame, filed: DataFrame) -> DataFrame:
     """key, n, text, spans: the distinct texts with a recurring anchor, and the spans of such anchors."""
-    distinct = filed.groupBy("key").agg(F.first("anchors").alias("anchors"), F.first("firsts").alias("firsts"), F.first("lengths").alias("lengths"), F.count(F.lit(1)).alias("n"))
-    # Numbers are shorter than keys; they are given once, in a written table.
-    numbered = write_table(distinct.where(F.size("anchors") > 0).withColumn("t", F.monotonically_increasing_id()), "phrase-anchors")
-    one = numbered.select("t", "n", F.explode(F.arrays_zip("anchors", "firsts", "lengths")).alias("s")).select("t", "n", F.col("s.anchors").alias("anchor"), F.col("s.firsts").alias("first"), F.col("s.lengths").alias("length"))
-    recurring = one.groupBy("anchor").agg(F.sum("n").alias("times")).where("times > 1").select("anchor")
-    spans = one.drop("n").join(recurring, "anchor", "left_semi").groupBy("t").agg(F.array_sort(F.collect_list(F.struct("first", "length", "anchor"))).alias("spans"))
-    wanted = numbered.select("t", "key", "n").join(spans, "t").drop("t")
-    bodies = texts.groupBy("key").agg(F.first("text").alias("text"))
+    one = filed.select("key", F.explode(F.arrays_zip("anchors", "shapes")).alias("s")).select("key", F.col("s.anchors").alias("anchor"), F.col("s.shapes").alias("shape"))
+    recurring = write_table(one.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor"), "phrase-recurring")
+    near = thinned(one, F.col("anchor"), recurring, F.col("anchor")).join(recurring, "anchor", "left_semi")
+    # Copies give the same spans; a task sends each text's on once.
+    spans = near.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("shape", "anchor"))).alias("spans"))
+    copies = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    wanted = write_table(spans.join(copies, "key"), "phrase-wanted")
+    bodies = thinned(texts.select("key", "text"), F.col("key"), wanted, F.col("key")).groupBy("key").agg(F.first("text").alias("text"))
     return bodies.join(wanted, "key").select("key", "n", "text", "spans")
 
 
 def _covers(candidates: DataFrame) -> DataFrame:
     """span, starts, ends: the distinct spans that hold words to remove, and which."""
     spark = candidates.sparkSession
-    cut = candidates.mapInArrow(_distinct_spans, "span binary, anchor long, words binary, n long")
-    spans = write_table(cut.groupBy("span").agg(F.first("anchor").alias("anchor"), F.first("words").alias("words"), F.sum("n").alias("n")), "phrase-spans")
-    windows = spans.select("span", "words", "n").mapInArrow(_counted_windows, "window binary, span binary, place int, n long")
-    confirmed = windows.groupBy("window").agg(F.sum("n").alias("n"), F.min(F.struct("span", "place")).alias("owner")).where("n > 1")
-    places = confirmed.select("owner.*").groupBy("span").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    passages = write_table(places.join(spans.select("span", "anchor", "words"), "span"), "phrase-passages")
+    cut = candidates.mapInArrow(_distinct_spans, "span binary, anchor long, anchor_at int, words binary, n long")
+    spans = write_table(cut.groupBy("span").agg(F.first("anchor").alias("anchor"), F.first("anchor_at").alias("anchor_at"), F.first("words").alias("words"), F.sum("n").alias("n")), "phrase-spans")
+    phrase = F.array_join(F.slice(F.split(F.col("words").cast("string"), " "), F.col("anchor_at") + 1, ANCHOR), " ")
+    anchors = write_table(spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("spans"), F.min(phrase).alias("phrase"), F.max(phrase).alias("other")), "phrase-anchors")
+    # Two phrases of one hash make an anchor count as one of several spans, and both are phrases.
+    several = anchors.where("spans > 1")
+    flagged = maybe_among(spans, F.col("anchor"), several.select("anchor"), F.col("anchor"), "several")
+    windows = flagged.where("several").select("anchor", "words", "n").mapInArrow(_counted_windows, "high long, low long, anchor long, n long")
+    confirmed = windows.groupBy("high", "low", "anchor").agg(F.sum("n").alias("n")).where("n > 1")
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_spans, n_shards = spans.count(), max(4 * tasks, -(-passages.count() // SHARD_PASSAGES))
+    n_spans, n_shards = spans.count(), max(4 * tasks, -(-anchors.count() // SHARD_ANCHORS))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).alias("shard")
-    # As many salts as a shard has times the spans of an average half task; a row a shard, whatever the corpus.
+    # As many salts as a shard has times the spans of half an average task; a row a shard, whatever the corpus.
     share = max(1, n_spans // (2 * tasks))
-    salts = spans.groupBy(shard).agg(F.ceil(F.count(F.lit(1)) / F.lit(share)).cast("int").alias("salts"))
-    of_passages = passages.select(shard, "places", "span", "words").join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    streamed = spans.select(shard, F.lit(None).cast("array<int>").alias("places"), "span", "words").join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("span"), F.col("salts")).cast("int"))
-    columns = ["shard", "salt", "places", "span", "words"]
-    both = of_passages.select(columns).unionByName(streamed.select(columns))
-    dealt = both.repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("places").isNull())
+    salts = write_table(anchors.groupBy(shard).agg(F.ceil(F.sum("spans") / F.lit(share)).cast("int").alias("salts")), "phrase-salts")
+    each_salt = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = lambda df, **own: df.select("shard", *[own.get(c, none(kind)).alias(c) for c, kind in _STREAMED.items()])
+    phrases = rows(anchors.select(shard, F.explode(F.array_distinct(F.array("phrase", "other"))).alias("_p")), phrase=F.col("_p"))
+    known = rows(confirmed.select(shard, "high", "low"), high=F.col("high"), low=F.col("low"))
+    streamed = rows(flagged.select(shard, "span", "words", (~F.col("several") & (F.col("n") > 1)).alias("_whole")), span=F.col("span"), words=F.col("words"), whole=F.col("_whole"))
+    told = phrases.unionByName(known).join(salts, "shard").withColumn("salt", each_salt).drop("salts")
+    asked = streamed.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("span"), F.col("salts")).cast("int")).drop("salts")
+    dealt = told.unionByName(asked).repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("span").isNotNull()).select("shard", "salt", *_STREAMED)
     return dealt.mapInArrow(_located, "span binary, starts array<int>, ends array<int>")
 
 
@@ -319,7 +338,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept (the words that stay, or null if all do), kept_sha256."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("key"), text.cast("binary").alias("text"))
-    filed = write_table(texts.mapInArrow(_anchors, "doc_id long, key binary, n_words long, whole_sha256 string, anchors array<long>, firsts array<int>, lengths array<int>"), "phrase-filed")
+    filed = write_table(texts.mapInArrow(_anchors, "doc_id long, key binary, n_words long, whole_sha256 string, anchors array<long>, shapes array<long>"), "phrase-filed")
     candidates = write_table(_candidates(texts, filed), "phrase-candidates")
     covers = write_table(_covers(candidates), "phrase-covers")
     placed = candidates.select("key", "n", "text", "spans").mapInArrow(_placed_spans, "key binary, first int, span binary")

@@ -37,3 +37,11 @@ def test_let_computes_once(spark):
     assert spark.range(1).select(common.let(F.lit(3), lambda x: x * x + x)).first()[0] == 12
     assert spark.range(1).select(F.size(common.words_of(F.lit("a b \x0bc\td\n")))).first()[0] == 3
     assert spark.range(1).select(F.size(common.words_of(F.lit(None).cast("string")))).first()[0] == 0
+
+
+def test_thinning_keeps_what_is_wanted(spark):
+    rows, wanted = spark.range(20_000).withColumn("v", F.col("id") % 7), spark.range(0, 20_000, 50)
+    left = common.thinned(rows, F.col("id"), wanted, F.col("id"))
+    ids = {r.id for r in left.collect()}
+    assert left.columns == rows.columns and {r.id for r in wanted.collect()} <= ids and len(ids) < 2000
+    assert common.thinned(rows, F.col("id"), wanted.limit(0), F.col("id")).count() == 0

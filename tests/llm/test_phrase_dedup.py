@@ -80,21 +80,23 @@ def test_a_hot_line_in_all_texts(spark):
     rng = random.Random(1)
     line = words_of(rng, 20) + ["common"] + words_of(rng, 20)
     got = run(spark, [" ".join(words_of(rng, 30) + line + words_of(rng, 30)) for _ in range(300)])
-    assert all(r[2] == 41 for r in got.values())
+    assert all(r[2] >= 41 for r in got.values())
 
 
 def test_pieces_of_very_long_texts(spark, texts, monkeypatch):
     """A worker hashes long texts in pieces; the spans cover the same windows, each once."""
     rng = random.Random(2)
     words = pd.word_hashes(" ".join(words_of(rng, 3000, 50)).encode())
-    first, length, anchor = pd.spans_of(words, np.array([len(words)]))
+    first, length, anchor, place = pd.spans_of(words, np.array([len(words)]))
+    assert ((place + pd.ANCHOR <= pd.WINDOW) & (place >= length - 1)).all()
     assert first[0] == 0 and (first[1:] == (first + length)[:-1]).all() and (first + length)[-1] == 3000 - pd.WINDOW + 1
     monkeypatch.setattr(pd, "PORTION_WINDOWS", 700)
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2], pa.int64()), "key": pa.array([b"k", b"l"]), "text": pa.array([" ".join(words_of(random.Random(2), 3000, 50)).encode(), b"a b"])})
     (got,) = pd._anchors(iter([batch]))
-    firsts, lengths, anchors = (np.array(got.column(c)[0].as_py()) for c in ("firsts", "lengths", "anchors"))
+    shapes, anchors = (np.array(got.column(c)[0].as_py()) for c in ("shapes", "anchors"))
+    firsts, lengths = shapes >> pd.PLACE_BITS + pd.LENGTH_BITS, shapes >> pd.PLACE_BITS & (1 << pd.LENGTH_BITS) - 1
     assert (firsts[1:] == (firsts + lengths)[:-1]).all() and (firsts + lengths)[-1] == 3000 - pd.WINDOW + 1
     assert set(anchors) == set(anchor.view(np.int64)) and got.column("anchors")[1].as_py() == []
 
@@ -103,10 +105,15 @@ def test_automaton_finds_words_at_edges():
     rng = random.Random(3)
     words = [w.encode() for w in words_of(rng, 60)]
     automaton = pd.PhraseAutomaton()
-    automaton.add(b" ".join(words), [3, 4, 5, 20])
-    assert automaton.covered(b" ".join(words)) == [(3, 40), (20, 55)] or automaton.covered(b" ".join(words)) == [(3, 55)]
-    assert automaton.covered(b" ".join(words[4:39])) == [(0, 35)]
-    assert automaton.covered(b" ".join(words[4:38])) == [] and automaton.covered(b"x" + b" ".join(words[4:39])) == []
+    assert automaton.covered(b" ".join(words), True) == []
+    digests = pd._windows(words)
+    automaton.add(b" ".join(words[22:34]).decode(), None)
+    for k in (3, 4, 5, 20):
+        automaton.add(None, pd._digest(*np.frombuffer(digests[k], "<i8").tolist()))
+    assert automaton.covered(b" ".join(words), False) == [(3, 55)]
+    assert automaton.covered(b" ".join(words[4:39]), False) == [(0, 35)]
+    assert automaton.covered(b" ".join(words[5:45]), False) == [(0, 35)] and automaton.covered(b" ".join(words[5:45]), True) == [(0, 40)]
+    assert automaton.covered(b" ".join(words[4:38]), False) == [] and automaton.covered(b"x" + b" ".join(words[4:39]), False) == []
 
 
 def test_sql(spark, tmp_path, texts):

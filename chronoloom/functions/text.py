@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chronoloom.functions.subwords import Subwords
+
 #: The patterns under which generated text states pairs, and the groups of instruction and response.
 PAIR_PATTERNS = (
     (r"(?:^|\n)(?:[Pp]air \d+[:.]?\s*)?(?:\d+\.?\s*)?[Ii]nstruction:?\s*(.*?)\n+\s*[Rr]esponse:?\s*(.*?)(?=\n(?:[Pp]air \d+[:.]?\s*)?(?:\d+\.?\s*)?[Ii]nstruction|$)", 1, 2),
@@ -20,7 +25,7 @@ def tokens(text: Column) -> Column:
 
 
 def token_count(text: Column, tokenizer: str = "whitespace") -> Column:
-    return F.size(tokenizer_named(tokenizer)(text))
+    return tokenizer_named(tokenizer).count(text)
 
 
 def word_tokens(text: Column) -> Column:
@@ -33,11 +38,34 @@ def quarter_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([^ \t\n\x0B\f\r]{1,4})"), F.lit(1))
 
 
-#: Tokenizers by name: from a text to the array of its tokens.
-TOKENIZERS = {"whitespace": tokens, "words": word_tokens, "quarters": quarter_tokens}
+class Pieces:
+    """A tokenizer that cuts a text into an array of strings, without any user function."""
+
+    def __init__(self, cut: Callable[[Column], Column]):
+        self.cut = cut
+
+    def count(self, text: Column) -> Column:
+        return F.size(self.cut(text))
+
+    def counts(self, texts: Column) -> Column:
+        return F.transform(texts, self.count)
+
+    def ids(self, text: Column) -> Column:
+        """A stand-in for ids: each token by a hash that every engine can compute."""
+        return F.transform(self.cut(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % 32_000).cast("int"))
+
+    def last(self, text: Column, n: Column) -> Column:
+        """The last ``n`` tokens joined by blanks; '' if n is not positive."""
+        own = self.cut(text)
+        kept = F.slice(own, -F.least(n, F.size(own)), F.least(n, F.size(own)))
+        return F.when((n <= 0) | (F.size(own) == 0), F.lit("")).otherwise(F.array_join(kept, " "))
+
+
+#: Tokenizers by name; more can be added, such as Subwords of another vocabulary file.
+TOKENIZERS: dict[str, Pieces | Subwords] = {"whitespace": Pieces(tokens), "words": Pieces(word_tokens), "quarters": Pieces(quarter_tokens), "bpe": Subwords()}
 
 
-def tokenizer_named(name: str):
+def tokenizer_named(name: str) -> Pieces | Subwords:
     if name not in TOKENIZERS:
         raise ValueError(f"no tokenizer named {name!r}; known are {', '.join(TOKENIZERS)}")
     return TOKENIZERS[name]
@@ -77,11 +105,12 @@ def parse_pairs(text: Column, patterns: tuple = PAIR_PATTERNS) -> Column:
 
 
 def fill(template: str, **values: Column) -> Column:
-    """A prompt template with {name} replaced; other braces and percent signs stay."""
-    out = F.lit(template)
-    for name, value in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
-    return out
+    """A prompt template with {name} replaced, once: braces in a value, other braces and percent signs stay."""
+    if not values:
+        return F.lit(template)
+    pieces = re.split("({(?:" + "|".join(map(re.escape, values)) + ")})", template)
+    text = lambda piece, k: F.coalesce(values[piece[1:-1]].cast("string"), F.lit("")) if k % 2 else F.lit(piece)
+    return F.concat(*[text(piece, k) for k, piece in enumerate(pieces) if piece])
 
 
 #: The formats under which visit times are written, tried in this order.
@@ -110,8 +139,8 @@ def score(value: Column) -> Column:
 
 
 def context_name(context: Column) -> Column:
-    """A context mode as part of a path: named modes as they are, numbers as a token count."""
-    return F.when(context.rlike("^[0-9]+$"), F.concat(F.lit("window_"), context)).otherwise(F.regexp_replace(context, "[^A-Za-z0-9_-]+", "_"))
+    """A context mode as part of a path: numbers as ``context_N``, named modes as they are."""
+    return F.when(context.rlike("^[0-9]+$"), F.concat(F.lit("context_"), context)).otherwise(context)
 
 
 def verdict(reply: Column, swapped: Column | bool = False) -> Column:
@@ -142,7 +171,5 @@ def available_tokens(context: Column, *used: Column, least: int = 100) -> Column
 
 
 def last_tokens(text: Column, n: Column, tokenizer: str = "whitespace") -> Column:
-    """The last n tokens of a text joined by blanks; '' if n is not positive."""
-    own = tokenizer_named(tokenizer)(text)
-    kept = F.slice(own, -F.least(n, F.size(own)), F.least(n, F.size(own)))
-    return F.when((n <= 0) | (F.size(own) == 0), F.lit("")).otherwise(F.array_join(kept, " "))
+    """The last n tokens of a text; '' if n is not positive."""
+    return tokenizer_named(tokenizer).last(text, n)

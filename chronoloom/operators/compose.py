@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions import text as tx
-from chronoloom.operators import calls, dedup, judge, markup, retrieval, selection, training, windows
-from chronoloom.streaming.incremental import done_so_far, errors_path, repeat_until_done
+from chronoloom.operators import calls, dedup, judge, markup, retrieval, selection, training, trees, windows
+from chronoloom.streaming.incremental import repeat_until_done
+from chronoloom.streaming.manifest import Results, latest_failures
 
 #: Tokens kept for an answer.
 GENERATION = 256
@@ -17,20 +18,27 @@ GENERATION = 256
 PASSES, ITEM_SECONDS = 30, 300.0
 
 
-def timeline_visits(timelines: DataFrame) -> DataFrame:
-    """(person_id, visit, visit_date, text) of every visit in (person_id, text); visits are counted in document order."""
-    cut = timelines.select("person_id", F.posexplode(markup.visit_strings(F.col("text"))).alias("visit", "text"))
+def timeline_visits(timelines: DataFrame, filters: dict | None = None) -> DataFrame:
+    """(person_id, visit, visit_date, text) of every visit in (person_id, text); visits are counted in document order.
+
+    With ``filters`` (see ``trees.FILTERS``) a visit's text holds what passes them, and visits with nothing left go.
+    """
+    if filters is None:
+        cut = timelines.select("person_id", F.posexplode(markup.visit_strings(F.col("text"))).alias("visit", "text"))
+    else:
+        cut = trees.filter_trees(timelines, filters)
     return cut.select("person_id", "visit", tx.visit_date(markup.start_attribute(F.col("text"))).alias("visit_date"), "text")
 
 
-def generate_pairs(timelines: DataFrame, template: str, mode: str | int, make_model: Callable[[], calls.Model], limit: int | None = None, persona: DataFrame | None = None) -> DataFrame:
+def generate_pairs(timelines: DataFrame, template: str, mode: str | int, make_model: Callable[[], calls.Model], limit: int | None = None, persona: DataFrame | None = None, tokenizer: str = "whitespace") -> DataFrame:
     """Windows of each timeline, filled into a template and sent to a model.
 
     (person_id, window_index, tokens, start_date, end_date, response, error). ``persona``
     (person_id, specialty) fills {specialty}. A limit takes the first persons by id.
     """
     people = timelines if limit is None else timelines.orderBy("person_id").limit(limit)
-    cut = windows.context_windows(timeline_visits(people), mode)
+    mode = windows.checked_mode(mode)
+    cut = windows.pack_windows(timeline_visits(people), mode, tokenizer=tokenizer) if isinstance(mode, int) else windows.record_window(people, 5 if mode == "last_five" else None, tokenizer)
     values = {"ehr": F.col("text")}
     if persona is not None:
         cut = cut.join(persona.select("person_id", "specialty"), "person_id", "left")
@@ -41,18 +49,14 @@ def generate_pairs(timelines: DataFrame, template: str, mode: str | int, make_mo
     return asked.select("key", "person_id", "window_index", "tokens", "start_date", "end_date").join(replies, "key").drop("key")
 
 
-def evaluation_windows(timelines: DataFrame, budget: int, template: str) -> DataFrame:
-    """(person_id, visits, tokens, start_date, end_date, percent_full, prompt) of each timeline's newest visits that fit."""
-    visits = timeline_visits(timelines)
-    fit = windows.newest_that_fit(visits, budget)
-    kept = windows.trailing_children(visits, budget).select("person_id", "visit").join(visits, ["person_id", "visit"])
-    texts = kept.groupBy("person_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("visit", "text"))), lambda v: v["text"]), "\n").alias("_text"))
-    return fit.join(texts, "person_id").withColumn("prompt", tx.fill(template, ehr=F.col("_text"))).drop("_text")
+def evaluation_windows(timelines: DataFrame, budget: int, template: str, tokenizer: str = "whitespace") -> DataFrame:
+    """(person_id, visits, tokens, start_date, end_date, text, percent_full, prompt) of each timeline's newest visits that fit."""
+    return windows.newest_that_fit(timeline_visits(timelines), budget, tokenizer=tokenizer).withColumn("prompt", tx.fill(template, ehr=F.col("text")))
 
 
-def evaluation_generation(timelines: DataFrame, budget: int, template: str, make_model: Callable[[], calls.Model]) -> DataFrame:
+def evaluation_generation(timelines: DataFrame, budget: int, template: str, make_model: Callable[[], calls.Model], tokenizer: str = "whitespace") -> DataFrame:
     """(person_id, tokens, start_date, end_date, response) of each evaluation window that a model answers; failures are left out."""
-    asked = evaluation_windows(timelines, budget, template)
+    asked = evaluation_windows(timelines, budget, template, tokenizer)
     replies = calls.generate(asked, "person_id", make_model).where("response IS NOT NULL").select("person_id", "response")
     return asked.select("person_id", "tokens", "start_date", "end_date").join(replies, "person_id")
 
@@ -95,7 +99,7 @@ def training_rows_from_files(texts: DataFrame, responses: DataFrame, timelines:
     return rows, empty
 
 
-def inference_prompts(responses: DataFrame, timelines: DataFrame, context: int, template: str) -> DataFrame:
+def inference_prompts(responses: DataFrame, timelines: DataFrame, context: int, template: str, tokenizer: str = "whitespace") -> DataFrame:
     """One row per valid pair of a person with a timeline: (instruction_id, patient_id, instruction, ehr, prompt, context_length, generation_length).
 
     The timeline keeps its last tokens that fit beside template, instruction and answer.
@@ -103,53 +107,65 @@ def inference_prompts(responses: DataFrame, timelines: DataFrame, context: int,
     each = dedup.instruction_ids(responses.withColumn("response_data", dedup.valid_pairs(F.col("response_data"))))
     asked = each.where(F.length("item.instruction") > 0).select("instruction_id", "person_id", F.col("item.instruction").alias("instruction"))
     joined = asked.join(timelines.select("person_id", "text"), "person_id")
-    cut = windows.tail_truncate(joined, context, GENERATION, template)
+    cut = windows.tail_truncate(joined, context, GENERATION, template, tokenizer=tokenizer)
     prompt = tx.fill(template, ehr=F.col("kept"), question=F.col("instruction"))
     return cut.select("instruction_id", F.col("person_id").alias("patient_id"), "instruction", F.col("kept").alias("ehr"), prompt.alias("prompt"), F.lit(context).alias("context_length"), F.lit(GENERATION).alias("generation_length"))
 
 
-def pack_prompts(instructions: DataFrame, timelines: DataFrame, template: str, context: int, retrieve: bool = False, with_record: bool = True) -> DataFrame:
+def pack_prompts(
+    instructions: DataFrame, timelines: DataFrame, template: str, context: int, retrieve: bool = False, with_record: bool = True, filters: dict | None = trees.FILTERS["all"], tokenizer: str = "whitespace", first: str | None = None
+) -> DataFrame:
     """(instruction_id, prompt): each instruction with what of its person's record fits.
 
-    With ``retrieve`` the visits are ranked against the instruction, kept up to the budget (the one
-    that crosses it included), and put back in order of time; then, as without, the last tokens that
-    fit are kept. An instruction whose person has no record is an error.
+    The record is the person's visits with what passes ``filters`` (see ``trees.FILTERS``), one a
+    line. Its budget is what template, instruction and answer leave of the context. With ``retrieve``
+    the visits are ranked against the instruction, kept up to that budget (the one that crosses it
+    included; those without a readable time are passed over), and put back in order of time; then, as
+    without, the last tokens that fit are kept (``first`` names a cheaper tokenizer that cuts to twice
+    the budget before). Nothing is retrieved for a budget of zero or less. Relevance goes by
+    white-space terms, budgets by ``tokenizer``. An instruction whose person has no record is an error.
     """
-    record = dedup.guarded_lookup(instructions.select("instruction_id", "person_id", "instruction"), timelines.select("person_id", F.coalesce("text", F.lit("")).alias("record")), "person_id", "record")
+    guarded = dedup.guarded_lookup(instructions.select("instruction_id", "person_id", "instruction"), timelines.select("person_id", F.lit("").alias("record")), "person_id", "record")
+    # The empty text is joined on, so that the check is not pruned.
+    guarded = guarded.withColumn("instruction", F.concat("instruction", "record")).drop("record")
     if not with_record:
-        return record.select("instruction_id", tx.fill(template, ehr=F.lit(""), question=F.col("instruction")).alias("prompt"))
+        return guarded.select("instruction_id", tx.fill(template, ehr=F.lit(""), question=F.col("instruction")).alias("prompt"))
+    visits = timeline_visits(timelines, filters)
     if retrieve:
-        visits = timeline_visits(timelines)
-        queries = instructions.select("instruction_id", "person_id", F.col("instruction").alias("text"))
-        ranked = retrieval.bm25(visits, queries, "person_id", "visit", "instruction_id")
-        kept = retrieval.fit_by_rank(ranked, "instruction_id", "visit", context).join(visits.select("person_id", "visit", "text"), ["person_id", "visit"])
-        found = retrieval.in_time(kept, "instruction_id", "text", "visit")
-        record = record.drop("record").join(found, "instruction_id", "left").withColumn("record", F.coalesce("context", F.lit(""))).drop("context")
-    cut = windows.tail_truncate(record.withColumnRenamed("record", "text"), context, GENERATION, template)
+        budget = windows.room(F.lit(context), F.lit(GENERATION), template, F.col("instruction"), tokenizer)
+        asked = instructions.select("instruction_id", "person_id", "instruction", budget.alias("_budget")).where("_budget > 0")
+        ranked = retrieval.bm25(visits, asked.select("instruction_id", "person_id", F.col("instruction").alias("text")), "person_id", "visit", "instruction_id")
+        sized = retrieval.with_readable_time(visits).select("person_id", "visit", tx.token_count(F.col("text"), tokenizer).cast("long").alias("n_tokens"))
+        timed = ranked.drop("n_tokens").join(sized, ["person_id", "visit"]).join(asked.select("instruction_id", "_budget"), "instruction_id")
+        kept = retrieval.fit_by_rank(timed, "instruction_id", "visit", F.col("_budget")).join(visits.select("person_id", "visit", "text"), ["person_id", "visit"])
+        texts = retrieval.in_time(kept, "instruction_id", "text", "visit").select("instruction_id", F.col("context").alias("text"))
+        record = guarded.join(texts, "instruction_id", "left")
+    else:
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("visit", "text"))), lambda v: v["text"])
+        texts = visits.groupBy("person_id").agg(F.array_join(lines, "\n").alias("text"))
+        record = guarded.join(texts, "person_id", "left")
+    cut = windows.tail_truncate(record, context, GENERATION, template, tokenizer=tokenizer, first=first)
     return cut.select("instruction_id", tx.fill(template, ehr=F.col("kept"), question=F.col("instruction")).alias("prompt"))
 
 
-def judge_all(references: DataFrame, responses: DataFrame, template: str, make_model: Callable[[], calls.Model], path: str, passes: int = PASSES, records: DataFrame | None = None, context: int = 16_384, seconds: float = ITEM_SECONDS) -> DataFrame:
+def judge_all(references: DataFrame, responses: DataFrame, template: str, make_model: Callable[[], calls.Model], path: str, passes: int = PASSES, records: DataFrame | None = None, context: int = 16_384, seconds: float = ITEM_SECONDS, tokenizer: str = "whitespace", in_flight: int = 1, rate: float | None = None) -> DataFrame:
     """Judges every reference that has a response, resuming what is below ``path``: (instruction_id, scores, error).
 
     A call that fails or takes longer than ``seconds`` is tried again in the next pass; what still
     fails after the last one comes back with its last error and null scores.
     """
-    inputs = judge.judge_inputs(references.where("annotator_num = 'Annotator_1'"), responses, template, records=records, context=context).select("instruction_id", "prompt")
-    replies = _asked_until_done(inputs, "instruction_id", make_model, path, passes, seconds)
+    inputs = judge.judge_inputs(references.where("annotator_num = 'Annotator_1'"), responses, template, records=records, context=context, tokenizer=tokenizer).select("instruction_id", "prompt")
+    replies = _asked_until_done(inputs, "instruction_id", make_model, path, passes, seconds, in_flight, rate)
     return replies.withColumn("scores", judge.repaired_scores(F.col("response"))).select("instruction_id", "scores", "error")
 
 
-def _asked_until_done(asked: DataFrame, key: str, make_model: Callable[[], calls.Model], path: str, passes: int, seconds: float) -> DataFrame:
+def _asked_until_done(asked: DataFrame, key: str, make_model: Callable[[], calls.Model], path: str, passes: int, seconds: float, in_flight: int = 1, rate: float | None = None) -> DataFrame:
     """(key, response, error) of every prompt: its reply, or else its failure."""
-    work = lambda rows: calls.generate(rows, key, lambda: calls.with_time_limit(make_model(), seconds))
-    left = repeat_until_done(asked, key, work, path, passes)
-    spark, shape = asked.sparkSession, work(asked.limit(0))
-    done = done_so_far(spark, path, shape)
-    if not left:
-        return done
-    failed = dedup.unprocessed(done_so_far(spark, errors_path(path), shape), done, key)
-    return done.unionByName(failed.groupBy(key).agg(F.lit(None).cast("string").alias("response"), F.max("error").alias("error")))
+    work = lambda rows: calls.generate(rows, key, make_model, seconds=seconds, in_flight=in_flight, rate=rate)
+    repeat_until_done(asked, key, work, path, passes)
+    results = Results(asked.sparkSession, path, work(asked.limit(0)))
+    failed = latest_failures(results, key).select(key, F.lit(None).cast("string").alias("response"), "error")
+    return results.done().unionByName(failed)
 
 
 def compare_models(references: DataFrame, a: DataFrame, b: DataFrame, template: str, make_model: Callable[[], calls.Model], path: str, passes: int = PASSES, seconds: float = ITEM_SECONDS) -> DataFrame:

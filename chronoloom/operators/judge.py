@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions.text import available_tokens, fill, score, token_count, verdict
-from chronoloom.operators.markup import trailing_record
+from chronoloom.operators.trees import trailing_record
 
 #: What a judge's reply holds for each criterion.
 CRITERION = "struct<score: string, explanation: string>"
@@ -46,22 +46,23 @@ def average_scores(results: DataFrame, group: list[str] | None = None, scores: s
     return results.groupBy(*(group or [])).agg(*means)
 
 
-def judge_inputs(references: DataFrame, responses: DataFrame, template: str, key: str = "instruction_id", records: DataFrame | None = None, record: str = "filename", context: int = 16_384) -> DataFrame:
+def judge_inputs(references: DataFrame, responses: DataFrame, template: str, key: str = "instruction_id", records: DataFrame | None = None, record: str = "filename", context: int = 16_384, tokenizer: str = "whitespace") -> DataFrame:
     """References joined to responses (the last of several wins) with a ``prompt`` for the judge.
 
     References without any response row are left out; a null response is named as such. With
-    ``records`` (``record``, text) the template's {ehr} is the reference's record: the latest visits
-    that fit what template, instruction, response and answer leave of ``context``, or of 100 tokens
-    if they leave less. A reference without a record has an empty one.
+    ``records`` (``record``, text) the template's {ehr} is the reference's record: its root and the last of the root's
+    children that fit what template, instruction, response and answer leave of ``context``, or of 100 tokens
+    if they leave less. A reference without a record, or with a malformed one, has an empty one.
     """
     last = responses.groupBy(key).agg(F.max_by("model_response", "position").alias("model_response"))
     joined = references.join(last, key).withColumn("model_response", F.coalesce("model_response", F.lit(NO_RESPONSE)))
     values = {"instruction": F.col("instruction"), "reference": F.col("reference_answer"), "response": F.col("model_response")}
     if records is not None:
         joined = joined.join(records.select(record, F.col("text").alias("_record")), record, "left")
-        room = available_tokens(F.lit(context), token_count(F.lit(fixed_part(template))), *map(token_count, values.values()))
-        values = {"ehr": trailing_record(F.col("_record"), room)} | values
-    return joined.withColumn("prompt", fill(template, **values)).drop("_record")
+        room = available_tokens(F.lit(context), token_count(F.lit(fixed_part(template)), tokenizer), *[token_count(v, tokenizer) for v in values.values()])
+        joined = trailing_record(joined.withColumn("_room", room), "_record", F.col("_room"), tokenizer)
+        values = {"ehr": F.col("_record")} | values
+    return joined.withColumn("prompt", fill(template, **values)).drop("_record", "_room")
 
 
 def fixed_part(template: str) -> str:

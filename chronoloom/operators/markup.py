@@ -11,35 +11,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from chronoloom.functions.text import dynamic_compare, token_count
+from chronoloom.functions.text import dynamic_compare
 
 #: A visit with its events, from markup that need not be well-formed as a whole.
 EVENT = "struct<tag: string, attributes: map<string,string>, text: string>"
 
 
+_VISIT = r"(?s)<visit\b[^>]*?/>|<visit\b.*?</visit>"
+
+
 def visit_strings(text: Column) -> Column:
     """Every <visit> of a text, verbatim, in order; visits do not nest. Self-closing ones count too."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?s)(<visit\b[^>]*?/>|<visit\b.*?</visit>)"), F.lit(1))
-
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_VISIT), F.lit(0))
 
-def trailing_record(record: Column, budget: Column) -> Column:
-    """A record with the latest of its visits whose tokens together are within the budget, in their order.
 
-    Stops at the first that doesn't fit. A record without a root element gives its visits alone; null gives ''.
-    """
-    visits = visit_strings(record)
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+def without_earlier(record: Column, n: int) -> Column:
+    """A record with all of its visits but the last ``n`` cut out, with the text behind each up to the next tag; the rest stays."""
+    visits, between = visit_strings(record), F.split(F.coalesce(record, F.lit("")), _VISIT, -1)
 
-    def step(acc: Column, size: Column) -> Column:
-        fits = acc["open"] & (acc["sum"] + size <= budget)
-        return F.struct(F.when(fits, acc["sum"] + size).otherwise(acc["sum"]).alias("sum"), F.when(fits, acc["n"] + 1).otherwise(acc["n"]).alias("n"), fits.alias("open"))
+    def part(piece: Column, k: Column) -> Column:
+        kept = F.concat(F.coalesce(F.get(visits, k - 1), F.lit("")), piece)
+        return F.when(k <= F.size(visits) - n, F.when(k == 0, piece).otherwise(F.regexp_replace(piece, r"^[^<]+", ""))).otherwise(kept)
 
-    n = F.aggregate(F.reverse(F.transform(visits, lambda v: token_count(v))), start, step, lambda acc: acc["n"])
-    kept = F.array_join(F.slice(visits, F.size(visits) - n + 1, n), "")
-    name = F.regexp_extract(F.coalesce(record, F.lit("")), r"^\s*<([A-Za-z_][\w.:-]*)", 1)
-    head = F.regexp_extract(record, r"^\s*(<[A-Za-z_][^>]*?)\s*/?>", 1)
-    rooted = (name != "") & (F.lower(name) != "visit")
-    return F.when(rooted, F.concat(head, F.lit(">"), kept, F.lit("</"), name, F.lit(">"))).otherwise(F.coalesce(kept, F.lit("")))
+    return F.array_join(F.transform(between, part), "")
 
 
 def start_attribute(visit: Column) -> Column:
@@ -168,3 +162,16 @@ def pretty_xml(texts: pd.Series) -> pd.Series:
         return ET.tostring(root, encoding="unicode")
 
     return texts.map(pretty)
+
+
+@F.pandas_udf(StringType())
+def whole_element(texts: pd.Series) -> pd.Series:
+    """A document's root element as XML, without declaration, comments and what else surrounds it; null if malformed."""
+
+    def root_of(source):
+        try:
+            return ET.tostring(ET.fromstring(source or ""), encoding="unicode")
+        except ET.ParseError:
+            return None
+
+    return texts.map(root_of)

@@ -9,15 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from chronoloom.functions.stems import stem
 from chronoloom.functions.text import tokens
 
 
-def _common(a: Column, b: Column) -> Column:
-    """Elements that two arrays share, each as often as in the one that has it less often."""
-    times = lambda x, g: F.size(F.filter(x, lambda y: y == g))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, g: acc + F.least(times(a, g), times(b, g)))
-
-
 def bleu_score(reference: list[str], candidate: list[str], most: int = 4) -> float:
     """The lesser of precision and recall over the 1- to 4-grams; 0 if either text has no word."""
     if not reference or not candidate:
@@ -51,8 +46,8 @@ def longest_common(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_max(F.aggregate(a, empty, row)), F.lit(0))
 
 
-def rouge_l(reference: Column, candidate: Column) -> Column:
-    """The F-measure of the longest common subsequence of whitespace tokens."""
+def rouge_l_folded(reference: Column, candidate: Column) -> Column:
+    """The F-measure of the longest common subsequence of whitespace tokens, as a fold over columns; for short texts."""
     r, c = tokens(reference), tokens(candidate)
     lcs = longest_common(r, c)
     return F.coalesce(F.try_divide(lcs * 2.0, F.size(r) + F.size(c)), F.lit(0.0))
@@ -71,8 +66,8 @@ def _lcs(a: list[str], b: list[str]) -> int:
 
 
 @F.pandas_udf(DoubleType())
-def rouge_l_long(reference: pd.Series, candidate: pd.Series) -> pd.Series:
-    """``rouge_l`` for long texts: bit-parallel instead of a quadratic array fold."""
+def rouge_l(reference: pd.Series, candidate: pd.Series) -> pd.Series:
+    """The F-measure of the longest common subsequence of whitespace tokens, bit-parallel."""
     out = []
     for r, c in zip(reference, candidate):
         a, b = (r or "").split(), (c or "").split()
@@ -120,16 +115,58 @@ def chrf(reference: pd.Series, candidate: pd.Series) -> pd.Series:
     return pd.Series([chrf_score(r or "", c or "") for r, c in zip(reference, candidate)])
 
 
+#: METEOR's weight of recall, exponent and factor of the chunk penalty.
+ALPHA, BETA, GAMMA = 0.9, 3.0, 0.5
+
+
+def aligned_words(reference: list[str], candidate: list[str], stems: bool = True) -> list[tuple[int, int]]:
+    """(place in candidate, place in reference) of matched words, ascending.
+
+    Equal words are matched first, then words of one stem among those left. In each stage the last
+    of a word goes with the last of the same on the other side, so equal words never cross.
+    """
+    left_r, left_c, found = list(range(len(reference))), list(range(len(candidate))), []
+    for key in (str, stem) if stems else (str,):
+        where: dict[str, list[int]] = {}
+        for j in left_r:
+            where.setdefault(key(reference[j]), []).append(j)
+        pairs = [(i, where[k].pop()) for i in reversed(left_c) if where.get(k := key(candidate[i]))]
+        found += pairs
+        gone = [{p[s] for p in pairs} for s in (0, 1)]
+        left_c, left_r = [i for i in left_c if i not in gone[0]], [j for j in left_r if j not in gone[1]]
+    return sorted(found)
+
+
+def meteor_score(reference: list[str], candidate: list[str], stems: bool = True) -> float:
+    """The weighted harmonic mean of precision and recall, less a penalty for the chunks that the matches fall into."""
+    pairs = aligned_words(reference, candidate, stems)
+    if not pairs:
+        return 0.0
+    precision, recall = len(pairs) / len(candidate), len(pairs) / len(reference)
+    chunks = 1 + sum(b != (a[0] + 1, a[1] + 1) for a, b in zip(pairs, pairs[1:]))
+    return (1 - GAMMA * (chunks / len(pairs)) ** BETA) * precision * recall / (ALPHA * precision + (1 - ALPHA) * recall)
+
+
+def _meteor(stems: bool):
+    @F.pandas_udf(DoubleType())
+    def scored(reference: pd.Series, candidate: pd.Series) -> pd.Series:
+        return pd.Series([meteor_score(list(r), list(c), stems) for r, c in zip(reference, candidate)], dtype=float)
+
+    return lambda reference, candidate: scored(tokens(F.lower(reference)), tokens(F.lower(candidate)))
+
+
+def meteor(reference: Column, candidate: Column) -> Column:
+    """METEOR with its exact and stem stages (no thesaurus) over lower-case whitespace tokens."""
+    return _meteor(True)(reference, candidate)
+
+
 def meteor_exact(reference: Column, candidate: Column) -> Column:
-    """The exact-match stage of METEOR without chunk penalty: recall weighs nine times as much as precision."""
-    r, c = tokens(F.lower(reference)), tokens(F.lower(candidate))
-    matched = _common(r, c)
-    precision, recall = F.try_divide(matched, F.size(c)), F.try_divide(matched, F.size(r))
-    return F.coalesce(F.try_divide(precision * recall * 10.0, recall + precision * 9.0), F.lit(0.0))
+    """METEOR with its exact stage alone."""
+    return _meteor(False)(reference, candidate)
 
 
 #: Metrics by name. Others are refused.
-METRICS = {"google_bleu": google_bleu, "rouge_l": rouge_l, "rouge_l_long": rouge_l_long, "chrf": chrf, "meteor_exact": meteor_exact}
+METRICS = {"google_bleu": google_bleu, "rouge_l": rouge_l, "rouge_l_folded": rouge_l_folded, "chrf": chrf, "meteor": meteor, "meteor_exact": meteor_exact}
 
 
 def evaluate(pairs: DataFrame, names: list[str], reference: str = "reference", candidate: str = "candidate") -> DataFrame:

@@ -84,10 +84,10 @@ def top_k(ranked: DataFrame, query: str, doc: str, k: int) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def fit_by_rank(ranked: DataFrame, query: str, doc: str, target: int) -> DataFrame:
+def fit_by_rank(ranked: DataFrame, query: str, doc: str, target: int | Column) -> DataFrame:
     """Each query's best documents up to ``target`` tokens; the one that crosses it is the last kept.
 
-    A document is kept if those before it do not exceed the target yet. Of documents with tokens the
+    ``target`` may be a column, as large on each row of a query. A document is kept if those before it do not exceed the target yet. Of documents with tokens the
     first ``target`` + 1 by rank are enough, so each task passes on no more than these.
     """
     order = Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), doc)
@@ -108,9 +108,14 @@ def start_time(visit: Column) -> Column:
     return F.when(found == "", F.lit("0001-01-01").cast("timestamp")).otherwise(visit_time(F.trim(found)))
 
 
+def with_readable_time(visits: DataFrame, text: str = "text") -> DataFrame:
+    """Visits whose start time can be read, or that have none; others can't be put in order and use up no budget."""
+    return visits.where(start_time(F.col(text)).isNotNull())
+
+
 def in_time(kept: DataFrame, query: str, text: str, place: str) -> DataFrame:
-    """(query, context): the kept texts in order of start time, then place; texts with an unreadable time go."""
-    timed = kept.withColumn("_at", start_time(F.col(text))).where("_at IS NOT NULL")
+    """(query, context): the kept texts in order of start time, then place."""
+    timed = kept.withColumn("_at", start_time(F.col(text)))
     lines = F.array_sort(F.collect_list(F.struct("_at", F.col(place), F.col(text))))
     return timed.groupBy(query).agg(F.array_join(F.transform(lines, lambda x: x[text]), "\n").alias("context"))
 

@@ -189,8 +189,16 @@ def nested_by_window(rows: DataFrame) -> DataFrame:
     return rows.groupBy("person_id", "window_index").agg(F.min("start_date").alias("start_date"), F.min("end_date").alias("end_date"), F.array_sort(F.collect_list(pair)).alias("response_data"))
 
 
-def sampling_log(total: DataFrame, chosen: DataFrame, kind: str) -> DataFrame:
-    """(selection_type, total_pairs, sampled_pairs, persons): what a selection did."""
+def sampling_log(total: DataFrame, chosen: DataFrame, kind: str, bins: int | None = None) -> DataFrame:
+    """(selection_type, total_pairs, sampled_pairs, persons): what a selection did.
+
+    With ``bins``, also ``distribution``: a line for each half-open bin with its bounds and pairs, empty ones included.
+    """
     counts = total.agg(F.count(F.lit(1)).alias("total_pairs"))
-    kept = chosen.agg(F.count(F.lit(1)).alias("sampled_pairs"), F.count_distinct("person_id").alias("persons"))
-    return counts.crossJoin(kept).select(F.lit(kind).alias("selection_type"), "total_pairs", "sampled_pairs", "persons")
+    held = []
+    if bins:
+        own = half_open_bin(F.col("relative_position"), bins)
+        lines = [F.concat(F.lit(f"Bin {b / bins:.1f}-{(b + 1) / bins:.1f}: "), F.count_if(own == b).cast("string"), F.lit(" pairs")) for b in range(bins)]
+        held = [F.concat_ws("\n", *lines).alias("distribution")]
+    kept = chosen.agg(F.count(F.lit(1)).alias("sampled_pairs"), F.count_distinct("person_id").alias("persons"), *held)
+    return counts.crossJoin(kept).select(F.lit(kind).alias("selection_type"), "total_pairs", *kept.columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoloom.operators.markup import whole_element
+
 #: Schemas of the file kinds.
 TIMELINES = "uid string, person_id string, text string"
 WINDOWED = "uid string, person_id string, window_index int, text string"
@@ -55,6 +57,12 @@ def read_numbered_xml(spark: SparkSession, path: str, pattern: str = r"EHR_(\d+)
     return raw.where(number != "").select(number.cast("long").alias("patient_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def read_xml_or_empty(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of XML files, the root element without a declaration; malformed ones have ''. Spark passes over files of no bytes."""
+    raw = spark.read.text(path, wholetext=True).select(file_name().alias("file"), F.col("value"))
+    return raw.select("file", F.coalesce(whole_element(F.col("value")), F.lit("")).alias("text"))
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(file, content) of whole text files."""
     return spark.read.text(path, wholetext=True).select(file_name().alias("file"), F.coalesce("value", F.lit("")).alias("content"))

@@ -1,59 +1,33 @@
-"""Resumable work: batch passes over what is left, and a stream that appends results once."""
+"""Resumable work: batch passes over what is left, and a stream that commits each result once."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from chronoloom.operators.dedup import unprocessed
+from chronoloom.streaming.manifest import Results
 
 
-def _filesystem(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
-
+def done_so_far(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """Results committed below ``path``, or an empty table of the columns of ``like``."""
+    return Results(spark, path, like).done()
 
-def errors_path(path: str) -> str:
-    """Where the failures of work with results below ``path`` are kept."""
-    return path.rstrip("/") + ".errors"
 
-
-def done_so_far(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """Results written before, or an empty table of the same columns."""
-    target, files = _filesystem(spark, path)
-    if files.exists(target):
-        return spark.read.schema(like.schema).parquet(path)
-    return spark.createDataFrame([], like.schema)
+def failed_so_far(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """Failures that were kept beside the results."""
+    return Results(spark, path, like).failed()
 
 
 def resume(rows: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], path: str) -> int:
-    """Works on the rows whose key has no result below ``path`` and appends theirs; returns how many were left.
+    """Works on the rows whose key has no result below ``path`` and commits theirs; returns how many were left.
 
-    Where results have an ``error``, rows with one are no results: they are kept below
-    ``errors_path`` and tried again the next time. The work is done once, written, and then parted.
+    Where results have an ``error``, rows with one are no results: they are tried again the next
+    time. Work is done once, written, and counts with the manifest that names it (see ``Results``).
     """
-    shape = work(rows.limit(0))
-    left = unprocessed(rows, done_so_far(rows.sparkSession, path, shape), key)
-    n = left.count()
-    if n:
-        _append(work(left), path)
-    return n
-
-
-def _append(found: DataFrame, path: str, mode: str = "append", below: str = "") -> None:
-    if "error" not in found.columns:
-        found.write.mode(mode).parquet(path + below)
-        return
-    spark, attempt = found.sparkSession, f"{path.rstrip('/')}.attempt-{uuid.uuid4().hex}"
-    found.write.parquet(attempt)
-    tried = spark.read.schema(found.schema).parquet(attempt)
-    tried.where("error IS NULL").write.mode(mode).parquet(path + below)
-    tried.where("error IS NOT NULL").write.mode(mode).parquet(errors_path(path) + below)
-    target, files = _filesystem(spark, attempt)
-    files.delete(target, True)
+    return Results(rows.sparkSession, path, work(rows.limit(0))).add(rows, key, work)
 
 
 def repeat_until_done(rows: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], path: str, passes: int = 30) -> int:
@@ -64,15 +38,24 @@ def repeat_until_done(rows: DataFrame, key: str, work: Callable[[DataFrame], Dat
     return unprocessed(rows, done_so_far(rows.sparkSession, path, work(rows.limit(0))), key).count()
 
 
-def stream_results(source: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """A stream that appends one result for each key it meets.
+def stream_results(source: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, event_time: str | None = None, expiry: str = "1 day") -> StreamingQuery:
+    """A stream that commits one result for each key it meets.
 
-    Keys met before are known from the stream's own state (a row per key, sharded by key), so no
-    batch reads earlier results. A batch has a folder of its own and replaces it if it is repeated
-    after a failure. Rows with an ``error`` go below ``errors_path``.
+    With ``event_time`` the stream remembers the keys of ``expiry`` only, by the watermark of that
+    column; without, it remembers every key. Either way a batch works only on keys without a
+    committed result, and its attempt bears the batch's number, so a batch that is repeated after a
+    failure changes nothing if it was committed and is done again if it was not.
     """
+    spark = source.sparkSession
+    shape = work(spark.createDataFrame([], source.schema))
 
     def write(batch: DataFrame, number: int) -> None:
-        _append(work(batch), path, "overwrite", f"/batch={number}")
-
-    return source.dropDuplicates([key]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        results = Results(batch.sparkSession, path, shape)
+        version, name = results.version(), f"batch-{number}"
+        if name in results.attempts(version):
+            return
+        left = unprocessed(batch, results.done(version), key)
+        results.commit(results.write(work(left), name), key, version)
+
+    once = source.withWatermark(event_time, expiry).dropDuplicatesWithinWatermark([key]) if event_time else source.dropDuplicates([key])
+    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

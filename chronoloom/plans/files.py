@@ -69,7 +69,7 @@ def resumed_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = lambda rows: calls.generate(rows, "pair_id", calls.Registry().get("stub")).select("pair_id", "response")
     incremental.resume(prompts.where("length(prompt) % 2 = 0"), "pair_id", work, path)
     incremental.repeat_until_done(prompts, "pair_id", work, path)
-    scored = spark.read.parquet(path).withColumn("s", judge.repaired_scores(F.col("response")))
+    scored = incremental.done_so_far(spark, path, work(prompts.limit(0))).withColumn("s", judge.repaired_scores(F.col("response")))
     return scored.select("pair_id", "s.correctness", "s.completeness", verdict(F.col("response")).alias("verdict"))
 
 
@@ -77,10 +77,10 @@ def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream whose batches append each event's day once."""
     shape = table(spark, sf_dir, "events").schema
     path = _folder(spark, "stream")
-    source = spark.readStream.schema(shape).option("pathGlobFilter", "*.parquet").parquet(_as_folder(spark, sf_dir))
+    source = spark.readStream.schema(shape).option("pathGlobFilter", "*.parquet").parquet(_as_folder(spark, sf_dir)).withColumn("ts", F.col("ts").cast("timestamp"))
     work = lambda rows: rows.select("event_id", F.to_date("ts").cast("string").alias("day"))
-    incremental.stream_results(source, "event_id", work, path, _folder(spark, "offsets")).awaitTermination()
-    return spark.read.parquet(path).select("event_id", "day")
+    incremental.stream_results(source, "event_id", work, path, _folder(spark, "offsets"), event_time="ts", expiry="2 days").awaitTermination()
+    return incremental.done_so_far(spark, path, work(table(spark, sf_dir, "events").limit(0))).select("event_id", "day")
 
 
 def _as_folder(spark: SparkSession, sf_dir: str) -> str:

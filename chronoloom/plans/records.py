@@ -124,7 +124,7 @@ def promoted_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stub_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = qa_pairs(spark, sf_dir).select("pair_id", F.coalesce("instruction", F.lit("")).alias("prompt"))
-    replies = calls.generate(prompts, "pair_id", calls.Registry().get("stub"))
+    replies = calls.generate_batches(prompts, "pair_id", lambda: lambda texts: [calls.stub_model(t) for t in texts], size=16, in_flight=2)
     scored = replies.withColumn("s", judge.repaired_scores(F.col("response")))
     return scored.select("pair_id", "s.correctness", "s.completeness", tx.verdict(F.col("response")).alias("verdict"))
 
@@ -141,10 +141,6 @@ def training_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.size("example.input_ids").cast("long").alias("length"), F.size(F.filter("example.labels", lambda x: x != training.IGNORED)).cast("long").alias("learned"))
 
 
-def learning_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.cosine_schedule(spark, 200, 20, 1e-3, 1e-5).select("step", F.round("rate", 12).alias("rate"))
-
-
 def epoch_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("epoch"), F.col("l_discount").alias("loss"))
     return training.epoch_figures(steps).select("epoch", F.round("loss", 9).alias("loss"), F.round("perplexity", 9).alias("perplexity"))
@@ -176,18 +172,21 @@ def _instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rag_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = compose.pack_prompts(_instructions(spark, sf_dir), _timelines(spark, sf_dir), "{ehr} {question}", 400, retrieve=True)
+    """Prompts of the most relevant visits; those of the 13th of a month have a start time that can't be read."""
+    odd = _timelines(spark, sf_dir).withColumn("text", F.regexp_replace("text", r'start="(\d\d)/13/(\d{4})', 'start="$1/43/$2'))
+    made = compose.pack_prompts(_instructions(spark, sf_dir), odd, "{ehr} {question}", 400, retrieve=True)
     return made.select("instruction_id", F.md5("prompt").alias("prompt"))
 
 
 def packed_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = compose.pack_prompts(_instructions(spark, sf_dir), _timelines(spark, sf_dir), "{ehr} {question}", 400)
-    return made.select("instruction_id", tx.token_count(F.col("prompt")).cast("long").alias("tokens"), F.element_at(tx.tokens(F.col("prompt")), -1).alias("last"))
+    return made.select("instruction_id", tx.token_count(F.col("prompt")).cast("long").alias("tokens"), F.md5("prompt").alias("prompt"))
 
 
 def evaluation_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = compose.evaluation_windows(_timelines(spark, sf_dir), 120, "{ehr}")
-    return made.select("person_id", "visits", "tokens", F.col("start_date").cast("string").alias("start_date"), F.col("end_date").cast("string").alias("end_date"), F.regexp_count("prompt", F.lit("<visit")).cast("long").alias("in_prompt"))
+    made = compose.evaluation_windows(_timelines(spark, sf_dir), 120, "{ehr} {ehr}")
+    dates = [F.col(c).cast("string").alias(c) for c in ("start_date", "end_date")]
+    return made.select("person_id", "visits", "tokens", *dates, F.md5("text").alias("text"), "percent_full", F.md5("prompt").alias("prompt"))
 
 
 def value_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +196,7 @@ def value_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     parse_pairs, sanitized_text, prompt_fill, guarded_prompts, visit_dates, evidence_dates, nested_scores, visits_from_markup, notes_only, codes_only, attribute_filter, first_two_visits,
-    removed_nodes, promoted_children, stub_generation, masked_labels, training_examples, learning_rates, epoch_figures, call_throughput, held_out_part, value_bins,
+    removed_nodes, promoted_children, stub_generation, masked_labels, training_examples, epoch_figures, call_throughput, held_out_part, value_bins,
     instruction_ids, reference_answers, rag_prompts, packed_prompts, evaluation_windows,
 )}
 
@@ -243,22 +242,22 @@ SELECT pair_id, CAST(len(p) + len(a) AS BIGINT) AS length, CAST(coalesce(list_su
        CAST(len(p) * -100 + coalesce(list_sum(a), 0) AS BIGINT) AS labels, CAST(len(p) + len(a) AS BIGINT) AS mask FROM i""",
     "training_examples": r"""WITH d AS (SELECT doc_id AS id, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS n FROM documents)
 SELECT id, CAST(2 + 2 + least(n, 64 - 4 - 2 - 2) + 2 AS BIGINT) AS length, CAST(2 AS BIGINT) AS learned FROM d""",
-    "learning_rates": "SELECT range AS step, round(CASE WHEN range < 20 THEN 1e-3 * range / 20 ELSE 1e-5 + (1e-3 - 1e-5) * (cos(pi() * (range - 20) / 180) + 1) / 2 END, 12) AS rate FROM range(201)",
     "epoch_figures": "SELECT l_linenumber AS epoch, round(avg(l_discount), 9) AS loss, round(exp(avg(l_discount)), 9) AS perplexity FROM lineitem GROUP BY l_linenumber",
     "call_throughput": "SELECT count(*) AS samples, round(sum(l_quantity), 6) AS total_seconds, round(avg(l_quantity), 9) AS seconds_per_sample FROM lineitem",
     "held_out_part": f"""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY {shuffle_sql('o_orderkey', seed=42)}, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
 SELECT o_orderkey FROM o WHERE i >= floor(n * 0.8::DOUBLE) AND i < floor(n * 0.8::DOUBLE) + floor(n * 0.2::DOUBLE)""",
     "instruction_ids": f"""{_IDS_SQL} SELECT person_id, instruction_id, position, instruction, evidence FROM i""",
     "reference_answers": f"""{_IDS_SQL} SELECT instruction_id, 'EHR_' || person_id || '.xml' AS filename, instruction AS question, response AS clinician_response, evidence, 'Annotator_1' AS annotator_num FROM i WHERE instruction <> '' AND response <> ''""",
-    # A timeline's tokens are its blanks plus one; 400 less 256 for the answer, 2 for the template and 4 for the instruction are left.
-    "packed_prompts": f"""{_VISITS}, d AS (SELECT person_id, 1 + count(DISTINCT day) * 2 + count(*) FILTER (NOT note) * 3 + count(*) FILTER (note) * 4 AS n FROM e GROUP BY person_id)
-SELECT person_id AS instruction_id, CAST(least(n, 138) + 4 AS BIGINT) AS tokens, CAST(person_id AS VARCHAR) AS last FROM d""",
-    "evaluation_windows": f"""{_XML}, s AS (SELECT *, sum(n) OVER (PARTITION BY person_id ORDER BY day DESC ROWS UNBOUNDED PRECEDING) AS total FROM t)
-SELECT person_id, count(*) AS visits, CAST(sum(n) AS BIGINT) AS tokens, CAST(min(day) AS VARCHAR) AS start_date, CAST(max(day) AS VARCHAR) AS end_date, count(*) AS in_prompt
-FROM s WHERE total <= 120 GROUP BY person_id HAVING count(*) >= 3""",
+    # 400 less 256 for the answer, 2 for the template and 4 for the instruction are left for the record.
+    "packed_prompts": rf"""{_XML}, {_ASKED}, w AS (SELECT person_id, regexp_extract_all(string_agg(text, chr(10) ORDER BY day), '[^ \t\n\x0B\f\r]+') AS w FROM t GROUP BY person_id)
+SELECT person_id AS instruction_id, CAST(least(len(w), 138) + 4 AS BIGINT) AS tokens, md5(array_to_string(w[greatest(len(w) - 138, 0) + 1:], ' ') || ' ' || instruction) AS prompt FROM w JOIN q USING (person_id)""",
+    "evaluation_windows": f"""{_XML}, s AS (SELECT *, sum(n) OVER (PARTITION BY person_id ORDER BY day DESC ROWS UNBOUNDED PRECEDING) AS total FROM t),
+g AS (SELECT person_id, count(*) AS visits, CAST(sum(n) AS BIGINT) AS tokens, CAST(min(day) AS VARCHAR) AS start_date, CAST(max(day) AS VARCHAR) AS end_date,
+             '<patient>' || chr(10) || string_agg(text || chr(10), '' ORDER BY visit DESC) || '</patient>' AS text FROM s WHERE total <= 120 GROUP BY person_id HAVING count(*) >= 3)
+SELECT person_id, visits, tokens, start_date, end_date, md5(text) AS text, tokens * 100.0::DOUBLE / 120 AS percent_full, md5(text || ' ' || text) AS prompt FROM g""",
     # 400 less 256 for the answer, 2 for the template and 4 for the instruction are left for the visits.
     "rag_prompts": rf"""{_XML}, {_ASKED},
-w AS (SELECT person_id, visit, day, text, n, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w FROM t),
+w AS (SELECT person_id, visit, day, text, n, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w FROM (SELECT * REPLACE (regexp_replace(text, 'start="(\d\d)/13/(\d{{4}})', 'start="\1/43/\2') AS text) FROM t)),
 sz AS (SELECT person_id, count(*) AS docs, avg(n) AS mean FROM w GROUP BY person_id),
 tf AS (SELECT person_id, visit, term, count(*) AS tf FROM (SELECT person_id, visit, unnest(w) AS term FROM w) GROUP BY ALL),
 df AS (SELECT person_id, term, count(*) AS df FROM tf GROUP BY ALL),
@@ -268,8 +267,8 @@ i AS (SELECT person_id, term, CASE WHEN idf < 0 THEN floor ELSE idf END AS idf F
 a AS (SELECT person_id, unnest(regexp_extract_all(instruction, '[^ \t\n\x0B\f\r]+')) AS term FROM q),
 h AS (SELECT person_id, visit, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))) AS score FROM a JOIN i USING (person_id, term) JOIN tf USING (person_id, term) JOIN w USING (person_id, visit) JOIN sz USING (person_id) GROUP BY ALL),
 s AS (SELECT w.*, coalesce(score, 0.0) AS score FROM w LEFT JOIN h USING (person_id, visit)),
-b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY person_id ORDER BY round(score, 9) DESC, visit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
-k AS (SELECT person_id, regexp_extract_all(string_agg(text, chr(10) ORDER BY day, visit), '[^ \t\n\x0B\f\r]+') AS kept FROM b WHERE before <= 400 GROUP BY person_id)
-SELECT person_id AS instruction_id, md5(array_to_string(kept[greatest(len(kept) - 138, 0) + 1:], ' ') || ' ' || instruction) AS prompt FROM k JOIN q USING (person_id)""",
+b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY person_id ORDER BY round(score, 9) DESC, visit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s WHERE day(day) <> 13),
+k AS (SELECT person_id, regexp_extract_all(string_agg(text, chr(10) ORDER BY day, visit), '[^ \t\n\x0B\f\r]+') AS kept FROM b WHERE before <= 138 GROUP BY person_id)
+SELECT person_id AS instruction_id, md5(coalesce(array_to_string(kept[greatest(len(kept) - 138, 0) + 1:], ' '), '') || ' ' || instruction) AS prompt FROM q LEFT JOIN k USING (person_id)""",
     "value_bins": "SELECT " + " + ".join(f"CAST(l_discount * 10 >= {i * 0.1!r}::DOUBLE AS INTEGER)" for i in range(1, 10)) + " AS bin, count(*) AS n FROM lineitem GROUP BY bin",
 }

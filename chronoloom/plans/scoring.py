@@ -38,7 +38,7 @@ def google_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.evaluate(_answers(spark, sf_dir), ["rouge_l_long"]).select("pair_id", *_r("rouge_l_long"))
+    return metrics.evaluate(_answers(spark, sf_dir), ["rouge_l"]).select("pair_id", *_r("rouge_l"))
 
 
 def chrf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def chrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def meteor_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.evaluate(_answers(spark, sf_dir), ["meteor_exact"]).select("pair_id", *_r("meteor_exact"))
+    return metrics.evaluate(_answers(spark, sf_dir), ["meteor_exact"]).select("pair_id", F.round("meteor_exact", 9).alias("meteor_exact"))
 
 
 def metric_group_means(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,13 +151,16 @@ s AS (SELECT item_id, d.doc_id, CAST(len(d.w) AS BIGINT) AS n_tokens, coalesce(s
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM s)"""
 
 
+#: The last of a word on one side goes with the last of it on the other; a chunk ends where either side's next match stands elsewhere.
 _METEOR = rf"""WITH {QA_SQL},
 w AS (SELECT pair_id, person_id, {_WORDS.format("lower(coalesce(instruction, ''))")} AS r, {_WORDS.format("lower(coalesce(response, ''))")} AS c FROM qa),
-cr AS (SELECT pair_id, g, count(*) AS n FROM (SELECT pair_id, unnest(r) AS g FROM w) GROUP BY ALL),
-cc AS (SELECT pair_id, g, count(*) AS n FROM (SELECT pair_id, unnest(c) AS g FROM w) GROUP BY ALL),
-m AS (SELECT pair_id, sum(least(cr.n, cc.n)) AS m FROM cr JOIN cc USING (pair_id, g) GROUP BY pair_id),
-x AS (SELECT pair_id, person_id, coalesce(m, 0) / nullif(len(c), 0)::DOUBLE AS p, coalesce(m, 0) / nullif(len(r), 0)::DOUBLE AS rc FROM w LEFT JOIN m USING (pair_id)),
-e AS (SELECT pair_id, person_id, coalesce(p * rc * 10.0 / nullif(rc + p * 9.0, 0), 0.0)::DOUBLE AS s FROM x)"""
+cr AS (SELECT pair_id, g, i, row_number() OVER (PARTITION BY pair_id, g ORDER BY i DESC) AS k FROM (SELECT pair_id, unnest(r) AS g, generate_subscripts(r, 1) AS i FROM w)),
+cc AS (SELECT pair_id, g, i, row_number() OVER (PARTITION BY pair_id, g ORDER BY i DESC) AS k FROM (SELECT pair_id, unnest(c) AS g, generate_subscripts(c, 1) AS i FROM w)),
+a AS (SELECT pair_id, cc.i AS i, cr.i AS j FROM cr JOIN cc USING (pair_id, g, k)),
+b AS (SELECT pair_id, i = lag(i) OVER o + 1 AND j = lag(j) OVER o + 1 AS joined FROM a WINDOW o AS (PARTITION BY pair_id ORDER BY i)),
+m AS (SELECT pair_id, count(*) AS m, count(*) FILTER (coalesce(NOT joined, true)) AS chunks FROM b GROUP BY pair_id),
+x AS (SELECT pair_id, person_id, m, chunks, m / len(c)::DOUBLE AS p, m / len(r)::DOUBLE AS rc FROM w LEFT JOIN m USING (pair_id)),
+e AS (SELECT pair_id, person_id, coalesce((1 - 0.5 * pow(chunks / m::DOUBLE, 3)) * p * rc / (0.9 * p + 0.1 * rc), 0.0)::DOUBLE AS s FROM x)"""
 
 #: A row of lengths for each word of the reference, from the row before: each is the greatest so far of what a match or none would give.
 _ROUGE = rf"""WITH RECURSIVE {QA_SQL},
@@ -166,7 +169,7 @@ d AS (SELECT pair_id, r, c, CAST(0 AS BIGINT) AS i, [0 FOR y IN c] AS row FROM w
       UNION ALL
       SELECT pair_id, r, c, i + 1, [list_max(best[:j]) FOR j IN range(1, len(c) + 1)]
       FROM (SELECT *, [CASE WHEN c[j] = r[i + 1] THEN coalesce(row[j - 1], 0) + 1 ELSE row[j] END FOR j IN range(1, len(c) + 1)] AS best FROM d WHERE i < len(r)))
-SELECT pair_id, round(coalesce(2.0::DOUBLE * coalesce(row[-1], 0) / nullif(len(r) + len(c), 0), 0.0), 6)::DOUBLE AS rouge_l_long FROM d WHERE i = len(r)"""
+SELECT pair_id, round(coalesce(2.0::DOUBLE * coalesce(row[-1], 0) / nullif(len(r) + len(c), 0), 0.0), 6)::DOUBLE AS rouge_l FROM d WHERE i = len(r)"""
 
 _SPLIT = r"flatten([CASE WHEN length(x) > 1 AND NOT regexp_matches(right(x, 1), '[\p{L}\p{N}]') THEN [left(x, -1), right(x, 1)] WHEN length(x) > 1 AND NOT regexp_matches(left(x, 1), '[\p{L}\p{N}]') THEN [left(x, 1), substr(x, 2)] ELSE [x] END FOR x IN w])"
 _CHRF = rf"""WITH {QA_SQL},
@@ -197,7 +200,7 @@ gc AS (SELECT pair_id, k, array_to_string(c[i:i + k - 1], ' ') AS g, count(*) AS
 m AS (SELECT pair_id, sum(least(gr.n, gc.n)) AS m FROM gr JOIN gc USING (pair_id, k, g) GROUP BY pair_id),
 t AS (SELECT pair_id, greatest(list_sum([greatest(len(r) - k, 0) for k in range(4)]), list_sum([greatest(len(c) - k, 0) for k in range(4)])) AS t, len(r) = 0 OR len(c) = 0 AS none FROM w)
 SELECT pair_id, round(CASE WHEN none THEN 0.0 ELSE coalesce(m, 0) / t::DOUBLE END, 6)::DOUBLE AS google_bleu FROM t LEFT JOIN m USING (pair_id)""",
-    "meteor_exact": f"{_METEOR} SELECT pair_id, round(s, 6) AS meteor_exact FROM e",
+    "meteor_exact": f"{_METEOR} SELECT pair_id, round(s, 9) AS meteor_exact FROM e",
     "metric_group_means": f"{_METEOR} SELECT CAST(person_id % 2 AS INTEGER) AS half, round(avg(s), 6) AS meteor_exact_mean, round(median(s), 6) AS meteor_exact_median FROM e GROUP BY half",
     "embedding_match": """WITH v AS (SELECT vec_id, CAST(floor(vec_id / 10) AS BIGINT) AS text_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT a.text_id, a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b USING (text_id) WHERE a.vec_id % 10 < 5 AND b.vec_id % 10 >= 5),

@@ -74,7 +74,7 @@ def nested_save(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def selection_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = _facts(spark, sf_dir)
-    return selection.sampling_log(facts, selection.per_bin(facts, 50, "event_id"), "balanced_100")
+    return selection.sampling_log(facts, selection.per_bin(facts, 50, "event_id"), "balanced_100", bins=10)
 
 
 def selection_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +185,8 @@ SELECT person_id, window_index, CAST(min(start_date) AS VARCHAR) AS start_date,
 FROM p GROUP BY person_id, window_index""",
     "selection_log": f"""WITH {FACTS_SQL}, b AS (SELECT *, {_HALF} AS bin FROM facts),
 s AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY bin ORDER BY {shuffle_sql('event_id')}, event_id) <= 50)
-SELECT 'balanced_100' AS selection_type, (SELECT count(*) FROM facts) AS total_pairs, count(*) AS sampled_pairs, count(DISTINCT person_id) AS persons FROM s""",
+SELECT 'balanced_100' AS selection_type, (SELECT count(*) FROM facts) AS total_pairs, count(*) AS sampled_pairs, count(DISTINCT person_id) AS persons,
+concat_ws(chr(10), {", ".join(f"'Bin {b / 10:.1f}-{(b + 1) / 10:.1f}: ' || count(*) FILTER (bin = {b}) || ' pairs'" for b in range(10))}) AS distribution FROM s""",
     "selection_overlap": f"WITH {FACTS_SQL} SELECT person_id FROM facts WHERE relative_position >= 0.9 INTERSECT SELECT person_id FROM facts WHERE relative_position <= 0.1",
     "value_equal_antijoin": f"WITH {FACTS_SQL} SELECT person_id, count(*) AS n FROM facts WHERE relative_position < 0.75 GROUP BY person_id",
     "iid_sample": f"SELECT o_custkey FROM (SELECT DISTINCT o_custkey FROM orders) ORDER BY {shuffle_sql('o_custkey')}, o_custkey LIMIT 200",

@@ -72,8 +72,7 @@ def evaluation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retried_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls that are busy at first, tried again after a wait that grows up to a limit."""
     prompts = qa_pairs(spark, sf_dir).select("pair_id", F.coalesce("instruction", F.lit("")).alias("prompt"))
-    patient = lambda: calls.with_time_limit(calls.with_retries(_fails_at_first(), 3, 0.001, 2.0, 0.01), 60)
-    return _scored(calls.generate(prompts, "pair_id", patient), "pair_id")
+    return _scored(calls.generate(prompts, "pair_id", _fails_at_first, in_flight=8, seconds=60, rate=100_000, attempts=3, delay=0.001), "pair_id")
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,8 +206,9 @@ def persons_over_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wrapped_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = windows.wrapped_measures(windows.pack_windows(timeline(spark, sf_dir), 120), 120)
-    return measured.select("person_id", "window_index", "wrapped_tokens", F.round("wrapped_percent", 6).alias("wrapped_percent"))
+    """What windows measure as records, by another tokenizer than the default."""
+    packed = windows.pack_windows(timeline(spark, sf_dir), 120, tokenizer="words")
+    return packed.select("person_id", "window_index", "visit_tokens", "tokens", F.round("percent_full", 6).alias("percent_full"))
 
 
 def windows_by_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,20 +314,21 @@ _RESPONSES = f"""{records._IDS_SQL}, rp AS (SELECT *, person_id % 7 <> 0 AS told
 ORACLES = {
     # What is left of the context: the template's four words, the instruction's three, the response's two (three if there is none), the answer's two.
     "judged_answers": f"""{records._XML}, a AS (SELECT DISTINCT person_id, CASE WHEN person_id % 3 <> 0 THEN 'answer ' || person_id ELSE '[No response provided]' END AS said FROM t WHERE person_id % 5 <> 0),
-s AS (SELECT *, {_NEWEST} AS total FROM t JOIN a USING (person_id)),
-k AS (SELECT person_id, said, coalesce(string_agg(text, '' ORDER BY day) FILTER (total <= greatest({CONTEXT} - 4 - 3 - 2 - CASE WHEN person_id % 3 <> 0 THEN 2 ELSE 3 END, 100)), '') AS kept FROM s GROUP BY person_id, said),
-n AS (SELECT person_id, {_N("'Record <ehr>' || kept || '</ehr> asked what of ' || person_id || ' said ' || said || ' right a b'")} AS n FROM k)
+x2 AS (SELECT person_id, day, replace(text, '/>', ' />') AS text FROM t), t2 AS (SELECT *, len({_WORDS.format("text")}) AS n FROM x2),
+s AS (SELECT *, {_NEWEST} AS total FROM t2 JOIN a USING (person_id)),
+k AS (SELECT person_id, said, coalesce('<ehr>' || string_agg(text, '' ORDER BY day) FILTER (total <= greatest({CONTEXT} - 4 - 3 - 2 - CASE WHEN person_id % 3 <> 0 THEN 2 ELSE 3 END, 100)) || '</ehr>', '<ehr />') AS kept FROM s GROUP BY person_id, said),
+n AS (SELECT person_id, {_N("'Record ' || kept || ' asked what of ' || person_id || ' said ' || said || ' right a b'")} AS n FROM k)
 SELECT person_id AS instruction_id, {_SCORES} FROM n""",
     "compared_answers": f"""{records._XML}, a AS (SELECT DISTINCT person_id || '.xml' AS x FROM t),
 v AS (SELECT {_N("x || ' or none'")} % 3 AS v, false AS swapped FROM a UNION ALL SELECT {_N("'none or ' || x")} % 3, true FROM a),
 c AS (SELECT count(*) FILTER (v = CASE WHEN swapped THEN 1 ELSE 0 END) AS win, count(*) FILTER (v = CASE WHEN swapped THEN 0 ELSE 1 END) AS loss, count(*) FILTER (v = 2) AS tie, count(*) AS total FROM v)
 SELECT win, loss, tie, total, round(win / total::DOUBLE, 9) AS win_rate FROM c""",
     "generated_windows": f"""{records._XML}, l AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY day DESC) <= 5),
-w AS (SELECT person_id, CAST(sum(n) AS BIGINT) AS tokens, string_agg(text, chr(10) ORDER BY day) AS text FROM l GROUP BY person_id),
-n AS (SELECT person_id, tokens, {_N("'Read ' || text || ' as ' || CASE WHEN person_id % 2 = 0 THEN 'heart' ELSE 'Unknown' END")} AS n FROM w)
+w AS (SELECT person_id, '<ehr>' || string_agg(text, '' ORDER BY day) || '</ehr>' AS text FROM l GROUP BY person_id),
+n AS (SELECT person_id, {packing._TOKENS} AS tokens, {_N("'Read ' || text || ' as ' || CASE WHEN person_id % 2 = 0 THEN 'heart' ELSE 'Unknown' END")} AS n FROM w)
 SELECT person_id, 0 AS window_index, tokens, {_SCORES} FROM n""",
     "evaluation_answers": f"""{records._XML}, s AS (SELECT *, {_NEWEST} AS total FROM t),
-w AS (SELECT person_id, CAST(sum(n) AS BIGINT) AS tokens, string_agg(text, chr(10) ORDER BY day) AS text FROM s WHERE total <= 120 GROUP BY person_id HAVING count(*) >= 3),
+w AS (SELECT person_id, CAST(sum(n) AS BIGINT) AS tokens, {packing._RECORD.format("DESC")} AS text FROM s WHERE total <= 120 GROUP BY person_id HAVING count(*) >= 3),
 n AS (SELECT person_id, tokens, {_N("'Sum up ' || text")} AS n FROM w)
 SELECT person_id, tokens, {_SCORES} FROM n""",
     "retried_calls": f"""WITH {QA_SQL}, n AS (SELECT pair_id, {_N("coalesce(instruction, '')")} AS n FROM qa) SELECT pair_id, {_SCORES} FROM n""",
@@ -361,7 +362,7 @@ UNION ALL SELECT 'interval', printf('%.4f - %.4f', CAST(min(l_linenumber) AS DOU
 SELECT doc_id, md5(array_to_string(w[greatest(len(w) - 228, 0) + 1:], ' ')) AS kept FROM d""",
     "answers_by_either_name": f"WITH {QA_SQL} SELECT pair_id, md5(CASE WHEN length(pair_id) % 2 = 0 THEN coalesce(instruction, response) ELSE response END) AS answer FROM qa",
     "start_times": f"""{records._XML} SELECT person_id, visit, CASE visit % 3 WHEN 0 THEN strftime(day, '%Y-%m-%d') || ' 10:00' WHEN 1 THEN strftime(day, '%Y-%m-%d') || ' 15:05' ELSE '0001-01-01 00:00' END AS minute FROM t""",
-    "small_scalars": """SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'window_' || n_nationkey * 100 ELSE regexp_replace('last five/' || n_name, '[^A-Za-z0-9_-]+', '_', 'g') END AS name,
+    "small_scalars": """SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'context_' || n_nationkey * 100 ELSE 'last five/' || n_name END AS name,
 CAST(greatest(300 - n_nationkey * 10 - 20, 100) AS BIGINT) AS room, CAST(n_nationkey * 1.5 AS DOUBLE) AS chrf FROM nation""",
     "attribute_operators": f"""{records._VISITS}, c AS (SELECT * FROM e WHERE NOT note)
 SELECT '$eq' AS test, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM c WHERE v = 50 HAVING count(*) > 0 UNION ALL SELECT '$ne', count(*), CAST(sum(event_id) AS BIGINT) FROM c WHERE v <> 50
@@ -376,7 +377,8 @@ UNION ALL SELECT '$in', count(*), CAST(sum(event_id) AS BIGINT) FROM e WHERE eve
 d AS (SELECT region, b.range AS b, CAST('0x' || substr(md5('0|' || b.range || '|' || v.i // 4), CAST(1 + 8 * (v.i % 4) AS INTEGER), 8) AS BIGINT) % n AS i FROM v, range(1000) b),
 m AS (SELECT region, b, avg(x) AS m FROM d JOIN v USING (region, i) GROUP BY ALL)
 SELECT region, (SELECT count(*) FROM v WHERE v.region = m.region) AS n, round((SELECT avg(x) FROM v WHERE v.region = m.region), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS lower, round(quantile_cont(m, 0.975), 9) AS upper FROM m GROUP BY region""",
-    "wrapped_windows": "SELECT person_id, window_index, tokens + 2 AS wrapped_tokens, round((tokens + 2) * 100.0::DOUBLE / 120, 6) AS wrapped_percent FROM (" + packing.ORACLES["pack_windows"] + ")",
+    # The wrapper is <, patient, > and <, /, patient, >.
+    "wrapped_windows": packing._PACKED.replace("[^ \\t\\n\\x0B\\f\\r]+", r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]").replace("SELECT person_id, window_index, visits, visit_tokens, start_date, end_date, md5(text) AS text, ", "SELECT person_id, window_index, visit_tokens, visit_tokens + 7 AS tokens, round((visit_tokens + 7) * 100.0::DOUBLE / 120, 6) AS percent_full FROM g WHERE window_index < last OR last = 0 OR visit_tokens >= 60 --"),
     "windows_by_tokenizer": r"""WITH t AS (SELECT conv_id AS person_id, turn AS visit, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]{1,4}')) AS BIGINT) AS n FROM conversations),
 s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY person_id ORDER BY visit DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS kept_tokens FROM t) SELECT * FROM s WHERE kept_tokens <= 400""",
 }

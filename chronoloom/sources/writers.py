@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.operators.markup import pretty_xml
+from chronoloom.sources.datasource import register
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -20,6 +21,24 @@ def write_responses(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("person_id").json(path)
 
 
+def write_files(rows: DataFrame, path: str) -> None:
+    """A file for each row of (name, value), by its name; see ``datasource.RecordFiles``."""
+    register(rows.sparkSession)
+    rows.select("name", "value").write.format("record_files").mode("append").save(path)
+
+
+def write_record_files(rows: DataFrame, path: str) -> None:
+    """A file <person_id>_<window_index>.json for each record."""
+    name = F.concat(F.col("person_id").cast("string"), F.lit("_"), F.col("window_index").cast("string"), F.lit(".json"))
+    write_files(rows.select(name.alias("name"), F.to_json(F.struct(*rows.columns)).alias("value")), path)
+
+
+def write_xml_files(timelines: DataFrame, path: str) -> None:
+    """A file EHR_<person_id>.xml of indented XML for each well-formed record."""
+    name = F.concat(F.lit("EHR_"), F.col("person_id").cast("string"), F.lit(".xml"))
+    write_files(timelines.select(name.alias("name"), pretty_xml(F.col("text")).alias("value")).where("value IS NOT NULL"), path)
+
+
 def append_windows(rows: DataFrame, path: str, fresh: bool = False) -> None:
     """Windows as JSON lines, appended, or in place of what was there."""
     rows.select("uid", "person_id", "window_index", "text").write.mode("overwrite" if fresh else "append").json(path)

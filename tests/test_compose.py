@@ -137,4 +137,18 @@ def test_the_judge_sees_the_latest_visits_that_fit(spark, timelines):
     assert "said [No response provided] right" in prompts[1] and prompts[1].count("<visit") == 6
     long = spark.createDataFrame([("p1.xml", "<ehr id='7'>" + "".join(f'<visit start="{i}">' + "w " * 30 + "</visit>" for i in range(6)) + "</ehr>")], "filename string, text string")
     short = judge.judge_inputs(references.where("instruction_id = 1"), answers, "{ehr} {instruction}", records=long, context=10).first().prompt
-    assert short.startswith("<ehr id='7'><visit start=\"3\">") and short.endswith("</visit></ehr> what now")  # three of 32 tokens are within 100
+    assert short.startswith("<ehr id=\"7\"><visit start=\"3\">") and short.endswith("</visit></ehr> what now")  # three of 32 tokens are within 100
+
+
+def test_retrieval_gets_what_the_prompt_leaves(spark):
+    """The budget is what template, instruction and answer leave; visits of unreadable times don't use it; none is retrieved for no budget."""
+    visit = lambda day, words: f'<visit start="{day} 10:00"><note> {words} </note></visit>'
+    text = "<ehr>" + visit("01/01/2020", "key one " * 3) + visit("01/02/2020", "fill " * 9) + visit("13/45/2020", "key key key " * 3) + visit("01/04/2020", "other " * 9) + visit("01/05/2020", "plain " * 9) + "</ehr>"
+    timelines = spark.createDataFrame([(1, text)], "person_id long, text string")
+    asked = spark.createDataFrame([(5, 1, "key one"), (6, 1, "key " * 50)], "instruction_id long, person_id long, instruction string")
+    budget = 4
+    got = {r.instruction_id: r.prompt for r in compose.pack_prompts(asked, timelines, "{ehr} Q {question}", compose.GENERATION + budget + 3 + 2, retrieve=True).collect()}
+    # The best readable visit alone crosses the budget, and its last tokens stay.
+    assert got[5] == "one key one </note></visit> Q key one"
+    assert "other" not in got[5] and "13/45" not in got[5]
+    assert got[6] == " Q " + "key " * 50

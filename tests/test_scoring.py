@@ -1,9 +1,11 @@
+import hashlib
 import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from chronoloom.functions.stems import stem
 from chronoloom.operators import calls, dedup, judge, markup, metrics, retrieval, training
 
 
@@ -20,10 +22,10 @@ def test_rouge_both_forms(spark):
     rng = random.Random(0)
     pairs = [(" ".join(rng.choices("abcd", k=rng.randrange(9))), " ".join(rng.choices("abcd", k=rng.randrange(9)))) for _ in range(40)]
     rows = spark.createDataFrame(pairs, "reference string, candidate string")
-    for r in metrics.evaluate(rows, ["rouge_l", "rouge_l_long"]).collect():
+    for r in metrics.evaluate(rows, ["rouge_l", "rouge_l_folded"]).collect():
         a, b = r.reference.split(), r.candidate.split()
         want = 2 * plain_lcs(a, b) / (len(a) + len(b)) if a or b else 0.0
-        assert r.rouge_l == pytest.approx(want) and r.rouge_l_long == pytest.approx(want)
+        assert r.rouge_l == pytest.approx(want) and r.rouge_l_folded == pytest.approx(want)
 
 
 def test_metric_values():
@@ -45,6 +47,42 @@ def test_nan_counts_as_missing(spark):
     assert (got.m_mean, got.m_median) == (1.5, 1.5)
 
 
+def plain_meteor(reference, candidate):
+    """Tries the words from the end, each with the last word alike that is left."""
+    left, found = list(enumerate(reference)), []
+    for i in reversed(range(len(candidate))):
+        hit = next((x for x in reversed(left) if x[1] == candidate[i]), None)
+        if hit:
+            left.remove(hit)
+            found.append((i, hit[0]))
+    if not found:
+        return 0.0
+    found.sort()
+    chunks = sum(k == 0 or found[k] != (found[k - 1][0] + 1, found[k - 1][1] + 1) for k in range(len(found)))
+    p, r = len(found) / len(candidate), len(found) / len(reference)
+    return (1 - 0.5 * (chunks / len(found)) ** 3) * p * r / (0.9 * p + 0.1 * r)
+
+
+def test_meteor_aligns_and_counts_chunks(spark):
+    rng = random.Random(2)
+    pairs = [(" ".join(rng.choices("abcd", k=rng.randrange(9))), " ".join(rng.choices("abcde", k=rng.randrange(9)))) for _ in range(80)] + [("a b c d", "d c b a"), ("A b", "a B")]
+    rows = metrics.evaluate(spark.createDataFrame(pairs, "reference string, candidate string"), ["meteor_exact"]).collect()
+    for r in rows:
+        assert r.meteor_exact == pytest.approx(plain_meteor(r.reference.lower().split(), r.candidate.lower().split()))
+    assert rows[-2].meteor_exact == pytest.approx(0.5) and rows[-1].meteor_exact == pytest.approx(1 - 0.5 / 8)
+
+
+def test_meteor_stems(spark):
+    got = metrics.evaluate(spark.createDataFrame([("the cats were running", "the cat was run"), ("a", ""), (None, "b")], "reference string, candidate string"), ["meteor", "meteor_exact"]).collect()
+    assert metrics.aligned_words("the cats were running".split(), "the cat was run".split()) == [(0, 0), (1, 1), (3, 3)]
+    assert got[0].meteor > got[0].meteor_exact > 0 and (got[1].meteor, got[2].meteor) == (0, 0)
+
+
+def test_porter_stems():
+    known = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat troubled troubl sized size hopping hop falling fall hissing hiss failing fail filing file happy happi sky sky relational relat conditional condit rational ration digitizer digit operator oper feudalism feudal decisiveness decis hopefulness hope triplicate triplic formative form electrical electr goodness good revival reviv allowance allow inference infer airliner airlin adjustable adjust replacement replac adoption adopt communism commun activate activ effective effect probate probat rate rate cease ceas controll control roll roll oscillators oscil generalizations gener".split()
+    assert [(w, stem(w)) for w in known[::2]] == list(zip(known[::2], known[1::2]))
+
+
 def test_overshoot(spark):
     rows = spark.createDataFrame([(1, 1, 60, 3.0), (1, 2, 50, 2.0), (1, 3, 10, 1.0)], "q int, d int, n_tokens long, score double")
     assert [r.d for r in retrieval.fit_by_rank(rows, "q", "d", 100).orderBy("rank").collect()] == [1, 2]
@@ -52,7 +90,7 @@ def test_overshoot(spark):
 
 def test_context_in_time(spark):
     visits = [(1, 1, '<visit start="02/01/2020 10:00">b</visit>'), (1, 2, '<visit start="01/01/2020 10:00 AM">a</visit>'), (1, 3, "<visit>none</visit>"), (1, 4, '<visit start="13/40/2020 10:00">bad</visit>')]
-    got = retrieval.in_time(spark.createDataFrame(visits, "q int, n int, v string"), "q", "v", "n").first().context
+    got = retrieval.in_time(retrieval.with_readable_time(spark.createDataFrame(visits, "q int, n int, v string"), "v"), "q", "v", "n").first().context
     assert [x.split(">")[1].split("<")[0] for x in got.split("\n")] == ["none", "a", "b"]
 
 
@@ -165,13 +203,41 @@ def test_plugin(tmp_path):
 def test_masks_and_batches(spark):
     row = spark.range(1).select(training.masked_example(F.lit("a b"), F.lit("c")).alias("e")).first().e
     assert row.labels[:2] == [-100, -100] and row.labels[2] == row.input_ids[2] and row.attention_mask == [1, 1, 1]
-    rows = spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 7 + 1).alias("n"))
-    packed = training.packed_batches(rows, F.col("n"), 20, "k", 4)
-    assert packed.count() == 100 and packed.join(rows, "k").groupBy("shard", "batch").agg(F.sum("n").alias("s")).where("s > 20").count() == 0
+
+
+def plain_batches(sizes, size, replicas, drop):
+    order = sorted(sizes, key=lambda k: (sizes[k], shuffled(k), k))
+    batches = [order[i : i + size] for i in range(0, len(order), size)]
+    if drop:
+        batches = [b for b in batches if len(b) == size]
+        batches = batches[: len(batches) // replicas * replicas]
+    return {(b % replicas, b // replicas, b, place, k) for b, own in enumerate(batches) for place, k in enumerate(own)}
+
+
+def shuffled(k):
+    return hashlib.md5(f"{k}|0".encode()).hexdigest()
+
+
+@pytest.mark.parametrize("n,size,replicas,drop", [(103, 8, 3, True), (103, 8, 3, False), (5, 8, 2, True), (5, 8, 2, False), (0, 4, 1, True), (64, 8, 2, True)])
+def test_length_batches(spark, n, size, replicas, drop):
+    sizes = {k: 3 if k % 2 else k * 37 % 700 for k in range(n)}
+    rows = spark.createDataFrame(list(sizes.items()), "k long, n int")
+    got = {tuple(r) for r in training.length_batches(rows, F.col("n"), "k", size, replicas, drop).collect()}
+    assert got == plain_batches(sizes, size, replicas, drop)
+
+
+def test_shuffled_batches_are_the_same_batches(spark):
+    rows = spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 7).alias("n"))
+    plain, mixed = (training.length_batches(rows, F.col("n"), "k", 8, 2, shuffled=s) for s in (False, True))
+    key = lambda df: {(r.batch, r.place, r.k) for r in df.collect()}
+    steps = {(r.replica, r.step, r.batch) for r in mixed.collect()}
+    assert key(plain) == key(mixed) and len(steps) == len({b for _, _, b in steps}) == 12 and {s for _, s, _ in steps} == set(range(6))
+    assert sorted(steps) != sorted({(r.replica, r.step, r.batch) for r in plain.collect()})
 
 
 def test_schedule(spark):
-    rates = [r.rate for r in training.cosine_schedule(spark, 100, 10, 1.0, 0.1).orderBy("step").collect()]
+    steps = spark.range(101).withColumnRenamed("id", "step")
+    rates = [r.rate for r in training.scheduled(steps, 10, 1.0, 0.1).orderBy("step").collect()]
     assert rates[0] == 0 and rates[10] == 1.0 and rates[100] == pytest.approx(0.1) and all(a >= b for a, b in itertools.pairwise(rates[10:]))
 
 

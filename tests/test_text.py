@@ -53,10 +53,16 @@ def test_dynamic_comparison(spark, a, b, want):
 
 
 def test_scalars(spark):
-    assert one(spark, tx.fill("{a} 100% {b} {c}", a=F.lit("{b}"), b=F.lit("2"))) == "2 100% 2 {c}"
+    assert one(spark, tx.fill("{a} 100% {b} {c}", a=F.lit("{b}"), b=F.lit("2"))) == "{b} 100% 2 {c}"
     assert one(spark, tx.strip(F.lit("\n\t x \n"))) == "x"
     assert one(spark, tx.unix_newlines(F.lit("a\r\nb\rc"))) == "a\nb\nc"
     assert one(spark, tx.without_safety_block(F.lit("a SAFETY_HAZARD b\nc\n\nd SAFETY_HAZARD e\n"))) == "a \n\nd "
-    assert one(spark, tx.context_name(F.lit("4096"))) == "window_4096" and one(spark, tx.context_name(F.lit("last five"))) == "last_five"
+    assert one(spark, tx.context_name(F.lit("4096"))) == "context_4096" and one(spark, tx.context_name(F.lit("last five"))) == "last five"
     assert one(spark, tx.available_tokens(F.lit(1000), F.lit(950))) == 100 and one(spark, tx.available_tokens(F.lit(1000), F.lit(1))) == 999
     assert one(spark, tx.token_count(F.lit(" a\tb\n\x0bc "))) == 3
+
+
+def test_values_are_filled_once(spark):
+    asked = tx.fill("{ehr} asks {question}, {other} {{ehr}} 100%", ehr=F.lit("see {question} {ehr}"), question=F.lit("{ehr}?"))
+    assert one(spark, asked) == "see {question} {ehr} asks {ehr}?, {other} {see {question} {ehr}} 100%"
+    assert one(spark, tx.fill("{a}{a}", a=F.lit(None).cast("string"))) == "" and one(spark, tx.fill("x {a}")) == "x {a}"

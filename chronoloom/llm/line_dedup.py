@@ -1,9 +1,12 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-Two different lines link if at most so many edits of one character turn one into the other as the
-rule ``edits`` allows for the shorter one's length, ``THRESHOLD`` at most. ``long_lines`` allows none
-below ``MIN_CHARS`` characters; ``all_lines`` allows shorter lines one for each ``CHARS_AN_EDIT``
-characters, so that no two words of a few letters are alike.
+Two different lines link if few enough edits turn one into the other. Lines of fewer than
+``WORD_LINE`` words are compared by characters, with as many edits as the rule allows for the shorter
+one's length; where both have more words they are compared by words, with edits that grow with the
+line: ``word_edits``, two up to 63 words and one more for each doubling. A rule without ``words``
+compares all lines by characters. ``long_lines`` allows none below ``MIN_CHARS`` characters and two
+from there on; ``all_lines`` allows one for each ``CHARS_AN_EDIT`` characters, two at most, so that no
+two words of a few letters are alike. What follows holds for characters and for words alike.
 
 Every line is cut into threshold + 1 segments. Of two lines within the threshold, one segment at
 least of the shorter occurs unchanged in the longer, not far from its place. So each line files its
@@ -15,6 +18,11 @@ these keys move. Each row also carries the line's id (64 bits of hash) and a ske
 over where they meet, and a group of lines that share a segment sends on only the pairs that may
 link. Candidates' texts are then fetched and verified by a banded bit-parallel edit distance.
 
+Lines made from a template share segments by the thousand. A key that more than ``MANY`` lines hold
+gives no pairs: its lines' texts are fetched, dealt in blocks, and every two blocks meet in a task of
+their own, which compares all its lines at once and hands on each line's number of links and a star
+for what hangs together, not the links. Of several such keys that two lines share, the least counts.
+
 Two different lines may have one id. Such ids are found by counting (every line's id is a column
 expression too) and the lines that share one are verified against each other like any other pair.
 
@@ -28,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +51,14 @@ from chronoloom.llm.components import connected_components
 THRESHOLD, MIN_CHARS = 2, 20
 #: By ``all_lines``, a line may have one edit for so many characters.
 CHARS_AN_EDIT = 8
+#: Words from which on lines are compared by words.
+WORD_LINE = 24
 #: Lines that a task remembers to have filed; forgetting one only files it again.
 MEMORY = 1 << 18
 #: Lines that file one key from which they are told apart by blocks of their sketches too.
 HOT = 512
+#: Lines that hold one key from which on they are compared in blocks, and the lines of a block.
+MANY, BLOCK = 1024, 2048
 #: Pairs compared together.
 PORTION = 1 << 20
 #: Bits of a line's id, and the seed of its hash (that of Spark's xxhash64).
@@ -64,6 +77,46 @@ def all_lines(length: int) -> int:
     return min(THRESHOLD, length // CHARS_AN_EDIT)
 
 
+def word_edits(n_words: int) -> int:
+    return max(2, (n_words // 32).bit_length() + 1)
+
+
+class Rule(NamedTuple):
+    """How many edits two lines may be apart, by the shorter one's characters or, if given, by the words of the one with fewer."""
+
+    chars: Callable[[int], int]
+    words: Callable[[int], int] | None = None
+
+    def by_words(self, n_words: int) -> bool:
+        return self.words is not None and n_words >= WORD_LINE
+
+    def linked(self, x: str, y: str) -> bool:
+        own = words_of_line(x), words_of_line(y)
+        n = min(map(len, own))
+        if self.by_words(n):
+            limit = self.words(n)
+            return edit_distance_within(*own, limit) <= limit
+        limit = self.chars(min(len(x), len(y)))
+        return edit_distance_within(x, y, limit) <= limit
+
+
+#: Every line, short ones by characters and long ones by words.
+GROWING = Rule(all_lines, word_edits)
+
+
+def rule_of(edits: Rule | Callable[[int], int]) -> Rule:
+    return edits if isinstance(edits, Rule) else Rule(edits)
+
+
+def words_of_line(line: str) -> list[bytes]:
+    return line.encode("utf-8", "surrogatepass").split()
+
+
+def _word_letter(word: bytes) -> str:
+    """A word as one character: words of one character of this kind may differ, equal ones never do."""
+    return chr(0x10000 + (xxhash.xxh32_intdigest(word) & 0x7FFFF))
+
+
 def segments(length: int, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
     """(start, length) of the threshold + 1 even segments of a line."""
     parts = threshold + 1
@@ -180,25 +233,40 @@ def _asked(length: int, edits: Callable[[int], int]) -> list[tuple[int, int, int
     return found
 
 
-def _filed(batches: Iterator[pa.RecordBatch], edits: Callable[[int], int] = long_lines, bits: int = ID_BITS) -> Iterator[pa.RecordBatch]:
+def _forms(line: str, rule: Rule) -> list[tuple[str, int, Callable[[int], int]]]:
+    """What of a line is filed: (sequence, 1 for words, edits). Lines of few more words than WORD_LINE may be near to shorter ones by characters."""
+    if rule.words is None or line.count(" ") + line.count("\t") + 8 < WORD_LINE:  # surely few words, whatever the other white space
+        own = [] if rule.words is None else words_of_line(line)
+    else:
+        own = words_of_line(line)
+    found = []
+    if not rule.by_words(len(own)) or len(own) < WORD_LINE + THRESHOLD:
+        found.append((line, 0, rule.chars))
+    if rule.by_words(len(own)):
+        found.append(("".join(map(_word_letter, own)), 1, rule.words))
+    return found
+
+
+def _filed(batches: Iterator[pa.RecordBatch], edits: Rule | Callable[[int], int] = long_lines, bits: int = ID_BITS) -> Iterator[pa.RecordBatch]:
     digest, strong, weak = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest, xxhash.xxh64_intdigest
-    known, asked = set(), {}
-    keys, ids, lines, sides = [], [], [], []
+    rule, known, asked = rule_of(edits), set(), {}
+    keys, ids, lines, sides, tails = [], [], [], [], []
 
     def flush():
-        # The key's lowest bit tells who files (0) from who asks (1).
+        # The key's lowest bit tells who files (0) from who asks (1), the next one words (1) from characters (0), the next five the edits.
         counts = np.array(sides, np.int64).reshape(-1, 2)
         asks = np.repeat(np.tile(np.array([0, 1], np.uint64), len(counts)), counts.ravel())
         rows = counts.sum(axis=1)
         own = np.array(ids, np.uint64) & np.uint64((1 << bits) - 1)
-        columns = [((np.array(keys, np.uint64) & ~np.uint64(1)) | asks).view(np.int64), np.repeat(own.view(np.int64), rows), np.repeat(sketches(lines).view(np.int32), rows)]
-        for held in (keys, ids, lines, sides):
+        tail = np.array(tails, np.uint64)
+        columns = [((np.array(keys, np.uint64) & ~np.uint64(127)) | tail | asks).view(np.int64), np.repeat(own.view(np.int64), rows), np.repeat(sketches(lines).view(np.int32), rows)]
+        for held in (keys, ids, lines, sides, tails):
             held.clear()
         return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "id", "sketch"])
 
     for batch in batches:
         for text in batch.column(0):
-            for line in _lines(text.as_py(), edits):
+            for line in _lines(text.as_py(), rule.chars):
                 body = line.encode("utf-8", "surrogatepass")
                 own = strong(body)
                 if own in known:
@@ -206,21 +274,25 @@ def _filed(batches: Iterator[pa.RecordBatch], edits: Callable[[int], int] = long
                 if len(known) >= MEMORY:
                     known.clear()
                 known.add(own)
-                n = len(line)
-                if n not in asked:
-                    if len(asked) > 4096:
-                        asked.clear()
-                    index = [(at, at + size, (n << 8 | i) << 1) for i, (at, size) in enumerate(segments(n, edits(n)))]
-                    probe = [(at, at + size, (length << 8 | i) << 1) for length, i, at, size in _asked(n, edits)]
-                    asked[n] = index + probe, (len(index), len(probe))
-                places, side = asked[n]
-                if len(body) == n:  # one byte a character
-                    keys += [digest(body[s:e], k) for s, e, k in places]
-                else:
-                    keys += [digest(line[s:e].encode("utf-8", "surrogatepass"), k) for s, e, k in places]
-                ids.append(weak(body, ID_SEED))
-                lines.append(line)
-                sides.append(side)
+                number = weak(body, ID_SEED)
+                for form, mode, allowed in _forms(line, rule):
+                    n = len(form)
+                    if (n, mode) not in asked:
+                        if len(asked) > 4096:
+                            asked.clear()
+                        index = [(at, at + size, (n << 8 | i) << 1 | mode) for i, (at, size) in enumerate(segments(n, allowed(n)))]
+                        probe = [(at, at + size, (length << 8 | i) << 1 | mode) for length, i, at, size in _asked(n, allowed)]
+                        tail = [min(31, allowed(size)) << 2 | mode << 1 for size in [n] * len(index) + [length for length, *_ in _asked(n, allowed)]]
+                        asked[n, mode] = index + probe, (len(index), len(probe)), tail
+                    places, side, tail = asked[n, mode]
+                    if mode == 0 and len(body) == n:  # one byte a character
+                        keys += [digest(body[s:e], k) for s, e, k in places]
+                    else:
+                        keys += [digest(form[s:e].encode("utf-8", "surrogatepass"), k) for s, e, k in places]
+                    ids.append(number)
+                    lines.append(form)
+                    sides.append(side)
+                    tails += tail
             if len(keys) > 200_000:
                 yield flush()
     if keys:
@@ -282,14 +354,173 @@ def _near_pairs(asked, filed, threshold: int) -> list[np.ndarray]:
     return found
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met(batches: Iterator[pa.RecordBatch], many: int = MANY) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of ids that meet; of keys with more than ``many`` ids the members instead: (key, id), marked as shared."""
     parts = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(3)] for b in batches]
     if not parts:
         return
-    keys, ids, sketches = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    a, b = candidate_pairs(keys.view(np.uint64), ids.view(np.uint64), sketches.view(np.uint32))
-    for at in range(0, len(a), 65536):
-        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 65536].view(np.int64)) for x in (a, b)], names=["a", "b"])
+    keys, ids, held = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    keys, ids, held = keys.view(np.uint64), ids.view(np.uint64), held.view(np.uint32)
+    plain = keys & ~np.uint64(1)
+    order = np.lexsort((ids, plain))
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (plain[order][1:] != plain[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+    member = order[fresh]
+    known, sizes = np.unique(plain[member], return_counts=True)
+    crowded = known[sizes > many]
+    for at in range(0, len(member), 1 << 20) if len(crowded) else ():
+        piece = member[at : at + (1 << 20)]
+        piece = piece[np.isin(plain[piece], crowded)]
+        yield pa.RecordBatch.from_arrays([pa.array(plain[piece].view(np.int64)), pa.array(ids[piece].view(np.int64)), pa.array(np.ones(len(piece), bool))], names=["a", "b", "shared"])
+    rest = ~np.isin(plain, crowded)
+    allowed = (keys >> np.uint64(2)) & np.uint64(31)
+    for threshold in np.unique(allowed[rest]).tolist():
+        own = rest & (allowed == np.uint64(threshold))
+        a, b = candidate_pairs(keys[own], ids[own], held[own], threshold)
+        for at in range(0, len(a), 65536):
+            x, y = a[at : at + 65536].view(np.int64), b[at : at + 65536].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.zeros(len(x), bool))], names=["a", "b", "shared"])
+
+
+def _same_band(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray, limit: int) -> np.ndarray:
+    """Which rows of two tables of sequences (padded, with their sizes) are within ``limit`` edits: the banded table, one column of all pairs at a time."""
+    width, far = 2 * limit + 1, limit + 1
+    n, longest = len(a), a.shape[1]
+    offsets = np.arange(-limit, limit + 1)
+    row = np.where(offsets >= 0, offsets, far)[None, :].repeat(n, axis=0).astype(np.int16)
+    result = np.full(n, far, np.int16)
+    at_end = lambda i, row: np.where(a_sizes == i, row[np.arange(n), np.clip(b_sizes - i + limit, 0, width - 1)], result)
+    result = at_end(0, row)
+    padded = np.full((n, b.shape[1] + 2 * limit + 2), -2, np.int64)
+    padded[:, limit + 1 : limit + 1 + b.shape[1]] = b
+    for i in range(1, longest + 1):
+        other = padded[:, i : i + width]  # b at i - 1 + offset
+        step = row + (a[:, i - 1 : i] != other)
+        step[:, :-1] = np.minimum(step[:, :-1], row[:, 1:] + 1)
+        column = i + offsets
+        step[:, column < 0] = far
+        for k in range(1, width):
+            np.minimum(step[:, k], step[:, k - 1] + 1, out=step[:, k])
+        step[:, column == 0] = min(i, far)
+        for k in range(1, width):
+            if column[k] >= 0:
+                np.minimum(step[:, k], step[:, k - 1] + 1, out=step[:, k])
+        step[:, column < 0] = far
+        row = np.minimum(step, far).astype(np.int16)
+        result = at_end(i, row)
+    return (result <= limit) & (np.abs(a_sizes - b_sizes) <= limit)
+
+
+class _Unit:
+    """The lines of one or two blocks of a crowded key: which are linked, where this key is the least that both hold."""
+
+    def __init__(self, key: int, lines: list[str], first: np.ndarray, second: np.ndarray, held: list[list[int]], rule: Rule):
+        self.key, self.first, self.second, self.rule = key, first, second, rule
+        self.mode = key >> 1 & 1
+        words = [words_of_line(x) for x in lines] if rule.words else [[]] * len(lines)
+        self.n_words = np.fromiter(map(len, words), np.int64, len(lines))
+        forms = words if self.mode else lines
+        self.sizes = np.fromiter(map(len, forms), np.int64, len(lines))
+        self.sketch = sketches(["".join(map(_word_letter, w)) for w in words] if self.mode else lines)
+        low, high = min(forms), max(forms)
+        shortest, front = int(self.sizes.min()), 0
+        while front < min(len(low), len(high)) and low[front] == high[front]:
+            front += 1
+        back = 0
+        while back < shortest - front and len({f[-1 - back] for f in forms}) == 1:
+            back += 1
+        codes: dict = {}
+        cores = [[codes.setdefault(u, len(codes)) for u in f[front : len(f) - back]] for f in forms]
+        self.core_sizes = self.sizes - front - back
+        self.cores = np.full((len(lines), max(1, int(self.core_sizes.max()))), -1, np.int64)
+        for k, c in enumerate(cores):
+            self.cores[k, : len(c)] = c
+        # Smaller crowded keys of this kind that a line holds.
+        smaller = [[k for k in h if k < key and k >> 1 & 1 == self.mode] for h in held]
+        self.smaller = np.full((len(lines), max(1, max(map(len, smaller)))), -1, np.int64)
+        for k, h in enumerate(smaller):
+            self.smaller[k, : len(h)] = h
+            self.smaller[k, len(h) :] = -2 - 2 * k  # meets nothing
+
+    def _limits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        allowed = self.rule.words if self.mode else self.rule.chars
+        least = np.minimum(self.sizes[a], self.sizes[b])
+        known, which = np.unique(least, return_inverse=True)
+        return np.array([allowed(int(n)) for n in known], np.int64)[which]
+
+    def links(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(a, b, counted) of linked lines by their places, some at a time; those that a smaller key counts are not counted."""
+        left, right = np.flatnonzero(self.first), np.flatnonzero(self.second)
+        stride = max(1, PORTION // max(1, len(right)))
+        same = bool((self.first & self.second).any())
+        for at in range(0, len(left), stride):
+            rows = left[at : at + stride]
+            a, b = (x.ravel() for x in np.meshgrid(rows, right, indexing="ij"))
+            keep = a < b if same else np.ones(len(a), bool)
+            if self.rule.words and not self.mode:
+                keep &= np.minimum(self.n_words[a], self.n_words[b]) < WORD_LINE
+            a, b = a[keep], b[keep]
+            limit = self._limits(a, b) if len(a) else np.zeros(0, np.int64)
+            apart = np.abs(self.sizes[a] - self.sizes[b])
+            near = sketch_distance(self.sketch[a], self.sketch[b])
+            keep = (apart <= limit) & (near <= 2 * limit - apart)
+            a, b, limit, apart, near = (x[keep] for x in (a, b, limit, apart, near))
+            found = np.zeros(len(a), bool)
+            even = np.flatnonzero(apart == 0)
+            found[even] = (self.cores[a[even]] != self.cores[b[even]]).sum(axis=1) <= limit[even]
+            # Equal sizes beyond that need an insertion and a deletion, which leave less room for replacements.
+            left_over = np.flatnonzero(~found & (near <= 2 * limit - np.where(apart == 0, 2, apart)) & (limit > 0))
+            for value in np.unique(limit[left_over]):
+                own = left_over[limit[left_over] == value]
+                for k in range(0, len(own), 1 << 16):
+                    p = own[k : k + (1 << 16)]
+                    found[p] = _same_band(self.cores[a[p]], self.cores[b[p]], self.core_sizes[a[p]], self.core_sizes[b[p]], int(value))
+            a, b = a[found], b[found]
+            counted = np.ones(len(a), bool)
+            for i in range(self.smaller.shape[1]):
+                for j in range(self.smaller.shape[1]):
+                    counted &= self.smaller[a, i] != self.smaller[b, j]
+            yield a, b, counted
+
+
+def _compared(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """(a, b, n) from rows that come by unit: each line's print with its number of links, and stars (a, b) of what hangs together."""
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        lines = [r[1] for r in rows]
+        prints = [hashlib.md5(x.encode("utf-8", "surrogatepass")).digest() for x in lines]
+        blocks = np.array([r[2] for r in rows])
+        (key, low, high) = rows[0][0]
+        counts, label = np.zeros(len(rows), np.int64), np.arange(len(rows))
+        for a, b, counted in _Unit(key, lines, blocks == low, blocks == high, [r[3] for r in rows], rule).links():
+            counts += np.bincount(a[counted], minlength=len(rows)) + np.bincount(b[counted], minlength=len(rows))
+            while True:  # the least place that links reach
+                before = label.copy()
+                least = np.minimum(label[a], label[b])
+                np.minimum.at(label, a, least)
+                np.minimum.at(label, b, least)
+                label = label[label]
+                if (before == label).all():
+                    break
+        star, many = np.flatnonzero(label != np.arange(len(rows))), np.flatnonzero(counts)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([prints[k] for k in star] + [prints[k] for k in many], pa.binary()),
+                pa.array([prints[label[k]] for k in star] + [None] * len(many), pa.binary()),
+                pa.array([0] * len(star) + counts[many].tolist(), pa.int64()),
+            ],
+            names=["a", "b", "n"],
+        )
+
+    rows: list[tuple] = []
+    for batch in batches:
+        for key, low, high, block, line, held in zip(*[c.to_pylist() for c in batch.columns]):
+            if rows and rows[0][0] != (key, low, high):
+                yield told(rows)
+                rows = []
+            rows.append(((key, low, high), line, block, held))
+    if rows:
+        yield told(rows)
 
 
 def _filter_slot(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -335,12 +566,17 @@ def _texts_of(docs: DataFrame, ids: DataFrame, edits: Callable[[int], int], bits
     return docs.select("text").mapInArrow(wanted, "id long, line string").join(ids, "id", "left_semi").distinct()
 
 
-def _verified(batches: Iterator[pa.RecordBatch], edits: Callable[[int], int]) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = [], []
-        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            limit = edits(min(len(x), len(y)))
-            if x != y and edit_distance_within(x, y, limit) <= limit:
+        for x, y, held_x, held_y in zip(*[c.to_pylist() for c in batch.columns]):
+            if x == y:
+                continue
+            if held_x and held_y:
+                mode = rule.by_words(min(len(words_of_line(x)), len(words_of_line(y))))
+                if any(k >> 1 & 1 == mode for k in set(held_x).intersection(held_y)):
+                    continue  # counted where the lines of a crowded key meet
+            if rule.linked(x, y):
                 a.append(hashlib.md5(x.encode("utf-8", "surrogatepass")).digest())
                 b.append(hashlib.md5(y.encode("utf-8", "surrogatepass")).digest())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
@@ -352,22 +588,38 @@ def _first_places(docs: DataFrame, bits: int) -> DataFrame:
     return write_table(_numbered(docs, bits).groupBy("print").agg(F.min(place).alias("first"), F.first("id").alias("id")), "line-firsts")
 
 
-def line_links(docs: DataFrame, edits: Callable[[int], int] = long_lines, bits: int = ID_BITS, texts: DataFrame | None = None) -> DataFrame:
-    """(a, b): the md5 of every two different lines within the threshold, each pair once.
+def line_links(docs: DataFrame, edits: Rule | Callable[[int], int] = long_lines, bits: int = ID_BITS, texts: DataFrame | None = None, many: int = MANY, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """((a, b), (print, n)): edges between md5s of different lines that connect just what links connect, and each line's number of links.
 
-    ``texts`` may give what ``_first_places`` found; ``bits`` are those of the ids (few bits make
-    many lines share one, which changes the work but not the links).
+    Edges are the links themselves but for lines of crowded keys, whose links are counted where they
+    meet. ``texts`` may give what ``_first_places`` found; ``bits`` are those of the ids (few bits
+    make many lines share one, which changes the work but not the links), and so are ``many`` and
+    ``block``, from which number of lines on a key is crowded, and the lines of a block.
     """
-    filed = docs.select("text").mapInArrow(lambda batches: _filed(batches, edits, bits), "key long, id long, sketch int")
-    met = filed.repartition(F.shiftright("key", 1)).mapInArrow(_met, "a long, b long").distinct()
-    shared = (texts or _first_places(docs, bits)).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = write_table(met.unionByName(shared.select(F.col("id").alias("a"), F.col("id").alias("b"))), "line-pairs")
-    ids = write_table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
-    lines = write_table(_texts_of(docs, ids, edits, bits), "line-texts")
-    left, right = (lines.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b").select("line_a", "line_b")
-    checked = both.mapInArrow(lambda batches: _verified(batches, edits), "a binary, b binary")
-    return write_table(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-links")
+    rule = rule_of(edits)
+    filed = docs.select("text").mapInArrow(lambda batches: _filed(batches, rule, bits), "key long, id long, sketch int")
+    met = write_table(filed.repartition(F.shiftright("key", 1)).mapInArrow(lambda batches: _met(batches, many), "a long, b long, shared boolean"), "line-met")
+    same_id = (texts or _first_places(docs, bits)).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = write_table(met.where("NOT shared").select("a", "b").distinct().unionByName(same_id.select(F.col("id").alias("a"), F.col("id").alias("b"))), "line-pairs")
+    members = met.where("shared").select(F.col("a").alias("key"), F.col("b").alias("id"))
+    ids = write_table(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct(), "line-ids")
+    lines = write_table(_texts_of(docs, ids, rule.chars, bits), "line-texts")
+    # A line holds few keys; those that many lines hold are gathered by line.
+    crowded = members.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("held"))
+    told = write_table(lines.join(crowded, "id", "left"), "line-held")
+    left, right = (told.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}"), F.col("held").alias(f"held_{k}")) for k in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b").select("line_a", "line_b", "held_a", "held_b")
+    checked = both.mapInArrow(lambda batches: _verified(batches, rule), "a binary, b binary")
+    links = write_table(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-links")
+
+    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    placed = told.where("held IS NOT NULL").select(F.explode("held").alias("key"), "line", "held").join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("line"), "blocks").cast("int"))
+    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "line", "held")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = units.repartition(tasks, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    met_in_blocks = write_table(dealt.mapInArrow(lambda batches: _compared(batches, rule), "a binary, b binary, n long"), "line-blocks")
+    counts = links.select(F.explode(F.array("a", "b")).alias("print"), F.lit(1).cast("long").alias("n")).unionByName(met_in_blocks.where("b IS NULL").select(F.col("a").alias("print"), "n"))
+    return links.unionByName(met_in_blocks.where("b IS NOT NULL").select("a", "b")), counts.groupBy("print").agg(F.sum("n").alias("n_links"))
 
 
 def _numbered(docs: DataFrame, bits: int = ID_BITS) -> DataFrame:
@@ -376,7 +628,7 @@ def _numbered(docs: DataFrame, bits: int = ID_BITS) -> DataFrame:
     return lines.where(F.col("line").rlike(WORD_PATTERN)).select("doc_id", "line_no", F.unhex(F.md5("line")).alias("print"), line_id_column(F.col("line"), bits).alias("id"))
 
 
-def line_classes(docs: DataFrame, edits: Callable[[int], int] = long_lines, bits: int = ID_BITS) -> DataFrame:
+def line_classes(docs: DataFrame, edits: Rule | Callable[[int], int] = long_lines, bits: int = ID_BITS, many: int = MANY, block: int = BLOCK) -> DataFrame:
     """(doc_id, line_no, class_doc_id, class_line_no, n_links, kept) of every line with a word.
 
     A line's class is all that links reach from its text; it is named by its first line (by doc_id,
@@ -387,8 +639,7 @@ def line_classes(docs: DataFrame, edits: Callable[[int], int] = long_lines, bits
     gives an empty result.
     """
     texts = _first_places(docs, bits)
-    links = line_links(docs, edits, bits, texts)
-    ends = links.select(F.explode(F.array("a", "b")).alias("print")).groupBy("print").agg(F.count(F.lit(1)).alias("n_links"))
+    links, ends = line_links(docs, edits, bits, texts, many, block)
     members = connected_components(links, "a", "b")
     near = texts.join(members, F.col("print") == F.col("node")).select("print", "label", "first")
     least = near.groupBy("label").agg(F.min("first").alias("class_first"))

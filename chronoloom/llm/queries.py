@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(_table(spark, sf_dir, "documents"), line_dedup.all_lines)
+    return line_dedup.line_classes(_table(spark, sf_dir, "documents"), line_dedup.GROWING)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,3 +148,105 @@ def test_hot_keys_lose_no_pair(monkeypatch):
     monkeypatch.setattr(ld, "HOT", n)
     every = ld.candidate_pairs(*rows)
     assert len(every[0]) > 900 and all((a == b).all() for a, b in zip(found, every))
+
+
+def plain_links(texts, rule):
+    """n_links of each text, and the least text of its class."""
+    different = sorted({x for x in texts if x.strip()})
+    links, label = dict.fromkeys(different, 0), {x: x for x in different}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, a in enumerate(different):
+        for b in different[i + 1 :]:
+            words = len(a.split()), len(b.split())
+            if rule.words and min(words) >= ld.WORD_LINE:
+                limit = rule.words(min(words))
+                near = abs(words[0] - words[1]) <= limit and plain_distance(a.split(), b.split()) <= limit
+            else:
+                limit = rule.chars(min(len(a), len(b)))
+                near = abs(len(a) - len(b)) <= limit and plain_distance(a, b) <= limit
+            if near:
+                links[a] += 1
+                links[b] += 1
+                label[max(find(a), find(b))] = min(find(a), find(b))
+    return links, {x: find(x) for x in different}
+
+
+def check_links(spark, texts, rule, **how):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in ld.line_classes(docs, rule, **how).collect()}
+    links, label = plain_links(texts, rule)
+    first = {}
+    for i, x in enumerate(texts):
+        if x.strip():
+            first.setdefault(label[x], i)
+    assert {i: (r.n_links, r.class_doc_id) for i, r in got.items()} == {i: (links[x], first[label[x]]) for i, x in enumerate(texts) if x.strip()}
+    return got
+
+
+def templated(rng, n):
+    found = [f"Page {rng.randrange(10**4):05d} of the yearly report" for _ in range(n)]
+    found += [f"{rng.randrange(30):02d}.{rng.randrange(12):02d}.2020 | item {rng.randrange(99)} | {rng.choice(['yes', 'no'])}" for _ in range(n)]
+    return found + [f"Seite {k} von 99" for k in range(n // 4)] + ["Page 123 of the yearly report", "xPage 00001 of the yearly report"]
+
+
+def test_templated_lines_meet_in_blocks(spark):
+    """Crowded keys give the classes and numbers of links of a comparison of all lines."""
+    texts = templated(random.Random(5), 100)
+    for many, block in ((30, 16), (60, 200), (10_000, 10)):
+        check_links(spark, texts, ld.Rule(ld.all_lines), many=many, block=block)
+
+
+def changed_words(rng, line, n):
+    words = line.split()
+    for _ in range(n):
+        at, kind = rng.randrange(len(words)), rng.randrange(3)
+        if kind == 0:
+            words[at] = f"new{rng.randrange(99)}"
+        elif kind == 1:
+            words.insert(at, "more")
+        else:
+            del words[at]
+    return " ".join(words)
+
+
+def test_long_lines_link_by_words(spark):
+    rng = random.Random(7)
+    lines = [" ".join(f"w{rng.randrange(500)}" for _ in range(n)) for n in (22, 23, 24, 25, 26, 30, 60, 63, 64, 130, 300)]
+    texts = lines + [changed_words(rng, x, k) for x in lines for k in (1, 2, 3, 4, 6)] + [mutate(rng, x, 2) for x in lines] + [x.replace(" ", "  ", 1) for x in lines] + [x.replace(" ", "", 1) for x in lines]
+    got = check_links(spark, texts, ld.GROWING)
+    assert got[6].n_links > 0 and sum(r.n_links for r in got.values()) > 100
+    check_links(spark, texts, ld.GROWING, many=8, block=5)
+    one = "word " * 59 + "old"
+    assert [r.n_links for r in ld.line_classes(spark.createDataFrame([(1, one), (2, one.replace("old", "replacement"))], "doc_id long, text string"), ld.GROWING).collect()] == [1, 1]
+
+
+def test_edits_grow_with_the_line():
+    assert [ld.word_edits(n) for n in (24, 63, 64, 127, 128, 1024, 10_000)] == [2, 2, 3, 3, 4, 7, 10]
+
+
+@pytest.mark.parametrize("limit", [1, 2, 3, 5])
+def test_many_distances_at_once(limit):
+    rng = random.Random(limit)
+    pairs = []
+    for _ in range(400):
+        a = [rng.randrange(3) for _ in range(rng.randrange(9))]
+        b = list(a) if rng.random() < 0.7 else [rng.randrange(3) for _ in range(rng.randrange(9))]
+        for _ in range(rng.randrange(4)):
+            if b and rng.random() < 0.5:
+                del b[rng.randrange(len(b))]
+            else:
+                b.insert(rng.randrange(len(b) + 1), rng.randrange(3))
+        pairs.append((a, b))
+    sides = []
+    for side in (0, 1):
+        table = np.full((len(pairs), max(len(p[side]) for p in pairs) + 1), -1, np.int64)
+        for k, p in enumerate(pairs):
+            table[k, : len(p[side])] = p[side]
+        sides.append((table, np.array([len(p[side]) for p in pairs])))
+    got = ld._same_band(sides[0][0], sides[1][0], sides[0][1], sides[1][1], limit)
+    assert got.tolist() == [plain_distance(a, b) <= limit for a, b in pairs]

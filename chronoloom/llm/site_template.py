@@ -7,7 +7,10 @@ text is the same are copies of one page, and count once. Markup also says what i
 not main text: navigation, headers, footers, asides, forms, scripts, and containers classed as
 adverts, notices, comments and the like are left out even where each page's differs. A class tells by
 whole names ("reader-comments", "ad-box"), not by parts that name a state ("has-sidebar",
-"comments-open"), and it never removes what holds all of a page's articles and half of its text.
+"comments-open"). Neither a class nor a tag nor a role removes what holds all of a page's articles and
+half of its text: a form around the whole page, a header or an unclosed menu around the article stay
+(of a page without any article, a form around most of its paragraphs). Tables and figures inside an
+article are the author's, whatever their class.
 
 What an author wrote may recur too (a shared passage, a copied page). So inside <article> or <main>
 only wrappers without words of their own are deleted as template, and only if they are on half of
@@ -47,6 +50,8 @@ BROADCAST_ROWS = 2_000_000
 #: Elements whose content is never main text.
 SKIPPED = frozenset("head script style noscript template nav footer aside form button select textarea iframe svg object canvas dialog menu audio video map".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
+#: Of these, and of these roles, what may be around a whole page by mistake or by a framework's habit.
+AROUND = frozenset("nav footer aside form dialog menu header".split())
 #: Words of a container's class or id that mark it as something else than main text.
 MARKS = frozenset("ad ads adv advert adverts advertisement adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup sidebar comment comments respond disqus share sharing social breadcrumb breadcrumbs menu nav navbar navigation pagination pager related recommended widget masthead footer".split())
 #: What may follow such a word in a name, and what turns a name into that of a state.
@@ -242,31 +247,46 @@ class Page:
         return count == 1
 
     def holders(self) -> list[bool]:
-        """Whether each element holds every <article> and <main> of the page, and half of its text, those in skipped tags aside."""
+        """Whether each element holds every <article> and <main> of the page, and half of its text.
+
+        Those in skipped tags count only if there are no others.
+        """
         if self._holders is None:
-            n = len(self.tags)
-            skipped, held, sizes, count, total = [False] * n, [0] * n, [0] * n, 0, 0
-            for i, (tag, up) in enumerate(zip(self.tags, self.parents)):
-                skipped[i] = (up >= 0 and skipped[up]) or tag in SKIPPED
-                if not skipped[i]:
-                    held[i] = int(tag in ("article", "main"))
-                    sizes[i] = sum(len(p) for p in self.parts[i] if isinstance(p, str))
-                    count, total = count + held[i], total + sizes[i]
-            for i in range(n - 1, 0, -1):  # children come after their parent
-                if (up := self.parents[i]) >= 0:
-                    held[up] += held[i]
-                    sizes[up] += sizes[i]
-            self._holders = [0 < count == h and 2 * size >= total for h, size in zip(held, sizes)]
+            self._holders = self._holding(SKIPPED)
+            if not any(self._holders):
+                self._holders = self._holding(SKIPPED - AROUND)
         return self._holders
 
+    def _holding(self, skip: frozenset) -> list[bool]:
+        n = len(self.tags)
+        skipped, held, sizes, worded, count, total = [False] * n, [0] * n, [0] * n, [0] * n, 0, 0
+        for i, (tag, up) in enumerate(zip(self.tags, self.parents)):
+            skipped[i] = (up >= 0 and skipped[up]) or tag in skip
+            if not skipped[i]:
+                held[i] = int(tag in ("article", "main"))
+                worded[i] = int(tag in ("p", "h1"))
+                sizes[i] = sum(len(p) for p in self.parts[i] if isinstance(p, str))
+                count, total = count + held[i], total + sizes[i]
+        paragraphs = sum(worded)
+        for i in range(n - 1, 0, -1):  # children come after their parent
+            if (up := self.parents[i]) >= 0:
+                held[up] += held[i]
+                sizes[up] += sizes[i]
+                worded[up] += worded[i]
+        if count or "form" in skip:
+            return [0 < count == h and 2 * size >= total for h, size in zip(held, sizes)]
+        return [t == "form" and 0 < paragraphs < 2 * w and 2 * size >= total for t, w, size in zip(self.tags, worded, sizes)]
+
     def marked(self, i: int, inside: bool) -> bool:
         """Whether markup alone says that element i is not main text."""
         tag, own = self.tags[i], self.attributes[i]
         if tag in SKIPPED or own.get("role") in SKIPPED_ROLES or (tag == "header" and not inside):
-            return True
+            return (tag in SKIPPED and tag not in AROUND) or not self.holders()[i]
         up = self.parents[i]
         if not own or not (tag in CONTAINERS or (tag in ("article", "li") and up >= 0 and self.inside_main()[up])):
             return False
+        if tag in ("table", "figure") and inside:
+            return False
         return any(map(_names_other, f"{own.get('class', '')} {own.get('id', '')}".split())) and not self.holders()[i]
 
     def deletable(self, inside: list[bool]) -> list[bool]:

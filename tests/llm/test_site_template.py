@@ -275,3 +275,34 @@ def test_equals_brute_force_on_generated_sites(spark, generated):
 def main_texts(spark, rows, **options):
     pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
     return [r.text for r in stp.main_text(pages, **options).orderBy("page_id").collect()]
+
+
+WORDS = "<h1>Title</h1><p>What the author wrote about the river and the town, at length.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><form id="aspnetForm"><div>Menu</div><article>{WORDS}</article><input></form></body>',
+        f'<body><div role="form"><article>{WORDS}</article></div></body>',
+        f'<body><div role="dialog"><article>{WORDS}</article></div></body>',
+        f"<body><header><nav>Menu</nav><article>{WORDS}</article></header></body>",
+        f"<body><nav><a>Home</a><article>{WORDS}</article><footer>Imprint</footer></body>",
+        f"<body><aside><main>{WORDS}</main></aside></body>",
+        f'<body><form id="whole"><div>{WORDS}</div></form><nav>Menu</nav></body>',
+    ],
+)
+def test_what_is_around_the_whole_page_stays(page):
+    text = stp.Page(page).main_text(frozenset())
+    assert text == "Title\nWhat the author wrote about the river and the town, at length."
+
+
+def test_tables_of_an_article_are_its_own():
+    page = f'<article>{WORDS}<table class="menu"><tr><td>Soup</td><td>3</td></tr></table><figure class="widget"><figcaption>A soup</figcaption></figure><ul class="share"><li>Post it</li></ul></article>'
+    assert stp.Page(page).main_text(frozenset()).split("\n")[2:] == ["Soup", "3", "A soup"]
+
+
+def test_forms_and_asides_beside_the_article_go():
+    page = f"<body><form>Search <p>here</p></form><article>{WORDS}</article><aside><article>Teaser</article></aside><dialog>{WORDS}{WORDS}</dialog></body>"
+    assert stp.Page(page).main_text(frozenset()).count("\n") == 1
+    assert stp.Page("<body><p>One</p><form><p>Name</p></form><p>Two</p></body>").main_text(frozenset()) == "One\nTwo"

@@ -133,12 +133,8 @@ def pack_prompts(
     visits = timeline_visits(timelines, filters)
     if retrieve:
         budget = windows.room(F.lit(context), F.lit(GENERATION), template, F.col("instruction"), tokenizer)
-        asked = instructions.select("instruction_id", "person_id", "instruction", budget.alias("_budget")).where("_budget > 0")
-        ranked = retrieval.bm25(visits, asked.select("instruction_id", "person_id", F.col("instruction").alias("text")), "person_id", "visit", "instruction_id")
-        sized = retrieval.with_readable_time(visits).select("person_id", "visit", tx.token_count(F.col("text"), tokenizer).cast("long").alias("n_tokens"))
-        timed = ranked.drop("n_tokens").join(sized, ["person_id", "visit"]).join(asked.select("instruction_id", "_budget"), "instruction_id")
-        kept = retrieval.fit_by_rank(timed, "instruction_id", "visit", F.col("_budget")).join(visits.select("person_id", "visit", "text"), ["person_id", "visit"])
-        texts = retrieval.in_time(kept, "instruction_id", "text", "visit").select("instruction_id", F.col("context").alias("text"))
+        asked = instructions.select("instruction_id", "person_id", F.col("instruction").alias("text"), budget.alias("_budget")).where("_budget > 0")
+        texts = retrieval.relevant_texts(visits, asked, "person_id", "instruction_id", tokenizer)
         record = guarded.join(texts, "instruction_id", "left")
     else:
         lines = F.transform(F.array_sort(F.collect_list(F.struct("visit", "text"))), lambda v: v["text"])
@@ -177,6 +173,17 @@ def compare_models(references: DataFrame, a: DataFrame, b: DataFrame, template:
     return judge.win_rates(said.select(F.col("response").alias("result"), "order"))
 
 
-def tuning_examples(pairs: DataFrame, template: str, context: int, part: str, key: str) -> DataFrame:
-    """The masked examples of one part of a dataset."""
-    return training.training_rows(training.dataset_part(pairs, key, part), template, context)
+def tuning_examples(pairs: DataFrame, template: str, context: int, part: str, key: str, retrieve: bool = False, tokenizer: str = "whitespace") -> DataFrame:
+    """The masked examples of one part of a dataset.
+
+    With ``retrieve`` a pair's input is markup, of which the visits most relevant to its instruction
+    are kept, in order of time, within what template and instruction leave of the context.
+    """
+    own = training.dataset_part(pairs, key, part)
+    if retrieve:
+        budget = F.lit(context) - tx.token_count(F.lit(template), tokenizer) - tx.token_count(F.col("instruction"), tokenizer)
+        asked = own.select(key, F.col(key).alias("_pair"), F.col("instruction").alias("text"), budget.alias("_budget")).where("_budget > 0")
+        visits = own.select(F.col(key).alias("_pair"), F.posexplode(markup.visit_strings(F.col("input"))).alias("visit", "text"))
+        texts = retrieval.relevant_texts(visits, asked, "_pair", key, tokenizer)
+        own = own.join(texts.withColumnRenamed("text", "_found"), key, "left").withColumn("input", F.coalesce("_found", F.lit(""))).drop("_found")
+    return training.training_rows(own, template, context, tokenizer)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronoloom.functions.text import fill, tokens, visit_time
+from chronoloom.functions.text import fill, token_count, tokens, visit_time
+from chronoloom.sources.scratch import written
 
 #: BM25 parameters and the share of the mean that stands in for negative weights.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -16,15 +17,16 @@ def _sized(corpus: DataFrame, group: str, doc: str) -> DataFrame:
     return corpus.select(group, doc, tokens(F.col("text")).alias("_t")).withColumn("n_tokens", F.size("_t").cast("long"))
 
 
-def bm25_hits(corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str) -> DataFrame:
+def bm25_hits(corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str, large: bool = False) -> DataFrame:
     """(group, query, doc, n_tokens, score) of the documents of a query's group that hold one of its terms.
 
     ``corpus``: group, doc, text; ``queries``: query, group, text. Each group is a corpus of its
     own. Terms are whitespace tokens, and case counts. A term in more than half of the documents
     would weigh below zero; it weighs EPSILON times the mean weight of its group's terms instead.
-    Only terms that queries use meet the query table.
+    Only terms that queries use meet the query table. A ``large`` corpus is cut into terms once and
+    written; small ones, such as a person's visits, are cut as often as they are read.
     """
-    sized = _sized(corpus, group, doc)
+    sized = written(_sized(corpus, group, doc), "tokens") if large else _sized(corpus, group, doc)
     sizes = sized.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.avg("n_tokens").alias("_mean"))
     asked = queries.select(query, group, F.explode(tokens(F.col("text"))).alias("term"))
     # Term frequencies are needed for the queries' terms only, document frequencies for all.
@@ -68,13 +70,13 @@ def _ranked(hits: DataFrame, corpus: DataFrame, queries: DataFrame, group: str,
 
 def best(corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str, k: int) -> DataFrame:
     """Each query's k best documents of its group with their rank, ties by document."""
-    hits = bm25_hits(corpus, queries, group, doc, query)
+    hits = written(bm25_hits(corpus, queries, group, doc, query, large=True), "hits")
     return top_k(_ranked(hits, corpus, queries, group, doc, query, F.count(F.lit(1)) >= k), query, doc, k)
 
 
 def fitting(corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str, target: int) -> DataFrame:
     """Each query's best documents of its group up to ``target`` tokens, the one that crosses it included."""
-    hits = bm25_hits(corpus, queries, group, doc, query)
+    hits = written(bm25_hits(corpus, queries, group, doc, query, large=True), "hits")
     return fit_by_rank(_ranked(hits, corpus, queries, group, doc, query, F.sum("n_tokens") > target), query, doc, target)
 
 
@@ -120,6 +122,20 @@ def in_time(kept: DataFrame, query: str, text: str, place: str) -> DataFrame:
     return timed.groupBy(query).agg(F.array_join(F.transform(lines, lambda x: x[text]), "\n").alias("context"))
 
 
+def relevant_texts(visits: DataFrame, asked: DataFrame, group: str, query: str, tokenizer: str = "whitespace") -> DataFrame:
+    """(query, text): each query's best visits of its group within its budget, in order of time.
+
+    ``visits``: group, visit, text; ``asked``: query, group, text, _budget (above 0). Visits without a
+    readable time are passed over; the one that crosses the budget is the last. Relevance goes by
+    white-space terms, budgets by ``tokenizer``.
+    """
+    ranked = bm25(visits, asked.select(query, group, "text"), group, "visit", query)
+    sized = with_readable_time(visits).select(group, "visit", token_count(F.col("text"), tokenizer).cast("long").alias("n_tokens"))
+    timed = ranked.drop("n_tokens").join(sized, [group, "visit"]).join(asked.select(query, "_budget"), query)
+    kept = fit_by_rank(timed, query, "visit", F.col("_budget")).join(visits.select(group, "visit", "text"), [group, "visit"])
+    return in_time(kept, query, "text", "visit").select(query, F.col("context").alias("text"))
+
+
 def prompts(instructions: DataFrame, contexts: DataFrame, query: str, template: str) -> DataFrame:
     """Adds ``prompt``, the template with {context} and {question}; an instruction without a context is an error.
 

@@ -129,13 +129,18 @@ def balanced_with_coverage(rows: DataFrame, n: int, key: str, seed: int = 0, bin
     """n // bins rows of each bin: first one from each source, from its least filled bin, then at random.
 
     The first pass depends on its own earlier choices. It reads only (source, its bins), in random
-    order, one row per source, in one task that stops as soon as every bin is full; rows themselves
-    never pass through it.
+    order, in one task that stops as soon as every bin is full: of all sources that hold the same bins
+    only the first, no more than are wanted in all. Rows themselves never pass through it.
     """
     quota = n // bins
     binned = rows.withColumn("bin", half_open_bin(F.col("relative_position"), bins)).withColumn("_order", _order(key, seed))
     firsts = binned.groupBy("source_file", "bin").agg(F.min(F.struct("_order", F.col(key))).alias("at"))
     held = firsts.groupBy("source_file").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "bin"))), lambda x: x["bin"]).alias("held"))
+    # Of sources that hold the same bins in the same order, one that gains nothing finds them all full, and so do
+    # those behind it: the first of each such list, as many as rows are wanted and one more, decide. Tasks cut their
+    # part to these before any row moves.
+    alike = Window.partitionBy("held").orderBy(shuffle_key("source_file", seed=seed), "source_file")
+    held = held.withColumn("_turn", F.row_number().over(alike)).where(F.col("_turn") <= quota * bins + 1).drop("_turn")
     ordered = held.repartition(1).sortWithinPartitions(shuffle_key("source_file", seed=seed), "source_file")
     turns = ordered.mapInPandas(_least_filled(bins, quota), "source_file string, bin int")
     rank = Window.partitionBy("source_file", "bin").orderBy("_order", key)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,19 +11,10 @@ from chronoloom.plans.tables import QA_SQL, qa_pairs, table
 from chronoloom.plans.temporal import ORACLES as TEMPORAL
 from chronoloom.plans.temporal import _facts
 from chronoloom.sources import readers, writers
+from chronoloom.sources.scratch import scratch_folder as _folder
 from chronoloom.streaming import incremental
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors can write: below spark.checkpoint.dir, or a temporary one in a local session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def windows_as_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations appended as windowed timelines in two portions, and read back."""
     turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("u"), F.col("conv_id").cast("string")).alias("uid"), F.col("conv_id").cast("string").alias("person_id"), F.col("turn").cast("int").alias("window_index"), F.coalesce("text", F.lit("")).alias("text"))

@@ -217,6 +217,23 @@ _IDS_SQL = f"""WITH {FACTS_SQL}, d AS (SELECT person_id, instruction, response,
 n AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY instruction, response, evidence) - 1 AS position FROM d),
 i AS (SELECT *, CAST('0x' || substr(md5(CAST(person_id AS VARCHAR)), 1, 8) AS BIGINT) % 8000000 + 1000000 + position AS instruction_id FROM n)"""
 
+def _relevant(budget: int, source: str = "t", readable: str = "true") -> str:
+    """The SQL of each person's visits most relevant to the instruction, up to a budget, as words in order of time (k), beside the instructions (q)."""
+    return rf"""{_XML}, {_ASKED},
+w AS (SELECT person_id, visit, day, text, n, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w FROM {source}),
+sz AS (SELECT person_id, count(*) AS docs, avg(n) AS mean FROM w GROUP BY person_id),
+tf AS (SELECT person_id, visit, term, count(*) AS tf FROM (SELECT person_id, visit, unnest(w) AS term FROM w) GROUP BY ALL),
+df AS (SELECT person_id, term, count(*) AS df FROM tf GROUP BY ALL),
+ri AS (SELECT person_id, term, ln(docs - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS idf FROM df JOIN sz USING (person_id)),
+fl AS (SELECT person_id, avg(idf) * 0.25 AS floor FROM ri GROUP BY person_id),
+i AS (SELECT person_id, term, CASE WHEN idf < 0 THEN floor ELSE idf END AS idf FROM ri JOIN fl USING (person_id)),
+a AS (SELECT person_id, unnest(regexp_extract_all(instruction, '[^ \t\n\x0B\f\r]+')) AS term FROM q),
+h AS (SELECT person_id, visit, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))) AS score FROM a JOIN i USING (person_id, term) JOIN tf USING (person_id, term) JOIN w USING (person_id, visit) JOIN sz USING (person_id) GROUP BY ALL),
+s AS (SELECT w.*, coalesce(score, 0.0) AS score FROM w LEFT JOIN h USING (person_id, visit)),
+b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY person_id ORDER BY round(score, 9) DESC, visit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s WHERE {readable}),
+k AS (SELECT person_id, regexp_extract_all(string_agg(text, chr(10) ORDER BY day, visit), '[^ \t\n\x0B\f\r]+') AS kept FROM b WHERE before <= {budget} GROUP BY person_id)"""
+
+
 ORACLES = {
     "parse_pairs": f"{_SAID} SELECT pair_id, q AS instruction, a AS response FROM s",
     "sanitized_text": rf"""WITH {QA_SQL}, h AS (SELECT pair_id, ' *SAFETY_HAZARD ' || coalesce(instruction, '') || chr(10) || chr(10) || '**' || coalesce(response, '') || '**' || chr(13) || chr(10) || 'end ' || chr(10) AS x FROM qa),
@@ -256,19 +273,7 @@ g AS (SELECT person_id, count(*) AS visits, CAST(sum(n) AS BIGINT) AS tokens, CA
              '<patient>' || chr(10) || string_agg(text || chr(10), '' ORDER BY visit DESC) || '</patient>' AS text FROM s WHERE total <= 120 GROUP BY person_id HAVING count(*) >= 3)
 SELECT person_id, visits, tokens, start_date, end_date, md5(text) AS text, tokens * 100.0::DOUBLE / 120 AS percent_full, md5(text || ' ' || text) AS prompt FROM g""",
     # 400 less 256 for the answer, 2 for the template and 4 for the instruction are left for the visits.
-    "rag_prompts": rf"""{_XML}, {_ASKED},
-w AS (SELECT person_id, visit, day, text, n, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w FROM (SELECT * REPLACE (regexp_replace(text, 'start="(\d\d)/13/(\d{{4}})', 'start="\1/43/\2') AS text) FROM t)),
-sz AS (SELECT person_id, count(*) AS docs, avg(n) AS mean FROM w GROUP BY person_id),
-tf AS (SELECT person_id, visit, term, count(*) AS tf FROM (SELECT person_id, visit, unnest(w) AS term FROM w) GROUP BY ALL),
-df AS (SELECT person_id, term, count(*) AS df FROM tf GROUP BY ALL),
-ri AS (SELECT person_id, term, ln(docs - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS idf FROM df JOIN sz USING (person_id)),
-fl AS (SELECT person_id, avg(idf) * 0.25 AS floor FROM ri GROUP BY person_id),
-i AS (SELECT person_id, term, CASE WHEN idf < 0 THEN floor ELSE idf END AS idf FROM ri JOIN fl USING (person_id)),
-a AS (SELECT person_id, unnest(regexp_extract_all(instruction, '[^ \t\n\x0B\f\r]+')) AS term FROM q),
-h AS (SELECT person_id, visit, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))) AS score FROM a JOIN i USING (person_id, term) JOIN tf USING (person_id, term) JOIN w USING (person_id, visit) JOIN sz USING (person_id) GROUP BY ALL),
-s AS (SELECT w.*, coalesce(score, 0.0) AS score FROM w LEFT JOIN h USING (person_id, visit)),
-b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY person_id ORDER BY round(score, 9) DESC, visit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s WHERE day(day) <> 13),
-k AS (SELECT person_id, regexp_extract_all(string_agg(text, chr(10) ORDER BY day, visit), '[^ \t\n\x0B\f\r]+') AS kept FROM b WHERE before <= 138 GROUP BY person_id)
+    "rag_prompts": _relevant(138, r"""(SELECT * REPLACE (regexp_replace(text, 'start="(\d\d)/13/(\d{4})', 'start="\1/43/\2') AS text) FROM t)""", "day(day) <> 13") + r"""
 SELECT person_id AS instruction_id, md5(coalesce(array_to_string(kept[greatest(len(kept) - 138, 0) + 1:], ' '), '') || ' ' || instruction) AS prompt FROM q LEFT JOIN k USING (person_id)""",
     "value_bins": "SELECT " + " + ".join(f"CAST(l_discount * 10 >= {i * 0.1!r}::DOUBLE AS INTEGER)" for i in range(1, 10)) + " AS bin, count(*) AS n FROM lineitem GROUP BY bin",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.functions import text as tx
+from chronoloom.functions.order import shuffle_sql
 from chronoloom.operators import calls, compose, dedup, judge, markup, metrics, retrieval, sampling, selection, windows
 from chronoloom.plans import files, packing, records, temporal
 from chronoloom.plans.tables import FACTS_SQL, QA_SQL, qa_pairs, table, timeline
@@ -94,19 +95,34 @@ def _window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.select(F.concat(F.lit("u"), F.col("person_id").cast("string")).alias("uid"), F.col("person_id").cast("string").alias("person_id"), F.lit(0).alias("window_index"), F.md5("text").alias("text"), F.lit(0).alias("position"))
 
 
+def _text_files(spark: SparkSession, sf_dir: str, prefix: str = "") -> DataFrame:
+    """Generated texts as files of persons; every fifth has no pair."""
+    texts = records._generated(spark, sf_dir)
+    person, turn = F.split_part("pair_id", F.lit("-"), F.lit(1)), F.split_part("pair_id", F.lit("-"), F.lit(2))
+    content = F.when(turn.cast("int") % 5 == 4, F.lit("nothing to tell")).otherwise(F.col("content"))
+    return texts.select(F.concat(F.lit(prefix), person, F.lit("_turn"), turn, F.lit("_0.txt")).alias("file"), content.alias("content"))
+
+
 def file_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = qa_pairs(spark, sf_dir).where("false").select(F.lit("").alias("file"), F.col("instruction").alias("content"))
-    rows, _ = compose.training_rows_from_files(texts, _responses(spark, sf_dir), _window_rows(spark, sf_dir))
-    return rows.groupBy("patient_id").agg(F.count(F.lit(1)).alias("pairs"), F.max("input").alias("input"), F.count_distinct("output").alias("outputs"))
+    """Rows of generated texts and of response files, by the file's person (none is known for texts)."""
+    rows, _ = compose.training_rows_from_files(_text_files(spark, sf_dir), _responses(spark, sf_dir), _window_rows(spark, sf_dir))
+    return rows.groupBy("patient_id").agg(F.count(F.lit(1)).alias("pairs"), F.max("input").alias("input"), F.count_distinct("output").alias("outputs"), F.count("input").alias("placed"))
+
+
+def retrieved_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training examples whose input is what of a person's record is relevant."""
+    pairs = records._instructions(spark, sf_dir).join(records._timelines(spark, sf_dir).withColumnRenamed("text", "input"), "person_id").withColumn("output", F.lit("done so"))
+    rows = compose.tuning_examples(pairs.drop("instruction_id"), "Do {instruction} with {input}", 100, "train", "person_id", retrieve=True)
+    return rows.select("person_id", F.size("example.input_ids").cast("long").alias("length"), F.aggregate("example.input_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids"))
 
 
 def training_rows_by_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose windowed timeline is found by uid and window, and the files without a pair."""
     named = _responses(spark, sf_dir).withColumn("file", F.concat(F.lit("u"), F.col("file")))
-    texts = named.where("false").select("file", F.col("file").alias("content"))
+    texts = _text_files(spark, sf_dir, "u")
     rows, empty = compose.training_rows_from_files(texts, named, _window_rows(spark, sf_dir), owner="uid")
     found = rows.groupBy(F.col("patient_id").alias("file")).agg(F.max("input").alias("input"))
-    return found.unionByName(empty.select("file", F.lit("rejected").alias("input")))
+    return found.where("file IS NOT NULL").unionByName(empty.select("file", F.lit("rejected").alias("input")))
 
 
 def selections_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,7 +314,7 @@ def bootstrap_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    judged_answers, compared_answers, generated_windows, evaluation_answers, retried_calls, inference_rows, file_training_rows, training_rows_by_uid, selections_by_name, first_persons,
+    judged_answers, compared_answers, generated_windows, evaluation_answers, retried_calls, inference_rows, file_training_rows, retrieved_examples, training_rows_by_uid, selections_by_name, first_persons,
     json_record_files, xml_by_person, whole_text_files, json_arrays, quarantined_files, written_once, csv_folder, null_counts, means_with_interval, persons_over_folders, wrapped_windows,
     windows_by_tokenizer, two_pass_truncation, answers_by_either_name, start_times, small_scalars, attribute_operators, last_two_visits, promoted_order, guarded_selection, bins_of_persons,
     run_averages, split_rejects, bootstrap_by_group,
@@ -336,9 +352,17 @@ SELECT person_id, tokens, {_SCORES} FROM n""",
         ("last_25", temporal._cover("relative_position >= 0.75", temporal.N)), ("span_100", temporal._cover("true", temporal.N)), ("balanced_100", temporal._BALANCED), ("last_10", temporal._cover("relative_position >= 0.9", temporal.N)),
     )),
     "file_training_rows": f"""WITH p AS ({_DIGEST} SELECT * FROM p), r AS ({_RESPONSES} SELECT * FROM rp WHERE told AND instruction IS NOT NULL AND response IS NOT NULL)
-SELECT r.person_id || '_gen_0.json' AS patient_id, count(*) AS pairs, max(md5(text)) AS input, count(DISTINCT response) AS outputs FROM r LEFT JOIN p USING (person_id) GROUP BY 1""",
+SELECT r.person_id || '_gen_0.json' AS patient_id, count(*) AS pairs, max(md5(text)) AS input, count(DISTINCT response) AS outputs, count(text) AS placed FROM r LEFT JOIN p USING (person_id) GROUP BY 1
+UNION ALL SELECT NULL, count(*), max(md5(text)), count(DISTINCT a), count(text) FROM ({records._SAID} SELECT CAST(split_part(pair_id, '-', 1) AS BIGINT) AS person_id, a FROM s WHERE CAST(split_part(pair_id, '-', 2) AS INT) % 5 <> 4) g LEFT JOIN p USING (person_id)""",
+    # Of 100 tokens 4 are the template's and 4 the instruction's; what is left of these for the input besides the two of the answer is cut from the front.
+    "retrieved_examples": rf"""{records._relevant(92)},
+o AS (SELECT person_id, row_number() OVER (ORDER BY {shuffle_sql('person_id', seed=42)}, person_id) - 1 AS i, count(*) OVER () AS n FROM q),
+m AS (SELECT person_id, instruction, kept[greatest(len(kept) - 90, 0) + 1:] AS kept FROM q JOIN o USING (person_id) JOIN k USING (person_id) WHERE i < floor(n * 0.8::DOUBLE)),
+l AS (SELECT person_id, list_concat(regexp_extract_all('Do ' || instruction || ' with ' || array_to_string(kept, ' '), '[^ \t\n\x0B\f\r]+'), ['done', 'so']) AS w FROM m)
+SELECT person_id, CAST(len(w) AS BIGINT) AS length, CAST(list_sum([CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 32000 for t in w]) AS BIGINT) AS ids FROM l""",
     "training_rows_by_uid": f"""WITH p AS ({_DIGEST} SELECT * FROM p), r AS ({_RESPONSES} SELECT DISTINCT person_id, told FROM rp)
-SELECT 'u' || person_id || '_gen_0.json' AS file, CASE WHEN told THEN md5(text) ELSE 'rejected' END AS input FROM r LEFT JOIN p USING (person_id)""",
+SELECT 'u' || person_id || '_gen_0.json' AS file, CASE WHEN told THEN md5(text) ELSE 'rejected' END AS input FROM r LEFT JOIN p USING (person_id)
+UNION ALL SELECT 'u' || split_part(pair_id, '-', 1) || '_turn' || split_part(pair_id, '-', 2) || '_0.txt', 'rejected' FROM ({records._SAID} SELECT pair_id FROM s WHERE CAST(split_part(pair_id, '-', 2) AS INT) % 5 = 4)""",
     # 60 tokens less 3 for the template and 1 for the instruction are left for the record.
     "inference_rows": f"""WITH p AS ({_DIGEST} SELECT person_id, {_WORDS.format("text")} AS w FROM p), r AS ({_RESPONSES} SELECT * FROM rp WHERE told AND response IS NOT NULL AND instruction <> ''),
 m AS (SELECT r.*, w[greatest(len(w) - 56, 0) + 1:] AS kept FROM r JOIN p USING (person_id))

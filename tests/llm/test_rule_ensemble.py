@@ -69,3 +69,30 @@ def test_without_labels_or_rows(case):
     one = re_.fit(docs, labels.where("quality = 1"))
     assert re_.score(docs.limit(1), one).first().predicted == 1
     assert re_.score(docs.limit(0), model).count() == 0
+
+
+def plain_statistics(text):
+    import re
+
+    from chronoloom.llm.quality_rules import STOP_WORDS
+
+    text = text or ""
+    words = re.findall("[^ \t\n\x0b\x0c\r]+", text)
+    lines = [x for x in text.split("\n") if re.search("[^ \t\n\x0b\x0c\r]", x)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    repeated = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    stop = {form for w in STOP_WORDS for form in (w, w.capitalize())}
+    chars = sum(map(len, words))
+    over = lambda a, b: a / max(b, 1)
+    return {
+        "words": len(words), "mean_word_length": over(chars, len(words)), "symbols_per_word": over(sum(c in "#*$%&|<>" for c in text), len(words)), "marks_per_word": over(sum(c in "!?" for c in text), len(words)),
+        "upper_share": over(sum(c.isupper() and c != "ǅ" for c in text), chars), "stop_word_share": over(sum(w in stop for w in words), len(words)), "repeat_share": over(len(repeated), len(words)),
+        "duplicate_line_share": over(len(lines) - len(set(lines)), len(lines)), "words_per_line": over(len(words), len(lines)), "distinct_word_share": over(len(set(words)), len(words)), "digit_share": over(sum(c in "0123456789" for c in text), chars),
+    }
+
+
+def test_every_statistic_equals_a_plain_count(spark):
+    texts = [None, "", " \n\t ", "a", "The cat and the cat and the cat.\nThe cat and the cat and the cat.\n\n4 dogs, 17 #tags!", "ÄÖ 123 x\x0by\x0cz ?!", "word " * 50, "\n".join(["same line 1"] * 3 + ["Other line of THE text 22"]), " é " * 7]
+    rows = re_.with_statistics(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    for r in rows:
+        assert r._stats.asDict() == pytest.approx(plain_statistics(r.text)), r.text

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,6 +35,20 @@ def encoder(ranks: bytes, pattern: str):
     return _built[key]
 
 
+_LONG_RUN = re.compile(r"\s{100000}")
+
+
+def encode(own, pattern: str, text: str | None) -> list[int]:
+    """A text's ids. Runs of very many blanks, which overflow the encoder's own cutting, are cut by another library."""
+    if not text:
+        return []
+    if len(text) < 100_000 or not _LONG_RUN.search(text):
+        return own.encode_ordinary(text)
+    import regex
+
+    return [i for piece in regex.findall(pattern, text) for i in own._encode_single_piece(piece)]
+
+
 class Subwords:
     """A tokenizer of a rank file: counts, ids, texts of ids, and the last tokens of a text."""
 
@@ -54,25 +69,25 @@ class Subwords:
         def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             own = encoder(ranks, pattern)
             for part in parts:
-                yield pd.Series([of(own, x) for x in part], dtype=object)
+                yield pd.Series([of(own, lambda t: encode(own, pattern, t), x) for x in part], dtype=object)
 
         return run
 
     def count(self, text: Column) -> Column:
         """The number of tokens; 0 for null."""
-        return self._udf("int", lambda own, x: len(own.encode_ordinary(x)) if x else 0)(text)
+        return self._udf("int", lambda own, ids, x: len(ids(x)))(text)
 
     def counts(self, texts: Column) -> Column:
         """The number of tokens of each text of an array."""
-        return self._udf("array<int>", lambda own, xs: None if xs is None else [len(own.encode_ordinary(x)) if x else 0 for x in xs])(texts)
+        return self._udf("array<int>", lambda own, ids, xs: None if xs is None else [len(ids(x)) for x in xs])(texts)
 
     def ids(self, text: Column) -> Column:
         """The ids of a text's tokens; none for null."""
-        return self._udf("array<int>", lambda own, x: own.encode_ordinary(x) if x else [])(text)
+        return self._udf("array<int>", lambda own, ids, x: ids(x))(text)
 
     def text(self, ids: Column) -> Column:
         """What ids stand for; bytes that are no UTF-8 are replaced. Null stays null."""
-        return self._udf("string", lambda own, x: None if x is None else own.decode(list(x)))(ids)
+        return self._udf("string", lambda own, _, x: None if x is None else own.decode(list(x)))(ids)
 
     def last(self, text: Column, n: Column) -> Column:
         """The text of the last ``n`` tokens; '' if n is not positive. A character cut in half is replaced."""
@@ -82,6 +97,6 @@ class Subwords:
         def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             own = encoder(ranks, pattern)
             for texts, sizes in parts:
-                yield pd.Series([own.decode(own.encode_ordinary(x)[-int(k) :]) if x and k > 0 else "" for x, k in zip(texts, sizes)], dtype=object)
+                yield pd.Series([own.decode(encode(own, pattern, x)[-int(k) :]) if x and k > 0 else "" for x, k in zip(texts, sizes)], dtype=object)
 
         return run(text, F.coalesce(n.cast("int"), F.lit(0)))

@@ -78,3 +78,15 @@ def test_windows_and_prompts_by_subwords(spark):
     prompt = compose.pack_prompts(asked, timelines, template, context, tokenizer="bpe", first="whitespace").first().prompt
     kept = prompt.removesuffix("|what now")
     assert visit(6).endswith(kept[-20:]) and len(plain(ranks, kept)) <= room + 1
+
+
+def test_very_long_runs_of_blanks():
+    bpe = tx.tokenizer_named("bpe")
+    own = subwords.encoder(bpe.ranks, bpe.pattern)
+    for run in (" " * 1_300_000, "\n" * 1_300_000, " \n" * 60_000):
+        text = "a " + run + "b c"
+        assert own.decode(subwords.encode(own, bpe.pattern, text)) == text
+    short = "a " + " \n " * 400 + "b"
+    import regex
+
+    assert own.encode_ordinary(short) == [i for p in regex.findall(bpe.pattern, short) for i in own._encode_single_piece(p)]

@@ -44,6 +44,8 @@ from chronoloom.llm.common import write_table
 TOKENIZER_DIR, A_FILE, B_FILE = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of chunks that a task remembers, each chunk counted with CHUNK_COST more.
 MEMORY_CHARS, CHUNK_COST = 1 << 27, 300
+#: Characters that the leaner library gets at once.
+LEAN_CHARS = 1 << 14
 #: Characters of texts that are encoded together.
 PORTION_CHARS = 1 << 20
 #: A pair of ids as one number: the A id above B_BITS bits of the B id.
@@ -102,11 +104,12 @@ class Vocabularies:
         self.lean = tiktoken.Encoding("a", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}) if ordered else None
 
     def encode_a(self, texts: list[str]) -> list[list[int]]:
-        """A ids; texts of common characters by ranks, others by the library of A's file."""
+        """A ids; texts of common characters by ranks, others and very long ones by the library of A's file."""
         if self.lean is None:
             return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
         lean, plain = self.lean.encode_ordinary, _PLAIN.fullmatch
-        found = [lean(t) if plain(t) else None for t in texts]
+        # Of a million blanks in a row the leaner library's pattern makes an overflow.
+        found = [lean(t) if len(t) <= LEAN_CHARS and plain(t) else None for t in texts]
         other = [k for k, ids in enumerate(found) if ids is None]
         for k, e in zip(other, self.a.encode_batch([texts[k] for k in other], add_special_tokens=False)):
             found[k] = e.ids

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from chronoloom.llm import token_alignment as ta
@@ -129,3 +130,13 @@ def test_null_equal_ids_long_and_empty(spark, both):
     assert sorted((r.doc_id or 0, r.n_groups > 9) for r in got) == [(0, False), (0, False), (7, False), (7, True)]
     assert ta.align(docs.limit(0), FILES).count() == 0
     assert ta.align(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), FILES).where("n_a = 0 and groups_sha256 = ''").count() == 2
+
+
+def test_very_long_runs(both):
+    """Runs that neither a space nor a word end cuts, of blanks and of letters."""
+    chunks = ta.Chunks(both)
+    for run in (" ", "\n", "\t \n", "a", ".", "é"):
+        text = "x" + run * 1_200_000 + "y"
+        (numbers,) = chunks.numbers([text])
+        assert numbers and np.frombuffer(chunks.counts, np.int64).reshape(-1, 4)[numbers].sum(axis=0)[2] > 0
+        chunks.clear()

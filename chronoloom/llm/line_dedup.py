@@ -3,7 +3,7 @@
 Two different lines link if few enough edits turn one into the other. Lines of fewer than
 ``WORD_LINE`` words are compared by characters, with as many edits as the rule allows for the shorter
 one's length; where both have more words they are compared by words, with edits that grow with the
-line: ``word_edits``, two up to 63 words and one more for each doubling. A rule without ``words``
+line: ``word_edits``, two up to 127 words and one more for each doubling. A rule without ``words``
 compares all lines by characters. ``long_lines`` allows none below ``MIN_CHARS`` characters and two
 from there on; ``all_lines`` allows one for each ``CHARS_AN_EDIT`` characters, two at most, so that no
 two words of a few letters are alike. What follows holds for characters and for words alike.
@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.llm.common import WORD_PATTERN, write_table
 from chronoloom.llm.components import connected_components
+from chronoloom.llm.phrase_dedup import word_hashes
 
 #: Edits that two linked lines may be apart, and the characters that both need for it by ``long_lines``.
 THRESHOLD, MIN_CHARS = 2, 20
@@ -55,10 +56,12 @@ CHARS_AN_EDIT = 8
 WORD_LINE = 24
 #: Lines that a task remembers to have filed; forgetting one only files it again.
 MEMORY = 1 << 18
+#: Bytes of lines whose words are hashed together.
+PORTION_BYTES = 1 << 20
 #: Lines that file one key from which they are told apart by blocks of their sketches too.
 HOT = 512
 #: Lines that hold one key from which on they are compared in blocks, and the lines of a block.
-MANY, BLOCK = 1024, 2048
+MANY, BLOCK = 64, 2048
 #: Pairs compared together.
 PORTION = 1 << 20
 #: Bits of a line's id, and the seed of its hash (that of Spark's xxhash64).
@@ -78,7 +81,7 @@ def all_lines(length: int) -> int:
 
 
 def word_edits(n_words: int) -> int:
-    return max(2, (n_words // 32).bit_length() + 1)
+    return max(2, (n_words // 64).bit_length() + 1)
 
 
 class Rule(NamedTuple):
@@ -112,9 +115,10 @@ def words_of_line(line: str) -> list[bytes]:
     return line.encode("utf-8", "surrogatepass").split()
 
 
-def _word_letter(word: bytes) -> str:
-    """A word as one character: words of one character of this kind may differ, equal ones never do."""
-    return chr(0x10000 + (xxhash.xxh32_intdigest(word) & 0x7FFFF))
+def _letters_of(words: list[bytes]) -> str:
+    """Words as a text of one character each: different words may share one, equal ones never differ."""
+    codes = (word_hashes(b" ".join(words)) & np.uint64(0x7FFFF)).astype("<u4") + np.uint32(0x10000)
+    return codes.tobytes().decode("utf-32-le")
 
 
 def segments(length: int, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
@@ -233,70 +237,80 @@ def _asked(length: int, edits: Callable[[int], int]) -> list[tuple[int, int, int
     return found
 
 
-def _forms(line: str, rule: Rule) -> list[tuple[str, int, Callable[[int], int]]]:
-    """What of a line is filed: (sequence, 1 for words, edits). Lines of few more words than WORD_LINE may be near to shorter ones by characters."""
-    if rule.words is None or line.count(" ") + line.count("\t") + 8 < WORD_LINE:  # surely few words, whatever the other white space
-        own = [] if rule.words is None else words_of_line(line)
-    else:
-        own = words_of_line(line)
-    found = []
-    if not rule.by_words(len(own)) or len(own) < WORD_LINE + THRESHOLD:
-        found.append((line, 0, rule.chars))
-    if rule.by_words(len(own)):
-        found.append(("".join(map(_word_letter, own)), 1, rule.words))
-    return found
-
-
-def _filed(batches: Iterator[pa.RecordBatch], edits: Rule | Callable[[int], int] = long_lines, bits: int = ID_BITS) -> Iterator[pa.RecordBatch]:
-    digest, strong, weak = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest, xxhash.xxh64_intdigest
-    rule, known, asked = rule_of(edits), set(), {}
-    keys, ids, lines, sides, tails = [], [], [], [], []
-
-    def flush():
-        # The key's lowest bit tells who files (0) from who asks (1), the next one words (1) from characters (0), the next five the edits.
-        counts = np.array(sides, np.int64).reshape(-1, 2)
-        asks = np.repeat(np.tile(np.array([0, 1], np.uint64), len(counts)), counts.ravel())
-        rows = counts.sum(axis=1)
-        own = np.array(ids, np.uint64) & np.uint64((1 << bits) - 1)
-        tail = np.array(tails, np.uint64)
-        columns = [((np.array(keys, np.uint64) & ~np.uint64(127)) | tail | asks).view(np.int64), np.repeat(own.view(np.int64), rows), np.repeat(sketches(lines).view(np.int32), rows)]
-        for held in (keys, ids, lines, sides, tails):
-            held.clear()
-        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "id", "sketch"])
-
+def _forms(lines: list[str], bodies: list[bytes], rule: Rule) -> Iterator[tuple[int, str, int, Callable[[int], int]]]:
+    """What of the lines is filed: (place, sequence, 1 for words, edits). Lines of few more words than WORD_LINE may be near to shorter ones by characters."""
+    if rule.words is None:
+        yield from ((k, line, 0, rule.chars) for k, line in enumerate(lines))
+        return
+    words = [body.split() for body in bodies]
+    sizes = list(map(len, words))
+    long = [k for k, n in enumerate(sizes) if rule.by_words(n)]
+    letters, at = _letters_of([w for k in long for w in words[k]]), 0
+    for k in long:
+        yield k, letters[at : at + sizes[k]], 1, rule.words
+        at += sizes[k]
+    for k, n in enumerate(sizes):
+        if not rule.by_words(n) or n < WORD_LINE + THRESHOLD:
+            yield k, lines[k], 0, rule.chars
+
+
+def _new_lines(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[tuple[list[str], list[bytes]]]:
+    """Lines that this task has not met lately, some at a time, and their bytes."""
+    known, lines, bodies, size = set(), [], [], 0
     for batch in batches:
         for text in batch.column(0):
             for line in _lines(text.as_py(), rule.chars):
                 body = line.encode("utf-8", "surrogatepass")
-                own = strong(body)
+                own = xxhash.xxh3_128_digest(body)
                 if own in known:
                     continue
                 if len(known) >= MEMORY:
                     known.clear()
                 known.add(own)
-                number = weak(body, ID_SEED)
-                for form, mode, allowed in _forms(line, rule):
-                    n = len(form)
-                    if (n, mode) not in asked:
-                        if len(asked) > 4096:
-                            asked.clear()
-                        index = [(at, at + size, (n << 8 | i) << 1 | mode) for i, (at, size) in enumerate(segments(n, allowed(n)))]
-                        probe = [(at, at + size, (length << 8 | i) << 1 | mode) for length, i, at, size in _asked(n, allowed)]
-                        tail = [min(31, allowed(size)) << 2 | mode << 1 for size in [n] * len(index) + [length for length, *_ in _asked(n, allowed)]]
-                        asked[n, mode] = index + probe, (len(index), len(probe)), tail
-                    places, side, tail = asked[n, mode]
-                    if mode == 0 and len(body) == n:  # one byte a character
-                        keys += [digest(body[s:e], k) for s, e, k in places]
-                    else:
-                        keys += [digest(form[s:e].encode("utf-8", "surrogatepass"), k) for s, e, k in places]
-                    ids.append(number)
-                    lines.append(form)
-                    sides.append(side)
-                    tails += tail
-            if len(keys) > 200_000:
-                yield flush()
-    if keys:
-        yield flush()
+                lines.append(line)
+                bodies.append(body)
+                size += len(body)
+            if size > PORTION_BYTES:
+                yield lines, bodies
+                lines, bodies, size = [], [], 0
+    if lines:
+        yield lines, bodies
+
+
+def _filed(batches: Iterator[pa.RecordBatch], edits: Rule | Callable[[int], int] = long_lines, bits: int = ID_BITS) -> Iterator[pa.RecordBatch]:
+    """(key, id, sketch): the key's lowest bit tells who files (0) from who asks (1), the next one words (1) from characters (0), the next five the edits."""
+    digest, rule, asked = xxhash.xxh3_64_intdigest, rule_of(edits), {}
+    for lines, bodies in _new_lines(batches, rule):
+        keys, owners, forms, rows, tails = [], [], [], [], []
+        for place, form, mode, allowed in _forms(lines, bodies, rule):
+            n = len(form)
+            if (n, mode) not in asked:
+                if len(asked) > 4096:
+                    asked.clear()
+                index = [(at, at + size, (n << 8 | i) << 1 | mode) for i, (at, size) in enumerate(segments(n, allowed(n)))]
+                probe = [(length, at, at + size, (length << 8 | i) << 1 | mode) for length, i, at, size in _asked(n, allowed)]
+                tail = [min(31, allowed(n)) << 2 | mode << 1] * len(index) + [min(31, allowed(length)) << 2 | mode << 1 | 1 for length, *_ in probe]
+                asked[n, mode] = index + [p[1:] for p in probe], tail
+            places, tail = asked[n, mode]
+            body = bodies[place]
+            if mode == 0 and len(body) == n:  # one byte a character
+                keys += [digest(body[s:e], k) for s, e, k in places]
+            elif mode:  # four bytes a word
+                wide = form.encode("utf-32-le")
+                keys += [digest(wide[4 * s : 4 * e], k) for s, e, k in places]
+            else:
+                keys += [digest(form[s:e].encode("utf-8", "surrogatepass"), k) for s, e, k in places]
+            owners.append(place)
+            forms.append(form)
+            rows.append(len(places))
+            tails += tail
+        own = np.array([xxhash.xxh64_intdigest(b, ID_SEED) for b in bodies], np.uint64) & np.uint64((1 << bits) - 1)
+        columns = [
+            ((np.array(keys, np.uint64) & ~np.uint64(127)) | np.array(tails, np.uint64)).view(np.int64),
+            np.repeat(own[np.array(owners, np.int64)].view(np.int64), rows),
+            np.repeat(sketches(forms).view(np.int32), rows),
+        ]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "id", "sketch"])
 
 
 def candidate_pairs(keys: np.ndarray, ids: np.ndarray, sketches: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
@@ -362,17 +376,16 @@ def _met(batches: Iterator[pa.RecordBatch], many: int = MANY) -> Iterator[pa.Rec
     keys, ids, held = (np.concatenate([p[k] for p in parts]) for k in range(3))
     keys, ids, held = keys.view(np.uint64), ids.view(np.uint64), held.view(np.uint32)
     plain = keys & ~np.uint64(1)
-    order = np.lexsort((ids, plain))
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = (plain[order][1:] != plain[order][:-1]) | (ids[order][1:] != ids[order][:-1])
-    member = order[fresh]
-    known, sizes = np.unique(plain[member], return_counts=True)
-    crowded = known[sizes > many]
-    for at in range(0, len(member), 1 << 20) if len(crowded) else ():
-        piece = member[at : at + (1 << 20)]
-        piece = piece[np.isin(plain[piece], crowded)]
-        yield pa.RecordBatch.from_arrays([pa.array(plain[piece].view(np.int64)), pa.array(ids[piece].view(np.int64)), pa.array(np.ones(len(piece), bool))], names=["a", "b", "shared"])
-    rest = ~np.isin(plain, crowded)
+    order = np.argsort(plain, kind="stable")
+    begins = np.flatnonzero(np.concatenate([[True], plain[order][1:] != plain[order][:-1]]))
+    sizes = np.diff(np.append(begins, len(order)))
+    rest = np.ones(len(keys), bool)
+    for k in np.flatnonzero(sizes > many).tolist():
+        rows = order[begins[k] : begins[k] + sizes[k]]
+        own = np.unique(ids[rows])
+        if len(own) > many:
+            rest[rows] = False
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), plain[rows[0]]).view(np.int64)), pa.array(own.view(np.int64)), pa.array(np.ones(len(own), bool))], names=["a", "b", "shared"])
     allowed = (keys >> np.uint64(2)) & np.uint64(31)
     for threshold in np.unique(allowed[rest]).tolist():
         own = rest & (allowed == np.uint64(threshold))
@@ -385,30 +398,34 @@ def _met(batches: Iterator[pa.RecordBatch], many: int = MANY) -> Iterator[pa.Rec
 def _same_band(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray, limit: int) -> np.ndarray:
     """Which rows of two tables of sequences (padded, with their sizes) are within ``limit`` edits: the banded table, one column of all pairs at a time."""
     width, far = 2 * limit + 1, limit + 1
-    n, longest = len(a), a.shape[1]
+    n, longest = len(a), int(a_sizes.max(initial=0))
     offsets = np.arange(-limit, limit + 1)
-    row = np.where(offsets >= 0, offsets, far)[None, :].repeat(n, axis=0).astype(np.int16)
-    result = np.full(n, far, np.int16)
-    at_end = lambda i, row: np.where(a_sizes == i, row[np.arange(n), np.clip(b_sizes - i + limit, 0, width - 1)], result)
-    result = at_end(0, row)
-    padded = np.full((n, b.shape[1] + 2 * limit + 2), -2, np.int64)
-    padded[:, limit + 1 : limit + 1 + b.shape[1]] = b
+    row = np.where(offsets >= 0, offsets, far).astype(np.int8)[:, None].repeat(n, axis=1)
+    found = np.zeros(n, bool)
+
+    def ended(i: int) -> None:
+        at = np.flatnonzero(a_sizes == i)
+        place = b_sizes[at] - i + limit
+        inside = (place >= 0) & (place < width)
+        found[at[inside]] = row[place[inside], at[inside]] <= limit
+
+    ended(0)
+    # Columns of b at every offset of the band; what lies outside equals nothing.
+    other = np.full((b.shape[1] + longest + 2 * limit + 2, n), -2, b.dtype)
+    other[limit : limit + b.shape[1]] = b.T
     for i in range(1, longest + 1):
-        other = padded[:, i : i + width]  # b at i - 1 + offset
-        step = row + (a[:, i - 1 : i] != other)
-        step[:, :-1] = np.minimum(step[:, :-1], row[:, 1:] + 1)
-        column = i + offsets
-        step[:, column < 0] = far
-        for k in range(1, width):
-            np.minimum(step[:, k], step[:, k - 1] + 1, out=step[:, k])
-        step[:, column == 0] = min(i, far)
-        for k in range(1, width):
-            if column[k] >= 0:
-                np.minimum(step[:, k], step[:, k - 1] + 1, out=step[:, k])
-        step[:, column < 0] = far
-        row = np.minimum(step, far).astype(np.int16)
-        result = at_end(i, row)
-    return (result <= limit) & (np.abs(a_sizes - b_sizes) <= limit)
+        step = row + (other[i - 1 : i - 1 + width] != a[:, i - 1]).view(np.int8)
+        np.minimum(step[:-1], row[1:] + 1, out=step[:-1])
+        for k, column in enumerate((i + offsets).tolist()):
+            if column < 0:
+                step[k] = far
+            elif column == 0:
+                step[k] = min(i, far)
+            elif k:
+                np.minimum(step[k], step[k - 1] + 1, out=step[k])
+        row = np.minimum(step, far)
+        ended(i)
+    return found
 
 
 class _Unit:
@@ -421,7 +438,7 @@ class _Unit:
         self.n_words = np.fromiter(map(len, words), np.int64, len(lines))
         forms = words if self.mode else lines
         self.sizes = np.fromiter(map(len, forms), np.int64, len(lines))
-        self.sketch = sketches(["".join(map(_word_letter, w)) for w in words] if self.mode else lines)
+        self.sketch = sketches([_letters_of(w) for w in words] if self.mode else lines)
         low, high = min(forms), max(forms)
         shortest, front = int(self.sizes.min()), 0
         while front < min(len(low), len(high)) and low[front] == high[front]:
@@ -432,9 +449,20 @@ class _Unit:
         codes: dict = {}
         cores = [[codes.setdefault(u, len(codes)) for u in f[front : len(f) - back]] for f in forms]
         self.core_sizes = self.sizes - front - back
-        self.cores = np.full((len(lines), max(1, int(self.core_sizes.max()))), -1, np.int64)
+        width = max(1, int(self.core_sizes.max()))
+        self.cores = np.full((len(lines), width), -1, np.int16 if len(codes) < 1 << 15 else np.int32)
         for k, c in enumerate(cores):
             self.cores[k, : len(c)] = c
+        # Eight units a word, where so few differ; replaced ones are then counted by bits.
+        self.packed = None
+        if len(codes) < 255:
+            table = np.full((len(lines), -(-width // 8) * 8), 255, np.uint8)
+            table[:, :width] = self.cores
+            self.packed = np.ascontiguousarray(table).view(np.uint64).T.copy()
+        sizes = np.unique(self.sizes)
+        allowed = rule.words if self.mode else rule.chars
+        self.allowed = np.zeros(int(sizes[-1]) + 1, np.int16)
+        self.allowed[sizes] = [allowed(int(n)) for n in sizes]
         # Smaller crowded keys of this kind that a line holds.
         smaller = [[k for k in h if k < key and k >> 1 & 1 == self.mode] for h in held]
         self.smaller = np.full((len(lines), max(1, max(map(len, smaller)))), -1, np.int64)
@@ -442,38 +470,48 @@ class _Unit:
             self.smaller[k, : len(h)] = h
             self.smaller[k, len(h) :] = -2 - 2 * k  # meets nothing
 
-    def _limits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        allowed = self.rule.words if self.mode else self.rule.chars
-        least = np.minimum(self.sizes[a], self.sizes[b])
-        known, which = np.unique(least, return_inverse=True)
-        return np.array([allowed(int(n)) for n in known], np.int64)[which]
+    def _replaced(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many places pairs of equal size differ."""
+        if self.packed is None:
+            stride = max(1, (PORTION << 2) // self.cores.shape[1])
+            parts = [(self.cores[a[k : k + stride]] != self.cores[b[k : k + stride]]).sum(axis=1) for k in range(0, len(a), stride)]
+            return np.concatenate([np.zeros(0, np.int64), *parts])
+        total, low = np.zeros(len(a), np.int64), np.uint64(0x7F7F7F7F7F7F7F7F)
+        for word in self.packed:
+            x = word[a] ^ word[b]
+            total += np.bitwise_count(((x & low) + low | x) & ~low)
+        return total
 
     def links(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(a, b, counted) of linked lines by their places, some at a time; those that a smaller key counts are not counted."""
         left, right = np.flatnonzero(self.first), np.flatnonzero(self.second)
         stride = max(1, PORTION // max(1, len(right)))
-        same = bool((self.first & self.second).any())
+        same, odd = bool((self.first & self.second).any()), np.uint32(0x55555555)
         for at in range(0, len(left), stride):
             rows = left[at : at + stride]
-            a, b = (x.ravel() for x in np.meshgrid(rows, right, indexing="ij"))
-            keep = a < b if same else np.ones(len(a), bool)
+            apart = np.abs(self.sizes[rows, None] - self.sizes[right])
+            limit = self.allowed[np.minimum(self.sizes[rows, None], self.sizes[right])]
+            x = self.sketch[rows, None] ^ self.sketch[right]
+            low, high = x & odd, x >> np.uint32(1) & odd
+            near = np.bitwise_count(low) + np.uint8(2) * np.bitwise_count(high & ~low)
+            keep = near + apart <= 2 * limit
+            if same:
+                keep &= rows[:, None] < right
             if self.rule.words and not self.mode:
-                keep &= np.minimum(self.n_words[a], self.n_words[b]) < WORD_LINE
-            a, b = a[keep], b[keep]
-            limit = self._limits(a, b) if len(a) else np.zeros(0, np.int64)
-            apart = np.abs(self.sizes[a] - self.sizes[b])
-            near = sketch_distance(self.sketch[a], self.sketch[b])
-            keep = (apart <= limit) & (near <= 2 * limit - apart)
-            a, b, limit, apart, near = (x[keep] for x in (a, b, limit, apart, near))
+                keep &= np.minimum(self.n_words[rows, None], self.n_words[right]) < WORD_LINE
+            i, j = np.nonzero(keep)
+            a, b, limit, apart, near = rows[i], right[j], limit[i, j], apart[i, j], near[i, j].astype(np.int16)
+            keep = apart <= limit
             found = np.zeros(len(a), bool)
             even = np.flatnonzero(apart == 0)
-            found[even] = (self.cores[a[even]] != self.cores[b[even]]).sum(axis=1) <= limit[even]
+            found[even] = self._replaced(a[even], b[even]) <= limit[even]
             # Equal sizes beyond that need an insertion and a deletion, which leave less room for replacements.
-            left_over = np.flatnonzero(~found & (near <= 2 * limit - np.where(apart == 0, 2, apart)) & (limit > 0))
+            left_over = np.flatnonzero(keep & ~found & (near <= 2 * limit - np.where(apart == 0, 2, apart)) & (limit > 0))
             for value in np.unique(limit[left_over]):
                 own = left_over[limit[left_over] == value]
-                for k in range(0, len(own), 1 << 16):
-                    p = own[k : k + (1 << 16)]
+                stride = max(1, min(1 << 15, (PORTION << 2) // self.cores.shape[1]))
+                for k in range(0, len(own), stride):
+                    p = own[k : k + stride]
                     found[p] = _same_band(self.cores[a[p]], self.cores[b[p]], self.core_sizes[a[p]], self.core_sizes[b[p]], int(value))
             a, b = a[found], b[found]
             counted = np.ones(len(a), bool)

@@ -226,7 +226,7 @@ def test_long_lines_link_by_words(spark):
 
 
 def test_edits_grow_with_the_line():
-    assert [ld.word_edits(n) for n in (24, 63, 64, 127, 128, 1024, 10_000)] == [2, 2, 3, 3, 4, 7, 10]
+    assert [ld.word_edits(n) for n in (24, 63, 127, 128, 255, 256, 1024, 10_000)] == [2, 2, 2, 3, 3, 4, 6, 9]
 
 
 @pytest.mark.parametrize("limit", [1, 2, 3, 5])

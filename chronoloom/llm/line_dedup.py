@@ -383,7 +383,9 @@ def _met(batches: Iterator[pa.RecordBatch], many: int = MANY) -> Iterator[pa.Rec
     for k in np.flatnonzero(sizes > many).tolist():
         rows = order[begins[k] : begins[k] + sizes[k]]
         own = np.unique(ids[rows])
-        if len(own) > many:
+        if (keys[rows] & np.uint64(1)).all():
+            rest[rows] = False  # all ask, nobody files: no two meet here
+        elif len(own) > many:
             rest[rows] = False
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), plain[rows[0]]).view(np.int64)), pa.array(own.view(np.int64)), pa.array(np.ones(len(own), bool))], names=["a", "b", "shared"])
     allowed = (keys >> np.uint64(2)) & np.uint64(31)
@@ -509,9 +511,9 @@ class _Unit:
             left_over = np.flatnonzero(keep & ~found & (near <= 2 * limit - np.where(apart == 0, 2, apart)) & (limit > 0))
             for value in np.unique(limit[left_over]):
                 own = left_over[limit[left_over] == value]
-                stride = max(1, min(1 << 15, (PORTION << 2) // self.cores.shape[1]))
-                for k in range(0, len(own), stride):
-                    p = own[k : k + stride]
+                step = max(1, min(1 << 15, (PORTION << 2) // self.cores.shape[1]))
+                for k in range(0, len(own), step):
+                    p = own[k : k + step]
                     found[p] = _same_band(self.cores[a[p]], self.cores[b[p]], self.core_sizes[a[p]], self.core_sizes[b[p]], int(value))
             a, b = a[found], b[found]
             counted = np.ones(len(a), bool)

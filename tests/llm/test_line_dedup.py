@@ -194,6 +194,20 @@ def templated(rng, n):
     return found + [f"Seite {k} von 99" for k in range(n // 4)] + ["Page 123 of the yearly report", "xPage 00001 of the yearly report"]
 
 
+@pytest.mark.parametrize("portion", [1 << 20, 900, 1])
+def test_a_unit_gives_each_link_once(monkeypatch, portion):
+    monkeypatch.setattr(ld, "PORTION", portion)
+    lines = templated(random.Random(6), 40) + ["", "Page"]
+    n, rule = len(lines), ld.Rule(ld.all_lines)
+    near = {(i, j) for i in range(n) for j in range(i + 1, n) if lines[i] != lines[j] and rule.linked(lines[i], lines[j])}
+    same = {(i, j) for i in range(n) for j in range(i + 1, n) if lines[i] == lines[j]}
+    every, half = np.ones(n, bool), np.arange(n) < n // 2
+    for first, second in ((every, every), (half, ~half)):
+        found = [p for a, b, _ in ld._Unit(0, lines, first, second, [[0]] * n, rule).links() for p in zip(a.tolist(), b.tolist())]
+        inside = {(i, j) for i, j in near if (first[i] and second[j]) and (first is second or half[i] != half[j])}
+        assert len(found) == len(set(found)) and set(found) - same == inside
+
+
 def test_templated_lines_meet_in_blocks(spark):
     """Crowded keys give the classes and numbers of links of a comparison of all lines."""
     texts = templated(random.Random(5), 100)
@@ -225,6 +239,25 @@ def test_long_lines_link_by_words(spark):
     assert [r.n_links for r in ld.line_classes(spark.createDataFrame([(1, one), (2, one.replace("old", "replacement"))], "doc_id long, text string"), ld.GROWING).collect()] == [1, 1]
 
 
+def test_many_counter_lines_have_the_links_of_a_comparison_of_all(spark):
+    """Two thousand lines of one template, against a table of distances of all pairs of their numbers."""
+    n = 2000
+    digits = np.array([[int(c) for c in f"{i:05d}"] for i in range(n)], np.int8)
+    i, j = np.triu_indices(n, 1)
+    a, b = digits[i], digits[j]
+    table = np.zeros((6, 6, len(i)), np.int8)
+    table[:, 0], table[0] = np.arange(6)[:, None], np.arange(6)[:, None]
+    for x in range(1, 6):
+        for y in range(1, 6):
+            table[x, y] = np.minimum(np.minimum(table[x - 1, y], table[x, y - 1]) + 1, table[x - 1, y - 1] + (a[:, x - 1] != b[:, y - 1]))
+    near = table[5, 5] <= 2
+    links = np.bincount(i[near], minlength=n) + np.bincount(j[near], minlength=n)
+    docs = spark.createDataFrame([(k, f"Page {k:05d} of the yearly report") for k in range(n)], "doc_id long, text string").repartition(3)
+    for block in (ld.BLOCK, 300):
+        got = ld.line_classes(docs, ld.GROWING, block=block).collect()
+        assert {r.doc_id: r.n_links for r in got} == dict(enumerate(links.tolist())) and {r.class_doc_id for r in got} == {0}
+
+
 def test_edits_grow_with_the_line():
     assert [ld.word_edits(n) for n in (24, 63, 127, 128, 255, 256, 1024, 10_000)] == [2, 2, 2, 3, 3, 4, 6, 9]
 

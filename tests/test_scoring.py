@@ -36,6 +36,11 @@ def test_metric_values():
     assert 0 < metrics.chrf_score("the cat", "the hat") < 100
 
 
+def test_chrf_weighs_recall_twice():
+    # One order of characters and of words each: all of the candidate is right, half of the reference is found.
+    assert metrics.chrf_score("a b", "a") == pytest.approx(100 * (5 * 0.5 / (4 + 0.5) * 2) / 4)
+
+
 def test_unknown_metrics_are_refused(spark):
     with pytest.raises(ValueError):
         metrics.evaluate(spark.range(1), ["bleurt"])

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 #: A block is handed on once it holds so many items (words, links), or so many rows.
 BLOCK_ITEMS, BLOCK_ROWS = 1 << 20, 1 << 13
+#: How tables of blocks are written. Parquet's writer looks at the size of what it holds after a hundred rows at
+#: first, and a reader decodes a row group at once; a hundred blocks are most of an executor's memory.
+WIDE_ROWS = {"parquet.block.size": 1 << 23, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 
 
 class BlockNumbers:

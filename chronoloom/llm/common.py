@@ -46,15 +46,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written to the shared folder and read again.
+def write_table(df: DataFrame, name: str, **options: int) -> DataFrame:
+    """``df``, written to the shared folder and read again; ``options`` are those of Parquet's writer.
 
     Cuts the lineage: what reads the result neither repeats the work nor depends on the disks of
     executors. Unlike a local checkpoint it survives their loss.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

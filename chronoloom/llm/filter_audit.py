@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.blocks import BLOCK_ITEMS, BLOCK_ROWS, BlockNumbers, list_of, looked_up, one_list
+from chronoloom.llm.blocks import BLOCK_ITEMS, BLOCK_ROWS, WIDE_ROWS, BlockNumbers, list_of, looked_up, one_list
 from chronoloom.llm.common import write_table
 
 FILTERS = "ABCDE"
@@ -152,7 +152,7 @@ def document_terms(rows: DataFrame, row: str = "row", text: str = "text") -> Dat
     """
     of_row = rows.schema[row].dataType.simpleString()
     kind = f"block long, rows array<{of_row}>, facts array<{_FACTS_SQL}>, at array<int>, columns array<int>, counts array<int>, n_words int, words binary"
-    local = write_table(rows.select(F.col(row).alias("row"), F.col(text).cast("binary").alias("text")).mapInArrow(_local_shards, kind), "term-shards")
+    local = write_table(rows.select(F.col(row).alias("row"), F.col(text).cast("binary").alias("text")).mapInArrow(_local_shards, kind), "term-shards", **WIDE_ROWS)
     entries = local.agg(F.sum("n_words")).first()[0] or 0
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = max(entries // PART_ENTRIES, 4 * tasks).bit_length()

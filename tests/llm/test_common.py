@@ -45,3 +45,17 @@ def test_thinning_keeps_what_is_wanted(spark):
     ids = {r.id for r in left.collect()}
     assert left.columns == rows.columns and {r.id for r in wanted.collect()} <= ids and len(ids) < 2000
     assert common.thinned(rows, F.col("id"), wanted.limit(0), F.col("id")).count() == 0
+
+
+def test_tables_of_blocks_are_read_a_few_blocks_at_a_time(spark):
+    import pyarrow.parquet as pq
+
+    from chronoloom.llm.blocks import WIDE_ROWS
+
+    wide = spark.range(0, 40, numPartitions=1).select("id", F.transform(F.sequence(F.lit(1), F.lit(1 << 17)), lambda x: F.xxhash64(x, "id")).alias("items"))
+    table = common.write_table(wide, "wide", **WIDE_ROWS)
+    (file,) = table.inputFiles()
+    held = pq.ParquetFile(file.removeprefix("file:").replace("///", "/")).metadata
+    sizes = [held.row_group(i).total_byte_size for i in range(held.num_row_groups)]
+    assert held.num_rows == 40 and held.num_row_groups > 3 and max(sizes) < 1 << 24
+    assert table.agg(F.sum("id"), F.sum(F.size("items"))).first()[:] == (780, 40 << 17)

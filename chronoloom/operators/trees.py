@@ -14,6 +14,7 @@ from functools import reduce
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,22 +42,59 @@ def _parsed(source: str | None) -> list[dict] | None:
             found[parent]["last"] = len(found) - 1
             continue
         node = len(found)
-        found.append({"node": node, "last": node, "depth": depth, "parent": parent, "tag": element.tag, "attributes": dict(element.attrib), "text": element.text or "", "tail": element.tail or ""})
+        found.append({"node": node, "last": node, "depth": depth, "parent": parent, "tag": element.tag, "attributes": list(element.attrib.items()), "text": element.text or "", "tail": element.tail or ""})
         stack.append((None, depth, node))
         stack.extend((child, depth + 1, node) for child in reversed(element))
     return found
 
 
-@F.pandas_udf(T.ArrayType(NODE))
-def nodes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """A record's nodes in document order; null if it is no well-formed XML (a repeated attribute is not)."""
-    for part in texts:
-        yield pd.Series([_parsed(x) for x in part], dtype=object)
+#: The same as NODE, for Arrow.
+_ARROW_NODE = pa.struct([("node", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("tail", pa.string())])
+#: Characters of records that are held as nodes at once; nodes are many times as large as their record.
+PORTION_CHARS = 1 << 20
+
+
+def _parsed_portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[list[dict]]]]:
+    """(keys, nodes of each record) of the well-formed records of (key, text), some at a time."""
+    for batch in batches:
+        at, found, size = [], [], 0
+        for i, text in enumerate(batch.column(1)):
+            source = text.as_py()
+            own = _parsed(source)
+            if own is not None:
+                at.append(i)
+                found.append(own)
+                size += len(source)
+            if size >= PORTION_CHARS:
+                yield batch.column(0).take(pa.array(at, pa.int64())), found
+                at, found, size = [], [], 0
+        if found:
+            yield batch.column(0).take(pa.array(at, pa.int64())), found
 
 
 def node_rows(records: DataFrame, key: str = "person_id", text: str = "text") -> DataFrame:
     """(key, node, last, depth, parent, tag, attributes, text, tail) of every node; malformed records have none."""
-    return records.select(key, F.inline(nodes(F.col(text))))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, found in _parsed_portions(batches):
+            made = pa.array([n for own in found for n in own], _ARROW_NODE)
+            at = pa.array([i for i, own in enumerate(found) for _ in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([keys.take(at), *made.flatten()], names=[key, *NODE.names])
+
+    return records.select(key, F.col(text).cast("string")).mapInArrow(rows, T.StructType([records.schema[key], *NODE.fields]))
+
+
+def _parents(records: DataFrame, tag: str, key: str, text: str) -> DataFrame:
+    """(key, visit, _own): each element of a tag, counted from 0 in its record, as its nodes and no others of the record."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, found in _parsed_portions(batches):
+            roots = [(i, visit, n) for i, own in enumerate(found) for visit, n in enumerate(n for n in own if n["tag"] == tag)]
+            owned = pa.array([found[i][n["node"] : n["last"] + 1] for i, _, n in roots], pa.list_(_ARROW_NODE))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array([i for i, _, _ in roots], pa.int64())), pa.array([v for _, v, _ in roots], pa.int32()), owned], names=[key, "visit", "_own"])
+
+    kind = T.StructType([records.schema[key], T.StructField("visit", _INT), T.StructField("_own", T.ArrayType(NODE))])
+    return records.select(key, F.col(text).cast("string")).mapInArrow(cut, kind)
 
 
 def below(rows: DataFrame, key: str, outer: Column, inner: Column) -> DataFrame:
@@ -103,10 +141,22 @@ def _written(own: list, keep: list) -> str:
     return "".join(out)
 
 
-@F.pandas_udf(_STRING)
-def _markup(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for own, keep in parts:
-        yield pd.Series([_written(o, k) if any(k[1:]) else None for o, k in zip(own, keep)], dtype=object)
+#: Parents that are written out at once.
+PORTION_ROWS = 256
+
+
+def _markup(cut: DataFrame, key: str) -> DataFrame:
+    """(key, visit, text) of parents (key, visit, _own, _keep); those below which nothing is left go."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, PORTION_ROWS):
+                part = batch.slice(start, PORTION_ROWS)
+                texts = [_written(own, keep) if any(keep[1:]) else None for own, keep in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=[key, "visit", "text"])
+
+    kind = T.StructType([cut.schema[key], T.StructField("visit", _INT), T.StructField("text", _STRING)])
+    return cut.select(key, "visit", "_own", "_keep").mapInArrow(write, kind).where("text IS NOT NULL")
 
 
 def filter_trees(records: DataFrame, filters: dict, key: str = "person_id", text: str = "text") -> DataFrame:
@@ -119,21 +169,23 @@ def filter_trees(records: DataFrame, filters: dict, key: str = "person_id", text
     parents. Malformed records have no parent (see ``malformed``).
     """
     tag = filters["@parent"]
-    parsed = records.select(F.col(key), nodes(F.col(text)).alias("_nodes"))
-    parents = parsed.select(key, "_nodes", F.posexplode(F.filter("_nodes", lambda n: n["tag"] == tag)).alias("visit", "_root"))
-    cut = parents.select(key, "visit", "_root", F.slice("_nodes", F.col("_root.node") + 1, F.col("_root.last") - F.col("_root.node") + 1).alias("_own"))
-    passed = cut.where(attribute_test(F.col("_root.attributes"), filters[tag])) if filters.get(tag) else cut
-    kept = passed.withColumn("_keep", F.transform("_own", lambda n: _tested(n, filters)))
-    found = kept.select(key, "visit", _markup("_own", "_keep").alias("text")).where("text IS NOT NULL")
+    cut = _parents(records, tag, key, text)
+    passed = cut.where(attribute_test(F.col("_own")[0]["attributes"], filters[tag])) if filters.get(tag) else cut
+    found = _markup(passed.withColumn("_keep", F.transform("_own", lambda n: _tested(n, filters))), key)
     n, order = (filters.get("@first"), F.asc("visit")) if filters.get("@first") else (filters.get("@last"), F.desc("visit"))
     if not n:
         return found
     return found.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_rank") <= n).drop("_rank")
 
 
+@F.pandas_udf(T.BooleanType())
+def _well_formed(texts: pd.Series) -> pd.Series:
+    return pd.Series([_parsed(x) is not None for x in texts], dtype=bool)
+
+
 def malformed(records: DataFrame, text: str = "text") -> DataFrame:
-    """The records that are no well-formed XML."""
-    return records.where(nodes(F.col(text)).isNull())
+    """The records that are no well-formed XML (a repeated attribute is none)."""
+    return records.where(~_well_formed(F.col(text)))
 
 
 _PARTS = T.StructType([T.StructField(n, _STRING) for n in ("empty", "head", "foot")] + [T.StructField("children", T.ArrayType(_STRING))])

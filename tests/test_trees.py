@@ -1,6 +1,7 @@
 import random
 import xml.etree.ElementTree as ET
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,19 @@ def test_trailing_record_keeps_any_child(spark):
     none = trees.trailing_record(rows.where("person_id = 1"), "text", F.lit(1)).first().text
     assert none == '<ehr id="7" />'
     assert trees.trailing_record(rows.where("person_id = 1"), "text", F.lit(500), "bpe").first().text.startswith('<ehr id="7"><who>')
+
+
+def test_a_visit_carries_its_own_nodes_alone(spark):
+    """Neither buffered nor multiplied: no visit is beside the nodes of its whole record."""
+    found = trees.filter_trees(records(spark, RECORD), {"@parent": "visit"})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "Generate" not in plan and found.count() > 0
+
+
+def test_nodes_are_held_for_a_portion_of_records(spark):
+    long = "<ehr>" + "<visit/>" * (trees.PORTION_CHARS // 20) + "</ehr>"
+    batch = pa.RecordBatch.from_pydict({"person_id": list(range(9)), "text": [long] * 4 + ["<ehr>", None] + [long] * 3})
+    portions = [(keys.to_pylist(), [len(own) for own in found]) for keys, found in trees._parsed_portions(iter([batch]))]
+    assert [k for keys, _ in portions for k in keys] == [0, 1, 2, 3, 6, 7, 8] and max(len(found) for _, found in portions) <= 3
+    nodes = trees.node_rows(records(spark, RECORD, "<ehr>", RECORD)).groupBy("person_id").count().collect()
+    assert {r.person_id for r in nodes} == {1, 3} and len({r["count"] for r in nodes}) == 1

@@ -152,3 +152,11 @@ def test_retrieval_gets_what_the_prompt_leaves(spark):
     assert got[5] == "one key one </note></visit> Q key one"
     assert "other" not in got[5] and "13/45" not in got[5]
     assert got[6] == " Q " + "key " * 50
+
+
+def test_retrieval_parses_records_once(spark):
+    people = spark.createDataFrame([(1, '<ehr><visit start="01/01/2020 10:00"><code id="1"/></visit></ehr>')], "person_id int, text string")
+    asked = spark.createDataFrame([(7, 1, "code")], "instruction_id int, person_id int, instruction string")
+    made = compose.pack_prompts(asked, people, "{ehr} {question}", 400, retrieve=True)
+    assert "MapInArrow" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.first().prompt == '<visit start="01/01/2020 10:00"><code id="1"/></visit> code'

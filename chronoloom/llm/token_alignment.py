@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.blocks import BLOCK_ITEMS, BLOCK_ROWS, BlockNumbers, list_of, looked_up, one_list, ranges
+from chronoloom.llm.blocks import BLOCK_ITEMS, BLOCK_ROWS, WIDE_ROWS, BlockNumbers, list_of, looked_up, one_list, ranges
 from chronoloom.llm.common import write_table
 
 #: Where the vocabulary files of public tokenizers lie, and the two that are aligned.
@@ -365,7 +365,7 @@ def align(docs: DataFrame, files: tuple[bytes, bytes] | None = None, block_items
     spark: SparkSession = docs.sparkSession
     files = files or read_files()
     same = Vocabularies(*files).same
-    blocks = write_table(encode_blocks(docs, files, block_items), "token-blocks")
+    blocks = write_table(encode_blocks(docs, files, block_items), "token-blocks", **WIDE_ROWS)
     counts = write_table(_pair_rows(blocks).groupBy("pair").agg(F.sum("here").alias("documents")), "token-pairs")
 
     # Both vectors are as long as A's vocabulary, whatever the corpus.

@@ -14,6 +14,8 @@ PAIRS = "array<struct<instruction: string, response: string, evidence: string, e
 RESPONSES = "person_id string, window_index int, window_token_count int, window_percent_full double, start_date string, end_date string, response_data string"
 INSTRUCTIONS = "instruction_id long, question string, person_id long, is_selected_ehr string"
 TRAINING = "instruction string, input string, output string, patient_id string"
+#: Fixed value: what ends a document among others in a file; no XML may hold it.
+XML_END = "\x1e"
 
 
 def file_name() -> Column:
@@ -50,6 +52,14 @@ def read_json_array(spark: SparkSession, path: str, schema: str = TRAINING) -> D
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def read_xml(spark: SparkSession, path: str) -> DataFrame:
+    """(person_id, text) of the documents that ``writers.write_xml`` wrote."""
+    raw = spark.read.option("lineSep", XML_END).text(path)
+    cut = F.instr("value", "\n")
+    head = F.from_json(F.substring("value", F.lit(1), cut - 1), "person_id string")
+    return raw.select(head["person_id"].alias("person_id"), F.substring("value", cut + 1, F.length("value")).alias("text"))
+
+
 def read_numbered_xml(spark: SparkSession, path: str, pattern: str = r"EHR_(\d+)\.xml") -> DataFrame:
     """(patient_id, text) of XML files whose name matches; others are passed over."""
     raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), file_name().alias("file"))

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +75,18 @@ def test_resume_and_stream(spark, tmp_path):
         source = spark.readStream.schema(rows.schema).parquet(folder)
         incremental.stream_results(source, "k", work, str(tmp_path / "s"), str(tmp_path / "cp")).awaitTermination()
     assert incremental.done_so_far(spark, str(tmp_path / "s"), work(rows)).count() == 20
+
+
+def test_persons_share_a_bounded_number_of_folders(spark, tmp_path):
+    people = [None, "a/b\n\x1e\"c", *(str(k) for k in range(300))]
+    rows = spark.createDataFrame([(p, f"<a n='{k}'>é\n<b/></a>") for k, p in enumerate(people)] + [("broken", "<a")], "person_id string, text string").repartition(7)
+    writers.write_xml(rows, str(tmp_path / "x"))
+    assert len([d for d in os.listdir(tmp_path / "x") if d.startswith("folder=")]) <= writers.FOLDERS
+    found = {r.person_id: r.text for r in readers.read_xml(spark, str(tmp_path / "x")).collect()}
+    assert found.keys() == set(people) and all(found[p] == f'<a n="{k}">é\n<b />\n</a>' for k, p in enumerate(people))
+    pairs = rows.select("person_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("window_index"))
+    writers.write_responses(pairs, str(tmp_path / "r"))
+    folders = [d for d in os.listdir(tmp_path / "r") if d.startswith("folder=")]
+    assert len(folders) <= writers.FOLDERS and all(len([f for f in os.listdir(tmp_path / "r" / d) if f.endswith(".json")]) == 1 for d in folders)
+    back = spark.read.schema("person_id string, window_index int").json(str(tmp_path / "r"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, pairs.collect()))

@@ -34,10 +34,10 @@ def merged_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses_by_person(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selected pairs nested by person and window, written as JSON per person, read and counted."""
+    """Selected pairs nested by person and window, written as JSON by person, read and counted."""
     nested = selection.nested_by_window(_facts(spark, sf_dir))
     path = _folder(spark, "responses")
-    writers.write_responses(nested.withColumn("person_id", F.col("person_id").cast("string")), path)
+    writers.write_responses(nested, path)
     back = spark.read.schema(f"person_id long, window_index int, response_data {readers.PAIRS}").json(path)
     return back.select("person_id", "window_index", F.size(dedup.valid_pairs(F.col("response_data"))).cast("long").alias("pairs"))
 

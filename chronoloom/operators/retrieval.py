@@ -23,23 +23,27 @@ def bm25_hits(corpus: DataFrame, queries: DataFrame, group: str, doc: str, query
     ``corpus``: group, doc, text; ``queries``: query, group, text. Each group is a corpus of its
     own. Terms are whitespace tokens, and case counts. A term in more than half of the documents
     would weigh below zero; it weighs EPSILON times the mean weight of its group's terms instead.
-    Only terms that queries use meet the query table. A ``large`` corpus is cut into terms once and
-    written; small ones, such as a person's visits, are cut as often as they are read.
+    Only terms that queries use meet the query table. A ``large`` corpus comes as ``_cut`` gives it; its terms meet the
+    queries, which are few beside it, where their document is, so that neither terms nor hits move. Small ones, such as a
+    person's visits, are cut as often as they are read.
     """
-    sized = written(_sized(corpus, group, doc), "tokens") if large else _sized(corpus, group, doc)
+    sized = corpus if large else _sized(corpus, group, doc)
+    few = F.broadcast if large else lambda rows: rows
+    dealt = sized.repartition(doc) if large else sized
     sizes = sized.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.avg("n_tokens").alias("_mean"))
     asked = queries.select(query, group, F.explode(tokens(F.col("text"))).alias("term"))
     # Term frequencies are needed for the queries' terms only, document frequencies for all.
-    used = sized.select(group, doc, "n_tokens", F.explode("_t").alias("term")).join(asked.select(group, "term").distinct(), [group, "term"], "left_semi")
+    used = dealt.select(group, doc, "n_tokens", F.explode("_t").alias("term")).join(few(asked.select(group, "term").distinct()), [group, "term"], "left_semi")
     tf = used.groupBy(group, doc, "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
     once = sized.select(group, F.explode(F.array_distinct("_t")).alias("term"))
-    df = once.groupBy(group, "term").agg(F.count(F.lit(1)).alias("_df")).join(sizes.select(group, "_n"), group)
+    df = once.groupBy(group, "term").agg(F.count(F.lit(1)).alias("_df"))
+    df = (written(df, "terms") if large else df).join(sizes.select(group, "_n"), group)
     raw = df.withColumn("_idf", F.log(F.col("_n") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5))
     floor = raw.groupBy(group).agg((F.avg("_idf") * EPSILON).alias("_floor"))
     idf = raw.join(floor, group).select(group, "term", F.when(F.col("_idf") < 0, F.col("_floor")).otherwise(F.col("_idf")).alias("idf"))
     weighed = asked.groupBy(query, group, "term").agg(F.count(F.lit(1)).alias("_times")).join(idf, [group, "term"])
     norm = F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("_mean"))
-    found = weighed.join(tf, [group, "term"]).join(sizes, group)
+    found = tf.join(few(weighed.join(sizes, group)), [group, "term"])
     return found.groupBy(group, query, doc, "n_tokens").agg(F.sum(F.col("_times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score"))
 
 
@@ -52,38 +56,47 @@ def bm25(corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str
 
 
 def _every(hits: DataFrame, corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str) -> DataFrame:
-    every = queries.select(query, group).join(_sized(corpus, group, doc).drop("_t"), group)
+    sized = corpus if "n_tokens" in corpus.columns else _sized(corpus, group, doc)
+    every = queries.select(query, group).join(sized.select(group, doc, "n_tokens"), group)
     return every.join(hits.drop("n_tokens"), [group, query, doc], "left").select(group, query, doc, "n_tokens", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def _ranked(hits: DataFrame, corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str, enough) -> DataFrame:
-    """The hits that score above 0 where they are ``enough`` (an aggregate) for a query, else all documents of its group.
+def _cut(corpus: DataFrame, group: str, doc: str) -> DataFrame:
+    """A large corpus in terms, written, since it is read several times."""
+    return written(_sized(corpus, group, doc), "tokens")
 
-    So a query is joined with documents that it doesn't hit only if its hits don't fill its result.
+
+def _served(cut: DataFrame, queries: DataFrame, group: str, doc: str, query: str, enough, pick, pick_any) -> DataFrame:
+    """What ``pick`` takes of the hits that score above 0 where that is ``enough`` (an aggregate) for a query, else what ``pick_any`` takes of all documents of its group.
+
+    So a query is joined with documents that it doesn't hit only if its hits don't fill its result, and of the hits
+    of the others no more than the picked ones are written.
     """
-    positive = hits.where(F.round("score", 9) > 0)
-    served = positive.groupBy(query).agg(enough.alias("_enough")).where("_enough").select(query)
+    hits = bm25_hits(cut, queries, group, doc, query, large=True)
+    near = written(pick(hits.where(F.round("score", 9) > 0)), "near")
+    served = near.groupBy(query).agg(enough.alias("_enough")).where("_enough").select(query)
     lacking = queries.join(served, query, "left_anti")
-    rest = _every(hits.join(lacking.select(query), query, "left_semi"), corpus, lacking, group, doc, query)
-    return positive.join(served, query, "left_semi").select(*rest.columns).unionByName(rest)
+    if lacking.isEmpty():
+        return near
+    every = _every(bm25_hits(cut, lacking, group, doc, query, large=True), cut, lacking, group, doc, query)
+    return near.join(served, query, "left_semi").unionByName(pick_any(every))
 
 
 def best(corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str, k: int) -> DataFrame:
     """Each query's k best documents of its group with their rank, ties by document."""
-    hits = written(bm25_hits(corpus, queries, group, doc, query, large=True), "hits")
-    return top_k(_ranked(hits, corpus, queries, group, doc, query, F.count(F.lit(1)) >= k), query, doc, k)
+    pick = lambda ranked: top_k(ranked, query, doc, k)
+    return _served(_cut(corpus, group, doc), queries, group, doc, query, F.count(F.lit(1)) >= k, pick, pick)
 
 
 def fitting(corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str, target: int) -> DataFrame:
     """Each query's best documents of its group up to ``target`` tokens, the one that crosses it included."""
-    hits = written(bm25_hits(corpus, queries, group, doc, query, large=True), "hits")
-    return fit_by_rank(_ranked(hits, corpus, queries, group, doc, query, F.sum("n_tokens") > target), query, doc, target)
+    pick, pick_any = (lambda ranked: _fit(_nearest(ranked, query, doc, target), query, doc, target)), (lambda ranked: fit_by_rank(ranked, query, doc, target))
+    return _served(_cut(corpus, group, doc), queries, group, doc, query, F.sum("n_tokens") > target, pick, pick_any)
 
 
 def top_k(ranked: DataFrame, query: str, doc: str, k: int) -> DataFrame:
     """Each query's k best documents with their rank, ties by document."""
-    order = Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), doc)
-    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.withColumn("rank", F.row_number().over(_by_rank(query, doc))).where(F.col("rank") <= k)
 
 
 def fit_by_rank(ranked: DataFrame, query: str, doc: str, target: int | Column) -> DataFrame:
@@ -92,12 +105,22 @@ def fit_by_rank(ranked: DataFrame, query: str, doc: str, target: int | Column) -
     ``target`` may be a column, as large on each row of a query. A document is kept if those before it do not exceed the target yet. Of documents with tokens the
     first ``target`` + 1 by rank are enough, so each task passes on no more than these.
     """
-    order = Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), doc)
-    sized, empty = ranked.where("n_tokens > 0"), ranked.where("n_tokens <= 0")
-    near = sized.withColumn("_near", F.row_number().over(order)).where(F.col("_near") <= target + 1).drop("_near")
-    both = near.unionByName(empty)
+    return _fit(_nearest(ranked.where("n_tokens > 0"), query, doc, target).unionByName(ranked.where("n_tokens <= 0")), query, doc, target)
+
+
+def _by_rank(query: str, doc: str):
+    return Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), doc)
+
+
+def _nearest(ranked: DataFrame, query: str, doc: str, target: int | Column) -> DataFrame:
+    """Of documents that all have tokens, as many by rank as can be within ``target``."""
+    return ranked.withColumn("_near", F.row_number().over(_by_rank(query, doc))).where(F.col("_near") <= target + 1).drop("_near")
+
+
+def _fit(rows: DataFrame, query: str, doc: str, target: int | Column) -> DataFrame:
+    order = _by_rank(query, doc)
     before = F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return both.withColumn("rank", F.row_number().over(order)).withColumn("before", before).where(F.col("before") <= target).drop("before")
+    return rows.withColumn("rank", F.row_number().over(order)).withColumn("before", before).where(F.col("before") <= target).drop("before")
 
 
 #: Fixed value: the pattern of a visit's start attribute.

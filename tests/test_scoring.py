@@ -274,3 +274,16 @@ def test_best_and_fitting_equal_ranking_every_document(spark):
                 want.append((q, rank, d, s))
                 before += tokens[group[q], d]
         assert shown(got) == sorted(want), target
+
+
+def test_only_the_best_hits_are_written(spark, monkeypatch):
+    rows = []
+    own = retrieval.written
+    monkeypatch.setattr(retrieval, "written", lambda df, name: rows.append((name, df.count())) or own(df, name))
+    docs = spark.range(200).select(F.lit("g").alias("grp"), F.col("id").alias("doc"), F.concat(F.lit("a b c"), F.repeat(F.lit(" d"), (F.col("id") % 7).cast("int"))).alias("text"))
+    asked = spark.createDataFrame([(q, "g", "d a") for q in range(10)], "query long, grp string, text string")
+    every = retrieval.bm25(docs, asked, "grp", "doc", "query")
+    for got, want in ((retrieval.best(docs, asked, "grp", "doc", "query", 3), retrieval.top_k(every, "query", "doc", 3)), (retrieval.fitting(docs, asked, "grp", "doc", "query", 20), retrieval.fit_by_rank(every, "query", "doc", 20))):
+        shown = lambda df: sorted((r.query, r["rank"], r.doc, r.n_tokens, round(r.score, 9)) for r in df.collect())
+        assert shown(got) == shown(want)
+    assert max(n for name, n in rows if name not in ("tokens", "terms")) <= 10 * 21

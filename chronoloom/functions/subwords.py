@@ -1,7 +1,7 @@
 """Subword tokenizers: byte-level pair encoding by the ranks of a given vocabulary file.
 
 The file is read on the driver and reaches the tasks with the function (a MB or two, whatever the
-data); a worker builds its encoder once. Texts come and go in Arrow batches.
+data); a worker builds its encoder once. Texts come and go in Arrow batches, of which a small part is held as Python objects.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chronoloom.functions.portions import each_row, portions
+
 #: Where vocabulary files of public tokenizers lie by default.
 DIRECTORY = "/opt/tokenizers"
 #: Fixed value: the pattern by which texts are cut before the merges of the default file.
@@ -65,13 +67,11 @@ class Subwords:
     def _udf(self, kind: str, of):
         ranks, pattern = self.ranks, self.pattern
 
-        @F.pandas_udf(kind)
-        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def begun():
             own = encoder(ranks, pattern)
-            for part in parts:
-                yield pd.Series([of(own, lambda t: encode(own, pattern, t), x) for x in part], dtype=object)
+            return lambda x: of(own, lambda t: encode(own, pattern, t), x)
 
-        return run
+        return each_row(kind, begun)
 
     def count(self, text: Column) -> Column:
         """The number of tokens; 0 for null."""
@@ -87,16 +87,20 @@ class Subwords:
 
     def text(self, ids: Column) -> Column:
         """What ids stand for; bytes that are no UTF-8 are replaced. Null stays null."""
-        return self._udf("string", lambda own, _, x: None if x is None else own.decode(list(x)))(ids)
+        return self._udf("string", lambda own, _, x: None if x is None else own.decode(x))(ids)
 
     def last(self, text: Column, n: Column) -> Column:
         """The text of the last ``n`` tokens; '' if n is not positive. A character cut in half is replaced."""
         ranks, pattern = self.ranks, self.pattern
 
-        @F.pandas_udf("string")
-        def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        @F.arrow_udf("string")
+        def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             own = encoder(ranks, pattern)
-            for texts, sizes in parts:
-                yield pd.Series([own.decode(encode(own, pattern, x)[-int(k) :]) if x and k > 0 else "" for x, k in zip(texts, sizes)], dtype=object)
+            for texts, sizes in batches:
+                at = 0
+                for part in portions(texts):
+                    numbers = sizes.slice(at, len(part)).to_pylist()
+                    at += len(part)
+                    yield pa.array([own.decode(encode(own, pattern, x)[-k:]) if x and k > 0 else "" for x, k in zip(part.to_pylist(), numbers)], pa.string())
 
         return run(text, F.coalesce(n.cast("int"), F.lit(0)))

@@ -6,11 +6,10 @@ import re
 import xml.etree.ElementTree as ET
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from chronoloom.functions.portions import each_row
 from chronoloom.functions.text import dynamic_compare
 
 #: A visit with its events, from markup that need not be well-formed as a whole.
@@ -141,37 +140,34 @@ def _without(source: str | None, tag: re.Pattern, promote: bool) -> str | None:
 def remove_nodes(text: Column, tag_pattern: str, promote_children: bool = False) -> Column:
     """XML without the nodes whose tag begins with the pattern; their children may move to the end of the parent. Null if malformed."""
 
-    @F.pandas_udf(StringType())
-    def removed(texts: pd.Series) -> pd.Series:
+    def begun():
         pattern = re.compile(tag_pattern, re.I)
-        return texts.map(lambda t: _without(t, pattern, promote_children))
+        return lambda t: _without(t, pattern, promote_children)
 
-    return removed(text)
+    return each_row("string", begun)(text)
 
 
-@F.pandas_udf(StringType())
-def pretty_xml(texts: pd.Series) -> pd.Series:
-    """Indented XML without a declaration; null if malformed."""
+def _pretty(source: str | None) -> str | None:
+    try:
+        root = ET.fromstring(source or "")
+    except ET.ParseError:
+        return None
+    ET.indent(root)
+    return ET.tostring(root, encoding="unicode")
 
-    def pretty(source):
-        try:
-            root = ET.fromstring(source or "")
-        except ET.ParseError:
-            return None
-        ET.indent(root)
-        return ET.tostring(root, encoding="unicode")
 
-    return texts.map(pretty)
+def pretty_xml(text: Column) -> Column:
+    """Indented XML without a declaration; null if malformed."""
+    return each_row("string", lambda: _pretty)(text)
 
 
-@F.pandas_udf(StringType())
-def whole_element(texts: pd.Series) -> pd.Series:
-    """A document's root element as XML, without declaration, comments and what else surrounds it; null if malformed."""
+def _root_of(source: str | None) -> str | None:
+    try:
+        return ET.tostring(ET.fromstring(source or ""), encoding="unicode")
+    except ET.ParseError:
+        return None
 
-    def root_of(source):
-        try:
-            return ET.tostring(ET.fromstring(source or ""), encoding="unicode")
-        except ET.ParseError:
-            return None
 
-    return texts.map(root_of)
+def whole_element(text: Column) -> Column:
+    """A document's root element as XML, without declaration, comments and what else surrounds it; null if malformed."""
+    return each_row("string", lambda: _root_of)(text)

@@ -103,12 +103,15 @@ def training_rows_from_files(texts: DataFrame, responses: DataFrame, timelines:
 def inference_prompts(responses: DataFrame, timelines: DataFrame, context: int, template: str, tokenizer: str = "whitespace") -> DataFrame:
     """One row per valid pair of a person with a timeline: (instruction_id, patient_id, instruction, ehr, prompt, context_length, generation_length).
 
-    The timeline keeps its last tokens that fit beside template, instruction and answer.
+    The timeline keeps its last tokens that fit beside template, instruction and answer. It is cut once for the
+    instructions of a person that leave it equal room.
     """
     each = dedup.instruction_ids(responses.withColumn("response_data", dedup.valid_pairs(F.col("response_data"))))
     asked = each.where(F.length("item.instruction") > 0).select("instruction_id", "person_id", F.col("item.instruction").alias("instruction"))
-    joined = asked.join(timelines.select("person_id", "text"), "person_id")
-    cut = windows.tail_truncate(joined, context, GENERATION, template, tokenizer=tokenizer)
+    room = windows.room(F.lit(context), F.lit(GENERATION), template, F.col("instruction"), tokenizer)
+    alike = asked.withColumn("_room", room).groupBy("person_id", "_room").agg(F.collect_list(F.struct("instruction_id", "instruction")).alias("_asked"))
+    held = alike.join(timelines.select("person_id", "text"), "person_id").withColumn("kept", tx.last_tokens(F.col("text"), F.col("_room"), tokenizer))
+    cut = held.select("person_id", "kept", F.explode("_asked").alias("_a")).select("person_id", "kept", "_a.*")
     prompt = tx.fill(template, ehr=F.col("kept"), question=F.col("instruction"))
     return cut.select("instruction_id", F.col("person_id").alias("patient_id"), "instruction", F.col("kept").alias("ehr"), prompt.alias("prompt"), F.lit(context).alias("context_length"), F.lit(GENERATION).alias("generation_length"))
 

@@ -160,3 +160,25 @@ def test_retrieval_parses_records_once(spark):
     made = compose.pack_prompts(asked, people, "{ehr} {question}", 400, retrieve=True)
     assert "MapInArrow" not in made._jdf.queryExecution().executedPlan().toString()
     assert made.first().prompt == '<visit start="01/01/2020 10:00"><code id="1"/></visit> code'
+
+
+def test_a_timeline_is_cut_once_for_instructions_that_leave_equal_room(spark, monkeypatch):
+    from chronoloom.functions import text as tx
+
+    cuts = spark.sparkContext.accumulator(0)
+
+    class Counted(tx.Pieces):
+        def last(self, text, n):
+            def cut(x, k):
+                cuts.add(1)
+                return " ".join(x.split()[-k:]) if k > 0 else ""
+
+            return F.udf(cut, "string")(text, n)
+
+    monkeypatch.setitem(tx.TOKENIZERS, "counted", Counted(tx.tokens))
+    told = ["ask a", "ask b", "ask a longer thing", "ask c", "ask more now"]
+    responses = spark.createDataFrame([(1, told), (2, told[:1])], "person_id long, t array<string>").select("person_id", F.transform("t", lambda t: F.struct(t.alias("instruction"), F.lit("r").alias("response"))).alias("response_data"))
+    timelines = spark.createDataFrame([(1, "a b c d e f g h"), (2, "x"), (3, "y")], "person_id long, text string")
+    rows = compose.inference_prompts(responses, timelines, 256 + 7, "{ehr} {question}", tokenizer="counted").collect()
+    assert sorted((r.patient_id, r.instruction, r.ehr) for r in rows) == [(1, "ask a", "f g h"), (1, "ask a longer thing", "h"), (1, "ask b", "f g h"), (1, "ask c", "f g h"), (1, "ask more now", "g h"), (2, "ask a", "x")]
+    assert cuts.value == 4  # three rooms of the first person, one of the second

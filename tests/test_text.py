@@ -66,3 +66,10 @@ def test_values_are_filled_once(spark):
     asked = tx.fill("{ehr} asks {question}, {other} {{ehr}} 100%", ehr=F.lit("see {question} {ehr}"), question=F.lit("{ehr}?"))
     assert one(spark, asked) == "see {question} {ehr} asks {ehr}?, {other} {see {question} {ehr}} 100%"
     assert one(spark, tx.fill("{a}{a}", a=F.lit(None).cast("string"))) == "" and one(spark, tx.fill("x {a}")) == "x {a}"
+
+
+def test_last_tokens_are_cut_once(spark):
+    rows = spark.createDataFrame([("a  b\tc\n", 2), (" ", 2), (None, 1), ("a b", 0), ("a b", -1), ("a b", 9)], "t string, n int")
+    got = rows.select(tx.last_tokens(F.col("t"), F.col("n")).alias("k"))
+    assert [r.k for r in got.collect()] == ["b c", "", "", "", "", "a b"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1

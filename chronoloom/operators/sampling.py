@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -94,25 +98,50 @@ def nested_samples(rows: DataFrame, sizes: list[int], key: str, seed: int = 0) -
     return numbered.withColumn("size", each).where(F.col("_position") < F.col("size")).drop("_order", "_position")
 
 
+#: Hashes of a replicate that are held at once.
+HASHES = 1 << 16
+
+
+def _replicate_means(seed: int):
+    """The means of the replicates from ``first`` to before ``end`` of values that occur so many times, as a user function."""
+
+    @F.arrow_udf("array<double>")
+    def means(values: pa.Array, counts: pa.Array, first: pa.Array, end: pa.Array) -> pa.Array:
+        return pa.array([_drawn_means(seed, np.array(v.as_py()), np.array(c.as_py()), a.as_py(), b.as_py()) for v, c, a, b in zip(values, counts, first, end)], pa.list_(pa.float64()))
+
+    return means
+
+
+def _drawn_means(seed: int, values: np.ndarray, counts: np.ndarray, first: int, end: int) -> list[float]:
+    own, n = np.repeat(values, counts), int(counts.sum())
+    hashes = -(-n // 4)
+    sums = np.zeros(end - first)
+    for start in range(0, hashes, HASHES):
+        places = [b"%d" % i for i in range(start, min(start + HASHES, hashes))]
+        for b in range(first, end):
+            known = b"%d|%d|" % (seed, b)
+            numbers = np.frombuffer(b"".join([md5(known + p).digest() for p in places]), ">u4")[: n - 4 * start]
+            sums[b - first] += own[numbers.astype(np.int64) % n].sum()
+    return (sums / n).tolist()
+
+
 def bootstrap(values: DataFrame, value: str, group: list[str], replicates: int = 10_000, seed: int = 0, low: float = 0.025, high: float = 0.975, block: int = 100) -> DataFrame:
     """(group, n, mean, lower, upper, half_width): bootstrap interval of the mean.
 
     A replicate draws n values with replacement; draw i of replicate b takes the value whose number
-    is the i % 4th part of a hash of (seed, b, i // 4), modulo n. The values of a group are gathered once and sent to one task
-    for every ``block`` replicates, each a sum over the array, so replicates x n rows never exist.
+    is the i % 4th part of a hash of (seed, b, i // 4), modulo n. The different values of a group are counted, and these
+    counts go to one task for every ``block`` replicates, which draws by vectors; replicates x n rows never exist.
     """
-    held = values.where(F.col(value).isNotNull()).groupBy(*group).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_v")).withColumn("n", F.size("_v").cast("long"))
-    mean_of = lambda own: F.aggregate(own, F.lit(0.0), lambda acc, x: acc + x) / F.col("n")
+    counts = values.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    listed = F.sort_array(F.collect_list(F.struct("_x", "_c")))
+    mean = (F.sum(F.col("_x") * F.col("_c")) / F.sum("_c")).alias("mean")
+    held = counts.groupBy(*group).agg(listed.alias("_v"), F.sum("_c").alias("n"), mean)
     blocks = -(-replicates // block)
     each = held.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     each = each.repartition(blocks, *group, "_block")  # a stated number: adaptive execution would put such small rows in one task
-    hashes = lambda b: F.transform(F.sequence(F.lit(0), F.floor((F.size("_v") - 1) / 4).cast("int")), lambda i: F.md5(F.concat(b, i.cast("string"))))
-    numbers = lambda b: F.slice(F.flatten(F.transform(hashes(b), lambda h: F.array(*[F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("long") for k in range(4)]))), 1, F.size("_v"))
-    drawn = lambda b: F.aggregate(numbers(b), F.lit(0.0), lambda acc, x: acc + F.get(F.col("_v"), (x % F.col("n")).cast("int"))) / F.col("n")
     first = F.col("_block") * block
-    own = F.sequence(first, F.least(first + block, F.lit(replicates)) - 1)
-    means = F.transform(F.transform(own, lambda b: F.concat(F.lit(f"{seed}|"), b.cast("string"), F.lit("|"))), drawn)
-    ci = each.select(*group, "n", F.when(F.col("_block") == 0, mean_of(F.col("_v"))).alias("mean"), F.explode(means).alias("_m"))
+    drawn = _replicate_means(seed)(F.col("_v._x"), F.col("_v._c"), first, F.least(first + block, F.lit(replicates)))
+    ci = each.select(*group, "n", "mean", F.explode(drawn).alias("_m"))
     ci = ci.groupBy(*group).agg(F.min("n").alias("n"), F.percentile("_m", F.array(F.lit(low), F.lit(high))).alias("_p"), F.max("mean").alias("mean"))
     lower, upper = F.get("_p", F.lit(0)), F.get("_p", F.lit(1))
     return ci.select(*group, "n", "mean", lower.alias("lower"), upper.alias("upper"), ((upper - lower) / 2).alias("half_width"))

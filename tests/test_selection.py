@@ -136,3 +136,19 @@ def test_latest_valid_label(spark):
     providers = spark.createDataFrame([(1, "heart"), (2, "UNKNOWN"), (3, " ")], "provider_id long, specialty string")
     got = {r.person_id: (r.visit_id, r.specialty) for r in sampling.latest_valid_label(people, visits, providers).collect()}
     assert got == {1: ("a", "heart"), 2: ("Unknown", "Unknown"), 3: ("Unknown", "Unknown")}
+
+
+def test_replicates_draw_from_counted_values(monkeypatch):
+    from hashlib import md5
+
+    import numpy as np
+
+    from chronoloom.operators import sampling
+
+    values, counts = [0.5, 1.0, 2.25], [9, 1, 13]
+    own = [v for v, c in zip(values, counts) for _ in range(c)]
+    number = lambda b, i: int(md5(f"7|{b}|{i // 4}".encode()).hexdigest()[8 * (i % 4) :][:8], 16)
+    want = [sum(own[number(b, i) % len(own)] for i in range(len(own))) / len(own) for b in range(3, 11)]
+    for most in (1, 2, 1 << 16):
+        monkeypatch.setattr(sampling, "HASHES", most)
+        assert np.allclose(sampling._drawn_means(7, np.array(values), np.array(counts), 3, 11), want, rtol=0, atol=1e-12)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronoloom.functions.text import fill, token_count, tokens, visit_time
+from chronoloom.operators.ranked import Asked, counted, nearest
 from chronoloom.sources.scratch import written
 
 #: BM25 parameters and the share of the mean that stands in for negative weights.
@@ -17,34 +18,37 @@ def _sized(corpus: DataFrame, group: str, doc: str) -> DataFrame:
     return corpus.select(group, doc, tokens(F.col("text")).alias("_t")).withColumn("n_tokens", F.size("_t").cast("long"))
 
 
-def bm25_hits(corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str, large: bool = False) -> DataFrame:
+def _weights(asked: DataFrame, df: DataFrame, sizes: DataFrame, group: str, query: str, few=lambda rows: rows) -> DataFrame:
+    """(group, query, term, _weight) of the queries' terms: how often a query has the term, times its weight in the group.
+
+    ``df``: group, term, _df of all terms; ``few`` marks what is small beside them.
+    """
+    raw = df.join(few(sizes.select(group, "_n")), group).withColumn("_idf", F.log(F.col("_n") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5))
+    floor = raw.groupBy(group).agg((F.avg("_idf") * EPSILON).alias("_floor"))
+    times = asked.groupBy(query, group, "term").agg(F.count(F.lit(1)).alias("_times"))
+    idf = F.when(F.col("_idf") < 0, F.col("_floor")).otherwise(F.col("_idf"))
+    return raw.join(few(times), [group, "term"]).join(few(floor), group).select(group, query, "term", (F.col("_times") * idf).alias("_weight"))
+
+
+def bm25_hits(corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str) -> DataFrame:
     """(group, query, doc, n_tokens, score) of the documents of a query's group that hold one of its terms.
 
     ``corpus``: group, doc, text; ``queries``: query, group, text. Each group is a corpus of its
     own. Terms are whitespace tokens, and case counts. A term in more than half of the documents
     would weigh below zero; it weighs EPSILON times the mean weight of its group's terms instead.
-    Only terms that queries use meet the query table. A ``large`` corpus comes as ``_cut`` gives it; its terms meet the
-    queries, which are few beside it, where their document is, so that neither terms nor hits move. Small ones, such as a
-    person's visits, are cut as often as they are read.
+    Only terms that queries use meet the query table. Documents, such as a person's visits, are cut as often as they are read.
     """
-    sized = corpus if large else _sized(corpus, group, doc)
-    few = F.broadcast if large else lambda rows: rows
-    dealt = sized.repartition(doc) if large else sized
+    sized = _sized(corpus, group, doc)
     sizes = sized.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.avg("n_tokens").alias("_mean"))
     asked = queries.select(query, group, F.explode(tokens(F.col("text"))).alias("term"))
     # Term frequencies are needed for the queries' terms only, document frequencies for all.
-    used = dealt.select(group, doc, "n_tokens", F.explode("_t").alias("term")).join(few(asked.select(group, "term").distinct()), [group, "term"], "left_semi")
+    used = sized.select(group, doc, "n_tokens", F.explode("_t").alias("term")).join(asked.select(group, "term").distinct(), [group, "term"], "left_semi")
     tf = used.groupBy(group, doc, "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
     once = sized.select(group, F.explode(F.array_distinct("_t")).alias("term"))
     df = once.groupBy(group, "term").agg(F.count(F.lit(1)).alias("_df"))
-    df = (written(df, "terms") if large else df).join(sizes.select(group, "_n"), group)
-    raw = df.withColumn("_idf", F.log(F.col("_n") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5))
-    floor = raw.groupBy(group).agg((F.avg("_idf") * EPSILON).alias("_floor"))
-    idf = raw.join(floor, group).select(group, "term", F.when(F.col("_idf") < 0, F.col("_floor")).otherwise(F.col("_idf")).alias("idf"))
-    weighed = asked.groupBy(query, group, "term").agg(F.count(F.lit(1)).alias("_times")).join(idf, [group, "term"])
     norm = F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("_mean"))
-    found = tf.join(few(weighed.join(sizes, group)), [group, "term"])
-    return found.groupBy(group, query, doc, "n_tokens").agg(F.sum(F.col("_times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score"))
+    found = tf.join(_weights(asked, df, sizes, group, query).join(sizes, group), [group, "term"])
+    return found.groupBy(group, query, doc, "n_tokens").agg(F.sum(F.col("_weight") * F.col("tf") * (K1 + 1) / norm).alias("score"))
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str) -> DataFrame:
@@ -52,51 +56,52 @@ def bm25(corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str
 
     For groups of a bounded size, such as a person's visits; see ``best`` and ``fitting`` for others.
     """
-    return _every(bm25_hits(corpus, queries, group, doc, query), corpus, queries, group, doc, query)
-
-
-def _every(hits: DataFrame, corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str) -> DataFrame:
-    sized = corpus if "n_tokens" in corpus.columns else _sized(corpus, group, doc)
-    every = queries.select(query, group).join(sized.select(group, doc, "n_tokens"), group)
+    hits = bm25_hits(corpus, queries, group, doc, query)
+    every = queries.select(query, group).join(_sized(corpus, group, doc).select(group, doc, "n_tokens"), group)
     return every.join(hits.drop("n_tokens"), [group, query, doc], "left").select(group, query, doc, "n_tokens", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def _cut(corpus: DataFrame, group: str, doc: str) -> DataFrame:
-    """A large corpus in terms, written, since it is read several times."""
-    return written(_sized(corpus, group, doc), "tokens")
+def _served(corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str, limit: int, by_tokens: bool, enough, pick) -> DataFrame:
+    """What ``pick`` takes of the hits that score above 0 where that is ``enough`` (an aggregate) for a query, else what it takes of all documents of its group.
 
+    The corpus is read to count its terms, then to score its documents where they lie: the queries, which are few beside them, go to
+    every task, and a task hands on no more of a query's than can be among its best (see ``ranked``). So neither terms nor hits
+    move, and a query meets documents that it doesn't hit only if its hits don't fill its result.
+    """
+    counts = written(counted(corpus, group, "text"), "terms")
+    terms = counts.where("term IS NOT NULL").select(group, "term", F.col("_docs").alias("_df"))
+    sizes = counts.where("term IS NULL").select(group, F.col("_docs").alias("_n"), (F.col("_tokens") / F.col("_docs")).alias("_mean"))
+    sizes = sizes.join(F.broadcast(queries.select(group).distinct()), group, "left_semi")
+    asked = queries.select(query, group, F.explode(tokens(F.col("text"))).alias("term"))
+    weights = _weights(asked, terms, sizes, group, query, F.broadcast).toArrow()
+    means, kind = sizes.select(group, "_mean").toArrow(), queries.schema[query].dataType
 
-def _served(cut: DataFrame, queries: DataFrame, group: str, doc: str, query: str, enough, pick, pick_any) -> DataFrame:
-    """What ``pick`` takes of the hits that score above 0 where that is ``enough`` (an aggregate) for a query, else what ``pick_any`` takes of all documents of its group.
+    def picked(of: DataFrame, every: bool) -> DataFrame:
+        known = Asked(of.select(query, group).toArrow(), weights, means, group, query)
+        near = nearest(corpus, known, group, doc, query, limit, by_tokens, every, K1, B, kind)
+        return pick(near).drop("_place")
 
-    So a query is joined with documents that it doesn't hit only if its hits don't fill its result, and of the hits
-    of the others no more than the picked ones are written.
-    """
-    hits = bm25_hits(cut, queries, group, doc, query, large=True)
-    near = written(pick(hits.where(F.round("score", 9) > 0)), "near")
+    near = written(picked(queries, False), "near")
     served = near.groupBy(query).agg(enough.alias("_enough")).where("_enough").select(query)
     lacking = queries.join(served, query, "left_anti")
     if lacking.isEmpty():
         return near
-    every = _every(bm25_hits(cut, lacking, group, doc, query, large=True), cut, lacking, group, doc, query)
-    return near.join(served, query, "left_semi").unionByName(pick_any(every))
+    return near.join(served, query, "left_semi").unionByName(picked(lacking, True))
 
 
 def best(corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str, k: int) -> DataFrame:
     """Each query's k best documents of its group with their rank, ties by document."""
-    pick = lambda ranked: top_k(ranked, query, doc, k)
-    return _served(_cut(corpus, group, doc), queries, group, doc, query, F.count(F.lit(1)) >= k, pick, pick)
+    return _served(corpus, queries, group, doc, query, k - 1, False, F.count(F.lit(1)) >= k, lambda near: top_k(near, query, doc, k, "_place"))
 
 
 def fitting(corpus: DataFrame, queries: DataFrame, group: str, doc: str, query: str, target: int) -> DataFrame:
     """Each query's best documents of its group up to ``target`` tokens, the one that crosses it included."""
-    pick, pick_any = (lambda ranked: _fit(_nearest(ranked, query, doc, target), query, doc, target)), (lambda ranked: fit_by_rank(ranked, query, doc, target))
-    return _served(_cut(corpus, group, doc), queries, group, doc, query, F.sum("n_tokens") > target, pick, pick_any)
+    return _served(corpus, queries, group, doc, query, target, True, F.sum("n_tokens") > target, lambda near: _fit(near, query, doc, target, "_place"))
 
 
-def top_k(ranked: DataFrame, query: str, doc: str, k: int) -> DataFrame:
+def top_k(ranked: DataFrame, query: str, doc: str, k: int, place: str | None = None) -> DataFrame:
     """Each query's k best documents with their rank, ties by document."""
-    return ranked.withColumn("rank", F.row_number().over(_by_rank(query, doc))).where(F.col("rank") <= k)
+    return ranked.withColumn("rank", F.row_number().over(_by_rank(query, doc, place))).where(F.col("rank") <= k)
 
 
 def fit_by_rank(ranked: DataFrame, query: str, doc: str, target: int | Column) -> DataFrame:
@@ -108,8 +113,8 @@ def fit_by_rank(ranked: DataFrame, query: str, doc: str, target: int | Column) -
     return _fit(_nearest(ranked.where("n_tokens > 0"), query, doc, target).unionByName(ranked.where("n_tokens <= 0")), query, doc, target)
 
 
-def _by_rank(query: str, doc: str):
-    return Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), doc)
+def _by_rank(query: str, doc: str, place: str | None = None):
+    return Window.partitionBy(query).orderBy(F.desc(place or F.round("score", 9)), doc)
 
 
 def _nearest(ranked: DataFrame, query: str, doc: str, target: int | Column) -> DataFrame:
@@ -117,8 +122,8 @@ def _nearest(ranked: DataFrame, query: str, doc: str, target: int | Column) -> D
     return ranked.withColumn("_near", F.row_number().over(_by_rank(query, doc))).where(F.col("_near") <= target + 1).drop("_near")
 
 
-def _fit(rows: DataFrame, query: str, doc: str, target: int | Column) -> DataFrame:
-    order = _by_rank(query, doc)
+def _fit(rows: DataFrame, query: str, doc: str, target: int | Column, place: str | None = None) -> DataFrame:
+    order = _by_rank(query, doc, place)
     before = F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("rank", F.row_number().over(order)).withColumn("before", before).where(F.col("before") <= target).drop("before")
 
